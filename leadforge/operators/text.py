@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..functions.columns import let
 from ..functions.patterns import LINE_BREAK, WS
 
 
@@ -93,10 +94,9 @@ def unescape_entities(text) -> Column:
 
 def excerpt(body, max_chars: int = L.BODY_EXCERPT_CHARS) -> Column:
     """One-line excerpt of the plain text; longer text is cut to max-1 chars + ellipsis."""
-    t = plain_text(body)
-    return F.when(F.char_length(t) <= max_chars, t).otherwise(
+    return let(plain_text(body), lambda t: F.when(F.char_length(t) <= max_chars, t).otherwise(
         F.concat(F.substring(t, 1, max_chars - 1), F.lit("…"))
-    )
+    ))
 
 
 def received_at(date_header) -> Column:
@@ -111,9 +111,10 @@ def received_at(date_header) -> Column:
 
 def combine_text(subject, body) -> Column:
     """P5: subject and body, each trimmed, joined by a newline when both are non-empty."""
-    s = F.coalesce(strip_ws(_c(subject)), F.lit(""))
-    b = F.coalesce(strip_ws(_c(body)), F.lit(""))
-    return F.when((s != "") & (b != ""), F.concat(s, F.lit("\n"), b)).otherwise(F.concat(s, b))
+    parts = F.struct(F.coalesce(strip_ws(_c(subject)), F.lit("")).alias("s"),
+                     F.coalesce(strip_ws(_c(body)), F.lit("")).alias("b"))
+    return let(parts, lambda p: F.when((p["s"] != "") & (p["b"] != ""), F.concat(p["s"], F.lit("\n"), p["b"]))
+               .otherwise(F.concat(p["s"], p["b"])))
 
 
 def sanitize_folder(folder) -> Column:

@@ -36,10 +36,17 @@ m0 AS (
     sid AS imap_uid,
     CASE WHEN seq % 3 = 0 THEN 'Sales' ELSE 'INBOX' END AS folder,
     CASE WHEN seq % 53 = 0 THEN 'not-an-email'
+         WHEN seq % 59 = 0 THEN 'Undisclosed <>'
          ELSE 'Dr. Mario Rossi' || u || ' <User' || u || '@' || upper(dom) || '>' END AS from_header,
     CASE WHEN seq % 7 = 0 THEN 'Richiesta preventivo' WHEN seq % 7 = 1 THEN 'Quote request for services'
          WHEN seq % 7 = 2 THEN 'Richiesta informazioni' ELSE substr(line1, 1, 80) END AS subject,
     substr(text, length(line1) + 2) ||
+    CASE WHEN seq % 13 = 3 THEN chr(10) || 'Sono Giulia Verdi' || u || ' della Verdi Costruzioni S.p.A.'
+         WHEN seq % 13 = 5 THEN chr(10) || 'Mi chiamo Luca Neri e lavoro presso Neri Logistica, scrivete a luca.neri' || u || '@neri-logistica.example'
+         WHEN seq % 13 = 7 THEN chr(10) || 'Lavoro per il team marketing'
+         WHEN seq % 13 = 9 THEN chr(10) || 'La nostra azienda si chiama Bianchi & Figli'
+         WHEN seq % 13 = 11 THEN chr(10) || 'sono marco di ufficio'
+         ELSE '' END ||
     CASE WHEN seq % 5 = 0 THEN chr(10) || 'Tel. ufficio: +39 02 1234' || lpad(u, 3, '0') || chr(10) || 'Cell: +39 345 987 6' || lpad(u, 3, '0') || chr(10) || 'Azienda: Rossi Impianti S.r.l.'
          WHEN seq % 5 = 1 THEN chr(10) || 'Phone: +33 1 44 55 66 77' || chr(10) || 'Fax: +33 1 44 55 66 78' || chr(10) || 'Company - Nouvelle Energie S.A.S.'
          WHEN seq % 5 = 2 THEN chr(10) || 'Buongiorno, vorremmo una quotazione e un offerta dettagliata?'
@@ -210,3 +217,172 @@ def confidence_band(s: str) -> str:
 
 
 __all__ = [n for n in dir() if not n.startswith("_")]
+
+
+# ---------------------------------------------------------------------------
+# contact extraction (RE2: a word boundary is a consumed non-word char or an end)
+# ---------------------------------------------------------------------------
+
+from ..functions import patterns as P  # noqa: E402
+
+_W = P.WORD_CHARS
+_WSC = P.WS_CHARS
+RB = f"(?:^|[^{_W}])"   # boundary before (consumes one char)
+RA = f"(?:[^{_W}]|$)"   # boundary after
+_NAME = rf"([{_W}'’{_WSC}.]{{2,60}}?)"
+_COMPANY = rf"([{_W}&'’.,\-{_WSC}]{{3,}})"
+_S = f"[{_WSC}]+"
+COMPANY_PATTERNS_RE2 = [
+    (rf"(?i){RB}sono{_S}{_NAME}{_S}(?:di|del|della|dell'|dello){_S}{_COMPANY}", 1, 2),
+    (rf"(?i){RB}sono{_S}{_NAME}{_S}e{_S}lavoro{_S}(?:per|presso|in){_S}{_COMPANY}", 1, 2),
+    (rf"(?i){RB}mi{_S}chiamo{_S}{_NAME}{_S}e{_S}(?:sono|lavoro){_S}(?:per|presso|in|di|del|della|dell'|dello){_S}{_COMPANY}", 1, 2),
+    (rf"(?i){RB}lavoro{_S}(?:per|presso|in){_S}{_COMPANY}", 0, 1),
+    (rf"(?i){RB}(?:azienda|società|societa|company){_S}(?:si{_S}chiama|chiamata|denominata){_S}{_COMPANY}", 0, 1),
+]
+LEGAL_FORM_RE2 = f"{RB}(?:{'|'.join(L.LEGAL_FORMS)}){RA}"
+ORG_LABEL_PREFIX_RE2 = rf"(?i)^(?:{'|'.join(L.ORG_LABEL_WORDS)})[:\-{_WSC}]*"
+
+
+EMPTY = "''"
+
+
+def co(e: str) -> str:
+    return f"coalesce({e}, '')"
+
+
+def first_address(e: str) -> str:
+    v = f"coalesce({e}, '')"
+    return address_of(f"CASE WHEN regexp_matches({v}, '<[^<>]*>') THEN {v} ELSE regexp_extract({v}, '^([^,]*)', 1) END")
+
+
+def display_name(e: str) -> str:
+    n = strip(f"regexp_extract(coalesce({e}, ''), '^([^<]*)<[^<>]*>', 1)")
+    return f"regexp_replace({n}, '^\"(.*)\"$', '\\1')"
+
+
+def header_email(frm: str = "from_header") -> str:
+    a = first_address(frm)
+    return f"nullif({a}, '')"
+
+
+def body_email(e: str) -> str:
+    return f"nullif(regexp_extract(coalesce({e}, ''), {q(P.EMAIL)}, 0), '')"
+
+
+def name_parts(e: str) -> str:
+    words = f"string_split(lower({norm_ws(co(e))}), ' ')"
+    return (f"list_filter({words}, lambda w: w <> '' AND NOT list_contains({lit_list(L.NAME_TITLES)}, "
+            f"regexp_replace(w, '\\.+$', '')))")
+
+
+def title_case(e: str) -> str:
+    return (f"array_to_string(list_transform(regexp_extract_all({e}, '\\p{{L}}+|\\P{{L}}+'), "
+            f"lambda r: upper(substr(r, 1, 1)) || lower(substr(r, 2))), '')")
+
+
+def first_name_of(parts: str) -> str:
+    return f"CASE WHEN len({parts}) >= 1 THEN {title_case(f'{parts}[1]')} END"
+
+
+def last_name_of(parts: str) -> str:
+    return (f"CASE WHEN len({parts}) >= 2 THEN array_to_string(list_transform({parts}[2:], "
+            f"lambda p: {title_case('p')}), ' ') END")
+
+
+def normalize_phone(e: str) -> str:
+    digits = f"regexp_replace({e}, '[^\\p{{Nd}}+]', '', 'g')"
+    n = f"length(regexp_replace({digits}, '[^\\p{{Nd}}]', '', 'g'))"
+    d1 = f"(CASE WHEN starts_with({digits}, '00') THEN '+' || substr({digits}, 3) ELSE {digits} END)"
+    d2 = (f"(CASE WHEN starts_with({d1}, '39') THEN '+39' || substr({d1}, 3) "
+          f"WHEN regexp_full_match({d1}, '3\\p{{Nd}}{{8,9}}') THEN '+39' || {d1} ELSE {d1} END)")
+    return f"CASE WHEN {n} >= 7 THEN {d2} END"
+
+
+def phone_label_score(e: str) -> str:
+    low = f"lower({e})"
+    parts = ", ".join(f"CASE WHEN contains({low}, {q(h)}) THEN {s} ELSE 0 END" for h, s in L.PHONE_LABEL_SCORES.items())
+    return f"greatest(0, {parts})"
+
+
+def fax_only(e: str) -> str:
+    low = f"lower({e})"
+    keep = " OR ".join(f"contains({low}, {q(h)})" for h in L.FAX_OVERRIDE_HINTS)
+    return f"(contains({low}, 'fax') AND NOT ({keep}))"
+
+
+def clean_company(e: str) -> str:
+    c = f"regexp_replace({norm_ws(e)}, '^[-•|.,;: ]+|[-•|.,;: ]+$', '', 'g')"
+    low = f"lower({c})"
+    words = f"list_filter(string_split({low}, ' '), lambda w: w <> '')"
+    all_cased = f"(len(list_filter({words}, lambda w: NOT regexp_matches(w, '[\\p{{Ll}}\\p{{Lu}}\\p{{Lt}}]'))) = 0)"
+    has_upper = f"regexp_matches({c}, '\\p{{Lu}}')"
+    ok = (f"(length({c}) >= 3 AND NOT list_contains({lit_list(L.COMPANY_NOISE_TERMS)}, {low}) "
+          f"AND (NOT {all_cased} OR {has_upper}))")
+    return f"CASE WHEN {e} IS NOT NULL AND {ok} THEN {c} END"
+
+
+def _contains_any(e: str, words) -> str:
+    return "(" + " OR ".join(f"contains({e}, {q(w)})" for w in words) + ")"
+
+
+def org_from_line(e: str) -> str:
+    s = strip(e)
+    low = f"lower({s})"
+    cb = f"lower(split_part({s}, ':', 1))"
+    ca = strip(f"substr({s}, instr({s}, ':') + 1)")
+    db = f"lower({strip(f'split_part({s}, {q(chr(45))}, 1)')})"
+    da = strip(f"substr({s}, instr({s}, '-') + 1)")
+    unl = f"regexp_replace(regexp_replace({s}, {q(ORG_LABEL_PREFIX_RE2)}, ''), '^[ -]+|[ -]+$', '', 'g')"
+    return (f"CASE WHEN {s} = '' THEN NULL "
+            f"WHEN contains({s}, ':') AND {_contains_any(cb, L.ORG_HINTS)} AND {ca} <> '' THEN {ca} "
+            f"WHEN contains({s}, '-') AND {_contains_any(db, L.ORG_HINTS)} AND {da} <> '' THEN {da} "
+            f"WHEN regexp_matches({low}, {q(LEGAL_FORM_RE2)}) AND {unl} <> '' THEN {unl} "
+            f"WHEN {_contains_any(low, L.ORG_HINTS)} AND length({unl}) > 3 THEN {unl} END")
+
+
+def org_from_lines(e: str) -> str:
+    return f"list_filter(list_transform({split_lines(co(e))}, lambda l: {org_from_line('l')}), lambda x: x IS NOT NULL)[1]"
+
+
+def company_phrase_cte(src: str = "messages", text: str = "body") -> str:
+    """CTE ``cp(seq, company, name)`` over ``src``."""
+    cols = []
+    for k, (pat, gn, gc) in enumerate(COMPANY_PATTERNS_RE2, 1):
+        cols.append(f"regexp_extract({text}, {q(pat)}, {gc}) AS craw{k}")
+        cols.append(f"regexp_extract({text}, {q(pat)}, {gn}) AS nraw{k}" if gn else f"'' AS nraw{k}")
+    stage1 = f"cp1 AS (SELECT seq, {', '.join(cols)} FROM {src})"
+    c2 = []
+    for k in range(1, 6):
+        c2.append(f"{clean_company(f'nullif(craw{k}, {EMPTY})')} AS clean{k}")
+        c2.append(f"(craw{k} <> '' AND len({name_parts(f'nraw{k}')}) > 0) AS nok{k}")
+        c2.append(f"nraw{k}")
+    stage2 = f"cp2 AS (SELECT seq, {', '.join(c2)} FROM cp1)"
+    win = "CASE " + " ".join(f"WHEN clean{k} IS NOT NULL THEN {k}" for k in range(1, 6)) + " ELSE 6 END"
+    name = "CASE " + " ".join(f"WHEN nok{k} AND {k} <= w THEN nraw{k}" for k in range(1, 4)) + " END"
+    stage3 = (f"cp AS (SELECT seq, coalesce(clean1, clean2, clean3, clean4, clean5) AS company, {name} AS name "
+              f"FROM (SELECT *, {win} AS w FROM cp2))")
+    return ",\n".join([stage1, stage2, stage3])
+
+
+def phone_ctes(src: str = "messages", text: str = "body") -> str:
+    """CTEs ``pl`` (lines), ``pc`` (candidates) and ``bp(seq, phone)`` over ``src``."""
+    lines = split_lines(f"coalesce({text}, '')")
+    return f"""
+pl AS (
+  SELECT seq, x.line AS line, x.li AS li FROM (
+    SELECT seq, unnest(list_transform({lines}, lambda l, i: {{'line': l, 'li': i - 1}})) AS x FROM {src})),
+pc AS (
+  SELECT seq, li, y.pos AS pos, score, y.raw AS raw, {normalize_phone('y.raw')} AS number FROM (
+    SELECT seq, li, {phone_label_score('line')} AS score,
+           unnest(list_transform(regexp_extract_all(line, {q(P.PHONE)}), lambda r, j: {{'raw': r, 'pos': j - 1}})) AS y
+    FROM pl WHERE NOT {fax_only('line')})),
+pfirst AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq, number ORDER BY li, pos) AS rn
+                 FROM pc WHERE number IS NOT NULL) WHERE rn = 1),
+pbest AS (
+  SELECT seq, number FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, li, pos) AS rank_in_msg
+                           FROM pfirst) WHERE rank_in_msg = 1),
+bp AS (
+  SELECT s.seq, coalesce(b.number, list_filter(list_transform(regexp_extract_all(coalesce(s.{text}, ''), {q(P.PHONE)}),
+         lambda r: {normalize_phone('r')}), lambda x: x IS NOT NULL)[1]) AS phone
+  FROM {src} s LEFT JOIN pbest b ON s.seq = b.seq)"""

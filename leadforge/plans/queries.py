@@ -159,3 +159,84 @@ def q_negative_veto(spark, sf_dir):
     s = rules.with_rule_score(m.select("seq", headers_map(m).alias("h"), "body"), "h", "body", lex,
                               veto_col="vetoed")
     return s.select("seq", "vetoed", "rule_score")
+
+
+# ---------------------------------------------------------------------------
+# Contact extraction
+# ---------------------------------------------------------------------------
+
+from ..operators import extract  # noqa: E402
+
+
+@register("extract_email")
+def q_extract_email(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    hdr = extract.header_contact(headers_map(m))
+    return m.select("seq", F.coalesce(hdr["email"], extract.body_email("body")).alias("email"))
+
+
+@register("split_name")
+def q_split_name(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    parts = extract.split_name(text.display_name_of("from_header"))
+    return m.select("seq", parts["first_name"].alias("first_name"), parts["last_name"].alias("last_name"))
+
+
+@register("phone_candidates")
+def q_phone_candidates(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    c = m.select("seq", F.explode(extract.phone_candidates("body")).alias("c"))
+    return c.select("seq", F.col("c.line").alias("line"), F.col("c.pos").alias("pos"),
+                    F.col("c.score").alias("score"), F.col("c.raw").alias("raw"), F.col("c.number").alias("number"))
+
+
+@register("normalize_phone")
+def q_normalize_phone(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    from ..functions.patterns import PHONE
+    raw = m.select("seq", F.posexplode(F.regexp_extract_all("body", F.lit(PHONE), 0)).alias("pos", "raw"))
+    return raw.select("seq", "pos", "raw", extract.normalize_phone("raw").alias("number"))
+
+
+@register("phone_label_score")
+def q_phone_label_score(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    lines = m.select("seq", F.posexplode(text.split_lines("body")).alias("line_no", "line"))
+    return lines.select("seq", "line_no", extract.phone_label_score("line").alias("score"),
+                        extract.fax_only("line").alias("fax_only"))
+
+
+@register("best_phone")
+def q_best_phone(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    return m.select("seq", extract.best_phone("body").alias("phone"))
+
+
+@register("company_phrase")
+def q_company_phrase(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    cp = extract.company_phrase("body")
+    return m.select("seq", cp["company"].alias("company"), cp["name"].alias("name"))
+
+
+@register("clean_company")
+def q_clean_company(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    return m.select(
+        "seq",
+        extract.clean_company(extract.org_from_lines("body")).alias("clean_org"),
+        extract.clean_company("subject").alias("clean_subject"),
+    )
+
+
+@register("org_from_line")
+def q_org_from_line(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    return m.select("seq", extract.org_from_lines("body").alias("org"))
+
+
+@register("parse_contact")
+def q_parse_contact(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    pc = extract.parse_contact("body", headers_map(m))
+    return m.select("seq", *[pc[f].alias(f) for f in ("first_name", "last_name", "email", "phone", "org")])

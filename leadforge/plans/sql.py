@@ -50,3 +50,50 @@ _neg = compile_lexicon(negative_keywords=NEGATIVE_PHRASES)
 sql("negative_veto", O.with_messages() + f"""
 SELECT seq, {O.negative_veto("coalesce(nullif(subject, ''), '')", 'body', O.other_headers(), _neg)} AS vetoed,
        {O.rule_score(lex=_neg)} AS rule_score FROM messages""")
+
+# ---------------------------------------------------------------------------
+# contact extraction
+# ---------------------------------------------------------------------------
+
+sql("extract_email", O.with_messages() + f"""
+SELECT seq, coalesce({O.header_email()}, {O.body_email('body')}) AS email FROM messages""")
+
+_np = O.name_parts(O.display_name('from_header'))
+sql("split_name", O.with_messages() + f"""
+SELECT seq, {O.first_name_of('p')} AS first_name, {O.last_name_of('p')} AS last_name
+FROM (SELECT seq, {_np} AS p FROM messages)""")
+
+sql("phone_candidates", O.with_messages(O.phone_ctes()) + """
+SELECT seq, cast(li AS int) AS line, cast(pos AS int) AS pos, cast(score AS int) AS score, raw, number FROM pc""")
+
+sql("normalize_phone", O.with_messages() + f"""
+SELECT seq, cast(x.pos AS int) AS pos, x.raw AS raw, {O.normalize_phone('x.raw')} AS number FROM (
+  SELECT seq, unnest(list_transform(regexp_extract_all(body, {O.q(O.P.PHONE)}), lambda r, j: {{'raw': r, 'pos': j - 1}})) AS x
+  FROM messages)""")
+
+sql("phone_label_score", O.with_messages(O.phone_ctes()) + f"""
+SELECT seq, cast(li AS int) AS line_no, cast({O.phone_label_score('line')} AS int) AS score, {O.fax_only('line')} AS fax_only
+FROM pl""")
+
+sql("best_phone", O.with_messages(O.phone_ctes()) + "SELECT seq, phone FROM bp")
+
+sql("company_phrase", O.with_messages(O.company_phrase_cte()) + "SELECT seq, company, name FROM cp")
+
+sql("clean_company", O.with_messages() + f"""
+SELECT seq, {O.clean_company(O.org_from_lines('body'))} AS clean_org,
+       {O.clean_company('subject')} AS clean_subject FROM messages""")
+
+sql("org_from_line", O.with_messages() + f"SELECT seq, {O.org_from_lines('body')} AS org FROM messages")
+
+_hn = O.name_parts(f"CASE WHEN {O.header_email()} IS NOT NULL THEN {O.display_name('from_header')} END")
+sql("parse_contact", O.with_messages(O.company_phrase_cte(), O.phone_ctes(), f"""
+pcx AS (
+  SELECT m.seq, {_hn} AS hp, {O.name_parts('cp.name')} AS pp,
+         coalesce({O.header_email()}, {O.body_email('m.body')}) AS email,
+         bp.phone AS phone, coalesce(cp.company, {O.org_from_lines('m.body')}) AS org
+  FROM messages m JOIN cp ON m.seq = cp.seq JOIN bp ON m.seq = bp.seq)""") + f"""
+SELECT seq,
+  coalesce({O.first_name_of('hp')}, {O.first_name_of('pp')}) AS first_name,
+  CASE WHEN len(hp) >= 1 THEN {O.last_name_of('hp')} ELSE {O.last_name_of('pp')} END AS last_name,
+  email, phone, org
+FROM pcx""")

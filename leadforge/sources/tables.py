@@ -55,6 +55,16 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(seq % 5 == 2, F.concat(nl, F.lit("Buongiorno, vorremmo una quotazione e un offerta dettagliata?")))
         .otherwise(F.lit(""))
     )
+    # self-introduction lines (company phrases, a noise team, a second address)
+    intro = (
+        F.when(seq % 13 == 3, F.concat(nl, F.lit("Sono Giulia Verdi"), u, F.lit(" della Verdi Costruzioni S.p.A.")))
+        .when(seq % 13 == 5, F.concat(nl, F.lit("Mi chiamo Luca Neri e lavoro presso Neri Logistica, scrivete a luca.neri"),
+                                      u, F.lit("@neri-logistica.example")))
+        .when(seq % 13 == 7, F.concat(nl, F.lit("Lavoro per il team marketing")))
+        .when(seq % 13 == 9, F.concat(nl, F.lit("La nostra azienda si chiama Bianchi & Figli")))
+        .when(seq % 13 == 11, F.concat(nl, F.lit("sono marco di ufficio")))
+        .otherwise(F.lit(""))
+    )
     received_date = F.date_add(F.lit("2024-01-01").cast("date"), (seq % 30).cast("int"))
     m = base.select(
         seq.alias("seq"),
@@ -62,6 +72,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         sid.alias("imap_uid"),
         F.when(seq % 3 == 0, F.lit("Sales")).otherwise(F.lit("INBOX")).alias("folder"),
         F.when(seq % 53 == 0, F.lit("not-an-email"))
+        .when(seq % 59 == 0, F.lit("Undisclosed <>"))
         .otherwise(F.concat(F.lit("Dr. Mario Rossi"), u, F.lit(" <User"), u, F.lit("@"), F.upper(dom), F.lit(">")))
         .alias("from_header"),
         F.when(seq % 7 == 0, F.lit("Richiesta preventivo"))
@@ -69,7 +80,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(seq % 7 == 2, F.lit("Richiesta informazioni"))
         .otherwise(F.substring(line1, 1, 80))
         .alias("subject"),
-        F.concat(F.expr("substr(text, length(split_part(text, '\\n', 1)) + 2)"), body_tail).alias("body"),
+        F.concat(F.expr("substr(text, length(split_part(text, '\\n', 1)) + 2)"), intro, body_tail).alias("body"),
         received_date.alias("received_date"),
         # RFC-2822 Date header; every 47th mail carries an unparsable one
         F.when(seq % 47 == 0, F.lit("not a date"))
