@@ -386,3 +386,140 @@ bp AS (
   SELECT s.seq, coalesce(b.number, list_filter(list_transform(regexp_extract_all(coalesce(s.{text}, ''), {q(P.PHONE)}),
          lambda r: {normalize_phone('r')}), lambda x: x IS NOT NULL)[1]) AS phone
   FROM {src} s LEFT JOIN pbest b ON s.seq = b.seq)"""
+
+
+# ---------------------------------------------------------------------------
+# classifier (tokens, features, naive Bayes, split, evaluation)
+# ---------------------------------------------------------------------------
+
+def ml_tokens(e: str, legacy_train: bool = False) -> str:
+    stop = lit_list(L.ml_stopwords(legacy_train))
+    return (f"list_filter(regexp_extract_all(lower(coalesce({e}, '')), {q(P.ML_TOKEN)}), "
+            f"lambda x: length(x) > 2 AND NOT list_contains({stop}, x))")
+
+
+def bigrams(t: str) -> str:
+    """``t`` must be a column name."""
+    return (f"CASE WHEN len({t}) >= 2 THEN list_transform({t}[1:len({t}) - 1], lambda x, i: x || ' ' || {t}[i + 1]) "
+            f"ELSE []::varchar[] END")
+
+
+def _count_in(low: str, words) -> str:
+    return "(" + " + ".join(f"CASE WHEN contains({low}, {q(w)}) THEN 1 ELSE 0 END" for w in words) + ")"
+
+
+def feature_cols(x: str = "text") -> str:
+    """Six feature columns for a text column ``x`` (serving definition)."""
+    low = f"lower({x})"
+    wc = f"(CASE WHEN {strip(x)} = '' THEN 0 ELSE len(string_split_regex({strip(x)}, {q(P.WS + '+')})) END)"
+    qn = f"(length({x}) - length(replace({x}, '?', '')))"
+    last5 = f"string_split({x}, chr(10))[greatest(len(string_split({x}, chr(10))) - 4, 1):len(string_split({x}, chr(10)))]"
+    nonblank = f"list_filter({last5}, lambda l: {strip('l')} <> '')"
+    window = f"(CASE WHEN len({nonblank}) > 0 THEN {nonblank} ELSE {last5} END)"
+    ind = _count_in("lower(l)", L.SIGNATURE_INDICATORS)
+    return ", ".join([
+        f"least(CAST({_count_in(low, L.URGENCY_WORDS)} AS DOUBLE) / 3.0, 1.0) AS urgency_score",
+        f"CASE WHEN {_count_in(low, L.GREETING_WORDS)} > 0 THEN 1.0 ELSE 0.0 END AS has_greeting",
+        f"least(CAST({qn} AS DOUBLE) / greatest(CAST({wc} AS DOUBLE) / 50.0, 1.0), 1.0) AS question_density",
+        f"least(CAST({wc} AS DOUBLE) / 200.0, 1.0) AS length_score",
+        f"CASE WHEN regexp_matches({x}, {q(P.FEATURE_PHONE)}) OR regexp_matches({x}, {q(P.EMAIL)}) THEN 1.0 ELSE 0.0 END AS has_contact_info",
+        f"CAST(len(list_filter({window}, lambda l: {ind} > 0)) AS DOUBLE) / greatest(len({window}), 1) AS signature_score",
+    ])
+
+
+def nb_ctes(train_src: str, score_src: str, p: str = "nb") -> str:
+    """CTEs for a model trained on ``train_src(label, text)`` scoring ``score_src(id, text)``.
+
+    Exposes ``{p}_terms(kind, term, n_pos, n_neg)``, ``{p}_st``, ``{p}_w`` and ``{p}_sc(id, score)``.
+    """
+    feats = L.FEATURE_NAMES
+    wcols = ", ".join(
+        f"2.0 * (coalesce(sum({f}) FILTER (WHERE label = 1), 0) / greatest(count(*) FILTER (WHERE label = 1), 1)"
+        f" - coalesce(sum({f}) FILTER (WHERE label = 0), 0) / greatest(count(*) FILTER (WHERE label = 0), 1)) AS w_{f}"
+        for f in feats)
+    shift = " + ".join(f"s.{f} * w.w_{f}" for f in feats)
+    return f"""
+{p}_tt AS (SELECT label, {ml_tokens('text')} AS t FROM {train_src}),
+{p}_tb AS (SELECT label, t, {bigrams('t')} AS b FROM {p}_tt),
+{p}_terms AS (
+  SELECT 'uni' AS kind, term, count(*) FILTER (WHERE label = 1) AS n_pos, count(*) FILTER (WHERE label = 0) AS n_neg
+  FROM (SELECT label, unnest(t) AS term FROM {p}_tb) GROUP BY term
+  UNION ALL
+  SELECT 'bi' AS kind, term, count(*) FILTER (WHERE label = 1), count(*) FILTER (WHERE label = 0)
+  FROM (SELECT label, unnest(b) AS term FROM {p}_tb) GROUP BY term),
+{p}_st AS (
+  SELECT d.prior_pos, d.prior_neg, u.total_pos, u.total_neg, greatest(u.v, 1) AS v FROM
+    (SELECT CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE) / greatest(count(*), 1) AS prior_pos,
+            CAST(count(*) FILTER (WHERE label <> 1) AS DOUBLE) / greatest(count(*), 1) AS prior_neg FROM {train_src}) d,
+    (SELECT coalesce(sum(n_pos), 0) AS total_pos, coalesce(sum(n_neg), 0) AS total_neg, count(*) AS v
+     FROM {p}_terms WHERE kind = 'uni') u),
+{p}_f AS (SELECT label, {feature_cols('text')} FROM {train_src}),
+{p}_w AS (SELECT {wcols} FROM {p}_f),
+{p}_sd AS (SELECT id, {ml_tokens('text')} AS t, {feature_cols('text')} FROM {score_src}),
+{p}_sb AS (SELECT id, t, {bigrams('t')} AS b FROM {p}_sd),
+{p}_lu AS (
+  SELECT x.id, sum(ln((coalesce(m.n_pos, 0) + 1) / (st.total_pos + st.v))) AS lp,
+               sum(ln((coalesce(m.n_neg, 0) + 1) / (st.total_neg + st.v))) AS ln
+  FROM (SELECT id, unnest(t) AS term FROM {p}_sb) x
+  LEFT JOIN {p}_terms m ON m.kind = 'uni' AND m.term = x.term CROSS JOIN {p}_st st GROUP BY x.id),
+{p}_lb AS (
+  SELECT x.id, sum(0.5 * ln((coalesce(m.n_pos, 0) + 1) / (st.total_pos + st.v))) AS lp,
+               sum(0.5 * ln((coalesce(m.n_neg, 0) + 1) / (st.total_neg + st.v))) AS ln
+  FROM (SELECT id, unnest(b) AS term FROM {p}_sb) x
+  LEFT JOIN {p}_terms m ON m.kind = 'bi' AND m.term = x.term CROSS JOIN {p}_st st GROUP BY x.id),
+{p}_lg AS (
+  SELECT s.id, len(s.t) AS n,
+         ln(st.prior_pos) + coalesce(u.lp, 0) + coalesce(b.lp, 0) + ({shift}) AS log_pos,
+         ln(st.prior_neg) + coalesce(u.ln, 0) + coalesce(b.ln, 0) - 0.5 * ({shift}) AS log_neg
+  FROM {p}_sd s LEFT JOIN {p}_lu u ON s.id = u.id LEFT JOIN {p}_lb b ON s.id = b.id
+  CROSS JOIN {p}_st st CROSS JOIN {p}_w w),
+{p}_sc AS (
+  SELECT id, CASE WHEN n = 0 THEN 0.0 ELSE
+    exp(log_pos - greatest(log_pos, log_neg)) / (exp(log_pos - greatest(log_pos, log_neg)) + exp(log_neg - greatest(log_pos, log_neg)))
+    END AS score FROM {p}_lg)"""
+
+
+LABELLED_CTE = f"lm AS (SELECT seq AS id, label, subject, body, {combine_text('subject', 'body')} AS text FROM m WHERE label IS NOT NULL)"
+MSG_TEXT_CTE = f"mt AS (SELECT seq AS id, {combine_text('subject', 'body')} AS text FROM messages)"
+
+
+def split_cte(test_size: float, seed: int) -> str:
+    return f"""sp0 AS (
+  SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(id AS varchar) || ':{seed}'), id) AS split_rank,
+         count(*) OVER (PARTITION BY label) AS n FROM lm),
+sp AS (
+  SELECT id, label, split_rank,
+         split_rank <= greatest(1, floor(CAST(n AS DOUBLE) * (CAST(1.0 AS DOUBLE) - CAST({test_size} AS DOUBLE)))) AS is_train,
+         split_rank > greatest(1, floor(CAST(n AS DOUBLE) * (CAST(1.0 AS DOUBLE) - CAST({test_size} AS DOUBLE))))
+           OR (greatest(1, floor(CAST(n AS DOUBLE) * (CAST(1.0 AS DOUBLE) - CAST({test_size} AS DOUBLE)))) >= n AND split_rank = n) AS is_test
+  FROM sp0),
+trn AS (SELECT lm.* FROM lm JOIN sp USING (id) WHERE sp.is_train),
+tst AS (SELECT lm.* FROM lm JOIN sp USING (id) WHERE sp.is_test)"""
+
+
+def split_scored_ctes(test_size: float, seed: int) -> list[str]:
+    return [LABELLED_CTE, split_cte(test_size, seed), nb_ctes("trn", "tst", "sn"),
+            "scored AS (SELECT t.id, t.label, s.score FROM tst t JOIN sn_sc s ON t.id = s.id)"]
+
+
+def curve_ctes() -> str:
+    return """cg AS (SELECT score, count(*) FILTER (WHERE label = 1) AS tp_g, count(*) FILTER (WHERE label <> 1) AS fp_g
+               FROM scored GROUP BY score),
+cc AS (SELECT score, tp_g, fp_g, sum(tp_g) OVER (ORDER BY score DESC) AS ctp, sum(fp_g) OVER (ORDER BY score DESC) AS cfp,
+              row_number() OVER (ORDER BY score DESC) AS point FROM cg),
+ctot AS (SELECT count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM scored),
+roc AS (SELECT CAST(point AS BIGINT) AS point, score AS threshold, CAST(cfp AS DOUBLE) / neg AS fpr, CAST(ctp AS DOUBLE) / pos AS tpr
+        FROM cc, ctot
+        UNION ALL SELECT CAST(0 AS BIGINT), max(score) + 1, 0.0, 0.0 FROM cg),
+auc AS (SELECT coalesce(sum((fpr - pf) * (tpr + pt) / 2.0), 0.0) AS roc_auc FROM (
+          SELECT fpr, tpr, lag(fpr) OVER (ORDER BY point) AS pf, lag(tpr) OVER (ORDER BY point) AS pt FROM roc)
+        WHERE pf IS NOT NULL),
+conf AS (SELECT count(*) FILTER (WHERE score >= 0.5 AND label = 1) AS tp, count(*) FILTER (WHERE score >= 0.5 AND label = 0) AS fp,
+                count(*) FILTER (WHERE score < 0.5 AND label = 0) AS tn, count(*) FILTER (WHERE score < 0.5 AND label = 1) AS fn
+         FROM scored),
+met AS (SELECT tp, fp, tn, fn,
+          CAST(tp + tn AS DOUBLE) / greatest(tp + fp + tn + fn, 1) AS accuracy,
+          CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0.0 END AS precision,
+          CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0.0 END AS recall FROM conf),
+met2 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1,
+                accuracy > 0.95 AS overfit FROM met)"""

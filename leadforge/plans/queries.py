@@ -240,3 +240,146 @@ def q_parse_contact(spark, sf_dir):
     m = messages(spark, sf_dir)
     pc = extract.parse_contact("body", headers_map(m))
     return m.select("seq", *[pc[f].alias(f) for f in ("first_name", "last_name", "email", "phone", "org")])
+
+
+# ---------------------------------------------------------------------------
+# Classifier: features, training, scoring, evaluation
+# ---------------------------------------------------------------------------
+
+from ..functions import lexicon as LX  # noqa: E402
+from ..operators import evaluate as ev  # noqa: E402
+from ..operators import nb  # noqa: E402
+from ..sources.tables import labelled_messages  # noqa: E402
+
+TEST_SIZE = 0.2
+SPLIT_SEED = 42
+
+
+def _r6(c):
+    return F.round(c, 6)
+
+
+def scored_messages_text(m: DataFrame) -> DataFrame:
+    return m.select("seq", text.combine_text("subject", "body").alias("text"))
+
+
+@register("ml_tokens")
+def q_ml_tokens(spark, sf_dir):
+    t = scored_messages_text(messages(spark, sf_dir)).select("seq", nb.ml_tokens("text").alias("t"))
+    return t.select("seq", F.array_join("t", " ").alias("tokens"), F.size("t").alias("n_tokens"))
+
+
+@register("bigrams")
+def q_bigrams(spark, sf_dir):
+    t = scored_messages_text(messages(spark, sf_dir)).select("seq", nb.ml_tokens("text").alias("t"))
+    b = t.select("seq", nb.bigrams("t").alias("b"))
+    return b.select("seq", F.array_join("b", "|").alias("bigrams"), F.size("b").alias("n_bigrams"))
+
+
+@register("text_features")
+def q_text_features(spark, sf_dir):
+    t = scored_messages_text(messages(spark, sf_dir)).select("seq", nb.text_features("text").alias("f"))
+    return t.select("seq", *[_r6(F.col(f"f.{n}")).alias(n) for n in LX.FEATURE_NAMES])
+
+
+@register("feature_tokens")
+def q_feature_tokens(spark, sf_dir):
+    t = scored_messages_text(messages(spark, sf_dir)).select("seq", nb.text_features("text").alias("f"))
+    return t.select("seq", F.array_join(nb.feature_tokens("f"), " ").alias("feature_tokens"))
+
+
+@register("class_term_counts")
+def q_class_term_counts(spark, sf_dir):
+    return nb.class_term_counts(labelled_messages(spark, sf_dir))
+
+
+@register("nb_stats")
+def q_nb_stats(spark, sf_dir):
+    train = labelled_messages(spark, sf_dir)
+    s = nb.nb_stats(train, nb.class_term_counts(train))
+    return s.select("stat", _r6(F.col("value")).alias("value"))
+
+
+@register("feature_weights")
+def q_feature_weights(spark, sf_dir):
+    w = nb.feature_weights(labelled_messages(spark, sf_dir))
+    return w.select("feature", _r6(F.col("weight")).alias("weight"))
+
+
+def _model_on_all(spark, sf_dir) -> nb.NBModel:
+    return nb.train_nb(labelled_messages(spark, sf_dir))
+
+
+@register("nb_score")
+def q_nb_score(spark, sf_dir):
+    model = _model_on_all(spark, sf_dir)
+    s = nb.nb_score(scored_messages_text(messages(spark, sf_dir)), model, "seq", "text")
+    return s.select("seq", _r6(F.col("nb_score")).alias("nb_score"))
+
+
+@register("nb_decision")
+def q_nb_decision(spark, sf_dir):
+    model = _model_on_all(spark, sf_dir)
+    s = nb.nb_score(scored_messages_text(messages(spark, sf_dir)), model, "seq", "text")
+    return s.select("seq", nb.nb_decision("nb_score", model).alias("is_lead"))
+
+
+@register("confidence_band")
+def q_confidence_band(spark, sf_dir):
+    model = _model_on_all(spark, sf_dir)
+    s = nb.nb_score(scored_messages_text(messages(spark, sf_dir)), model, "seq", "text")
+    return s.select("seq", text.confidence_band("nb_score").alias("confidence"))
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    lab = labelled_messages(spark, sf_dir).select("id", "label")
+    return ev.stratified_split(lab, test_size=TEST_SIZE, seed=SPLIT_SEED)
+
+
+def split_scored(spark, sf_dir) -> DataFrame:
+    """Train on the split's train rows, score its test rows: (id, label, score)."""
+    lab = labelled_messages(spark, sf_dir)
+    split = ev.stratified_split(lab.select("id", "label"), test_size=TEST_SIZE, seed=SPLIT_SEED)
+    flags = split.select("id", "is_train", "is_test")
+    data = lab.join(flags, "id")
+    model = nb.train_nb(data.filter("is_train"))
+    test = data.filter("is_test")
+    s = nb.nb_score(test, model, "id", "text", out="score")
+    return test.select("id", "label").join(s, "id")
+
+
+@register("confusion")
+def q_confusion(spark, sf_dir):
+    return ev.confusion(split_scored(spark, sf_dir))
+
+
+@register("classif_metrics")
+def q_classif_metrics(spark, sf_dir):
+    m = ev.metrics_from_confusion(ev.confusion(split_scored(spark, sf_dir)))
+    return m.select("tp", "fp", "tn", "fn", *[_r6(F.col(c)).alias(c) for c in ("accuracy", "precision", "recall", "f1")],
+                    "overfit")
+
+
+@register("roc_curve")
+def q_roc_curve(spark, sf_dir):
+    r = ev.roc_curve(split_scored(spark, sf_dir))
+    return r.select("point", *[_r6(F.col(c)).alias(c) for c in ("threshold", "fpr", "tpr")])
+
+
+@register("roc_auc")
+def q_roc_auc(spark, sf_dir):
+    a = ev.roc_auc(ev.roc_curve(split_scored(spark, sf_dir)))
+    return a.select(_r6(F.col("roc_auc")).alias("roc_auc"))
+
+
+@register("pr_curve")
+def q_pr_curve(spark, sf_dir):
+    r = ev.pr_curve(split_scored(spark, sf_dir))
+    return r.select("point", *[_r6(F.col(c)).alias(c) for c in ("threshold", "precision", "recall")])
+
+
+@register("evaluate_model")
+def q_evaluate_model(spark, sf_dir):
+    e = ev.evaluate(split_scored(spark, sf_dir))
+    return e.select("metric", _r6(F.col("value")).alias("value"))

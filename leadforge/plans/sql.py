@@ -97,3 +97,72 @@ SELECT seq,
   CASE WHEN len(hp) >= 1 THEN {O.last_name_of('hp')} ELSE {O.last_name_of('pp')} END AS last_name,
   email, phone, org
 FROM pcx""")
+
+# ---------------------------------------------------------------------------
+# classifier
+# ---------------------------------------------------------------------------
+
+from .queries import SPLIT_SEED, TEST_SIZE  # noqa: E402
+
+_FEATS = ["urgency_score", "has_greeting", "question_density", "length_score", "has_contact_info", "signature_score"]
+
+sql("ml_tokens", O.with_messages(O.MSG_TEXT_CTE) + f"""
+SELECT id AS seq, array_to_string(t, ' ') AS tokens, CAST(len(t) AS INT) AS n_tokens
+FROM (SELECT id, {O.ml_tokens('text')} AS t FROM mt)""")
+
+sql("bigrams", O.with_messages(O.MSG_TEXT_CTE) + f"""
+SELECT id AS seq, array_to_string(b, '|') AS bigrams, CAST(len(b) AS INT) AS n_bigrams
+FROM (SELECT id, {O.bigrams('t')} AS b FROM (SELECT id, {O.ml_tokens('text')} AS t FROM mt))""")
+
+sql("text_features", O.with_messages(O.MSG_TEXT_CTE) + f"""
+SELECT id AS seq, {', '.join(f'round({f}, 6) AS {f}' for f in _FEATS)}
+FROM (SELECT id, {O.feature_cols('text')} FROM mt)""")
+
+_ft = " || ".join(
+    f"CASE WHEN {f} > 0 THEN list_transform(range(greatest(CAST(round_even({f} * 3, 0) AS INT), 1)), lambda i: '__feat_{f}') "
+    f"ELSE []::varchar[] END" for f in _FEATS)
+sql("feature_tokens", O.with_messages(O.MSG_TEXT_CTE) + f"""
+SELECT id AS seq, array_to_string({_ft}, ' ') AS feature_tokens FROM (SELECT id, {O.feature_cols('text')} FROM mt)""")
+
+sql("class_term_counts", O.with_messages(O.LABELLED_CTE, O.nb_ctes("lm", "lm")) + """
+SELECT kind, term, n_pos, n_neg FROM nb_terms""")
+
+sql("nb_stats", O.with_messages(O.LABELLED_CTE, O.nb_ctes("lm", "lm")) + """
+SELECT stat, round(value, 6) AS value FROM (
+  SELECT 'prior_pos' AS stat, prior_pos AS value FROM nb_st UNION ALL
+  SELECT 'prior_neg', prior_neg FROM nb_st UNION ALL
+  SELECT 'total_pos', CAST(total_pos AS DOUBLE) FROM nb_st UNION ALL
+  SELECT 'total_neg', CAST(total_neg AS DOUBLE) FROM nb_st UNION ALL
+  SELECT 'vocabulary_size', CAST(v AS DOUBLE) FROM nb_st)""")
+
+sql("feature_weights", O.with_messages(O.LABELLED_CTE, O.nb_ctes("lm", "lm")) + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, round(w_{f}, 6) AS weight FROM nb_w" for f in _FEATS))
+
+_nb_all = [O.LABELLED_CTE, O.MSG_TEXT_CTE, O.nb_ctes("lm", "mt")]
+sql("nb_score", O.with_messages(*_nb_all) + "SELECT id AS seq, round(score, 6) AS nb_score FROM nb_sc")
+sql("nb_decision", O.with_messages(*_nb_all) + "SELECT id AS seq, score >= 0.5 AS is_lead FROM nb_sc")
+sql("confidence_band", O.with_messages(*_nb_all) + f"SELECT id AS seq, {O.confidence_band('score')} AS confidence FROM nb_sc")
+
+sql("stratified_split", O.with_messages(O.LABELLED_CTE, O.split_cte(TEST_SIZE, SPLIT_SEED)) + """
+SELECT id, label, split_rank, is_train, is_test FROM sp""")
+
+_ev = O.split_scored_ctes(TEST_SIZE, SPLIT_SEED) + [O.curve_ctes()]
+sql("confusion", O.with_messages(*_ev) + "SELECT tp, fp, tn, fn FROM conf")
+sql("classif_metrics", O.with_messages(*_ev) + """
+SELECT tp, fp, tn, fn, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1, 6) AS f1, overfit FROM met2""")
+sql("roc_curve", O.with_messages(*_ev) + """
+SELECT point, round(threshold, 6) AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM roc""")
+sql("roc_auc", O.with_messages(*_ev) + "SELECT round(roc_auc, 6) AS roc_auc FROM auc")
+sql("pr_curve", O.with_messages(*_ev) + """
+SELECT CAST(point AS BIGINT) AS point, round(score, 6) AS threshold, round(CAST(ctp AS DOUBLE) / (ctp + cfp), 6) AS precision,
+       round(CAST(ctp AS DOUBLE) / pos, 6) AS recall FROM cc, ctot
+UNION ALL SELECT CAST(0 AS BIGINT), NULL, 1.0, 0.0""")
+sql("evaluate_model", O.with_messages(*_ev) + """
+SELECT metric, round(value, 6) AS value FROM (
+  SELECT 'accuracy' AS metric, accuracy AS value FROM met2 UNION ALL SELECT 'precision', precision FROM met2 UNION ALL
+  SELECT 'recall', recall FROM met2 UNION ALL SELECT 'f1', f1 FROM met2 UNION ALL
+  SELECT 'tp', CAST(tp AS DOUBLE) FROM met2 UNION ALL SELECT 'fp', CAST(fp AS DOUBLE) FROM met2 UNION ALL
+  SELECT 'tn', CAST(tn AS DOUBLE) FROM met2 UNION ALL SELECT 'fn', CAST(fn AS DOUBLE) FROM met2 UNION ALL
+  SELECT 'overfit', CASE WHEN overfit THEN 1.0 ELSE 0.0 END FROM met2 UNION ALL
+  SELECT 'roc_auc', roc_auc FROM auc)""")

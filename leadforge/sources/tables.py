@@ -19,7 +19,7 @@ def _lpad3(c: Column) -> Column:
     return F.lpad(c, 3, "0")
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def messages(spark: SparkSession, sf_dir: str, with_copies: bool = True) -> DataFrame:
     """Mail batch planted over ``documents`` (+ ``labels``).
 
     Schema: seq, message_id, imap_uid, folder, from_header, subject, body,
@@ -95,10 +95,21 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("date_header"),
         F.col("label").cast("int").alias("label"),
     )
+    if not with_copies:
+        return m
     copies = m.filter(F.col("seq") % 10 == 0).withColumn("seq", F.col("seq") + F.lit(1000000))
     return m.unionByName(copies)
 
 
+def labelled_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training records (id, label, subject, body, text): each labelled message once."""
+    from ..operators.text import combine_text
+
+    m = messages(spark, sf_dir, with_copies=False).filter(F.col("label").isNotNull())
+    return m.select(F.col("seq").alias("id"), "label", "subject", "body",
+                    combine_text("subject", "body").alias("text"))
+
+
 def headers_map(df: DataFrame) -> Column:
     """Header map as the mail loader returns it: absent or empty headers are null."""
     return F.create_map(
