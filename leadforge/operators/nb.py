@@ -197,7 +197,8 @@ def train_nb(train: DataFrame, text_col: str = "text", label_col: str = "label",
 # M7-M8: scoring
 # ---------------------------------------------------------------------------
 
-def nb_score(df: DataFrame, model: NBModel, id_col: str, text_col: str, out: str = "nb_score") -> DataFrame:
+def nb_score(df: DataFrame, model: NBModel, id_col: str, text_col: str, out: str = "nb_score",
+             carry: list[str] = ()) -> DataFrame:
     """M7: (id, score) — two-class naive-Bayes probability with smoothing and feature shifts.
 
     log P(c|d) = ln prior_c + sum_t n_t ln((c_t+1)/(N_c+V)) + 0.5 sum_b n_b ln((c_b+1)/(N_c+V)) + shift_c
@@ -211,13 +212,15 @@ def nb_score(df: DataFrame, model: NBModel, id_col: str, text_col: str, out: str
     base_pos = math.log(model.prior_pos or 1e-9)
     base_neg = math.log(model.prior_neg or 1e-9)
 
-    d = with_terms(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", model.use_ngrams)
+    carry = list(carry)
+    d = with_terms(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *carry), "_text",
+                   model.use_ngrams)
     shift = F.lit(0.0)
     if model.use_features and model.weights:
         feats = text_features("_text")
         shift = sum((feats[n] * F.lit(float(model.weights.get(n, 0.0))) for n in L.FEATURE_NAMES), F.lit(0.0))
     doc = d.select(
-        "_id",
+        "_id", *carry,
         F.size("_tok").alias("_n_uni"),
         F.size("_big").alias("_n_big"),
         shift.alias("_shift"),
@@ -227,8 +230,8 @@ def nb_score(df: DataFrame, model: NBModel, id_col: str, text_col: str, out: str
         ).alias("_terms"),
     )
     # per-message values ride along the exploded rows; explode_outer keeps token-less messages
-    exploded = doc.select("_id", "_n_uni", "_n_big", "_shift", F.explode_outer("_terms").alias("t")).select(
-        "_id", "_n_uni", "_n_big", "_shift", F.col("t.kind").alias("kind"), F.col("t.term").alias("term"))
+    exploded = doc.select("_id", *carry, "_n_uni", "_n_big", "_shift", F.explode_outer("_terms").alias("t")).select(
+        "_id", *carry, "_n_uni", "_n_big", "_shift", F.col("t.kind").alias("kind"), F.col("t.term").alias("term"))
     model_terms = model.terms.select(
         "kind", "term",
         F.log(F.col("n_pos") + 1.0).alias("lp"),
@@ -237,12 +240,13 @@ def nb_score(df: DataFrame, model: NBModel, id_col: str, text_col: str, out: str
     weight = F.when(F.col("kind") == BIGRAM, 0.5).otherwise(1.0)
     s = exploded.join(model_terms, ["kind", "term"], "left").groupBy("_id").agg(
         F.max("_n_uni").alias("_n_uni"), F.max("_n_big").alias("_n_big"), F.max("_shift").alias("_shift"),
+        *[F.max(c).alias(c) for c in carry],
         F.sum(weight * F.col("lp")).alias("_kp"), F.sum(weight * F.col("ln")).alias("_kn"))
     n_terms = F.col("_n_uni") + 0.5 * F.col("_n_big")
     log_pos = F.lit(base_pos) + F.coalesce("_kp", F.lit(0.0)) - n_terms * den_pos + F.col("_shift")
     log_neg = F.lit(base_neg) + F.coalesce("_kn", F.lit(0.0)) - n_terms * den_neg - 0.5 * F.col("_shift")
     prob = F.when(F.col("_n_uni") == 0, F.lit(0.0)).otherwise(1.0 / (1.0 + F.exp(log_neg - log_pos)))
-    return s.select(F.col("_id").alias(id_col), prob.alias(out))
+    return s.select(F.col("_id").alias(id_col), *carry, prob.alias(out))
 
 
 def nb_decision(score, model: NBModel | None = None, threshold: float = L.ML_THRESHOLD) -> Column:

@@ -523,3 +523,22 @@ met AS (SELECT tp, fp, tn, fn,
           CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0.0 END AS recall FROM conf),
 met2 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1,
                 accuracy > 0.95 AS overfit FROM met)"""
+
+
+# ---------------------------------------------------------------------------
+# ensemble
+# ---------------------------------------------------------------------------
+
+def ens_ctes() -> list[str]:
+    return [LABELLED_CTE, MSG_TEXT_CTE, nb_ctes("lm", "mt"),
+            f"er AS (SELECT s.id AS seq, s.score AS ml, {rule_score()} AS rule FROM nb_sc s JOIN messages m ON s.id = m.seq)",
+            """ee AS (SELECT seq, ml, rule, least(rule / 2.0, 1.0) AS rn,
+  CASE WHEN ml >= 0.9 OR ml <= 0.3 THEN ml ELSE 0.7 * ml + (1 - 0.7) * least(rule / 2.0, 1.0) END AS score,
+  CASE WHEN ml >= 0.9 OR ml <= 0.3 THEN 'high' WHEN abs(ml - least(rule / 2.0, 1.0)) < 0.2 THEN 'high'
+       WHEN abs(ml - least(rule / 2.0, 1.0)) < 0.4 THEN 'medium' ELSE 'low' END AS confidence,
+  CASE WHEN ml >= 0.9 THEN 'ml_high_confidence' WHEN ml <= 0.3 THEN 'ml_low_confidence' ELSE 'weighted_ensemble' END AS method,
+  CASE WHEN ml >= 0.9 OR ml <= 0.3 THEN NULL ELSE least(rule / 2.0, 1.0) END AS rule_normalized,
+  CASE WHEN ml >= 0.9 OR ml <= 0.3 THEN NULL ELSE abs(ml - least(rule / 2.0, 1.0)) END AS agreement
+  FROM er)""",
+            """ed AS (SELECT *, CASE WHEN confidence = 'high' THEN 0.5 WHEN confidence = 'medium' THEN 0.5 + 0.1
+                      ELSE 0.5 + 0.15 END AS applied FROM ee)"""]

@@ -383,3 +383,69 @@ def q_pr_curve(spark, sf_dir):
 def q_evaluate_model(spark, sf_dir):
     e = ev.evaluate(split_scored(spark, sf_dir))
     return e.select("metric", _r6(F.col("value")).alias("value"))
+
+
+# ---------------------------------------------------------------------------
+# Ensemble and runner strategies
+# ---------------------------------------------------------------------------
+
+from ..operators import ensemble as ens  # noqa: E402
+
+
+def ml_and_rule_scores(spark, sf_dir) -> DataFrame:
+    """(seq, rule_score, ml_score) for every message; the rule score rides through the NB aggregate."""
+    model = _model_on_all(spark, sf_dir)
+    m = messages(spark, sf_dir)
+    base = rules.with_rule_score(m.select("seq", headers_map(m).alias("h"), "subject", "body"), "h", "body")
+    base = base.select("seq", "rule_score", text.combine_text("subject", "body").alias("text"))
+    return nb.nb_score(base, model, "seq", "text", out="ml_score", carry=["rule_score"])
+
+
+@register("ensemble_score")
+def q_ensemble_score(spark, sf_dir):
+    s = ml_and_rule_scores(spark, sf_dir).select("seq", ens.ensemble_score("ml_score", "rule_score").alias("e"))
+    return s.select("seq", _r6(F.col("e.score")).alias("score"), F.col("e.confidence").alias("confidence"),
+                    F.col("e.method").alias("method"))
+
+
+@register("ensemble_rule_only")
+def q_ensemble_rule_only(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    base = rules.with_rule_score(m.select("seq", headers_map(m).alias("h"), "body"), "h", "body")
+    e = base.select("seq", ens.ensemble_score(F.lit(None).cast("double"), "rule_score", ml_available=False).alias("e"))
+    return e.select("seq", _r6(F.col("e.score")).alias("score"), F.col("e.confidence").alias("confidence"),
+                    F.col("e.method").alias("method"))
+
+
+@register("ensemble_decision")
+def q_ensemble_decision(spark, sf_dir):
+    s = ml_and_rule_scores(spark, sf_dir).select("seq", ens.ensemble_score("ml_score", "rule_score").alias("e"))
+    return s.select("seq", ens.ensemble_decision("e").alias("is_lead"),
+                    _r6(ens.ensemble_threshold(F.col("e.confidence"))).alias("applied_threshold"))
+
+
+@register("ensemble_explain")
+def q_ensemble_explain(spark, sf_dir):
+    s = ml_and_rule_scores(spark, sf_dir).select(
+        "seq", ens.ensemble_explain(ens.ensemble_score("ml_score", "rule_score")).alias("x"))
+    return s.select(
+        "seq", F.col("x.is_lead").alias("is_lead"), _r6(F.col("x.score")).alias("score"),
+        F.col("x.confidence").alias("confidence"), F.col("x.explanation.method").alias("method"),
+        _r6(F.col("x.explanation.ml_score")).alias("ml_score"),
+        F.col("x.explanation.ml_confidence").alias("ml_confidence"),
+        _r6(F.col("x.explanation.rule_score")).alias("rule_score"),
+        _r6(F.col("x.explanation.rule_normalized")).alias("rule_normalized"),
+        _r6(F.col("x.explanation.agreement")).alias("agreement"),
+        F.col("x.threshold").alias("threshold"), _r6(F.col("x.applied_threshold")).alias("applied_threshold"),
+    )
+
+
+@register("runner_strategy")
+def q_runner_strategy(spark, sf_dir):
+    s = ml_and_rule_scores(spark, sf_dir)
+    cols = []
+    for strat in ("rule_based", "ml", "hybrid"):
+        r = ens.runner_strategy("ml_score", "rule_score", strat)
+        cols += [r["is_lead"].alias(f"{strat}_lead"), _r6(r["score"]).alias(f"{strat}_score"),
+                 r["confidence"].alias(f"{strat}_confidence")]
+    return s.select("seq", *cols)

@@ -166,3 +166,27 @@ SELECT metric, round(value, 6) AS value FROM (
   SELECT 'tn', CAST(tn AS DOUBLE) FROM met2 UNION ALL SELECT 'fn', CAST(fn AS DOUBLE) FROM met2 UNION ALL
   SELECT 'overfit', CASE WHEN overfit THEN 1.0 ELSE 0.0 END FROM met2 UNION ALL
   SELECT 'roc_auc', roc_auc FROM auc)""")
+
+# ---------------------------------------------------------------------------
+# ensemble
+# ---------------------------------------------------------------------------
+
+_E = O.ens_ctes()
+sql("ensemble_score", O.with_messages(*_E) + "SELECT seq, round(score, 6) AS score, confidence, method FROM ee")
+sql("ensemble_rule_only", O.with_messages() + f"""
+SELECT seq, round(least(r / 2.0, 1.0), 6) AS score, CASE WHEN least(r / 2.0, 1.0) > 0.5 THEN 'medium' ELSE 'low' END AS confidence,
+       'rule_based' AS method FROM (SELECT seq, {O.rule_score()} AS r FROM messages)""")
+sql("ensemble_decision", O.with_messages(*_E) + """
+SELECT seq, score >= applied AS is_lead, round(applied, 6) AS applied_threshold FROM ed""")
+sql("ensemble_explain", O.with_messages(*_E) + f"""
+SELECT seq, score >= applied AS is_lead, round(score, 6) AS score, confidence, method, round(ml, 6) AS ml_score,
+       {O.confidence_band('ml')} AS ml_confidence, round(rule, 6) AS rule_score, round(rule_normalized, 6) AS rule_normalized,
+       round(agreement, 6) AS agreement, 0.5 AS threshold, round(applied, 6) AS applied_threshold FROM ed""")
+sql("runner_strategy", O.with_messages(*_E) + f"""
+SELECT seq,
+  rule >= 2.0 AS rule_based_lead, round(rule, 6) AS rule_based_score, 'rule_based' AS rule_based_confidence,
+  ml >= 0.5 AS ml_lead, round(ml, 6) AS ml_score, {O.confidence_band('ml')} AS ml_confidence,
+  (ml >= 0.5 OR rule >= 2.0) AS hybrid_lead,
+  round(CASE WHEN ml < 0.5 AND rule >= 2.0 THEN rule ELSE ml END, 6) AS hybrid_score,
+  CASE WHEN ml < 0.5 AND rule >= 2.0 THEN 'rule_fallback' ELSE {O.confidence_band('ml')} END AS hybrid_confidence
+FROM ee""")
