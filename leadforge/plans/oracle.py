@@ -542,3 +542,93 @@ def ens_ctes() -> list[str]:
   FROM er)""",
             """ed AS (SELECT *, CASE WHEN confidence = 'high' THEN 0.5 WHEN confidence = 'medium' THEN 0.5 + 0.1
                       ELSE 0.5 + 0.15 END AS applied FROM ee)"""]
+
+
+def parse_ctes() -> list[str]:
+    """CTEs ending in ``pcf(seq, first_name, last_name, email, phone, org)`` over ``messages``."""
+    hn = name_parts(f"CASE WHEN {header_email()} IS NOT NULL THEN {display_name('from_header')} END")
+    return [company_phrase_cte(), phone_ctes(), f"""
+pcx AS (
+  SELECT m.seq, {hn} AS hp, {name_parts('cp.name')} AS pp,
+         coalesce({header_email()}, {body_email('m.body')}) AS email,
+         bp.phone AS phone, coalesce(cp.company, {org_from_lines('m.body')}) AS org
+  FROM messages m JOIN cp ON m.seq = cp.seq JOIN bp ON m.seq = bp.seq)""", f"""
+pcf AS (
+  SELECT seq,
+    coalesce({first_name_of('hp')}, {first_name_of('pp')}) AS first_name,
+    CASE WHEN len(hp) >= 1 THEN {last_name_of('hp')} ELSE {last_name_of('pp')} END AS last_name,
+    email, phone, org
+  FROM pcx)"""]
+
+
+def pipeline_ctes(run1_before: str, run1_ts: str, run2_ts: str, domains) -> list[str]:
+    """Two ingestion runs stated in SQL; exposes pmf, led1, r2s, kept2, o2, c1, c2, leads1, leads2."""
+    allowed, reason = sender_check("from_header", domains)
+    first_nonempty = lambda f: f"arg_min({f}, seq) FILTER (WHERE {f} IS NOT NULL AND {f} <> '')"
+    agg_cols = ", ".join([
+        "min(seq) AS first_seq",
+        *[f"{first_nonempty(f)} AS {f}" for f in ("first_name", "last_name", "phone", "org")],
+        "arg_max(subject_h, seq) FILTER (WHERE subject_h IS NOT NULL AND subject_h <> '') AS last_subject",
+        "arg_max(received_at, seq) FILTER (WHERE received_at IS NOT NULL) AS last_received",
+        "arg_max(excerpt, seq) AS last_excerpt",
+    ])
+
+    def dedup(src: str, name: str) -> str:
+        return f"""{name}_a AS (SELECT seq, mid, uid FROM (SELECT *, min(seq) OVER (PARTITION BY mid) AS f FROM {src})
+                 WHERE mid IS NULL OR seq = f),
+{name} AS (SELECT seq, mid, uid FROM (SELECT *, min(seq) OVER (PARTITION BY uid) AS f FROM {name}_a)
+           WHERE uid IS NULL OR seq = f)"""
+
+    def outcome(kept: str) -> str:
+        return (f"CASE WHEN seq NOT IN (SELECT seq FROM {kept}) THEN 'duplicate' WHEN NOT allowed THEN 'not_allowed' "
+                f"WHEN NOT is_lead THEN 'not_lead' WHEN email IS NULL THEN 'missing_email' ELSE 'processed' END")
+
+    return parse_ctes() + [f"""
+pmf AS (
+  SELECT m.seq, m.folder, nullif({strip('m.message_id')}, '') AS mid, m.imap_uid AS uid, m.received_date,
+         m.from_header, {sender_domain('m.from_header')} AS from_domain,
+         {allowed.replace('from_header', 'm.from_header')} AS allowed,
+         {reason.replace('from_header', 'm.from_header')} AS allow_reason,
+         {rule_score(subject='m.subject', body='m.body', others=other_headers('m.message_id', 'm.from_header', 'm.date_header'))} AS rule,
+         p.email, p.first_name, p.last_name, p.phone, p.org, nullif(m.subject, '') AS subject_h,
+         {received_at_str('m.date_header')} AS received_at,
+         strftime(timezone('UTC', try_strptime({strip(f"regexp_replace(m.date_header, '^\\s*[A-Za-z]{{3}},\\s*', '')")}, '%d %b %Y %H:%M:%S %z')), '%Y-%m-%dT%H:%M:%S') AS received_iso,
+         {excerpt('m.body')} AS excerpt
+  FROM messages m JOIN pcf p ON m.seq = p.seq)""", """
+pm AS (SELECT *, rule >= 2.0 AS is_lead FROM pmf)""",
+        f"r1m AS (SELECT seq, mid, uid FROM pm WHERE received_date < DATE '{run1_before}')",
+        dedup("r1m", "kept1"), f"""
+o1 AS (SELECT pm.*, {outcome('kept1')} AS outcome FROM pm WHERE received_date < DATE '{run1_before}')""", """
+led1 AS (SELECT coalesce(mid, 'uid:' || uid, CASE WHEN outcome = 'processed' THEN sha256(email) END) AS message_id,
+                uid AS imap_uid FROM o1 WHERE outcome <> 'duplicate')""", """
+r2s AS (SELECT seq, mid, uid FROM pm
+        WHERE NOT coalesce(mid IN (SELECT message_id FROM led1), false)
+          AND NOT coalesce(uid IN (SELECT imap_uid FROM led1 WHERE imap_uid IS NOT NULL), false))""",
+        dedup("r2s", "kept2"), f"""
+o2a AS (SELECT pm.*, {outcome('kept2')} AS outcome FROM pm)""", f"""
+a1 AS (SELECT email, {agg_cols} FROM o1 WHERE outcome = 'processed' GROUP BY email)""", f"""
+c1 AS (SELECT sha256(email) AS id, email, first_name, last_name, phone, org, 'email' AS source, false AS consent,
+              '{run1_ts}' AS created_at, last_subject AS last_message_subject, last_received AS last_message_received_at,
+              last_excerpt AS last_message_excerpt FROM a1)""", """
+leads1 AS (SELECT o1.* FROM o1 JOIN a1 ON o1.email = a1.email AND o1.seq = a1.first_seq WHERE o1.outcome = 'processed')""", f"""
+a2 AS (SELECT email, {agg_cols} FROM o2a WHERE outcome = 'processed' GROUP BY email)""", f"""
+c2 AS (
+  SELECT coalesce(c.id, sha256(coalesce(c.email, a.email))) AS id, coalesce(c.email, a.email) AS email,
+    CASE WHEN c.first_name <> '' THEN c.first_name ELSE a.first_name END AS first_name,
+    CASE WHEN c.last_name <> '' THEN c.last_name ELSE a.last_name END AS last_name,
+    CASE WHEN c.phone <> '' THEN c.phone ELSE a.phone END AS phone,
+    CASE WHEN c.org <> '' THEN c.org ELSE a.org END AS org,
+    coalesce(c.source, 'email') AS source, coalesce(c.consent, false) AS consent,
+    coalesce(c.created_at, '{run2_ts}') AS created_at,
+    coalesce(a.last_subject, c.last_message_subject) AS last_message_subject,
+    coalesce(a.last_received, c.last_message_received_at) AS last_message_received_at,
+    CASE WHEN a.email IS NOT NULL THEN a.last_excerpt ELSE c.last_message_excerpt END AS last_message_excerpt
+  FROM c1 c FULL OUTER JOIN a2 a ON c.email = a.email)""", """
+o2 AS (SELECT o2a.*, (o2a.outcome = 'processed' AND a2.email IS NOT NULL AND o2a.email NOT IN (SELECT email FROM c1)) AS created
+       FROM o2a LEFT JOIN a2 ON o2a.email = a2.email AND o2a.seq = a2.first_seq)""", """
+leads2 AS (SELECT * FROM o2 WHERE created)"""]
+
+
+def iso(ts: str) -> str:
+    """'YYYY-MM-DD HH:MM:SS' text to 'YYYY-MM-DDTHH:MM:SS'."""
+    return f"replace({ts}, ' ', 'T')"

@@ -85,18 +85,7 @@ SELECT seq, {O.clean_company(O.org_from_lines('body'))} AS clean_org,
 
 sql("org_from_line", O.with_messages() + f"SELECT seq, {O.org_from_lines('body')} AS org FROM messages")
 
-_hn = O.name_parts(f"CASE WHEN {O.header_email()} IS NOT NULL THEN {O.display_name('from_header')} END")
-sql("parse_contact", O.with_messages(O.company_phrase_cte(), O.phone_ctes(), f"""
-pcx AS (
-  SELECT m.seq, {_hn} AS hp, {O.name_parts('cp.name')} AS pp,
-         coalesce({O.header_email()}, {O.body_email('m.body')}) AS email,
-         bp.phone AS phone, coalesce(cp.company, {O.org_from_lines('m.body')}) AS org
-  FROM messages m JOIN cp ON m.seq = cp.seq JOIN bp ON m.seq = bp.seq)""") + f"""
-SELECT seq,
-  coalesce({O.first_name_of('hp')}, {O.first_name_of('pp')}) AS first_name,
-  CASE WHEN len(hp) >= 1 THEN {O.last_name_of('hp')} ELSE {O.last_name_of('pp')} END AS last_name,
-  email, phone, org
-FROM pcx""")
+sql("parse_contact", O.with_messages(*O.parse_ctes()) + "SELECT seq, first_name, last_name, email, phone, org FROM pcf")
 
 # ---------------------------------------------------------------------------
 # classifier
@@ -190,3 +179,82 @@ SELECT seq,
   round(CASE WHEN ml < 0.5 AND rule >= 2.0 THEN rule ELSE ml END, 6) AS hybrid_score,
   CASE WHEN ml < 0.5 AND rule >= 2.0 THEN 'rule_fallback' ELSE {O.confidence_band('ml')} END AS hybrid_confidence
 FROM ee""")
+
+# ---------------------------------------------------------------------------
+# ingestion runs
+# ---------------------------------------------------------------------------
+
+from .queries import (  # noqa: E402
+    LEAD_HEADERS, PAGE_LIMIT, PAGE_OFFSET, PIPELINE_DOMAINS, RUN1_BEFORE, RUN1_TS, RUN2_TS)
+
+_P = O.pipeline_ctes(RUN1_BEFORE, RUN1_TS, RUN2_TS, PIPELINE_DOMAINS)
+_W = O.with_messages(*_P)
+
+sql("unseen_messages", _W + "SELECT seq FROM r2s")
+sql("batch_dedup", O.with_messages(
+    "k AS (SELECT seq, nullif(" + O.strip("message_id") + ", '') AS mid, imap_uid AS uid FROM messages)",
+    """ka AS (SELECT seq, mid, uid FROM (SELECT *, min(seq) OVER (PARTITION BY mid) AS f FROM k) WHERE mid IS NULL OR seq = f)""",
+    """kb AS (SELECT seq FROM (SELECT *, min(seq) OVER (PARTITION BY uid) AS f FROM ka) WHERE uid IS NULL OR seq = f)""")
+    + "SELECT seq, seq NOT IN (SELECT seq FROM kb) AS duplicate FROM k")
+sql("route_outcome", _W + """
+SELECT seq, outcome, CASE WHEN outcome = 'processed' THEN 'processed' ELSE 'skipped' END AS status,
+  CASE WHEN outcome = 'duplicate' THEN 'duplicate' WHEN outcome = 'not_allowed' THEN allow_reason
+       WHEN outcome = 'not_lead' THEN printf('Missing lead keywords (score=%.2f, conf=%s)', rule, 'rule_based')
+       WHEN outcome = 'missing_email' THEN 'missing_email' END AS reason,
+  CASE WHEN outcome <> 'duplicate' AND allowed THEN round(rule, 6) END AS lead_score,
+  CASE WHEN outcome <> 'duplicate' AND allowed THEN 'rule_based' END AS confidence
+FROM o2""")
+_CC = ("id, email, first_name, last_name, phone, org, source, consent, created_at, last_message_subject, "
+       "last_message_received_at, last_message_excerpt")
+sql("contact_upsert", _W + f"SELECT {_CC} FROM c2")
+sql("created_flag", _W + "SELECT seq, email, created FROM o2 WHERE outcome = 'processed'")
+sql("ledger_rows", _W + """
+SELECT seq, coalesce(mid, 'uid:' || uid, CASE WHEN outcome = 'processed' THEN sha256(email) END) AS message_id, uid AS imap_uid
+FROM o2 WHERE outcome <> 'duplicate'""")
+sql("contact_events", _W + f"""
+SELECT seq, sha256(email) AS contact_id, 'email_inbound' AS event_type, '{RUN2_TS}' AS occurred_at,
+       mid AS header_message_id, from_header AS header_from, email AS extracted_email, phone AS extracted_phone,
+       org AS extracted_org, received_iso AS received_at, excerpt AS body_excerpt
+FROM o2 WHERE outcome = 'processed'""")
+_LEADS = (f"seq, '{{ts}}' AS inserted_at, email, first_name, last_name, org AS company, phone, subject_h AS subject, "
+          f"received_at, excerpt AS notes")
+sql("new_leads", _W + "SELECT " + _LEADS.format(ts=RUN2_TS) + " FROM leads2")
+_hdrs = [h.strip() for h in LEAD_HEADERS if h.strip()]
+_lead_cols = {"email": "email", "company": "org", "phone": "phone", "notes": "excerpt"}
+sql("lead_projection", _W + "SELECT seq, " + ", ".join(
+    _lead_cols.get(h.lower(), "CAST(NULL AS VARCHAR)") + ' AS "' + h + '"' for h in _hdrs) + " FROM leads2")
+sql("contacts_export", _W + f"""
+SELECT id, email, first_name, last_name, phone, org, source, consent, {O.iso('created_at')} AS created_at,
+       last_message_subject, {O.iso('last_message_received_at')} AS last_message_received_at, last_message_excerpt FROM c2""")
+sql("contacts_page", _W + f"SELECT {_CC} FROM c2 ORDER BY created_at, id LIMIT {PAGE_LIMIT} OFFSET {PAGE_OFFSET}")
+sql("run_stats", _W + """
+SELECT count(*) AS total, count(*) FILTER (WHERE outcome IN ('processed', 'missing_email')) AS processed,
+       count(*) FILTER (WHERE created) AS new_leads, count(*) FILTER (WHERE outcome <> 'processed') AS skipped FROM o2""")
+sql("metrics_snapshot", _W + f"""
+, cr AS (
+  SELECT 'emails_processed' AS metric, {O.sanitize_folder('folder')} AS folder, {O.sanitize_domain('from_domain')} AS domain
+  FROM o2 WHERE outcome IN ('processed', 'missing_email')
+  UNION ALL
+  SELECT 'leads_created', {O.sanitize_folder('folder')}, {O.sanitize_domain('from_domain')} FROM o2 WHERE created)
+SELECT metric, domain, count(*) AS value FROM cr GROUP BY metric, domain
+UNION ALL SELECT metric, '__total__', count(*) FROM cr GROUP BY metric""".replace("\\n, cr AS", ", cr AS", 1))
+_SHEET = ("sheet AS (SELECT seq AS sheet_order, email, org AS company FROM leads1 "
+          "UNION ALL SELECT seq + 1000000000000000, email, org FROM leads2)")
+sql("lead_summary", O.with_messages(*_P, _SHEET) + """
+SELECT count(*) AS total_leads, count(DISTINCT CASE WHEN lower(trim(company)) <> '' THEN lower(trim(company)) END) AS unique_companies
+FROM sheet""")
+sql("top_domains", O.with_messages(*_P, _SHEET) + f"""
+SELECT domain, count(*) AS leads, min(sheet_order) AS first_seen FROM (
+  SELECT sheet_order, CASE WHEN contains(lower({O.strip('email')}), '@') THEN
+    regexp_extract(lower({O.strip('email')}), '([^@]*)$', 1) END AS domain FROM sheet)
+WHERE domain IS NOT NULL GROUP BY domain ORDER BY leads DESC, first_seen ASC LIMIT 10""")
+sql("discovered_gauge", O.with_messages() + f"""
+SELECT {O.sanitize_folder('folder')} AS folder, count(*) AS discovered FROM messages GROUP BY 1""")
+sql("run_progress", _W + """
+SELECT seq,
+  sum(CASE WHEN outcome IN ('processed', 'missing_email') THEN 1 ELSE 0 END) OVER w AS processed,
+  sum(CASE WHEN outcome <> 'processed' THEN 1 ELSE 0 END) OVER w AS skipped,
+  sum(CASE WHEN created THEN 1 ELSE 0 END) OVER w AS leads,
+  outcome IN ('processed', 'missing_email') AS legacy_emit
+FROM o2 WINDOW w AS (ORDER BY seq ROWS UNBOUNDED PRECEDING)""")
+sql("outcome_counts", _W + "SELECT outcome, count(*) AS n FROM o2 GROUP BY outcome")
