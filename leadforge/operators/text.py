@@ -109,6 +109,15 @@ def received_at(date_header) -> Column:
     return parsed
 
 
+def received_at_iso_local(date_header) -> Column:
+    """``Date`` as ISO-8601 in the sender's own offset (``2024-01-01T09:30:00+01:00``), else null."""
+    d = strip_ws(F.regexp_replace(_c(date_header), r"^\s*[A-Za-z]{3},\s*", ""))
+    local = F.try_to_timestamp(F.regexp_extract(d, r"^(.*) [+-][0-9]{4}$", 1), F.lit("d MMM yyyy HH:mm:ss"))
+    zone = F.regexp_extract(d, r" ([+-][0-9]{4})$", 1)
+    return F.when(local.isNotNull() & (zone != "") & received_at(date_header).isNotNull(), F.concat(
+        F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2)))
+
+
 def combine_text(subject, body) -> Column:
     """P5: subject and body, each trimmed, joined by a newline when both are non-empty."""
     parts = F.struct(F.coalesce(strip_ws(_c(subject)), F.lit("")).alias("s"),

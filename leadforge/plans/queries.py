@@ -641,3 +641,66 @@ def q_run_progress(spark, sf_dir):
 def q_outcome_counts(spark, sf_dir):
     _, _, r2 = two_runs(spark, sf_dir)
     return mx.outcome_counts(r2.outcomes)
+
+
+# ---------------------------------------------------------------------------
+# Sources: raw mail, labelled lines, saved models; timestamp coercion; notices
+# ---------------------------------------------------------------------------
+
+from ..operators import notify  # noqa: E402
+from ..sources import mail, model_store  # noqa: E402
+
+
+@register("eml_load")
+def q_eml_load(spark, sf_dir):
+    raw = mail.render_raw(messages(spark, sf_dir))
+    p = mail.parse_raw(raw, "path", "content")
+    return p.select("path", "message_id", "from_header", "subject",
+                    _ts(text.received_at("date_header")).alias("received_at"), "body")
+
+
+def labelled_lines(spark, sf_dir) -> DataFrame:
+    """JSON lines of the labelled messages with planted blank, truncated and label-less lines."""
+    lab = messages(spark, sf_dir, with_copies=False).filter(F.col("label").isNotNull())
+    full = F.to_json(F.struct("label", "subject", "body"))
+    line = (F.when(F.col("seq") % 83 == 0, F.lit(""))
+            .when(F.col("seq") % 97 == 0, F.expr("substring(to_json(struct(label, subject, body)), 1, "
+                                                 "cast(length(to_json(struct(label, subject, body))) / 2 as int))"))
+            .when(F.col("seq") % 89 == 0, F.to_json(F.struct("subject", "body")))
+            .otherwise(full))
+    return lab.select("seq", line.alias("value"))
+
+
+@register("label_check")
+def q_label_check(spark, sf_dir):
+    return mail.label_check(labelled_lines(spark, sf_dir))
+
+
+@register("nb_model_terms")
+def q_nb_model_terms(spark, sf_dir):
+    from ..session import scratch_path
+    model = nb.train_nb(labelled_messages(spark, sf_dir))
+    path = scratch_path(spark, "model")
+    model_store.save_model(spark, model, path, threshold=LX.ML_THRESHOLD)
+    return model_store.load_model(spark, path).terms.select("kind", "term", "n_pos", "n_neg")
+
+
+@register("coerce_ts")
+def q_coerce_ts(spark, sf_dir):
+    ev_ = read_table(spark, sf_dir, "events")
+    raw = (F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("garbage-"), F.col("event_id").cast("string")))
+           .when(F.col("event_id") % 3 == 0, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))
+           .otherwise(F.col("ts").cast("string")))
+    x = ev_.select("event_id", raw.alias("raw"))
+    c = text.coerce_timestamp("raw")
+    return x.select("event_id", F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.col("raw")).alias("value"),
+                    c.isNotNull().alias("parsed"))
+
+
+@register("lead_outbox")
+def q_lead_outbox(spark, sf_dir):
+    _, _, r2 = two_runs(spark, sf_dir)
+    leads = r2.new_leads.join(r2.events.select("seq", F.col("payload.headers")["Date"].alias("date_header")), "seq")
+    n = notify.new_lead_notice("subject", "first_name", "last_name", "email", "company", "phone",
+                               text.received_at_iso_local("date_header"), "notes")
+    return leads.select("seq", n["subject"].alias("subject"), n["body"].alias("body"))

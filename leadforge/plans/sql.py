@@ -258,3 +258,61 @@ SELECT seq,
   outcome IN ('processed', 'missing_email') AS legacy_emit
 FROM o2 WINDOW w AS (ORDER BY seq ROWS UNBOUNDED PRECEDING)""")
 sql("outcome_counts", _W + "SELECT outcome, count(*) AS n FROM o2 GROUP BY outcome")
+
+# ---------------------------------------------------------------------------
+# sources, coercion, notices
+# ---------------------------------------------------------------------------
+
+_SPECIALS = r'[()<>@,:;.\\"\[\]]'
+sql("eml_load", O.with_messages() + f"""
+SELECT CAST(seq AS VARCHAR) AS path, nullif(message_id, '') AS message_id,
+  CASE WHEN from_header = '' THEN NULL
+       WHEN regexp_matches(from_header, '^([^<]*[^ <]) <([^<>]*)>$')
+            AND regexp_matches(regexp_extract(from_header, '^([^<]*[^ <]) <', 1), {O.q(_SPECIALS)})
+       THEN '"' || regexp_extract(from_header, '^([^<]*[^ <]) <', 1) || '" <' || regexp_extract(from_header, '<([^<>]*)>$', 1) || '>'
+       ELSE from_header END AS from_header,
+  nullif(subject, '') AS subject, {O.received_at_str('date_header')} AS received_at, {O.strip('body')} AS body
+FROM messages""")
+
+_LINES = """ll AS (
+  SELECT seq, CASE WHEN seq % 83 = 0 THEN ''
+    WHEN seq % 97 = 0 THEN substr(to_json({'label': label, 'subject': subject, 'body': body}), 1,
+                                  CAST(length(to_json({'label': label, 'subject': subject, 'body': body})) / 2 AS INT))
+    WHEN seq % 89 = 0 THEN to_json({'subject': subject, 'body': body})
+    ELSE to_json({'label': label, 'subject': subject, 'body': body}) END AS value
+  FROM m WHERE label IS NOT NULL)"""
+sql("label_check", O.with_messages(_LINES, """lk AS (
+  SELECT value, trim(value) = '' AS blank, CASE WHEN trim(value) <> '' THEN json_valid(value) ELSE false END AS ok,
+         CASE WHEN trim(value) <> '' AND json_valid(value) THEN json_extract(value, '$.label') END AS lbl FROM ll)""") + """
+SELECT count(*) AS lines, count(*) FILTER (WHERE blank) AS blank,
+  count(*) FILTER (WHERE NOT blank AND NOT ok) AS invalid,
+  count(*) FILTER (WHERE ok AND lbl IS NULL) AS missing_label,
+  count(*) FILTER (WHERE ok AND lbl IS NOT NULL) AS records,
+  count(*) FILTER (WHERE ok AND CAST(lbl AS INT) = 1) AS positives
+FROM lk""")
+
+sql("nb_model_terms", SQL["class_term_counts"])
+
+sql("coerce_ts", """
+WITH x AS (
+  SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'garbage-' || CAST(event_id AS VARCHAR)
+    WHEN event_id % 3 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00'
+    ELSE CAST(ts AS VARCHAR) END AS raw FROM events),
+y AS (SELECT event_id, raw, CASE WHEN regexp_matches(raw, '[+-][0-9]{2}:[0-9]{2}$') THEN timezone('UTC', try_cast(raw AS TIMESTAMPTZ))
+                                 ELSE try_cast(raw AS TIMESTAMP) END AS c FROM x)
+SELECT event_id, coalesce(strftime(c, '%Y-%m-%d %H:%M:%S.%f'), raw) AS value, c IS NOT NULL AS parsed FROM y""")
+
+_iso_local = (
+    "CASE WHEN try_strptime(regexp_extract(d, '^(.*) [+-][0-9]{4}$', 1), '%d %b %Y %H:%M:%S') IS NOT NULL "
+    "AND regexp_matches(d, ' [+-][0-9]{4}$') AND try_strptime(d, '%d %b %Y %H:%M:%S %z') IS NOT NULL "
+    "THEN strftime(try_strptime(regexp_extract(d, '^(.*) [+-][0-9]{4}$', 1), '%d %b %Y %H:%M:%S'), '%Y-%m-%dT%H:%M:%S') "
+    "|| substr(regexp_extract(d, ' ([+-][0-9]{4})$', 1), 1, 3) || ':' || substr(regexp_extract(d, ' ([+-][0-9]{4})$', 1), 4, 2) END")
+sql("lead_outbox", _W.rstrip() + f""",
+lo AS (SELECT l.*, {O.strip("regexp_replace(m.date_header, '^\\s*[A-Za-z]{3},\\s*', '')")} AS d
+       FROM leads2 l JOIN messages m ON l.seq = m.seq)
+SELECT seq, coalesce(nullif(subject_h, ''), 'Nuovo lead ricevuto') AS subject,
+  'Nuovo lead inserito automaticamente:' || chr(10) || 'Nome: ' || coalesce(first_name, '') || ' ' || coalesce(last_name, '')
+  || chr(10) || 'Email: ' || coalesce(email, '') || chr(10) || 'Azienda: ' || coalesce(org, '') || chr(10)
+  || 'Telefono: ' || coalesce(phone, '') || chr(10) || 'Ricevuto alle: ' || coalesce({_iso_local}, '') || chr(10) || chr(10)
+  || coalesce(excerpt, '') AS body
+FROM lo""")
