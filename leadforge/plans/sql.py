@@ -276,10 +276,10 @@ FROM messages""")
 
 _LINES = """ll AS (
   SELECT seq, CASE WHEN seq % 83 = 0 THEN ''
-    WHEN seq % 97 = 0 THEN substr(to_json({'label': label, 'subject': subject, 'body': body}), 1,
-                                  CAST(length(to_json({'label': label, 'subject': subject, 'body': body})) / 2 AS INT))
-    WHEN seq % 89 = 0 THEN to_json({'subject': subject, 'body': body})
-    ELSE to_json({'label': label, 'subject': subject, 'body': body}) END AS value
+    WHEN seq % 97 = 0 THEN substr(CAST(to_json({'label': label, 'subject': subject, 'body': body}) AS VARCHAR), 1,
+                                  CAST(length(CAST(to_json({'label': label, 'subject': subject, 'body': body}) AS VARCHAR)) / 2 AS INT))
+    WHEN seq % 89 = 0 THEN CAST(to_json({'subject': subject, 'body': body}) AS VARCHAR)
+    ELSE CAST(to_json({'label': label, 'subject': subject, 'body': body}) AS VARCHAR) END AS value
   FROM m WHERE label IS NOT NULL)"""
 sql("label_check", O.with_messages(_LINES, """lk AS (
   SELECT value, trim(value) = '' AS blank, CASE WHEN trim(value) <> '' THEN json_valid(value) ELSE false END AS ok,
