@@ -632,3 +632,23 @@ leads2 AS (SELECT * FROM o2 WHERE created)"""]
 def iso(ts: str) -> str:
     """'YYYY-MM-DD HH:MM:SS' text to 'YYYY-MM-DDTHH:MM:SS'."""
     return f"replace({ts}, ' ', 'T')"
+
+
+def augment_word(word: str) -> str:
+    return f"(?i)(^|[^{_W}]){word}([^{_W}]|$)"
+
+
+def augment_sql() -> str:
+    parts = []
+    for k, (word, repl) in enumerate(L.AUGMENT_SYNONYMS.items(), 1):
+        pat = q(augment_word(word))
+        rep = q("\\1" + repl[0] + "\\2")
+        ns = f"regexp_replace(regexp_replace(coalesce(subject, ''), {pat}, {rep}, 'g'), {pat}, {rep}, 'g')"
+        nbd = f"regexp_replace(regexp_replace(coalesce(body, ''), {pat}, {rep}, 'g'), {pat}, {rep}, 'g')"
+        trig = f"(contains(lower(coalesce(subject, '')), {q(word)}) OR contains(lower(coalesce(body, '')), {q(word)}))"
+        parts.append(f"CASE WHEN label = 1 AND {trig} AND ({ns} <> coalesce(subject, '') OR {nbd} <> coalesce(body, '')) "
+                     f"THEN {{'label': label, 'subject': {ns}, 'body': {nbd}}} END")
+    arr = "list_filter([{'label': label, 'subject': subject, 'body': body}, " + ", ".join(parts) + "], lambda v: v IS NOT NULL)[1:3]"
+    return f"""
+SELECT id, CAST(x.i - 1 AS INT) AS variant, x.v.label AS label, x.v.subject AS subject, x.v.body AS body FROM (
+  SELECT id, unnest(list_transform({arr}, lambda v, i: {{'v': v, 'i': i}})) AS x FROM lm)"""

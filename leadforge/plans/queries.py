@@ -704,3 +704,31 @@ def q_lead_outbox(spark, sf_dir):
     n = notify.new_lead_notice("subject", "first_name", "last_name", "email", "company", "phone",
                                text.received_at_iso_local("date_header"), "notes")
     return leads.select("seq", n["subject"].alias("subject"), n["body"].alias("body"))
+
+
+# ---------------------------------------------------------------------------
+# Augmentation, TF-IDF, logistic regression
+# ---------------------------------------------------------------------------
+
+from ..operators import features as fx  # noqa: E402
+
+
+@register("augment")
+def q_augment(spark, sf_dir):
+    return fx.augment(labelled_messages(spark, sf_dir))
+
+
+@register("tfidf_weights")
+def q_tfidf_weights(spark, sf_dir):
+    w = fx.tfidf_weights(labelled_messages(spark, sf_dir))
+    return w.select("id", "term", _r6(F.col("weight")).alias("weight"))
+
+
+@register("logreg_scores")
+def q_logreg_scores(spark, sf_dir):
+    lab = labelled_messages(spark, sf_dir)
+    split = ev.stratified_split(lab.select("id", "label"), test_size=TEST_SIZE, seed=SPLIT_SEED)
+    data = lab.join(split.select("id", "is_train", "is_test"), "id")
+    _, scorer = fx.train_logreg(data.filter("is_train"))
+    s = scorer(data.filter("is_test"))
+    return s.select("id", "label", _r6(F.col("probability_1")).alias("probability"))

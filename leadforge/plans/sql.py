@@ -316,3 +316,18 @@ SELECT seq, coalesce(nullif(subject_h, ''), 'Nuovo lead ricevuto') AS subject,
   || 'Telefono: ' || coalesce(phone, '') || chr(10) || 'Ricevuto alle: ' || coalesce({_iso_local}, '') || chr(10) || chr(10)
   || coalesce(excerpt, '') AS body
 FROM lo""")
+
+# ---------------------------------------------------------------------------
+# augmentation and tf-idf
+# ---------------------------------------------------------------------------
+
+sql("augment", O.with_messages(O.LABELLED_CTE) + O.augment_sql())
+sql("tfidf_weights", O.with_messages(O.LABELLED_CTE, f"""
+dt AS (SELECT id, {O.ml_tokens('text')} AS t FROM lm),
+dtb AS (SELECT id, t || {O.bigrams('t')} AS terms FROM dt),
+tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM dtb) GROUP BY id, term),
+dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+nd AS (SELECT count(DISTINCT id) AS n FROM lm),
+raw AS (SELECT tf.id, tf.term, tf.tf * (ln((1.0 + nd.n) / (1.0 + dfq.df)) + 1.0) AS r FROM tf JOIN dfq USING (term) CROSS JOIN nd)""") + """
+SELECT id, term, round(CASE WHEN sqrt(sum(r * r) OVER (PARTITION BY id)) > 0 THEN r / sqrt(sum(r * r) OVER (PARTITION BY id)) ELSE 0.0 END, 6) AS weight
+FROM raw""")
