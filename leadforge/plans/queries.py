@@ -732,3 +732,86 @@ def q_logreg_scores(spark, sf_dir):
     _, scorer = fx.train_logreg(data.filter("is_train"))
     s = scorer(data.filter("is_test"))
     return s.select("id", "label", _r6(F.col("probability_1")).alias("probability"))
+
+
+# ---------------------------------------------------------------------------
+# Streaming: ingest stream, keyed contact state, replay, live totals
+# ---------------------------------------------------------------------------
+
+_STREAMS: dict = {}
+
+
+def stream_fixture(spark, sf_dir):
+    """Drop the batch as daily files, drain it with the ingest stream (T1), feed its outcomes to
+    the contact-state (T2) and totals (T4) streams, then replay the same files (T3)."""
+    from ..session import scratch_path
+    from ..streaming import ingest_stream as S
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _STREAMS:
+        return _STREAMS[key]
+    base = scratch_path(spark, "stream")
+    drop, state = f"{base}/drop", f"{base}/state"
+    S.write_mail_drop(messages(spark, sf_dir), drop)
+    schema = spark.read.parquet(drop).schema
+    cfg = ingest.RunConfig(allowed_domains=PIPELINE_DOMAINS, run_ts=RUN2_TS)
+    S.start_ingest(spark, drop, state, f"{base}/ckpt_ingest", schema, cfg, files_per_trigger=10,
+                   epoch=1).awaitTermination()
+
+    out_schema = spark.read.parquet(f"{state}/outcomes").schema
+    outcomes = spark.readStream.schema(out_schema).parquet(f"{state}/outcomes")
+
+    def append_versioned(path):
+        def fn(df, bid):
+            df.withColumn("stream_batch", F.lit(bid)).write.mode("append").parquet(path)
+        return fn
+
+    processed = outcomes.filter(F.col("outcome") == "processed")
+    (S.contact_state(processed).writeStream.outputMode("update")
+     .option("checkpointLocation", f"{base}/ckpt_state").foreachBatch(append_versioned(f"{base}/contact_updates"))
+     .trigger(availableNow=True).start().awaitTermination())
+    (S.live_totals(outcomes).writeStream.outputMode("complete")
+     .option("checkpointLocation", f"{base}/ckpt_totals")
+     .foreachBatch(lambda df, bid: df.write.mode("overwrite").parquet(f"{base}/totals"))
+     .trigger(availableNow=True).start().awaitTermination())
+
+    ledger_before = spark.read.parquet(f"{state}/ledger").count()
+    S.start_ingest(spark, drop, state, f"{base}/ckpt_replay", schema, cfg, files_per_trigger=10,
+                   epoch=2).awaitTermination()
+    _STREAMS[key] = {"base": base, "state": state, "ledger_before": ledger_before}
+    return _STREAMS[key]
+
+
+@register("stream_contacts")
+def q_stream_contacts(spark, sf_dir):
+    fx_ = stream_fixture(spark, sf_dir)
+    u = spark.read.parquet(f"{fx_['base']}/contact_updates")
+    last = u.groupBy("email").agg(F.max_by(F.struct(*[c for c in u.columns if c not in ("email", "stream_batch")]),
+                                           "stream_batch").alias("c"))
+    return last.select("email", "c.first_name", "c.last_name", "c.phone", "c.org",
+                       F.col("c.last_message_subject").alias("last_message_subject"),
+                       _ts(F.col("c.last_message_received_at")).alias("last_message_received_at"),
+                       F.col("c.last_message_excerpt").alias("last_message_excerpt"))
+
+
+@register("stream_totals")
+def q_stream_totals(spark, sf_dir):
+    fx_ = stream_fixture(spark, sf_dir)
+    return spark.read.parquet(f"{fx_['base']}/totals").select("folder", "domain", "processed")
+
+
+@register("stream_replay")
+def q_stream_replay(spark, sf_dir):
+    fx_ = stream_fixture(spark, sf_dir)
+    state = fx_["state"]
+    ledger = spark.read.parquet(f"{state}/ledger")
+    outcomes = spark.read.parquet(f"{state}/outcomes")
+    replay = F.col("batch_id") >= 2 * 1_000_000_000
+    return ledger.agg(
+        F.count(F.lit(1)).alias("ledger_rows"),
+        F.count_if(replay).alias("replay_ledger_rows"),
+    ).select("ledger_rows", "replay_ledger_rows",
+             F.lit(fx_["ledger_before"]).cast("long").alias("ledger_rows_before")).unionByName(
+        outcomes.filter(replay).agg(F.count_if(F.col("outcome") == "processed").alias("ledger_rows"))
+        .select(F.lit(-1).cast("long").alias("ledger_rows"), F.col("ledger_rows").alias("replay_ledger_rows"),
+                F.lit(-1).cast("long").alias("ledger_rows_before"))).filter(F.col("ledger_rows") >= 0)

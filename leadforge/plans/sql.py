@@ -331,3 +331,18 @@ nd AS (SELECT count(DISTINCT id) AS n FROM lm),
 raw AS (SELECT tf.id, tf.term, tf.tf * (ln((1.0 + nd.n) / (1.0 + dfq.df)) + 1.0) AS r FROM tf JOIN dfq USING (term) CROSS JOIN nd)""") + """
 SELECT id, term, round(CASE WHEN sqrt(sum(r * r) OVER (PARTITION BY id)) > 0 THEN r / sqrt(sum(r * r) OVER (PARTITION BY id)) ELSE 0.0 END, 6) AS weight
 FROM raw""")
+
+# ---------------------------------------------------------------------------
+# streaming (stated as one run over all mail: the stream must agree with it)
+# ---------------------------------------------------------------------------
+
+_S = O.with_messages(*O.pipeline_ctes("1900-01-01", RUN1_TS, RUN2_TS, PIPELINE_DOMAINS))
+sql("stream_contacts", _S + """
+SELECT email, first_name, last_name, phone, org, last_message_subject, last_message_received_at, last_message_excerpt FROM c2""")
+sql("stream_totals", _S + f"""
+SELECT {O.sanitize_folder('folder')} AS folder, {O.sanitize_domain('from_domain')} AS domain,
+       count(*) FILTER (WHERE outcome IN ('processed', 'missing_email')) AS processed
+FROM o2 GROUP BY 1, 2""")
+sql("stream_replay", _S + """
+SELECT count(*) AS ledger_rows, CAST(0 AS BIGINT) AS replay_ledger_rows, count(*) AS ledger_rows_before
+FROM o2 WHERE outcome <> 'duplicate'""")
