@@ -17,6 +17,9 @@ WORD_CHARS = r"\p{L}\p{N}_"
 WORD = rf"[{WORD_CHARS}]"
 DIGIT = r"\p{Nd}"
 
+# The same set as a plain string (for character-set trims), derived from str.isspace().
+WS_SET = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+
 # Python str.splitlines() boundaries (\r\n counts as one).
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 

@@ -32,6 +32,9 @@ COMPANY_PATTERNS = [
     (rf"(?i){NB}lavoro{_S}(?:per|presso|in){_S}{_COMPANY}", 0, 1),
     (rf"(?iu){NB}(?:azienda|società|societa|company){_S}(?:si{_S}chiama|chiamata|denominata){_S}{_COMPANY}", 0, 1),
 ]
+# Words each phrase cannot match without (lower-cased text must contain one): a cheap
+# substring gate in front of the regex scan, which leaves results unchanged.
+PATTERN_GATES = [["sono"], ["sono"], ["chiamo"], ["lavoro"], ["chiama", "denominata"]]
 
 LEGAL_FORM = f"{NB}(?:{'|'.join(L.LEGAL_FORMS)}){NA}"
 ORG_LABEL_PREFIX = rf"(?iu)^(?:{'|'.join(L.ORG_LABEL_WORDS)})[:\-{WS_CHARS}]*"
@@ -197,16 +200,19 @@ def company_phrase(text) -> Column:
     company wins; the name comes from the first matching phrase (up to the
     winner) whose name survives title removal.
     """
-    t = F.coalesce(_c(text), F.lit(""))
-    found = []
-    for pat, g_name, g_company in COMPANY_PATTERNS:
-        company_raw = F.regexp_extract(t, pat, g_company)
-        name_raw = F.regexp_extract(t, pat, g_name) if g_name else F.lit("")
-        found.append(F.struct(
-            (company_raw != "").alias("matched"),
-            clean_company(company_raw).alias("company"),
-            F.when((company_raw != "") & (F.size(name_parts(name_raw)) > 0), name_raw).alias("name"),
-        ))
+    def phrases(r):
+        t, low = r["t"], r["low"]
+        found = []
+        for (pat, g_name, g_company), gate in zip(COMPANY_PATTERNS, PATTERN_GATES):
+            possible = _contains_any(low, gate)
+            company_raw = F.when(possible, F.regexp_extract(t, pat, g_company)).otherwise(F.lit(""))
+            name_raw = F.when(possible, F.regexp_extract(t, pat, g_name)).otherwise(F.lit("")) if g_name else F.lit("")
+            found.append(F.struct(
+                (company_raw != "").alias("matched"),
+                clean_company(company_raw).alias("company"),
+                F.when((company_raw != "") & (F.size(name_parts(name_raw)) > 0), name_raw).alias("name"),
+            ))
+        return F.array(*found)
 
     def decide(arr):
         upto = F.array_position(F.transform(arr, lambda x: x["company"].isNotNull()), True)
@@ -215,7 +221,9 @@ def company_phrase(text) -> Column:
         company = F.try_element_at(F.filter(F.transform(arr, lambda x: x["company"]), lambda n: n.isNotNull()), F.lit(1))
         return F.struct(company.alias("company"), name.alias("name"))
 
-    return let(F.array(*found), decide)
+    t = F.coalesce(_c(text), F.lit(""))
+    bound = F.struct(t.alias("t"), F.lower(t).alias("low"))
+    return let(let(bound, phrases), decide)
 
 
 def _contains_any(s: Column, words) -> Column:
@@ -227,22 +235,26 @@ def _contains_any(s: Column, words) -> Column:
 
 
 def org_from_line(line) -> Column:
-    """Company named on one line (label:, label -, legal form, or any hint)."""
-    def build(s):
-        low = F.lower(s)
+    """Company named on one line (label:, label -, legal form, or any hint).
+
+    Every rule needs an organisation hint somewhere on the line (the legal forms
+    are hints too), so lines without one are dismissed after a single check.
+    """
+    def build(r):
+        s, low = r["s"], r["low"]
         colon_before = F.lower(F.substring_index(s, ":", 1))
         colon_after = strip_ws(F.substring(s, F.instr(s, ":") + 1, 1 << 30))
         dash_before = F.lower(strip_ws(F.substring_index(s, "-", 1)))
         dash_after = strip_ws(F.substring(s, F.instr(s, "-") + 1, 1 << 30))
         unlabeled = F.regexp_replace(F.regexp_replace(s, ORG_LABEL_PREFIX, ""), r"^[ -]+|[ -]+$", "")
         return (
-            F.when(s == "", F.lit(None))
+            F.when((s == "") | ~_contains_any(low, L.ORG_HINTS), F.lit(None))
             .when(s.contains(":") & _contains_any(colon_before, L.ORG_HINTS) & (colon_after != ""), colon_after)
             .when(s.contains("-") & _contains_any(dash_before, L.ORG_HINTS) & (dash_after != ""), dash_after)
             .when(low.rlike(LEGAL_FORM) & (unlabeled != ""), unlabeled)
             .when(_contains_any(low, L.ORG_HINTS) & (F.char_length(unlabeled) > 3), unlabeled)
         )
-    return let(strip_ws(_c(line)), build)
+    return let(strip_ws(_c(line)), lambda s: let(F.struct(s.alias("s"), F.lower(s).alias("low")), build))
 
 
 def org_from_lines(text) -> Column:

@@ -50,12 +50,11 @@ def _count_substrings(low: Column, words) -> Column:
 
 def text_features(text, legacy_train: bool = False) -> Column:
     """M3: struct of the six numeric features (serving definition unless ``legacy_train``)."""
-    def build(t):
-        low = F.lower(t)
+    def build(r):
+        t, low, stripped = r["t"], r["low"], r["stripped"]
         urgency = F.least(_count_substrings(low, L.URGENCY_WORDS) / 3.0, F.lit(1.0))
         greeting = F.when(_count_substrings(low, L.GREETING_WORDS) > 0, 1.0).otherwise(0.0)
         questions = F.char_length(t) - F.char_length(F.replace(t, F.lit("?"), F.lit("")))
-        stripped = strip_ws(t)
         words = F.when(stripped == "", F.lit(0)).otherwise(F.size(F.split(stripped, f"{WS}+")))
         density = F.least(questions / F.greatest(words / 50.0, F.lit(1.0)), F.lit(1.0))
         length = F.least(words / 200.0, F.lit(1.0))
@@ -64,7 +63,8 @@ def text_features(text, legacy_train: bool = False) -> Column:
         last5 = F.slice(lines, F.greatest(F.size(lines) - 4, F.lit(1)), 5)
 
         def hits(ls):
-            return F.size(F.filter(ls, lambda line: _count_substrings(F.lower(line), L.SIGNATURE_INDICATORS) > 0))
+            return F.size(F.filter(ls, lambda line: let(
+                F.lower(line), lambda lw: _count_substrings(lw, L.SIGNATURE_INDICATORS) > 0)))
 
         if legacy_train:
             signature = hits(last5) / 5.0
@@ -80,7 +80,9 @@ def text_features(text, legacy_train: bool = False) -> Column:
             contact.cast("double").alias("has_contact_info"),
             signature.cast("double").alias("signature_score"),
         )
-    return let(F.coalesce(_c(text), F.lit("")), build)
+    def bind(t):
+        return let(F.struct(t.alias("t"), F.lower(t).alias("low"), strip_ws(t).alias("stripped")), build)
+    return let(F.coalesce(_c(text), F.lit("")), bind)
 
 
 def feature_tokens(features) -> Column:

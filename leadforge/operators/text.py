@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.columns import let
-from ..functions.patterns import LINE_BREAK, WS
+from ..functions.patterns import LINE_BREAK, WS, WS_SET
 
 
 def _c(x) -> Column:
@@ -25,8 +25,8 @@ def normalize_whitespace(text) -> Column:
 
 
 def strip_ws(text) -> Column:
-    """Python ``str.strip()``: drop leading and trailing whitespace of any kind."""
-    return F.regexp_replace(_c(text), f"^{WS}+|{WS}+$", "")
+    """Python ``str.strip()``: drop leading and trailing whitespace of any kind (native trim)."""
+    return F.btrim(_c(text), F.lit(WS_SET))
 
 
 def split_lines(text) -> Column:
@@ -74,7 +74,8 @@ def plain_text(body) -> Column:
     ]:
         stripped = F.regexp_replace(stripped, pat, " ")
     text = F.when(b.contains("<") & b.contains(">"), stripped).otherwise(b)
-    text = unescape_entities(unescape_entities(text))
+    # entity decoding only where an entity can occur
+    text = let(text, lambda t: F.when(t.contains("&"), unescape_entities(unescape_entities(t))).otherwise(t))
     return normalize_whitespace(F.regexp_replace(text, "\u00a0", " "))
 
 
