@@ -179,20 +179,30 @@ class NBModel:
     use_ngrams: bool = True
     use_features: bool = True
     threshold: float | None = None
+    n_terms: int | None = None        # rows in ``terms`` (checked before any broadcast)
 
 
 def train_nb(train: DataFrame, text_col: str = "text", label_col: str = "label", use_ngrams: bool = True,
-             use_features: bool = True, legacy_train: bool = False, persist_terms: DataFrame | None = None) -> NBModel:
-    """M4-M6. ``persist_terms`` lets a caller pass the term table it wrote out."""
+             use_features: bool = True, legacy_train: bool = False, persist_terms: DataFrame | None = None,
+             materialize: bool = True) -> NBModel:
+    """M4-M6. ``persist_terms`` lets a caller pass the term table it wrote out.
+
+    With ``materialize`` the term table is checkpointed into the shared
+    checkpoint folder once, so the statistics and every later scoring job read
+    it instead of re-tokenising the training set.
+    """
     terms = persist_terms if persist_terms is not None else class_term_counts(
         train, text_col, label_col, use_ngrams, legacy_train)
+    if materialize and persist_terms is None:
+        terms = terms.checkpoint(eager=True)
+    n_terms = terms.count() if materialize else None
     st = {r["stat"]: r["value"] for r in nb_stats(train, terms, label_col).collect()}  # five rows
     weights = {}
     if use_features:
         weights = {r["feature"]: r["weight"] for r in
                    feature_weights(train, text_col, label_col, legacy_train).collect()}
     return NBModel(terms, st["prior_pos"], st["prior_neg"], int(st["total_pos"]), int(st["total_neg"]),
-                   int(st["vocabulary_size"]), weights, use_ngrams, use_features)
+                   int(st["vocabulary_size"]), weights, use_ngrams, use_features, n_terms=n_terms)
 
 
 # ---------------------------------------------------------------------------
@@ -239,6 +249,7 @@ def nb_score(df: DataFrame, model: NBModel, id_col: str, text_col: str, out: str
         F.log(F.col("n_pos") + 1.0).alias("lp"),
         F.log(F.col("n_neg") + 1.0).alias("ln"),
     )
+    model_terms = sized_for_join(model_terms, model.n_terms, df.sparkSession)
     weight = F.when(F.col("kind") == BIGRAM, 0.5).otherwise(1.0)
     s = exploded.join(model_terms, ["kind", "term"], "left").groupBy("_id").agg(
         F.max("_n_uni").alias("_n_uni"), F.max("_n_big").alias("_n_big"), F.max("_shift").alias("_shift"),
@@ -251,6 +262,23 @@ def nb_score(df: DataFrame, model: NBModel, id_col: str, text_col: str, out: str
     return s.select(F.col("_id").alias(id_col), *carry, prob.alias(out))
 
 
+BYTES_PER_TERM_ROW = 100  # kind + term text + two counts, with hash-table overhead
+
+
+def sized_for_join(terms: DataFrame, n_rows: int | None, spark) -> DataFrame:
+    """Broadcast the term table only when its checked row count fits the session's
+    broadcast budget; otherwise request a sort-merge join, so a mis-estimated
+    large model is never shipped to every executor."""
+    budget = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    try:
+        budget = int(str(budget).lower().rstrip("b"))
+    except ValueError:
+        budget = 10 * 1024 * 1024
+    if n_rows is not None and 0 <= n_rows * BYTES_PER_TERM_ROW <= budget:
+        return F.broadcast(terms)
+    return terms.hint("merge")
+
+
 def nb_decision(score, model: NBModel | None = None, threshold: float = L.ML_THRESHOLD) -> Column:
     """M8: score at or above the model's stored threshold, else the configured one."""
     t = model.threshold if (model is not None and model.threshold is not None) else threshold

@@ -306,8 +306,15 @@ def q_feature_weights(spark, sf_dir):
     return w.select("feature", _r6(F.col("weight")).alias("weight"))
 
 
+_MODELS: dict = {}
+
+
 def _model_on_all(spark, sf_dir) -> nb.NBModel:
-    return nb.train_nb(labelled_messages(spark, sf_dir))
+    """The model trained on every labelled message (trained once per application)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = nb.train_nb(labelled_messages(spark, sf_dir))
+    return _MODELS[key]
 
 
 @register("nb_score")
@@ -337,8 +344,22 @@ def q_stratified_split(spark, sf_dir):
     return ev.stratified_split(lab, test_size=TEST_SIZE, seed=SPLIT_SEED)
 
 
+_SCORED: dict = {}
+
+
 def split_scored(spark, sf_dir) -> DataFrame:
-    """Train on the split's train rows, score its test rows: (id, label, score)."""
+    """Train on the split's train rows, score its test rows: (id, label, score).
+
+    The scored test rows are checkpointed (curves and metrics read them several
+    times) and reused within one application.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SCORED:
+        _SCORED[key] = _split_scored(spark, sf_dir).checkpoint(eager=True)
+    return _SCORED[key]
+
+
+def _split_scored(spark, sf_dir) -> DataFrame:
     lab = labelled_messages(spark, sf_dir)
     split = ev.stratified_split(lab.select("id", "label"), test_size=TEST_SIZE, seed=SPLIT_SEED)
     flags = split.select("id", "is_train", "is_test")

@@ -33,6 +33,7 @@ def save_model(spark: SparkSession, model: NBModel, path: str, threshold: float
         "total_pos": model.total_pos, "total_neg": model.total_neg,
         "vocabulary_size": model.vocabulary_size, "use_ngrams": model.use_ngrams,
         "use_features": model.use_features, "feature_weights": json.dumps(model.weights),
+        "n_terms": model.n_terms if model.n_terms is not None else -1,
     }
     spark.createDataFrame([meta]).coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
@@ -42,7 +43,8 @@ def load_model(spark: SparkSession, path: str) -> NBModel:
     m = spark.read.json(f"{path}/meta").first().asDict()  # one row of scalars
     return NBModel(terms, m["prior_pos"], m["prior_neg"], int(m["total_pos"]), int(m["total_neg"]),
                    int(m["vocabulary_size"]), json.loads(m["feature_weights"] or "{}"),
-                   bool(m["use_ngrams"]), bool(m["use_features"]), m.get("threshold"))
+                   bool(m["use_ngrams"]), bool(m["use_features"]), m.get("threshold"),
+                   n_terms=None if m.get("n_terms", -1) in (None, -1) else int(m["n_terms"]))
 
 
 def _counts(doc: DataFrame, field: str, kind: str) -> DataFrame:
@@ -79,4 +81,5 @@ def import_legacy_json(spark: SparkSession, path: str, meta_path: str | None = N
     weights = json.loads(head["weights"]) if head["weights"] else {}
     return NBModel(terms, head["prior_pos"] or 1e-9, head["prior_neg"] or 1e-9, int(head["total_pos"] or 0),
                    int(head["total_neg"] or 0), int(head["vocabulary_size"] or 0), weights,
-                   use_ngrams=bool(has_bigrams), use_features=bool(weights), threshold=threshold)
+                   use_ngrams=bool(has_bigrams), use_features=bool(weights), threshold=threshold,
+                   n_terms=terms.count())
