@@ -140,14 +140,18 @@ def phone_candidates(text) -> Column:
     """E3 + E5: array<struct(line, pos, score, raw, number)> over non-fax lines."""
     lines = split_lines(F.coalesce(_c(text), F.lit("")))
 
+    empty = F.array().cast("array<struct<line:int,pos:int,score:int,raw:string,number:string>>")
+
     def per_line(line, i):
-        score = phone_label_score(line)
-        found = F.regexp_extract_all(line, F.lit(PHONE), 0)
-        return F.when(fax_only(line), F.array().cast(
-            "array<struct<line:int,pos:int,score:int,raw:string,number:string>>")).otherwise(
-            F.transform(found, lambda raw, j: F.struct(
-                i.alias("line"), j.alias("pos"), score.alias("score"), raw.alias("raw"),
-                normalize_phone(raw).alias("number"))))
+        def scored(found):
+            # label hints are only looked at on lines that hold a number
+            def build(low):
+                score = phone_label_score(low)
+                return F.when(fax_only(low), empty).otherwise(F.transform(found, lambda raw, j: F.struct(
+                    i.alias("line"), j.alias("pos"), score.alias("score"), raw.alias("raw"),
+                    normalize_phone(raw).alias("number"))))
+            return F.when(F.size(found) == 0, empty).otherwise(let(F.lower(line), build))
+        return let(F.regexp_extract_all(line, F.lit(PHONE), 0), scored)
 
     return F.flatten(F.transform(lines, per_line))
 

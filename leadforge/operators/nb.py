@@ -242,8 +242,8 @@ def nb_score(df: DataFrame, model: NBModel, id_col: str, text_col: str, out: str
         ).alias("_terms"),
     )
     # per-message values ride along the exploded rows; explode_outer keeps token-less messages
-    exploded = doc.select("_id", *carry, "_n_uni", "_n_big", "_shift", F.explode_outer("_terms").alias("t")).select(
-        "_id", *carry, "_n_uni", "_n_big", "_shift", F.col("t.kind").alias("kind"), F.col("t.term").alias("term"))
+    exploded = doc.select("_id", *carry, "_shift", F.explode_outer("_terms").alias("t")).select(
+        "_id", *carry, "_shift", F.col("t.kind").alias("kind"), F.col("t.term").alias("term"))
     model_terms = model.terms.select(
         "kind", "term",
         F.log(F.col("n_pos") + 1.0).alias("lp"),
@@ -252,7 +252,8 @@ def nb_score(df: DataFrame, model: NBModel, id_col: str, text_col: str, out: str
     model_terms = sized_for_join(model_terms, model.n_terms, df.sparkSession)
     weight = F.when(F.col("kind") == BIGRAM, 0.5).otherwise(1.0)
     s = exploded.join(model_terms, ["kind", "term"], "left").groupBy("_id").agg(
-        F.max("_n_uni").alias("_n_uni"), F.max("_n_big").alias("_n_big"), F.max("_shift").alias("_shift"),
+        F.count_if(F.col("kind") == UNIGRAM).alias("_n_uni"), F.count_if(F.col("kind") == BIGRAM).alias("_n_big"),
+        F.max("_shift").alias("_shift"),
         *[F.max(c).alias(c) for c in carry],
         F.sum(weight * F.col("lp")).alias("_kp"), F.sum(weight * F.col("ln")).alias("_kn"))
     n_terms = F.col("_n_uni") + 0.5 * F.col("_n_big")

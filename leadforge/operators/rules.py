@@ -95,14 +95,17 @@ def rule_tokens(text, lex: Lexicon = DEFAULT_LEXICON) -> Column:
     kept = F.filter(parts, lambda x: ~x.isin(lex.stopwords))
     lookup = F.create_map(*[F.lit(v) for kv in lex.lookup.items() for v in kv])
 
+    # hash-set gates: most tokens start with no stem prefix and are no lookup key
+    heads = sorted({p[:4] for p, _ in lex.stems})
+    keys = sorted(lex.lookup)
+
     def canon(x: Column) -> Column:
-        stemmed = F.lit(None).cast("string")
         expr = None
         for prefix, stem in lex.stems:
             expr = (F.when(x.startswith(prefix), F.lit(stem)) if expr is None
                     else expr.when(x.startswith(prefix), F.lit(stem)))
-        stemmed = expr.otherwise(x)
-        return F.coalesce(F.try_element_at(lookup, stemmed), stemmed)
+        stemmed = F.when(F.substring(x, 1, 4).isin(heads), expr.otherwise(x)).otherwise(x)
+        return let(stemmed, lambda st: F.when(st.isin(keys), F.try_element_at(lookup, st)).otherwise(st))
 
     return F.transform(kept, canon)
 
