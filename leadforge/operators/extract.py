@@ -98,6 +98,37 @@ def header_contact(headers) -> Column:
     return F.struct(email.alias("email"), name.alias("name"), use_reply.alias("overwrite"))
 
 
+def exact_header_contact(headers) -> Column:
+    """E1, exact mode: the first (name, address) pair via the standard library's
+    RFC-5322 address-list parser, run as a vectorised pandas UDF. Use it when
+    headers carry quoted names, comments or commas inside names."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("struct<email:string,name:string,overwrite:boolean>")
+    def first_pair(reply, frm):
+        import pandas as pd
+        from email.utils import getaddresses
+
+        def pick(value):
+            if not isinstance(value, str) or not value:
+                return None
+            for name, addr in getaddresses([value]):
+                if addr:
+                    return name, addr.strip()
+            return None
+
+        rows = []
+        for r, f in zip(reply, frm):
+            hit, over = pick(r), True
+            if hit is None:
+                hit, over = pick(f), False
+            rows.append({"email": hit[1] if hit else None, "name": hit[0] if hit else None,
+                         "overwrite": bool(hit) and over})
+        return pd.DataFrame(rows, columns=["email", "name", "overwrite"])
+
+    return first_pair(header_value(headers, "reply-to"), header_value(headers, "from"))
+
+
 def body_email(text) -> Column:
     return F.nullif(F.regexp_extract(F.coalesce(_c(text), F.lit("")), EMAIL, 0), F.lit(""))
 
@@ -270,9 +301,14 @@ def org_from_lines(text) -> Column:
 # composite
 # ---------------------------------------------------------------------------
 
-def parse_contact(text, headers) -> Column:
-    """struct(first_name, last_name, email, phone, org) for one message."""
+def parse_contact(text, headers, exact_addresses: bool = False) -> Column:
+    """struct(first_name, last_name, email, phone, org) for one message.
+
+    ``exact_addresses`` reads Reply-To/From with the standard-library parser
+    (pandas UDF) instead of the built-in ``Name <addr>`` expressions.
+    """
     t = F.coalesce(_c(text), F.lit(""))
+    hdr_contact = exact_header_contact(headers) if exact_addresses else header_contact(headers)
 
     def build(r):
         hdr, phrase = r["hdr"], r["phrase"]
@@ -289,4 +325,4 @@ def parse_contact(text, headers) -> Column:
             F.coalesce(phrase["company"], org_from_lines(t)).alias("org"),
         )
 
-    return let(F.struct(header_contact(headers).alias("hdr"), company_phrase(t).alias("phrase")), build)
+    return let(F.struct(hdr_contact.alias("hdr"), company_phrase(t).alias("phrase")), build)

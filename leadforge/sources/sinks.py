@@ -61,3 +61,10 @@ def events_json(events: DataFrame) -> DataFrame:
     """Events with the nested payload serialised as JSON text."""
     return events.select("seq", "contact_id", "event_type", "occurred_at",
                          F.to_json("payload", {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def write_evaluation(path: str, metrics: DataFrame, roc: DataFrame, pr: DataFrame) -> None:
+    """Evaluation outputs — metrics (metric, value), ROC and PR points — as JSON folders."""
+    metrics.coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
+    roc.orderBy("point").write.mode("overwrite").json(f"{path}/roc_curve")
+    pr.orderBy("point").write.mode("overwrite").json(f"{path}/pr_curve")

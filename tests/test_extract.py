@@ -75,3 +75,20 @@ def test_org_line_rules(spark):
              "Grazie e buona giornata": None, "Verdi Costruzioni srl": "Verdi Costruzioni srl"}
     for line, want in cases.items():
         assert one(spark, extract.org_from_line(F.col("l")), l=line) == want, line
+
+
+def test_exact_address_mode(spark):
+    h = {"From": '"Rossi, Mario" <mario@rossi.example>'}
+    r = one(spark, extract.parse_contact(F.col("b"), F.col("h"), exact_addresses=True), b="ciao", h=h)
+    assert (r["email"], r["first_name"], r["last_name"]) == ("mario@rossi.example", "Rossi,", "Mario")
+    plain = one(spark, extract.parse_contact(F.col("b"), F.col("h")), b="ciao", h=h)
+    assert plain["email"] == "mario@rossi.example"
+
+
+def test_evaluation_writer(spark, tmp_path):
+    from leadforge.operators import evaluate as ev
+    from leadforge.sources.sinks import write_evaluation
+    df = spark.createDataFrame([(1, 0.9), (0, 0.2), (1, 0.4), (0, 0.6)], "label int, score double")
+    write_evaluation(str(tmp_path / "ev"), ev.evaluate(df), ev.roc_curve(df), ev.pr_curve(df))
+    back = {r["metric"]: r["value"] for r in spark.read.json(str(tmp_path / "ev" / "metrics")).collect()}
+    assert back["roc_auc"] == 0.75 and back["tp"] == 1.0
