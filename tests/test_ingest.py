@@ -79,3 +79,13 @@ def test_second_run_updates_contact(spark):
     assert g["phone"] == "025550999" and g["last_message_subject"] == "Nuova richiesta di preventivo"
     assert g["created_at"] == dt.datetime(2024, 2, 1)  # kept from the first run
     assert second.outcomes.first()["created"] is False
+
+
+def test_ambiguous_keys_stop_the_run(spark):
+    import pytest
+
+    rows = [ROWS[0], (9, "<other@x>", "101", "INBOX", "Giulia Neri <giulia@neri.example>", LEAD, "altro", D, None, None)]
+    with pytest.raises(ValueError):
+        ingest.run(batch(spark, rows), ingest.empty_ledger(spark), upsert.empty_contacts(spark),
+                   ingest.RunConfig(check_keys=True))
+    assert not ingest.ambiguous_keys(batch(spark, ROWS[:2]))
