@@ -14,6 +14,18 @@ from pyspark.sql import functions as F
 
 from ..operators import routing, rules, text
 from ..sources.tables import headers_map, messages, read_table
+from ..operators import extract
+from ..functions import lexicon as LX
+from ..operators import evaluate as ev
+from ..operators import nb
+from ..sources.tables import labelled_messages
+from ..operators import ensemble as ens
+from ..operators import metrics as mx
+from ..operators import upsert
+from . import ingest
+from ..operators import notify
+from ..sources import mail, model_store
+from ..operators import features as fx
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -165,8 +177,6 @@ def q_negative_veto(spark, sf_dir):
 # Contact extraction
 # ---------------------------------------------------------------------------
 
-from ..operators import extract  # noqa: E402
-
 
 @register("extract_email")
 def q_extract_email(spark, sf_dir):
@@ -246,10 +256,6 @@ def q_parse_contact(spark, sf_dir):
 # Classifier: features, training, scoring, evaluation
 # ---------------------------------------------------------------------------
 
-from ..functions import lexicon as LX  # noqa: E402
-from ..operators import evaluate as ev  # noqa: E402
-from ..operators import nb  # noqa: E402
-from ..sources.tables import labelled_messages  # noqa: E402
 
 TEST_SIZE = 0.2
 SPLIT_SEED = 42
@@ -410,8 +416,6 @@ def q_evaluate_model(spark, sf_dir):
 # Ensemble and runner strategies
 # ---------------------------------------------------------------------------
 
-from ..operators import ensemble as ens  # noqa: E402
-
 
 def ml_and_rule_scores(spark, sf_dir) -> DataFrame:
     """(seq, rule_score, ml_score) for every message; the rule score rides through the NB aggregate."""
@@ -476,9 +480,6 @@ def q_runner_strategy(spark, sf_dir):
 # Ingestion runs: dedup, routing, upsert, sinks and run summaries
 # ---------------------------------------------------------------------------
 
-from ..operators import metrics as mx  # noqa: E402
-from ..operators import upsert  # noqa: E402
-from . import ingest  # noqa: E402
 
 RUN1_BEFORE = "2024-01-16"          # run 1 saw the mail received before this date
 RUN1_TS = "2024-01-16 00:00:00"
@@ -668,9 +669,6 @@ def q_outcome_counts(spark, sf_dir):
 # Sources: raw mail, labelled lines, saved models; timestamp coercion; notices
 # ---------------------------------------------------------------------------
 
-from ..operators import notify  # noqa: E402
-from ..sources import mail, model_store  # noqa: E402
-
 
 @register("eml_load")
 def q_eml_load(spark, sf_dir):
@@ -731,8 +729,6 @@ def q_lead_outbox(spark, sf_dir):
 # Augmentation, TF-IDF, logistic regression
 # ---------------------------------------------------------------------------
 
-from ..operators import features as fx  # noqa: E402
-
 
 @register("augment")
 def q_augment(spark, sf_dir):

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from ..operators.rules import compile_lexicon
 from . import oracle as O
-from .queries import ALLOWED_DOMAINS, AS_OF_DATE, NEGATIVE_PHRASES, SINCE_DAYS
+from .queries import (
+    ALLOWED_DOMAINS, AS_OF_DATE, LEAD_HEADERS, NEGATIVE_PHRASES, PAGE_LIMIT, PAGE_OFFSET,
+    PIPELINE_DOMAINS, RUN1_BEFORE, RUN1_TS, RUN2_TS, SINCE_DAYS, SPLIT_SEED, TEST_SIZE,
+)
 
 SQL: dict[str, str] = {}
 TS = "'%Y-%m-%d %H:%M:%S'"
@@ -91,7 +94,6 @@ sql("parse_contact", O.with_messages(*O.parse_ctes()) + "SELECT seq, first_name,
 # classifier
 # ---------------------------------------------------------------------------
 
-from .queries import SPLIT_SEED, TEST_SIZE  # noqa: E402
 
 _FEATS = ["urgency_score", "has_greeting", "question_density", "length_score", "has_contact_info", "signature_score"]
 
@@ -184,8 +186,6 @@ FROM ee""")
 # ingestion runs
 # ---------------------------------------------------------------------------
 
-from .queries import (  # noqa: E402
-    LEAD_HEADERS, PAGE_LIMIT, PAGE_OFFSET, PIPELINE_DOMAINS, RUN1_BEFORE, RUN1_TS, RUN2_TS)
 
 _P = O.pipeline_ctes(RUN1_BEFORE, RUN1_TS, RUN2_TS, PIPELINE_DOMAINS)
 _W = O.with_messages(*_P)
