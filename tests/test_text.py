@@ -29,3 +29,18 @@ def test_combine_and_bands(spark):
     assert one(spark, text.combine_text(F.col("s"), F.col("b")), s="", b="Corpo") == "Corpo"
     assert [one(spark, text.confidence_band(F.lit(v)), x="1") for v in (0.95, 0.7, 0.5, 0.1)] == \
         ["high", "medium", "low", "very_low"]
+
+
+def test_notices(spark):
+    from leadforge.operators import notify
+    n = one(spark, notify.new_lead_notice(F.lit(None), F.col("f"), F.lit(None), F.col("e"), F.lit(None),
+                                          F.lit(None), F.lit(None), F.col("x")), f="Anna", e="a@b.example", x="nota")
+    assert n["subject"] == "Nuovo lead ricevuto"
+    assert n["body"].split("\n") == ["Nuovo lead inserito automaticamente:", "Nome: Anna ", "Email: a@b.example",
+                                     "Azienda: ", "Telefono: ", "Ricevuto alle: ", "", "nota"]
+    s = one(spark, notify.sheet_update_notice(F.col("f"), F.col("l"), F.col("e"), F.lit(None), F.lit(None),
+                                              F.col("x"), "/data/leads.xlsx", F.lit(0), F.col("t")),
+            f="Anna", l="Neri", e="a@b.example", x="nota", t="2024-03-01T10:00:00")
+    lines = s["body"].split("\n")
+    assert lines[0] == s["subject"] and "File Excel: /data/leads.xlsx" in lines
+    assert not any(x.startswith("Riga inserita") for x in lines) and lines[-1] == "nota"
