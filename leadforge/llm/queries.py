@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, url_filter
+from . import exact_dedup, licenses, packing, toxicity, url_filter
 from .tables import read_table
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return toxicity.toxicity(docs, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licences(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     listed = url_filter.url_list(url_filter.spam_hosts(pages))
@@ -21,7 +30,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
+    "op5_license_scan": op5_license_scan,
     "op6_url_filter": op6_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_packing": op10_packing,
 }
