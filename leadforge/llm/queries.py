@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, packing, toxicity, url_filter
+from . import exact_dedup, licenses, packing, quality, toxicity, url_filter
 from .tables import read_table
 
 
@@ -34,7 +34,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.quality(docs, read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op5_license_scan": op5_license_scan,
     "op6_url_filter": op6_url_filter,
