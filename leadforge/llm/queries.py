@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, packing, quality, toxicity, url_filter
+from . import decontamination, exact_dedup, licenses, packing, quality, toxicity, url_filter
 from .tables import read_table
 
 
@@ -39,9 +39,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs, read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
+    "op4_decontamination": op4_decontamination,
     "op5_license_scan": op5_license_scan,
     "op6_url_filter": op6_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
