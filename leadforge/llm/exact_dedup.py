@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .keep import drop_losers
 from .tables import materialise
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -110,14 +111,11 @@ def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col:
 def keep_first(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of ``docs`` that :func:`dedup` keeps, with their own columns.
 
-    Rows that share both id and text are told apart by nothing, so one of them stays.
+    Only rows whose text occurs more than once, or is known to the index, are
+    shuffled; of repeated rows (same id, same text) one stays.
     """
-    result = dedup(docs, index)
-    stay = result.filter("kept").select(F.col("doc_id").alias("_kept_id"), "text_sha256").dropDuplicates()
-    digested = docs.withColumn("_digest", F.lower(F.hex(digest_of(docs["text"]))))
-    joined = digested.join(
-        stay, digested["doc_id"].eqNullSafe(stay["_kept_id"]) & (digested["_digest"] == stay["text_sha256"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+    decided = dedup(docs, index).filter((F.col("group_size") > 1) | ~F.col("kept"))
+    return drop_losers(docs, decided.groupBy("doc_id").agg(F.max("kept").alias("stays")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:

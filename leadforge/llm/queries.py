@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, licenses, packing, quality, toxicity, url_filter
+from . import decontamination, exact_dedup, licenses, ngram_join, packing, quality, toxicity, url_filter
 from .tables import read_table
 
 
@@ -44,6 +44,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.links(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
@@ -51,5 +55,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scan": op5_license_scan,
     "op6_url_filter": op6_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_ngram_join": op9_ngram_join,
     "op10_packing": op10_packing,
 }
