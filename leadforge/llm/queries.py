@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, licenses, ngram_join, packing, quality, toxicity, url_filter
+from . import decontamination, exact_dedup, licenses, ngram_join, packing, quality, substring_dedup, toxicity, url_filter
 from .tables import read_table
 
 
@@ -48,7 +48,12 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.links(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
