@@ -326,3 +326,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select(
         "row.doc_id", held_out(F.col("row.doc_id"), 3, 1).alias("held_out"), "score",
         (F.col("score") >= CUT).cast("int").alias("predicted"), "threshold", "rejected")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with their own columns."""
+    return score_documents(docs, fit(docs, labels)).filter(~F.col("rejected")).select("row.*")
