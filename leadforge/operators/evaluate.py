@@ -137,7 +137,8 @@ def stratified_split(df: DataFrame, id_col: str = "id", label_col: str = "label"
     ``id:seed`` (portable across engines); ranking runs range-partitioned.
     """
     keyed = df.withColumn("_h", F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}"))))
-    r = ordered_running(keyed, ["_h", id_col], group_cols=[label_col], rank_col="split_rank")
+    slices = F.conv(F.substring("_h", 1, 2), 16, 10).cast("int")  # 256 even slices along the hash
+    r = ordered_running(keyed, ["_h", id_col], group_cols=[label_col], rank_col="split_rank", slice_expr=slices)
     sp = F.greatest(F.lit(1), F.floor(F.col("group_rows") * (1.0 - test_size)))
     n = F.col("group_rows")
     rank = F.col("split_rank")

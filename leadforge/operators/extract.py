@@ -81,7 +81,7 @@ def split_name(full_name) -> Column:
     """struct(first_name, last_name) — first word / remaining words, title-cased."""
     def build(p):
         first = F.when(F.size(p) >= 1, title_case(p[0]))
-        last = F.when(F.size(p) >= 2, F.array_join(F.transform(F.slice(p, 2, 1 << 20), title_case), " "))
+        last = F.when(F.size(p) >= 2, F.array_join(F.transform(F.slice(p, F.lit(2), F.size(p)), title_case), " "))
         return F.struct(first.alias("first_name"), last.alias("last_name"))
     return let(name_parts(full_name), build)
 

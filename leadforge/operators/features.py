@@ -11,6 +11,9 @@ from . import nb as NB
 from .text import _c
 
 
+MAX_TERMS = 20_000_000
+
+
 def _word(word: str) -> str:
     return rf"(?i)(?<![{WORD_CHARS}]){word}(?![{WORD_CHARS}])"
 
@@ -63,10 +66,14 @@ def tfidf_weights(df: DataFrame, id_col: str = "id", text_col: str = "text", use
 
 
 def train_logreg(train: DataFrame, text_col: str = "text", label_col: str = "label", use_ngrams: bool = True,
-                 use_features: bool = True, max_iter: int = 100, tol: float = 1e-4, seed: int = 42):
+                 use_features: bool = True, max_iter: int = 1000, tol: float = 1e-6,
+                 max_terms: int = MAX_TERMS):
     """tokens(+bigrams) -> counts -> smooth idf -> L2 -> (+ six features) -> class-balanced
-    L2 logistic regression (C = 1, unpenalised intercept), fitted with ``pyspark.ml``
-    (L-BFGS, relative tolerance 1e-4, at most ``max_iter`` iterations).
+    L2 logistic regression (C = 1, unpenalised intercept), fitted with ``pyspark.ml`` (L-BFGS).
+
+    The vocabulary is exactly the distinct terms of ``train``. It and the coefficients
+    live on the driver, which this fit cannot avoid: more than ``max_terms`` terms
+    raise an error, as does a fit that has not converged after ``max_iter`` iterations.
 
     Returns (pipeline_model, scorer) where ``scorer(df)`` adds ``probability_1``.
     """
@@ -87,7 +94,12 @@ def train_logreg(train: DataFrame, text_col: str = "text", label_col: str = "lab
 
     # the fit makes several passes (vocabulary, idf, class counts, optimiser): keep the
     # prepared rows in executor memory/disk for its duration
-    data = prepare(train).persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = prepare(train).persist(StorageLevel.MEMORY_AND_DISK)
+    terms = prepared.select(F.explode("_terms").alias("t")).agg(F.count_distinct("t").alias("n")).first()["n"]
+    if terms > max_terms:
+        prepared.unpersist()
+        raise ValueError(f"{terms} distinct terms; the fit keeps its vocabulary on the driver and takes {max_terms} at most")
+    data = prepared
     counts = data.groupBy(label_col).count().collect()  # two rows
     total = sum(r["count"] for r in counts)
     weights = {r[label_col]: total / (2.0 * r["count"]) for r in counts}
@@ -96,7 +108,7 @@ def train_logreg(train: DataFrame, text_col: str = "text", label_col: str = "lab
         wcol = F.when(F.col(label_col) == k, F.lit(v)).otherwise(wcol)
     data = data.withColumn("_w", wcol)
 
-    cv = CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=1.0).fit(data)
+    cv = CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=1.0, vocabSize=max(terms, 1)).fit(data)
     idf_model = IDF(inputCol="_tf", outputCol="_idf_unused").fit(cv.transform(data))
     scale = Vectors.dense([v + 1.0 for v in idf_model.idf.toArray()])
     feats = ["_l2"] + ([f"_f_{n}" for n in sorted(L.FEATURE_NAMES)] if use_features else [])
@@ -111,7 +123,9 @@ def train_logreg(train: DataFrame, text_col: str = "text", label_col: str = "lab
         lr,
     ])
     model = pipe.fit(data.withColumn(label_col, F.col(label_col).cast("double")))
-    data.unpersist()
+    prepared.unpersist()
+    if model.stages[-1].summary.totalIterations >= max_iter:
+        raise RuntimeError(f"the logistic regression has not converged after {max_iter} iterations")
 
     def scorer(d: DataFrame) -> DataFrame:
         out = model.transform(prepare(d))

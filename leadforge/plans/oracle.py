@@ -39,8 +39,8 @@ m0 AS (
          WHEN seq % 59 = 0 THEN 'Undisclosed <>'
          ELSE 'Dr. Mario Rossi' || u || ' <User' || u || '@' || upper(dom) || '>' END AS from_header,
     CASE WHEN seq % 7 = 0 THEN 'Richiesta preventivo' WHEN seq % 7 = 1 THEN 'Quote request for services'
-         WHEN seq % 7 = 2 THEN 'Richiesta informazioni' ELSE substr(line1, 1, 80) END AS subject,
-    substr(text, length(line1) + 2) ||
+         WHEN seq % 7 = 2 THEN 'Richiesta informazioni' ELSE line1 END AS subject,
+    text ||
     CASE WHEN seq % 13 = 3 THEN chr(10) || 'Sono Giulia Verdi' || u || ' della Verdi Costruzioni S.p.A.'
          WHEN seq % 13 = 5 THEN chr(10) || 'Mi chiamo Luca Neri e lavoro presso Neri Logistica, scrivete a luca.neri' || u || '@neri-logistica.example'
          WHEN seq % 13 = 7 THEN chr(10) || 'Lavoro per il team marketing'
@@ -54,7 +54,7 @@ m0 AS (
     date '2024-01-01' + cast(seq % 30 AS int) AS received_date, label
   FROM base),
 m AS (
-  SELECT seq, message_id, imap_uid, folder, from_header, subject, body, received_date,
+  SELECT seq * 2 AS seq, message_id, imap_uid, folder, from_header, subject, body, received_date,
     CASE WHEN seq % 47 = 0 THEN 'not a date'
          ELSE strftime(received_date, '%a, %-d %b %Y') || ' ' || lpad(cast(seq % 24 AS varchar), 2, '0')
               || ':' || lpad(cast(seq % 60 AS varchar), 2, '0') || ':00 '
@@ -64,8 +64,8 @@ m AS (
 messages AS (
   SELECT * FROM m
   UNION ALL
-  SELECT seq + 1000000, message_id, imap_uid, folder, from_header, subject, body, received_date, date_header, label
-  FROM m WHERE seq % 10 = 0)
+  SELECT seq + 1, message_id, imap_uid, folder, from_header, subject, body, received_date, date_header, label
+  FROM m WHERE seq % 20 = 0)
 """
 
 

@@ -630,8 +630,8 @@ def q_metrics_snapshot(spark, sf_dir):
 def _sheet(spark, sf_dir):
     """The lead sheet after both runs: run 1's rows, then run 2's."""
     _, r1, r2 = two_runs(spark, sf_dir)
-    return (r1.new_leads.withColumn("sheet_order", F.col("seq"))
-            .unionByName(r2.new_leads.withColumn("sheet_order", F.col("seq") + F.lit(10 ** 15))))
+    return (r1.new_leads.withColumn("sheet_order", F.struct(F.lit(1).alias("run"), F.col("seq").alias("seq")))
+            .unionByName(r2.new_leads.withColumn("sheet_order", F.struct(F.lit(2).alias("run"), F.col("seq").alias("seq")))))
 
 
 @register("lead_summary")
@@ -641,7 +641,8 @@ def q_lead_summary(spark, sf_dir):
 
 @register("top_domains")
 def q_top_domains(spark, sf_dir):
-    return mx.top_lead_domains(_sheet(spark, sf_dir), order_col="sheet_order")
+    top = mx.top_lead_domains(_sheet(spark, sf_dir), order_col="sheet_order")
+    return top.select("domain", "leads", F.col("first_seen.run").alias("first_run"), F.col("first_seen.seq").alias("first_seen"))
 
 
 @register("discovered_gauge")

@@ -238,16 +238,17 @@ sql("metrics_snapshot", _W + f"""
   SELECT 'leads_created', {O.sanitize_folder('folder')}, {O.sanitize_domain('from_domain')} FROM o2 WHERE created)
 SELECT metric, domain, count(*) AS value FROM cr GROUP BY metric, domain
 UNION ALL SELECT metric, '__total__', count(*) FROM cr GROUP BY metric""".replace("\\n, cr AS", ", cr AS", 1))
-_SHEET = ("sheet AS (SELECT seq AS sheet_order, email, org AS company FROM leads1 "
-          "UNION ALL SELECT seq + 1000000000000000, email, org FROM leads2)")
+_SHEET = ("sheet AS (SELECT 1 AS run, seq, email, org AS company FROM leads1 "
+          "UNION ALL SELECT 2, seq, email, org FROM leads2)")
 sql("lead_summary", O.with_messages(*_P, _SHEET) + """
 SELECT count(*) AS total_leads, count(DISTINCT CASE WHEN lower(trim(company)) <> '' THEN lower(trim(company)) END) AS unique_companies
 FROM sheet""")
 sql("top_domains", O.with_messages(*_P, _SHEET) + f"""
-SELECT domain, count(*) AS leads, min(sheet_order) AS first_seen FROM (
-  SELECT sheet_order, CASE WHEN contains(lower({O.strip('email')}), '@') THEN
+SELECT domain, leads, first.run AS first_run, first.seq AS first_seen FROM (
+SELECT domain, count(*) AS leads, min({{'run': run, 'seq': seq}}) AS first FROM (
+  SELECT run, seq, CASE WHEN contains(lower({O.strip('email')}), '@') THEN
     regexp_extract(lower({O.strip('email')}), '([^@]*)$', 1) END AS domain FROM sheet)
-WHERE domain IS NOT NULL GROUP BY domain ORDER BY leads DESC, first_seen ASC LIMIT 10""")
+WHERE domain IS NOT NULL GROUP BY domain) ORDER BY leads DESC, first_run, first_seen LIMIT 10""")
 sql("discovered_gauge", O.with_messages() + f"""
 SELECT {O.sanitize_folder('folder')} AS folder, count(*) AS discovered FROM messages GROUP BY 1""")
 sql("run_progress", _W + """

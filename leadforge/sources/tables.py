@@ -23,7 +23,9 @@ def messages(spark: SparkSession, sf_dir: str, with_copies: bool = True) -> Data
     """Mail batch planted over ``documents`` (+ ``labels``).
 
     Schema: seq, message_id, imap_uid, folder, from_header, subject, body,
-    received_date, date_header, label. Redelivered copies carry ``seq + 1000000``.
+    received_date, date_header, label. ``seq`` is twice the document's id, plus one
+    for a redelivered copy: unique at any size, a copy arriving right behind its
+    original. The subject is the whole first line, the body holds the whole text.
     The label lookup is aggregated per ``doc_id``, so it can never fan rows out
     and Catalyst drops the join entirely when no label is selected.
     """
@@ -67,7 +69,7 @@ def messages(spark: SparkSession, sf_dir: str, with_copies: bool = True) -> Data
     )
     received_date = F.date_add(F.lit("2024-01-01").cast("date"), (seq % 30).cast("int"))
     m = base.select(
-        seq.alias("seq"),
+        (seq * 2).alias("seq"),
         F.when(seq % 41 == 0, F.lit("")).otherwise(F.concat(F.lit("<m"), sid, F.lit("@"), dom, F.lit(">"))).alias("message_id"),
         sid.alias("imap_uid"),
         F.when(seq % 3 == 0, F.lit("Sales")).otherwise(F.lit("INBOX")).alias("folder"),
@@ -78,9 +80,9 @@ def messages(spark: SparkSession, sf_dir: str, with_copies: bool = True) -> Data
         F.when(seq % 7 == 0, F.lit("Richiesta preventivo"))
         .when(seq % 7 == 1, F.lit("Quote request for services"))
         .when(seq % 7 == 2, F.lit("Richiesta informazioni"))
-        .otherwise(F.substring(line1, 1, 80))
+        .otherwise(line1)
         .alias("subject"),
-        F.concat(F.expr("substr(text, length(split_part(text, '\\n', 1)) + 2)"), intro, body_tail).alias("body"),
+        F.concat(F.col("text"), intro, body_tail).alias("body"),
         received_date.alias("received_date"),
         # RFC-2822 Date header; every 47th mail carries an unparsable one
         F.when(seq % 47 == 0, F.lit("not a date"))
@@ -97,7 +99,7 @@ def messages(spark: SparkSession, sf_dir: str, with_copies: bool = True) -> Data
     )
     if not with_copies:
         return m
-    copies = m.filter(F.col("seq") % 10 == 0).withColumn("seq", F.col("seq") + F.lit(1000000))
+    copies = m.filter(F.col("seq") % 20 == 0).withColumn("seq", F.col("seq") + 1)
     return m.unionByName(copies)
 
 
