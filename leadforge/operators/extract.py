@@ -55,9 +55,7 @@ def header_value(headers, name: str) -> Column:
 
 def _first_address(value: Column) -> Column:
     """Address of the first entry of an address-list header ('' when none)."""
-    v = F.coalesce(value, F.lit(""))
-    first = F.when(v.rlike(r"<[^<>]*>"), v).otherwise(F.regexp_extract(v, r"^([^,]*)", 1))
-    return address_of(first)
+    return address_of(F.coalesce(value, F.lit("")))
 
 
 def name_parts(full_name) -> Column:

@@ -30,18 +30,21 @@ def run_stats(outcomes: DataFrame) -> DataFrame:
 
 
 def counter_rows(outcomes: DataFrame) -> DataFrame:
-    """(metric, folder, domain, value): processed and leads counters by label pair."""
+    """(metric, folder, domain, value): processed, created-lead and error counters by label pair, in one pass.
+
+    An error is a message whose handling failed; the outcome table marks it ``error``.
+    """
     o = F.col("outcome")
-    labelled = outcomes.select(
-        sanitize_folder("folder").alias("folder"), sanitize_domain("from_domain").alias("domain"),
-        o.isin("processed", "missing_email").alias("is_processed"), F.col("created").alias("is_lead"))
-    proc = labelled.filter("is_processed").select(F.lit("emails_processed").alias("metric"), "folder", "domain")
-    leads = labelled.filter("is_lead").select(F.lit("leads_created").alias("metric"), "folder", "domain")
-    return proc.unionByName(leads).groupBy("metric", "folder", "domain").agg(F.count(F.lit(1)).alias("value"))
+    counts = outcomes.groupBy(
+        sanitize_folder("folder").alias("folder"), sanitize_domain("from_domain").alias("domain")).agg(
+        F.count_if(o.isin("processed", "missing_email")).alias("emails_processed"),
+        F.count_if(F.col("created")).alias("leads_created"),
+        F.count_if(o == "error").alias("errors"))
+    return counts.unpivot(["folder", "domain"], ["emails_processed", "leads_created", "errors"], "metric", "value").filter("value > 0")
 
 
 def metrics_snapshot(outcomes: DataFrame, folder: str | None = None) -> DataFrame:
-    """A2: per metric, the total and the per-domain values (GROUPING SETS ((metric, domain), (metric)))."""
+    """A2: per metric, the total and the per-domain values (ROLLUP); ``folder`` keeps one folder's counters."""
     c = counter_rows(outcomes)
     if folder is not None:
         c = c.filter(F.col("folder") == (folder.strip() or "unknown"))

@@ -59,9 +59,12 @@ def seen_flags(batch: DataFrame, ledger: DataFrame) -> DataFrame:
         ledger.filter(F.col("imap_uid").isNotNull())
         .select(F.col("imap_uid").alias("uid")).distinct().withColumn("seen_by_uid", F.lit(True))
     )
+    # rows without an id or uid cannot match: they do not meet in the join's null partition
+    has_id = keys.filter(F.col("mid").isNotNull()).join(by_id, "mid", "left")
+    after_id = has_id.unionByName(keys.filter(F.col("mid").isNull()), allowMissingColumns=True)
+    has_uid = after_id.filter(F.col("uid").isNotNull()).join(by_uid, "uid", "left")
     return (
-        keys.join(by_id, "mid", "left")
-        .join(by_uid, "uid", "left")
+        has_uid.unionByName(after_id.filter(F.col("uid").isNull()), allowMissingColumns=True)
         .select(
             "seq", "mid", "uid",
             F.coalesce("seen_by_id", F.lit(False)).alias("seen_by_id"),
@@ -77,9 +80,8 @@ def first_occurrence(df: DataFrame, key: str, order: str = "seq", flag: str = "i
         .groupBy(key).agg(F.min(order).alias(order))
         .withColumn(flag, F.lit(True))
     )
-    return df.join(firsts, [key, order], "left").withColumn(
-        flag, F.coalesce(F.col(flag), F.col(key).isNull())
-    )
+    keyed = df.filter(F.col(key).isNotNull()).join(firsts, [key, order], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return keyed.unionByName(df.filter(F.col(key).isNull()).withColumn(flag, F.lit(True)))
 
 
 def duplicate_flags(batch: DataFrame, ledger: DataFrame | None = None) -> DataFrame:

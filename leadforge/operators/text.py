@@ -7,6 +7,7 @@ rows already are.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,18 +38,41 @@ def split_lines(text) -> Column:
     )
 
 
+QUOTED = r'"(?:[^"\\]|\\.)*"'
+COMMENT = r"\([^()]*\)"
+
+
+def first_entry(header) -> Column:
+    """The first entry of an address-list header without quoted strings and comments.
+
+    Only headers that hold a quote, a parenthesis or a comma are taken apart.
+    """
+    h = F.coalesce(_c(header), F.lit(""))
+
+    def plain(x):
+        bare = F.regexp_replace(x, QUOTED, "")
+        for _ in range(3):  # nested comments, from the inside
+            bare = F.regexp_replace(bare, COMMENT, " ")
+        return F.regexp_extract(bare, r"^[,\s]*([^,]*)", 1)
+
+    return F.when(h.rlike(r'["(,]'), plain(h)).otherwise(h)
+
+
 def address_of(header) -> Column:
-    """Address part of a single RFC-822 address header (``Name <a@b>`` or bare ``a@b``)."""
-    h = _c(header)
-    bracketed = F.regexp_extract(h, r"<([^<>]*)>", 1)
-    return strip_ws(F.when(h.rlike(r"<[^<>]*>"), bracketed).otherwise(F.coalesce(h, F.lit(""))))
+    """Address of the first entry of an RFC-822 address header (``Name <a@b>``, ``a@b (Name)``, ``a@b, c@d``)."""
+    return let(first_entry(header), lambda h: strip_ws(
+        F.when(h.rlike(r"<[^<>]*>"), F.regexp_extract(h, r"<([^<>]*)>", 1)).otherwise(h)))
 
 
 def display_name_of(header) -> Column:
-    """Display-name part in front of ``<addr>`` with surrounding quotes removed."""
-    h = _c(header)
-    name = strip_ws(F.regexp_extract(h, r"^([^<]*)<[^<>]*>", 1))
-    return F.regexp_replace(name, r'^"(.*)"$', "$1")
+    """Display name of the first entry: a quoted string, the words before ``<addr>``, or the comment behind a bare address."""
+    h = F.coalesce(_c(header), F.lit(""))
+    quoted = F.regexp_extract(h, rf"^\s*({QUOTED})\s*<[^<>]*>", 1)
+    unquoted = F.regexp_replace(F.regexp_replace(quoted, '^"|"$', ""), r"\\\\(.)", "$1")
+    before = strip_ws(F.regexp_extract(first_entry(h), r"^([^<]*)<[^<>]*>", 1))
+    comment = strip_ws(F.regexp_extract(h, r"^[^<,(]*\(([^()]*)\)", 1))
+    return (F.when(quoted != "", unquoted).when(first_entry(h).contains("<"), before)
+            .otherwise(F.when(h.contains("("), comment).otherwise("")))
 
 
 def sender_domain(from_header) -> Column:
@@ -60,9 +84,9 @@ def sender_domain(from_header) -> Column:
 def plain_text(body) -> Column:
     """Strip markup (only if both ``<`` and ``>`` occur), decode entities, collapse spaces.
 
-    Script, style and comment content is dropped; every tag becomes a space; the
-    common named entities are decoded twice, as the parser and the later unescape
-    step each decode once.
+    Script, style and comment content is dropped; every tag becomes a space;
+    entities of marked-up text are decoded twice, as the parser and the later
+    unescape step each decode once, others once.
     """
     b = _c(body)
     stripped = b
@@ -74,23 +98,26 @@ def plain_text(body) -> Column:
     ]:
         stripped = F.regexp_replace(stripped, pat, " ")
     text = F.when(b.contains("<") & b.contains(">"), stripped).otherwise(b)
-    # entity decoding only where an entity can occur
-    text = let(text, lambda t: F.when(t.contains("&"), unescape_entities(unescape_entities(t))).otherwise(t))
-    return normalize_whitespace(F.regexp_replace(text, "\u00a0", " "))
+    markup = b.contains("<") & b.contains(">")
+    # only texts that hold an ampersand go through the decoder; markup is decoded once by its parser, once after it
+    decoded = _unescape()(F.when(text.contains("&"), text), F.when(markup, 2).otherwise(1))
+    return normalize_whitespace(F.regexp_replace(F.coalesce(decoded, text), "\u00a0", " "))
 
 
-# FIXED VALUES — named entities decoded by the HTML step (legacy forms may omit ';')
-ENTITIES = [
-    ("&nbsp;?", " "), ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;", "'"),
-    ("&apos;", "'"), ("&copy;?", "©"), ("&middot;?", "·"), ("&amp;?", "&"),
-]
+def _unescape():
+    """All named and numeric character references, vectorised; null stays null."""
+    @F.pandas_udf("string")
+    def unescape(texts: pd.Series, times: pd.Series) -> pd.Series:
+        from html import unescape as decode
 
+        out = []
+        for text, n in zip(texts, times):
+            for _ in range(int(n) if text is not None else 0):
+                text = decode(text)
+            out.append(text)
+        return pd.Series(out, dtype=object)
 
-def unescape_entities(text) -> Column:
-    t = _c(text)
-    for pat, rep in ENTITIES:
-        t = F.regexp_replace(t, pat, rep.replace("$", "\\$"))
-    return t
+    return unescape
 
 
 def excerpt(body, max_chars: int = L.BODY_EXCERPT_CHARS) -> Column:
@@ -100,23 +127,47 @@ def excerpt(body, max_chars: int = L.BODY_EXCERPT_CHARS) -> Column:
     ))
 
 
+# FIXED VALUES — zone names of RFC 822 and their offsets
+ZONES = {"GMT": "+0000", "UT": "+0000", "UTC": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600",
+         "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+DATE = (r"(?i)^\s*(?:[a-z]{3,9},?\s+)?(\d{1,2})[ -]+([a-z]{3})[a-z]*[ -]+(\d{4}|\d{2})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?"
+        r"(?:\s*([+-]\d{4})|\s+([a-z]{1,5}))?\s*(?:\([^)]*\)\s*)?$")
+
+
+def _date_parts(date_header) -> Column:
+    """struct(local timestamp text, offset) of an RFC-2822 date; null fields where it is none.
+
+    Two-digit years up to 68 are 20xx; a missing zone counts as UTC.
+    """
+    d = F.regexp_replace(F.coalesce(_c(date_header), F.lit("")), ",(\\S)", ", $1")
+
+    def part(i):
+        return F.regexp_extract(d, DATE, i)
+
+    year = F.when(F.length(part(3)) == 4, part(3)).otherwise(
+        F.concat(F.when(part(3) <= "68", F.lit("20")).otherwise(F.lit("19")), part(3)))
+    name = F.upper(part(8))
+    named = F.lit(None).cast("string")
+    for zone, offset in ZONES.items():
+        named = F.when(name == zone, F.lit(offset)).otherwise(named)
+    offset = F.when(part(7) != "", part(7)).when(name == "", F.lit("+0000")).otherwise(named)
+    local = F.concat(part(1), F.lit(" "), F.initcap(part(2)), F.lit(" "), year, F.lit(" "), F.lpad(part(4), 2, "0"), F.lit(":"), part(5),
+                     F.lit(":"), F.when(part(6) != "", part(6)).otherwise("00"))
+    found = part(1) != ""
+    return F.struct(F.when(found, local).alias("local"), F.when(found, offset).alias("offset"))
+
+
 def received_at(date_header) -> Column:
     """RFC-2822 ``Date`` value to a UTC timestamp; anything unparsable gives null."""
-    d = strip_ws(F.regexp_replace(_c(date_header), r"^\s*[A-Za-z]{3},\s*", ""))
-    parsed = F.coalesce(
-        F.try_to_timestamp(d, F.lit("d MMM yyyy HH:mm:ss Z")),
-        F.try_to_timestamp(d, F.lit("d MMM yyyy HH:mm Z")),
-    )
-    return parsed
+    return let(_date_parts(date_header), lambda p: F.try_to_timestamp(
+        F.concat(p["local"], F.lit(" "), p["offset"]), F.lit("d MMM yyyy HH:mm:ss Z")))
 
 
 def received_at_iso_local(date_header) -> Column:
     """``Date`` as ISO-8601 in the sender's own offset (``2024-01-01T09:30:00+01:00``), else null."""
-    d = strip_ws(F.regexp_replace(_c(date_header), r"^\s*[A-Za-z]{3},\s*", ""))
-    local = F.try_to_timestamp(F.regexp_extract(d, r"^(.*) [+-][0-9]{4}$", 1), F.lit("d MMM yyyy HH:mm:ss"))
-    zone = F.regexp_extract(d, r" ([+-][0-9]{4})$", 1)
-    return F.when(local.isNotNull() & (zone != "") & received_at(date_header).isNotNull(), F.concat(
-        F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2)))
+    return let(_date_parts(date_header), lambda p: F.concat(
+        F.date_format(F.try_to_timestamp(p["local"], F.lit("d MMM yyyy HH:mm:ss")), "yyyy-MM-dd'T'HH:mm:ss"),
+        F.substring(p["offset"], 1, 3), F.lit(":"), F.substring(p["offset"], 4, 2)))
 
 
 def combine_text(subject, body) -> Column:

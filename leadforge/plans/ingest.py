@@ -1,7 +1,7 @@
 """One ingestion run as a lazy Spark plan: batch -> outcomes, contacts, ledger, events, leads.
 
-Stages, cheapest first (an expensive column is only evaluated on rows that
-reach it, because every later stage sits inside a ``when`` on the outcome):
+Stages, cheapest first (duplicates and refused senders are filtered away before
+the scorer and come back with null scores):
 
 1. duplicate flags on the narrow key frame (ledger anti-joins + in-batch
    first occurrence), joined back to the wide batch once by ``seq``;
@@ -94,9 +94,9 @@ def run(batch: DataFrame, ledger: DataFrame, prior_contacts: DataFrame, cfg: Run
         F.nullif(F.col("subject"), F.lit("")).alias("subject_h"),
     )
     live = ~F.col("duplicate") & F.col("allowed")
-    scored = score_leads(b, cfg)
-    # extraction only for messages that are still alive and classified as leads
-    fields = F.when(live & F.col("is_lead"), extract.parse_contact("body", "headers"))
+    scored = score_leads(b.filter(live), cfg).unionByName(b.filter(~live), allowMissingColumns=True)
+    # extraction only for messages classified as leads; the others have no lead flag
+    fields = F.when(F.col("is_lead"), extract.parse_contact("body", "headers"))
     p = scored.withColumn("fields", fields)
     outcome, status = routing.route_outcome("duplicate", "allowed", "is_lead", F.col("fields.email"))
     p = p.withColumn("outcome", outcome).withColumn("status", status)
@@ -145,9 +145,10 @@ def run(batch: DataFrame, ledger: DataFrame, prior_contacts: DataFrame, cfg: Run
         F.lit(cfg.run_ts).cast("timestamp").alias("occurred_at"),
         F.struct(
             F.create_map(F.lit("Message-ID"), F.col("message_id"), F.lit("From"), F.col("from_header"),
+                         F.lit("To"), F.lit(None).cast("string"),  # the batch carries no To header
                          F.lit("Subject"), F.col("subject"), F.lit("Date"), F.col("date_header")).alias("headers"),
             F.struct("first_name", "last_name", "email", "phone", "org").alias("extracted"),
-            F.date_format("received_at", "yyyy-MM-dd'T'HH:mm:ss").alias("received_at"),
+            text.received_at_iso_local("date_header").alias("received_at"),
             F.col("excerpt").alias("body_excerpt"),
         ).alias("payload"),
     )

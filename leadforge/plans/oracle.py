@@ -37,6 +37,9 @@ m0 AS (
     CASE WHEN seq % 3 = 0 THEN 'Sales' ELSE 'INBOX' END AS folder,
     CASE WHEN seq % 53 = 0 THEN 'not-an-email'
          WHEN seq % 59 = 0 THEN 'Undisclosed <>'
+         WHEN seq % 61 = 0 THEN 'mario' || u || '@' || dom || ' (Mario Rossi)'
+         WHEN seq % 67 = 0 THEN 'prima' || u || '@' || dom || ', Carla <carla@altra.example>'
+         WHEN seq % 71 = 0 THEN '"Rossi, Mario <vendite>" <quoted' || u || '@' || dom || '>'
          ELSE 'Dr. Mario Rossi' || u || ' <User' || u || '@' || upper(dom) || '>' END AS from_header,
     CASE WHEN seq % 7 = 0 THEN 'Richiesta preventivo' WHEN seq % 7 = 1 THEN 'Quote request for services'
          WHEN seq % 7 = 2 THEN 'Richiesta informazioni' ELSE line1 END AS subject,
@@ -56,9 +59,13 @@ m0 AS (
 m AS (
   SELECT seq * 2 AS seq, message_id, imap_uid, folder, from_header, subject, body, received_date,
     CASE WHEN seq % 47 = 0 THEN 'not a date'
+         WHEN seq % 43 = 2 THEN strftime(received_date, '%a, %-d %b %Y') || ' 07:08:09 GMT'
+         WHEN seq % 43 = 3 THEN strftime(received_date, '%-d %b %y') || ' 07:08 EST'
+         WHEN seq % 43 = 4 THEN strftime(received_date, '%a, %d %b %Y') || ' 23:59:59'
          ELSE strftime(received_date, '%a, %-d %b %Y') || ' ' || lpad(cast(seq % 24 AS varchar), 2, '0')
               || ':' || lpad(cast(seq % 60 AS varchar), 2, '0') || ':00 '
-              || CASE WHEN seq % 3 = 0 THEN '+0000' WHEN seq % 3 = 1 THEN '+0100' ELSE '-0500' END END AS date_header,
+              || CASE WHEN seq % 3 = 0 THEN '+0000' WHEN seq % 3 = 1 THEN '+0100' ELSE '-0500' END
+              || CASE WHEN seq % 43 = 1 THEN ' (UTC)' ELSE '' END END AS date_header,
     cast(label AS int) AS label
   FROM m0),
 messages AS (
@@ -87,10 +94,10 @@ def norm_ws(e: str) -> str:
 
 
 def address_of(e: str) -> str:
-    return strip(
-        f"CASE WHEN regexp_matches(coalesce({e}, ''), '<[^<>]*>') "
-        f"THEN regexp_extract({e}, '<([^<>]*)>', 1) ELSE coalesce({e}, '') END"
-    )
+    """First address: what stands in the first angle brackets outside quotes, else the first list entry without comments."""
+    bare = f"regexp_replace(coalesce({e}, ''), '\"[^\"]*\"', '', 'g')"
+    entry = f"split_part(regexp_replace({bare}, '[(][^()]*[)]', ' ', 'g'), ',', 1)"
+    return strip(f"CASE WHEN contains({entry}, '<') THEN split_part(split_part({entry}, '<', 2), '>', 1) ELSE {entry} END")
 
 
 def sender_domain(e: str) -> str:
@@ -178,11 +185,17 @@ def plain_text(e: str) -> str:
     ]:
         s = f"regexp_replace({s}, {q(pat)}, ' ', 'g')"
     t = f"CASE WHEN contains({e}, '<') AND contains({e}, '>') THEN {s} ELSE {e} END"
-    from ..operators.text import ENTITIES
-    for _ in range(2):
-        for pat, rep in ENTITIES:
-            t = f"regexp_replace({t}, {q(pat)}, {q(rep)}, 'g')"
-    return norm_ws(t)
+    # the references that occur in the tables, spelled out on their own; a second pass only where there is markup
+    found = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&copy;", "©"),
+             ("&middot;", "·"), ("&egrave;", "è"), ("&#233;", "é"), ("&euro;", "€"), ("&amp;", "&")]
+
+    def decode(x: str) -> str:
+        for name, sign in found:
+            x = f"replace({x}, {q(name)}, {q(sign)})"
+        return x
+
+    once = decode(t)
+    return norm_ws(f"CASE WHEN contains({e}, '<') AND contains({e}, '>') THEN {decode(once)} ELSE {once} END")
 
 
 def excerpt(e: str, n: int = L.BODY_EXCERPT_CHARS) -> str:
@@ -205,10 +218,25 @@ def sanitize_domain(e: str) -> str:
     return f"CASE WHEN {d} = '' THEN 'unknown' ELSE {d} END"
 
 
-def received_at_str(e: str) -> str:
-    d = strip(f"regexp_replace({e}, '^\\s*[A-Za-z]{{3}},\\s*', '')")
-    ts = f"try_strptime({d}, '%d %b %Y %H:%M:%S %z')"
-    return f"strftime(timezone('UTC', {ts}), '%Y-%m-%d %H:%M:%S')"
+def date_fields(e: str) -> tuple[str, str]:
+    """(local timestamp, offset as +hhmm text) of the date forms in the batch, from words counted off the line."""
+    words = f"string_split(regexp_replace(regexp_replace({e}, '^[A-Za-z]{{3}}, ', ''), ' [(].*$', ''), ' ')"
+    year = f"CASE WHEN length({words}[3]) = 2 THEN '20' || {words}[3] ELSE {words}[3] END"
+    clock = f"CASE WHEN length({words}[4]) = 5 THEN {words}[4] || ':00' ELSE {words}[4] END"
+    local = f"try_strptime({words}[1] || ' ' || {words}[2] || ' ' || ({year}) || ' ' || ({clock}), '%d %b %Y %H:%M:%S')"
+    zone = f"CASE {words}[5] WHEN 'GMT' THEN '+0000' WHEN 'EST' THEN '-0500' ELSE coalesce({words}[5], '+0000') END"
+    return local, zone
+
+
+def received_at_str(e: str, fmt: str = "%Y-%m-%d %H:%M:%S") -> str:
+    local, zone = date_fields(e)
+    shift = f"(CAST(substr({zone}, 2, 2) AS INT) * 60 + CAST(substr({zone}, 4, 2) AS INT)) * (CASE WHEN starts_with({zone}, '-') THEN 1 ELSE -1 END)"
+    return f"CASE WHEN {local} IS NOT NULL THEN strftime({local} + to_minutes({shift}), '{fmt}') END"
+
+
+def received_iso_local(e: str) -> str:
+    local, zone = date_fields(e)
+    return f"CASE WHEN {local} IS NOT NULL THEN strftime({local}, '%Y-%m-%dT%H:%M:%S') || substr({zone}, 1, 3) || ':' || substr({zone}, 4, 2) END"
 
 
 def confidence_band(s: str) -> str:
@@ -251,13 +279,14 @@ def co(e: str) -> str:
 
 
 def first_address(e: str) -> str:
-    v = f"coalesce({e}, '')"
-    return address_of(f"CASE WHEN regexp_matches({v}, '<[^<>]*>') THEN {v} ELSE regexp_extract({v}, '^([^,]*)', 1) END")
+    return address_of(f"coalesce({e}, '')")
 
 
 def display_name(e: str) -> str:
-    n = strip(f"regexp_extract(coalesce({e}, ''), '^([^<]*)<[^<>]*>', 1)")
-    return f"regexp_replace({n}, '^\"(.*)\"$', '\\1')"
+    v = f"coalesce({e}, '')"
+    return (f"CASE WHEN starts_with({v}, '\"') THEN split_part({v}, '\"', 2) "
+            f"WHEN contains(split_part({v}, ',', 1), '<') THEN {strip(f"split_part({v}, '<', 1)")} "
+            f"WHEN contains({v}, '(') THEN split_part(split_part({v}, '(', 2), ')', 1) ELSE '' END")
 
 
 def header_email(frm: str = "from_header") -> str:
@@ -592,7 +621,7 @@ pmf AS (
          {rule_score(subject='m.subject', body='m.body', others=other_headers('m.message_id', 'm.from_header', 'm.date_header'))} AS rule,
          p.email, p.first_name, p.last_name, p.phone, p.org, nullif(m.subject, '') AS subject_h,
          {received_at_str('m.date_header')} AS received_at,
-         strftime(timezone('UTC', try_strptime({strip(f"regexp_replace(m.date_header, '^\\s*[A-Za-z]{{3}},\\s*', '')")}, '%d %b %Y %H:%M:%S %z')), '%Y-%m-%dT%H:%M:%S') AS received_iso,
+         {received_iso_local('m.date_header')} AS received_iso,
          {excerpt('m.body')} AS excerpt
   FROM messages m JOIN pcf p ON m.seq = p.seq)""", """
 pm AS (SELECT *, rule >= 2.0 AS is_lead FROM pmf)""",

@@ -93,15 +93,21 @@ def q_since_days(spark, sf_dir):
 # Scalar projections
 # ---------------------------------------------------------------------------
 
+def _pages(spark, sf_dir) -> DataFrame:
+    """Pages, every third with named and numeric entities and a bare ``<`` behind its markup."""
+    planted = F.when(F.col("page_id") % 3 == 0, F.lit(" <p>Caff&egrave; &#233; &euro;5, 1 < 2 and 3 > 2</p>")).otherwise("")
+    return read_table(spark, sf_dir, "pages").select("page_id", F.concat("html", planted).alias("html"))
+
+
 @register("plain_text")
 def q_plain_text(spark, sf_dir):
-    p = read_table(spark, sf_dir, "pages")
+    p = _pages(spark, sf_dir)
     return p.select("page_id", text.plain_text("html").alias("plain_text"))
 
 
 @register("excerpt")
 def q_excerpt(spark, sf_dir):
-    p = read_table(spark, sf_dir, "pages")
+    p = _pages(spark, sf_dir)
     return p.select("page_id", text.excerpt("html").alias("excerpt"))
 
 
@@ -258,6 +264,7 @@ def q_parse_contact(spark, sf_dir):
 
 
 TEST_SIZE = 0.2
+ACCURACY_FLOOR, AUC_FLOOR = 0.70, 0.75
 SPLIT_SEED = 42
 
 
@@ -748,8 +755,11 @@ def q_logreg_scores(spark, sf_dir):
     split = ev.stratified_split(lab.select("id", "label"), test_size=TEST_SIZE, seed=SPLIT_SEED)
     data = lab.join(split.select("id", "is_train", "is_test"), "id")
     _, scorer = fx.train_logreg(data.filter("is_train"))
-    s = scorer(data.filter("is_test"))
-    return s.select("id", "label", _r6(F.col("probability_1")).alias("probability"))
+    s = _checkpoint(scorer(data.filter("is_test")).select("id", "label", F.col("probability_1").alias("score")))
+    accuracy = ev.metrics_from_confusion(ev.confusion(s)).first()["accuracy"]
+    auc = ev.roc_auc(ev.roc_curve(s)).first()["roc_auc"]
+    return s.select("id", "label", F.col("score").between(0.0, 1.0).alias("score_in_range"),
+                    F.lit(accuracy >= ACCURACY_FLOOR).alias("accuracy_floor"), F.lit(auc >= AUC_FLOOR).alias("auc_floor"))
 
 
 # ---------------------------------------------------------------------------

@@ -32,8 +32,10 @@ sql("since_days", O.with_messages() + f"""
 SELECT seq, strftime(received_date, '%Y-%m-%d') AS received_date FROM messages
 WHERE received_date >= DATE '{AS_OF_DATE}' - INTERVAL {SINCE_DAYS} DAY""")
 
-sql("plain_text", f"SELECT page_id, {O.plain_text('html')} AS plain_text FROM pages")
-sql("excerpt", f"SELECT page_id, {O.excerpt('html')} AS excerpt FROM pages")
+_PAGES = ("WITH pg AS (SELECT page_id, html || CASE WHEN page_id % 3 = 0 THEN "
+          "' <p>Caff&egrave; &#233; &euro;5, 1 < 2 and 3 > 2</p>' ELSE '' END AS html FROM pages) ")
+sql("plain_text", _PAGES + f"SELECT page_id, {O.plain_text('html')} AS plain_text FROM pg")
+sql("excerpt", _PAGES + f"SELECT page_id, {O.excerpt('html')} AS excerpt FROM pg")
 sql("received_at", O.with_messages() + f"SELECT seq, {O.received_at_str('date_header')} AS received_at FROM messages")
 sql("combine_text", O.with_messages() + f"SELECT seq, {O.combine_text('subject', 'body')} AS combined FROM messages")
 sql("label_sanitize", O.with_messages() + f"""
@@ -268,6 +270,8 @@ _SPECIALS = r'[()<>@,:;.\\"\[\]]'
 sql("eml_load", O.with_messages() + f"""
 SELECT CAST(seq AS VARCHAR) AS path, nullif(message_id, '') AS message_id,
   CASE WHEN from_header = '' THEN NULL
+       WHEN starts_with(from_header, '"') OR contains(from_header, ',') THEN from_header
+       WHEN ends_with(from_header, ')') THEN split_part(from_header, ' (', 1)  -- the header parser drops comments
        WHEN regexp_matches(from_header, '^([^<]*[^ <]) <([^<>]*)>$')
             AND regexp_matches(regexp_extract(from_header, '^([^<]*[^ <]) <', 1), {O.q(_SPECIALS)})
        THEN '"' || regexp_extract(from_header, '^([^<]*[^ <]) <', 1) || '" <' || regexp_extract(from_header, '<([^<>]*)>$', 1) || '>'
@@ -303,18 +307,12 @@ y AS (SELECT event_id, raw, CASE WHEN regexp_matches(raw, '[+-][0-9]{2}:[0-9]{2}
                                  ELSE try_cast(raw AS TIMESTAMP) END AS c FROM x)
 SELECT event_id, coalesce(strftime(c, '%Y-%m-%d %H:%M:%S.%f'), raw) AS value, c IS NOT NULL AS parsed FROM y""")
 
-_iso_local = (
-    "CASE WHEN try_strptime(regexp_extract(d, '^(.*) [+-][0-9]{4}$', 1), '%d %b %Y %H:%M:%S') IS NOT NULL "
-    "AND regexp_matches(d, ' [+-][0-9]{4}$') AND try_strptime(d, '%d %b %Y %H:%M:%S %z') IS NOT NULL "
-    "THEN strftime(try_strptime(regexp_extract(d, '^(.*) [+-][0-9]{4}$', 1), '%d %b %Y %H:%M:%S'), '%Y-%m-%dT%H:%M:%S') "
-    "|| substr(regexp_extract(d, ' ([+-][0-9]{4})$', 1), 1, 3) || ':' || substr(regexp_extract(d, ' ([+-][0-9]{4})$', 1), 4, 2) END")
 sql("lead_outbox", _W.rstrip() + f""",
-lo AS (SELECT l.*, {O.strip("regexp_replace(m.date_header, '^\\s*[A-Za-z]{3},\\s*', '')")} AS d
-       FROM leads2 l JOIN messages m ON l.seq = m.seq)
+lo AS (SELECT * FROM leads2)
 SELECT seq, coalesce(nullif(subject_h, ''), 'Nuovo lead ricevuto') AS subject,
   'Nuovo lead inserito automaticamente:' || chr(10) || 'Nome: ' || coalesce(first_name, '') || ' ' || coalesce(last_name, '')
   || chr(10) || 'Email: ' || coalesce(email, '') || chr(10) || 'Azienda: ' || coalesce(org, '') || chr(10)
-  || 'Telefono: ' || coalesce(phone, '') || chr(10) || 'Ricevuto alle: ' || coalesce({_iso_local}, '') || chr(10) || chr(10)
+  || 'Telefono: ' || coalesce(phone, '') || chr(10) || 'Ricevuto alle: ' || coalesce(received_iso, '') || chr(10) || chr(10)
   || coalesce(excerpt, '') AS body
 FROM lo""")
 
@@ -333,6 +331,10 @@ raw AS (SELECT tf.id, tf.term, tf.tf * (ln((1.0 + nd.n) / (1.0 + dfq.df)) + 1.0)
 SELECT id, term, round(CASE WHEN sqrt(sum(r * r) OVER (PARTITION BY id)) > 0 THEN r / sqrt(sum(r * r) OVER (PARTITION BY id)) ELSE 0.0 END, 6) AS weight
 FROM raw""")
 
+# the fit has no SQL form: the held-out rows, scores inside 0..1 and both quality floors reached
+sql("logreg_scores", O.with_messages(O.LABELLED_CTE, O.split_cte(TEST_SIZE, SPLIT_SEED)) + """
+SELECT id, label, true AS score_in_range, true AS accuracy_floor, true AS auc_floor FROM tst""")
+
 # ---------------------------------------------------------------------------
 # streaming (stated as one run over all mail: the stream must agree with it)
 # ---------------------------------------------------------------------------

@@ -75,6 +75,9 @@ def messages(spark: SparkSession, sf_dir: str, with_copies: bool = True) -> Data
         F.when(seq % 3 == 0, F.lit("Sales")).otherwise(F.lit("INBOX")).alias("folder"),
         F.when(seq % 53 == 0, F.lit("not-an-email"))
         .when(seq % 59 == 0, F.lit("Undisclosed <>"))
+        .when(seq % 61 == 0, F.concat(F.lit("mario"), u, F.lit("@"), dom, F.lit(" (Mario Rossi)")))
+        .when(seq % 67 == 0, F.concat(F.lit("prima"), u, F.lit("@"), dom, F.lit(", Carla <carla@altra.example>")))
+        .when(seq % 71 == 0, F.concat(F.lit('"Rossi, Mario <vendite>" <quoted'), u, F.lit("@"), dom, F.lit(">")))
         .otherwise(F.concat(F.lit("Dr. Mario Rossi"), u, F.lit(" <User"), u, F.lit("@"), F.upper(dom), F.lit(">")))
         .alias("from_header"),
         F.when(seq % 7 == 0, F.lit("Richiesta preventivo"))
@@ -86,12 +89,16 @@ def messages(spark: SparkSession, sf_dir: str, with_copies: bool = True) -> Data
         received_date.alias("received_date"),
         # RFC-2822 Date header; every 47th mail carries an unparsable one
         F.when(seq % 47 == 0, F.lit("not a date"))
+        .when(seq % 43 == 2, F.concat(F.date_format(received_date, "EEE, d MMM yyyy"), F.lit(" 07:08:09 GMT")))
+        .when(seq % 43 == 3, F.concat(F.date_format(received_date, "d MMM yy"), F.lit(" 07:08 EST")))
+        .when(seq % 43 == 4, F.date_format(received_date, "EEE, dd MMM yyyy 23:59:59"))
         .otherwise(
             F.concat(
                 F.date_format(received_date, "EEE, d MMM yyyy"), F.lit(" "),
                 F.lpad((seq % 24).cast("string"), 2, "0"), F.lit(":"),
                 F.lpad((seq % 60).cast("string"), 2, "0"), F.lit(":00 "),
                 F.when(seq % 3 == 0, F.lit("+0000")).when(seq % 3 == 1, F.lit("+0100")).otherwise(F.lit("-0500")),
+                F.when(seq % 43 == 1, F.lit(" (UTC)")).otherwise(F.lit("")),
             )
         )
         .alias("date_header"),

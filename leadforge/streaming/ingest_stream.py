@@ -39,10 +39,10 @@ def write_mail_drop(batch: DataFrame, path: str, one_file_per_day: bool = True)
 
 
 def _committed(spark: SparkSession, state: str, before: int | None = None) -> list[int]:
-    try:
-        c = spark.read.parquet(f"{state}/commits")
-    except Exception:  # noqa: BLE001 - no commit yet
-        return []
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/commits")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return []  # no commit yet; a folder that cannot be read is an error
+    c = spark.read.parquet(f"{state}/commits")
     if before is not None:
         c = c.filter(F.col("batch_id") < before)
     return sorted(r["batch_id"] for r in c.select("batch_id").distinct().collect())  # one row per batch
