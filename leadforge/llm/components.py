@@ -1,15 +1,17 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Each round hooks every node's larger neighbours to its least neighbour, then
-does the same among smaller neighbours; the edges become stars whose centre is
-the component's least node. Every round is two partially aggregated minima and
-two joins whose sides are both written tables, so that adaptive execution can
-split the rows of a star with very many points. Nothing is collected.
+An edge runs from the larger node to the smaller one. Each round first moves
+every edge's smaller end to the least neighbour of that end (large star), then
+ties all smaller neighbours of a node to the least of them (small star); the
+edges become stars whose centre is the component's least node. The least
+neighbours are a partially aggregated, written table, so the join that meets it
+has two freshly shuffled sides and adaptive execution can split the rows of a
+star with very many points. Nothing is collected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import materialise
@@ -31,12 +33,11 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = materialise(
         edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
     while not _is_stars(e):
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-min")
-        large = materialise(
-            both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
-        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "star-min")
-        hooked = large.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialise(hooked.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        least = materialise(e.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "least-neighbours")
+        large = e.join(least, F.col("b") == F.col("u"), "left").select("a", F.coalesce("m", "b").alias("b"))
+        # the points of a star stand on the smaller side only, so no node has many rows here
+        small = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        pairs = F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
+        e = materialise(small.select(pairs.alias("p")).select("p.a", "p.b").filter("a <> b").distinct(), "edges")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

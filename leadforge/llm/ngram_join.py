@@ -53,6 +53,7 @@ LEVELS = 5
 BITS = 12       # of each level of a path
 BLOCK = 256     # classes compared at once, against as many others
 
+PATHS = [f"path{t}" for t in range(TREES)]
 _RANDOM = np.random.default_rng(17).integers(0, 1 << 63, size=(2, TREES * LEVELS), dtype=np.uint64)
 _FLIP, _FACTOR = _RANDOM[0], _RANDOM[1] | np.uint64(1)
 
@@ -109,9 +110,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = paths(value, row, rows)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).slice(lo, rows), pa.array(np.bincount(row, minlength=rows).astype(np.int64)),
-                pa.array(node), pa.array(check),
-                pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * TREES, pa.array(keys.ravel())),
-            ], names=["doc_id", "n", "node", "check", "keys"])
+                pa.array(node), pa.array(check), *[pa.array(keys[:, t]) for t in range(TREES)],
+            ], names=["doc_id", "n", "node", "check", *PATHS])
 
 
 def _linked(threshold: float):
@@ -178,29 +178,32 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_
     bounded_batches(docs.sparkSession)
     narrow = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
     signed = materialise(
-        narrow.mapInArrow(_signatures, "doc_id bigint, n bigint, node bigint, check bigint, keys array<bigint>"), "signatures")
+        narrow.mapInArrow(
+            _signatures, "doc_id bigint, n bigint, node bigint, check bigint, " + ", ".join(f"{p} bigint" for p in PATHS)),
+        "signatures")
     with_words = signed.filter("n > 0")
     classes = materialise(
         with_words.groupBy("node", "check").agg(
-            F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("n_copies"), F.any_value("keys").alias("keys")), "classes")
+            F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("n_copies"), *[F.min(p).alias(p) for p in PATHS]), "classes")
 
     # ties between classes that share a prefix in some trie
     shift = BITS * (LEVELS - prefix_levels(threshold, target))
-    prefixes = classes.select("node", F.posexplode("keys").alias("tree", "path")).select(
+    prefixes = classes.select("node", F.posexplode(F.array(*PATHS)).alias("tree", "path")).select(
         "node", F.xxhash64("tree", F.shiftright("path", shift)).alias("prefix"))
     shared = materialise(
         prefixes.groupBy("prefix").agg(F.min("node").alias("least"), F.max("node").alias("most"))
         .filter("least <> most").select("prefix", "least"), "prefixes")
     ties = prefixes.join(shared, "prefix").select("node", "least")
-    candidates = materialise(connected(ties, "node", "least"), "candidates")
+    candidates = materialise(
+        connected(ties, "node", "least").join(classes.select("node", "copy_of"), "node"), "candidates")
 
     # deal the components into blocks and the blocks into pairs
     sizes = materialise(
         candidates.groupBy("root").agg(F.count(F.lit(1)).alias("size")).select(
             "root", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "component-sizes")
-    placed = candidates.join(sizes, "root").select(
-        "node", F.col("root").alias("comp"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    members = materialise(placed.join(classes.select("node", "copy_of"), "node"), "candidate-members")
+    members = materialise(candidates.join(sizes, "root").select(
+        "node", "copy_of", F.col("root").alias("comp"), "blocks",
+        F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "candidate-members")
     known = members.count()
     hit = bloom.possible(narrow, F.col("doc_id"), members, F.col("copy_of"), known).filter("_possible").drop("_possible")
     texts = hit.join(members, hit["doc_id"].eqNullSafe(members["copy_of"])).select("node", "comp", "blocks", "block", "text")
@@ -211,15 +214,14 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_
                .select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block", "text")
                .repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi", "node"))
     found = materialise(grouped.mapInArrow(_linked(threshold), "node bigint, root bigint, links bigint"), "links")
-    groups = materialise(connected(found.select("node", "root"), "node", "root"), "groups")
-
-    counted = found.groupBy("node").agg(F.sum("links").alias("n_links"))
-    of_class = materialise(
-        classes.select("node", "check", "copy_of", "n_copies").join(groups, "node", "left").join(counted, "node", "left").select(
-            "node", "check", "copy_of", "n_copies", F.coalesce("root", "node").alias("root"),
-            F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links")), "class-roots")
-    least = materialise(of_class.groupBy("root").agg(F.min("copy_of").alias("class_id")), "group-ids")
-    labelled = materialise(of_class.join(least, "root").drop("root"), "class-labels")
+    groups = materialise(
+        connected(found.select("node", "root"), "node", "root").join(members.select("node", "copy_of"), "node"), "groups")
+    least = materialise(groups.groupBy("root").agg(F.min("copy_of").alias("class_id")), "group-ids")
+    grouped = groups.join(least, "root").join(found.groupBy("node").agg(F.sum("links").alias("n_links")), "node")
+    labelled = materialise(
+        classes.select("node", "check", "copy_of", "n_copies").join(grouped.select("node", "class_id", "n_links"), "node", "left").select(
+            "node", "check", "copy_of", "n_copies", F.coalesce("class_id", "copy_of").alias("class_id"),
+            F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links")), "class-labels")
     rows = signed.select("doc_id", "n", "node", "check")
     with_class = rows.filter("n > 0").join(labelled, ["node", "check"]).select("doc_id", "class_id", "copy_of", "n_copies", "n_links")
     without = rows.filter("n = 0").select(
