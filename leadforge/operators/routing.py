@@ -84,37 +84,55 @@ def first_occurrence(df: DataFrame, key: str, order: str = "seq", flag: str = "i
     return keyed.unionByName(df.filter(F.col(key).isNull()).withColumn(flag, F.lit(True)))
 
 
+def _first_by_both(open_rows: DataFrame) -> DataFrame:
+    """Rows that are the first of their id and of their uid; a missing key never stands in the way."""
+    by_mid = first_occurrence(open_rows, "mid", flag="first_mid").filter("first_mid").select("seq")
+    by_uid = first_occurrence(open_rows, "uid", flag="first_uid").filter("first_uid")
+    return by_uid.join(by_mid, "seq").select("seq", "mid", "uid")
+
+
 def duplicate_flags(batch: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """F2 + F3 on the narrow key frame: (seq, duplicate).
 
     A message is a duplicate when its id or uid is already in the ledger, or an
     earlier message of the batch (that was not itself a duplicate) shares its
-    id or uid. Ledger hits are removed first, then first occurrences by id, then
-    by uid among those still kept.
+    id or uid: exactly the message-by-message order, in rounds. A round keeps the
+    open rows that are first by both keys and closes all rows that share a key
+    with them. One round closes everything unless a uid carries several ids or
+    the reverse; every round is checkpointed, narrow rows only.
     """
     if ledger is not None:
         keys = seen_flags(batch, ledger)
-        keys = keys.withColumn("seen", F.col("seen_by_id") | F.col("seen_by_uid"))
+        keys = keys.withColumn("seen", F.col("seen_by_id") | F.col("seen_by_uid")).select("seq", "mid", "uid", "seen")
     else:
         keys = batch.select(
             "seq",
             F.nullif(strip_ws("message_id"), F.lit("")).alias("mid"),
             F.col("imap_uid").alias("uid"),
         ).withColumn("seen", F.lit(False))
-    fresh = keys.filter(~F.col("seen"))
-    by_mid = first_occurrence(fresh, "mid", flag="first_mid")
-    kept = by_mid.filter("first_mid")
-    by_uid = first_occurrence(kept, "uid", flag="first_uid").filter("first_uid").select("seq")
-    return keys.select("seq").join(by_uid.withColumn("kept", F.lit(True)), "seq", "left").select(
-        "seq", F.coalesce("kept", F.lit(False)).alias("kept")
-    ).withColumn("duplicate", ~F.col("kept")).drop("kept")
+    keys = keys.checkpoint()
+    open_rows, rounds = keys.filter(~F.col("seen")).drop("seen"), []
+    while True:
+        kept = _first_by_both(open_rows).checkpoint()
+        rounds.append(kept.select("seq"))
+        left = (open_rows.join(kept.select("seq"), "seq", "left_anti")
+                .join(kept.select("mid").filter("mid is not null"), "mid", "left_anti")
+                .join(kept.select("uid").filter("uid is not null"), "uid", "left_anti")
+                .select("seq", "mid", "uid").checkpoint())
+        if left.isEmpty():
+            break
+        open_rows = left
+    stay = rounds[0]
+    for more in rounds[1:]:
+        stay = stay.unionByName(more)
+    return keys.select("seq").join(stay.withColumn("kept", F.lit(True)), "seq", "left").select(
+        "seq", F.col("kept").isNull().alias("duplicate"))
 
 
 def ambiguous_key_groups(batch: DataFrame) -> DataFrame:
-    """Key groups where the two-pass dedup could differ from message-by-message order.
+    """Keys in conflict: one uid with several distinct ids or one id with several uids.
 
-    That happens only when one uid carries several distinct ids or one id
-    several uids. The ingestion plan checks this is empty and stops otherwise.
+    The dedup resolves them in message order; a strict run stops at them instead.
     """
     k = batch.select(F.nullif(strip_ws("message_id"), F.lit("")).alias("mid"), F.col("imap_uid").alias("uid"))
     a = k.filter(F.col("mid").isNotNull()).groupBy("uid").agg(F.countDistinct("mid").alias("n")).filter("n > 1")

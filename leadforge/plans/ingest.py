@@ -80,8 +80,7 @@ def run(batch: DataFrame, ledger: DataFrame, prior_contacts: DataFrame, cfg: Run
     and extraction for each output.
     """
     if cfg.check_keys and ambiguous_keys(batch):
-        raise ValueError("batch has a uid with several Message-IDs (or the reverse); "
-                         "first-occurrence dedup would depend on the message-by-message order")
+        raise ValueError("batch has a uid with several Message-IDs (or the reverse)")
     dup = routing.duplicate_flags(batch, ledger)
     b = batch.join(dup, "seq", "inner")
     allowed, reason = routing.sender_check("from_header", cfg.allowed_domains)
@@ -162,5 +161,5 @@ def run(batch: DataFrame, ledger: DataFrame, prior_contacts: DataFrame, cfg: Run
 
 
 def ambiguous_keys(batch: DataFrame) -> bool:
-    """True when the two-pass dedup could differ from message-by-message order (one action)."""
+    """True when a uid carries several ids or the reverse (one action)."""
     return len(routing.ambiguous_key_groups(batch).limit(1).collect()) > 0

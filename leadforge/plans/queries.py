@@ -790,8 +790,8 @@ def stream_fixture(spark, sf_dir):
     outcomes = spark.readStream.schema(out_schema).parquet(f"{state}/outcomes")
 
     def append_versioned(path):
-        def fn(df, bid):
-            df.withColumn("stream_batch", F.lit(bid)).write.mode("append").parquet(path)
+        def fn(df, bid):  # a replayed batch rewrites its own folder
+            df.write.mode("overwrite").parquet(f"{path}/stream_batch={bid}")
         return fn
 
     processed = outcomes.filter(F.col("outcome") == "processed")
@@ -832,14 +832,12 @@ def q_stream_totals(spark, sf_dir):
 def q_stream_replay(spark, sf_dir):
     fx_ = stream_fixture(spark, sf_dir)
     state = fx_["state"]
-    ledger = spark.read.parquet(f"{state}/ledger")
-    outcomes = spark.read.parquet(f"{state}/outcomes")
     replay = F.col("batch_id") >= 2 * 1_000_000_000
-    return ledger.agg(
-        F.count(F.lit(1)).alias("ledger_rows"),
-        F.count_if(replay).alias("replay_ledger_rows"),
-    ).select("ledger_rows", "replay_ledger_rows",
-             F.lit(fx_["ledger_before"]).cast("long").alias("ledger_rows_before")).unionByName(
-        outcomes.filter(replay).agg(F.count_if(F.col("outcome") == "processed").alias("ledger_rows"))
-        .select(F.lit(-1).cast("long").alias("ledger_rows"), F.col("ledger_rows").alias("replay_ledger_rows"),
-                F.lit(-1).cast("long").alias("ledger_rows_before"))).filter(F.col("ledger_rows") >= 0)
+    ledger = spark.read.parquet(f"{state}/ledger").agg(
+        F.count(F.lit(1)).alias("ledger_rows"), F.count_if(replay).alias("replay_ledger_rows"))
+    outcomes = spark.read.parquet(f"{state}/outcomes").agg(
+        F.count_if(replay).alias("replay_rows"),
+        F.count_if(replay & (F.col("outcome") != "duplicate")).alias("replay_not_duplicate")).first()
+    return ledger.select(
+        "ledger_rows", "replay_ledger_rows", F.lit(fx_["ledger_before"]).cast("long").alias("ledger_rows_before"),
+        F.lit(outcomes["replay_rows"]).alias("replay_rows"), F.lit(outcomes["replay_not_duplicate"]).alias("replay_not_duplicate"))

@@ -347,5 +347,6 @@ SELECT {O.sanitize_folder('folder')} AS folder, {O.sanitize_domain('from_domain'
        count(*) FILTER (WHERE outcome IN ('processed', 'missing_email')) AS processed
 FROM o2 GROUP BY 1, 2""")
 sql("stream_replay", _S + """
-SELECT count(*) AS ledger_rows, CAST(0 AS BIGINT) AS replay_ledger_rows, count(*) AS ledger_rows_before
+SELECT count(*) AS ledger_rows, CAST(0 AS BIGINT) AS replay_ledger_rows, count(*) AS ledger_rows_before,
+  (SELECT count(*) FROM messages) AS replay_rows, CAST(0 AS BIGINT) AS replay_not_duplicate
 FROM o2 WHERE outcome <> 'duplicate'""")

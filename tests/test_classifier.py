@@ -144,3 +144,21 @@ def test_ordered_running_matches_pandas(spark):
     want["rank"] = want.groupby("g").cumcount() + 1
     want["cum_v"] = want.groupby("g")["v"].cumsum()
     assert list(got["rank"]) == list(want["rank"]) and list(got["cum_v"]) == list(want["cum_v"])
+
+
+def test_ordered_running_on_a_large_input(spark):
+    """200,000 rows over 16 input partitions with a payload column that one branch prunes."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from leadforge.functions.ranking import ordered_running
+
+    n = 200_000
+    df = spark.range(n, numPartitions=16).select(
+        ((F.col("id") * 7919) % n).alias("seq"), (F.col("id") % 5).cast("double").alias("v"), F.md5(F.col("id").cast("string")).alias("payload"))
+    got = ordered_running(df, ["seq"], ["v"], rank_col="position")
+    want = df.select("seq", F.row_number().over(Window.orderBy("seq")).alias("w_position"),
+                     F.sum("v").over(Window.orderBy("seq")).alias("w_cum"))
+    wrong = got.join(want, "seq").filter((F.col("position") != F.col("w_position")) | (F.col("cum_v") != F.col("w_cum"))
+                                         | (F.col("group_rows") != n) | (F.col("total_v") != 2.0 * n))
+    assert got.count() == n and wrong.count() == 0

@@ -89,3 +89,23 @@ def test_ambiguous_keys_stop_the_run(spark):
         ingest.run(batch(spark, rows), ingest.empty_ledger(spark), upsert.empty_contacts(spark),
                    ingest.RunConfig(check_keys=True))
     assert not ingest.ambiguous_keys(batch(spark, ROWS[:2]))
+
+
+def test_dedup_with_conflicting_keys_follows_message_order(spark):
+    import random
+
+    from leadforge.operators import routing
+
+    random.seed(3)
+    rows = [(0, "A", "1"), (1, "B", "1"), (2, "B", "2"), (3, "", "2"), (4, None, None), (5, None, None)]
+    rows += [(10 + i, random.choice(["", "X", "Y", "Z", "W"]), random.choice([None, "7", "8", "9"])) for i in range(60)]
+    mids, uids, want = set(), set(), set()
+    for seq, mid, uid in rows:
+        if (mid and mid in mids) or (uid and uid in uids):
+            want.add(seq)
+            continue
+        mids.add(mid or object())
+        uids.add(uid or object())
+    df = spark.createDataFrame(rows, "seq bigint, message_id string, imap_uid string")
+    got = {r["seq"] for r in routing.duplicate_flags(df).filter("duplicate").collect()}
+    assert got == want and {2, 4, 5}.isdisjoint(got)

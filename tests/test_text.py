@@ -44,3 +44,29 @@ def test_notices(spark):
     lines = s["body"].split("\n")
     assert lines[0] == s["subject"] and "File Excel: /data/leads.xlsx" in lines
     assert not any(x.startswith("Riga inserita") for x in lines) and lines[-1] == "nota"
+
+
+def test_dates_and_addresses_of_real_headers(spark):
+    from leadforge.operators import text
+
+    dates = {"Mon, 1 Jan 2024 09:30:00 +0100 (CET)": "2024-01-01 08:30:00", "1 Jan 24 09:30 GMT": "2024-01-01 09:30:00",
+             "Tue, 02 Jan 2024 09:30:00 EST": "2024-01-02 14:30:00", "3 jan 1999 09:30:01 +0000 (UTC)": "1999-01-03 09:30:01",
+             "Wed, 3 Jan 2024 09:30:00": "2024-01-03 09:30:00", "yesterday": None, "": None}
+    rows = spark.createDataFrame([(d,) for d in dates], "d string")
+    got = {r["d"]: r["t"] for r in rows.select("d", text.received_at("d").cast("string").alias("t")).collect()}
+    assert got == dates
+    senders = {"mario@x.it (Mario Rossi)": ("x.it", "Mario Rossi"), "a@b.it, Carla <c@d.it>": ("b.it", ""),
+               '"A <x>" <m@x.it>': ("x.it", "A <x>"), "Anna Neri <anna@Neri.IT>": ("neri.it", "Anna Neri"),
+               "Undisclosed <>": (None, "Undisclosed"), "plain@y.it": ("y.it", "")}
+    rows = spark.createDataFrame([(h,) for h in senders], "h string")
+    found = rows.select("h", text.sender_domain("h").alias("d"), text.display_name_of("h").alias("n")).collect()
+    assert {r["h"]: (r["d"], r["n"]) for r in found} == senders
+
+
+def test_character_references(spark):
+    from leadforge.operators import text
+
+    cases = {"<b>Caff&egrave;</b> &#233; &#x20AC;": "Caffè é €", "1 < 2 and 3 > 2": "1 < 2 and 3 > 2", "a &amp;lt; b": "a &lt; b",
+             "<p>a &amp;lt; b</p>": "a < b", "plain": "plain"}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r["t"]: r["p"] for r in rows.select("t", text.plain_text("t").alias("p")).collect()} == cases
