@@ -15,10 +15,10 @@ but the first place of a class are removed whole, the first one goes on if its
 anchor has other contexts too: there, repeats begin or end.
 
 *Suffix arrays.* The contexts that go on meet by anchor. Aligned at the anchor,
-they are sequences of 8-byte symbols; a task concatenates whole anchor groups up
+they are sequences of 16-byte symbols; a task concatenates whole anchor groups up
 to ``AT_ONCE`` contexts and sorts the suffixes by linear grouping
-(:mod:`.suffix_array`). Neighbours in the suffix array that share 11 symbols or
-more are the contexts with a common core of 88 bytes, and their at most eight
+(:mod:`.suffix_array`). Neighbours in the suffix array that share five symbols or
+more are the contexts with a common core of 80 bytes, and their at most sixteen
 windows around it are compared byte for byte (by hash) and ordered by place.
 
 *Hot anchors.* An anchor with more than ``HOT`` contexts (a line that stands in
@@ -55,10 +55,11 @@ from .text import buffers, chunks, mix
 LENGTH = 100
 GRAM = 32                       # a power of two
 REACH = LENGTH - GRAM           # bytes of a string before its anchor, at most
-ZONE = 8                        # string starts that share a core
+ZONE = 16                       # string starts that share a core; also the bytes of a symbol
 ZONES = REACH // ZONE + 1
-SYMBOLS = 20                    # 8-byte symbols of a context, from 64 bytes before the anchor
-SHARED = 11                     # symbols that a core spans
+LEAD = (ZONES - 1) * ZONE       # bytes before the anchor at which a context's first symbol starts
+SYMBOLS = (LEAD + LENGTH) // ZONE
+SHARED = (LENGTH - ZONE + 1) // ZONE  # symbols that lie whole in every string of a zone
 AT_ONCE = 1000
 HOT = 4000
 FIRST_ID = -(1 << 63)
@@ -186,9 +187,10 @@ def padded_contexts(raw: list[bytes], before: np.ndarray) -> np.ndarray:
 def shared_cores(table: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(set, context, zone): contexts whose zone has its core in common with another's, from one suffix array."""
     rows = len(table)
-    body = np.ascontiguousarray(table[:, REACH - 64:REACH - 64 + 8 * SYMBOLS]).view("<u8").astype(np.uint64)
+    halves = np.ascontiguousarray(table[:, REACH - LEAD:REACH - LEAD + ZONE * SYMBOLS]).view("<u8").astype(np.uint64)
+    body = mix(mix(halves[:, ::2]) ^ halves[:, 1::2])  # equal symbols have equal numbers
     column = np.arange(SYMBOLS)
-    whole = (8 * column - 64 >= -before[:, None]) & (8 * column - 56 <= after[:, None])
+    whole = (ZONE * column - LEAD >= -before[:, None]) & (ZONE * (column + 1) - LEAD <= after[:, None])
     _, rank = np.unique(body, return_inverse=True)
     rank = rank.reshape(body.shape).astype(np.int64) + 1
     missing = int((~whole).sum())
@@ -204,7 +206,7 @@ def shared_cores(table: np.ndarray, before: np.ndarray, after: np.ndarray) -> tu
         same &= ahead[order[:-1] + k] == ahead[order[1:] + k]
     interval = np.concatenate([[0], np.cumsum(~same)])
     context, at = np.divmod(order, SYMBOLS + 1)
-    zone = 8 - at                                 # the core of zone z starts at symbol 8 - z
+    zone = ZONES - 1 - at                         # the strings of zone z hold the symbols from ZONES - 1 - z on
     keep = (zone >= 0) & (zone < ZONES)
     interval, context, zone = interval[keep], context[keep], zone[keep]
     key = interval * ZONES + zone
