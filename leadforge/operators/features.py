@@ -66,7 +66,7 @@ def tfidf_weights(df: DataFrame, id_col: str = "id", text_col: str = "text", use
 
 
 def train_logreg(train: DataFrame, text_col: str = "text", label_col: str = "label", use_ngrams: bool = True,
-                 use_features: bool = True, max_iter: int = 1000, tol: float = 1e-4,
+                 use_features: bool = True, max_iter: int = 1000, tol: float = 1e-3,
                  max_terms: int = MAX_TERMS):
     """tokens(+bigrams) -> counts -> smooth idf -> L2 -> (+ six features) -> class-balanced
     L2 logistic regression (C = 1, unpenalised intercept), fitted with ``pyspark.ml`` (L-BFGS).
