@@ -61,7 +61,7 @@ LEAD = (ZONES - 1) * ZONE       # bytes before the anchor at which a context's f
 SYMBOLS = (LEAD + LENGTH) // ZONE
 SHARED = (LENGTH - ZONE + 1) // ZONE  # symbols that lie whole in every string of a zone
 AT_ONCE = 1000
-HOT = 4000
+HOT = 40_000                    # contexts of one anchor that a task takes: some 7 MB
 FIRST_ID = -(1 << 63)
 SPACING = 256                   # zero bytes behind the texts of a chunk
 
