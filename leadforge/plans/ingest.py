@@ -71,9 +71,11 @@ def score_leads(df: DataFrame, cfg: RunConfig) -> DataFrame:
 
 
 def run(batch: DataFrame, ledger: DataFrame, prior_contacts: DataFrame, cfg: RunConfig,
-        cut=None) -> RunResult:
+        cut=None, changed_only: bool = False) -> RunResult:
     """Plan one run over ``batch`` (messages schema) against the prior ledger and contacts.
 
+    With ``changed_only`` the result's contacts are the rows this batch touched, not the full snapshot.
+
     ``cut`` (e.g. ``lambda df: df.checkpoint()`` or a write-then-read into the
     batch folder) is applied to the per-message outcomes, so every output of the
     run is derived from one materialised table instead of re-planning the scoring
@@ -125,6 +127,8 @@ def run(batch: DataFrame, ledger: DataFrame, prior_contacts: DataFrame, cfg: Run
         outcomes = cut(outcomes)
     processed = outcomes.filter(F.col("outcome") == "processed")
     agg = upsert.batch_contacts(processed)
+    if changed_only:
+        prior_contacts = prior_contacts.join(agg.select("email"), "email", "left_semi")
     contacts = upsert.merge_contacts(prior_contacts, agg, cfg.run_ts)
     created = upsert.created_flags(processed, prior_contacts, agg)
     outcomes = outcomes.join(created, "seq", "left").withColumn(

@@ -495,6 +495,7 @@ PIPELINE_DOMAINS = ["d0.example", "d1.example", "d2.example", "d3.example", "d5.
                     "d8.example", "d9.example"]
 LEAD_HEADERS = ["Email", " company ", "", "Phone", "NOTES", "fax"]
 PAGE_OFFSET, PAGE_LIMIT = 100, 50
+DEDUP_HORIZON = "60 days"
 
 
 _RUNS: dict = {}
@@ -783,28 +784,14 @@ def stream_fixture(spark, sf_dir):
     S.write_mail_drop(messages(spark, sf_dir), drop)
     schema = spark.read.parquet(drop).schema
     cfg = ingest.RunConfig(allowed_domains=PIPELINE_DOMAINS, run_ts=RUN2_TS)
-    S.start_ingest(spark, drop, state, f"{base}/ckpt_ingest", schema, cfg, files_per_trigger=10,
+    S.start_ingest(spark, drop, state, f"{base}/ckpt_ingest", schema, cfg, files_per_trigger=80,
                    epoch=1).awaitTermination()
 
-    out_schema = spark.read.parquet(f"{state}/outcomes").schema
-    outcomes = spark.readStream.schema(out_schema).parquet(f"{state}/outcomes")
-
-    def append_versioned(path):
-        def fn(df, bid):  # a replayed batch rewrites its own folder
-            df.write.mode("overwrite").parquet(f"{path}/stream_batch={bid}")
-        return fn
-
-    processed = outcomes.filter(F.col("outcome") == "processed")
-    (S.contact_state(processed).writeStream.outputMode("update")
-     .option("checkpointLocation", f"{base}/ckpt_state").foreachBatch(append_versioned(f"{base}/contact_updates"))
-     .trigger(availableNow=True).start().awaitTermination())
-    (S.live_totals(outcomes).writeStream.outputMode("complete")
-     .option("checkpointLocation", f"{base}/ckpt_totals")
-     .foreachBatch(lambda df, bid: df.write.mode("overwrite").parquet(f"{base}/totals"))
-     .trigger(availableNow=True).start().awaitTermination())
+    S.start_contact_state(spark, state, f"{base}/contact_parts", f"{base}/ckpt_state").awaitTermination()
+    S.start_live_totals(spark, state, f"{base}/totals", f"{base}/ckpt_totals").awaitTermination()
 
     ledger_before = spark.read.parquet(f"{state}/ledger").count()
-    S.start_ingest(spark, drop, state, f"{base}/ckpt_replay", schema, cfg, files_per_trigger=10,
+    S.start_ingest(spark, drop, state, f"{base}/ckpt_replay", schema, cfg, files_per_trigger=80,
                    epoch=2).awaitTermination()
     _STREAMS[key] = {"base": base, "state": state, "ledger_before": ledger_before}
     return _STREAMS[key]
@@ -812,20 +799,32 @@ def stream_fixture(spark, sf_dir):
 
 @register("stream_contacts")
 def q_stream_contacts(spark, sf_dir):
-    fx_ = stream_fixture(spark, sf_dir)
-    u = spark.read.parquet(f"{fx_['base']}/contact_updates")
-    last = u.groupBy("email").agg(F.max_by(F.struct(*[c for c in u.columns if c not in ("email", "stream_batch")]),
-                                           "stream_batch").alias("c"))
-    return last.select("email", "c.first_name", "c.last_name", "c.phone", "c.org",
-                       F.col("c.last_message_subject").alias("last_message_subject"),
-                       _ts(F.col("c.last_message_received_at")).alias("last_message_received_at"),
-                       F.col("c.last_message_excerpt").alias("last_message_excerpt"))
+    from ..streaming import ingest_stream as S
+    c = S.read_contact_state(spark, f"{stream_fixture(spark, sf_dir)['base']}/contact_parts")
+    return c.select("email", "first_name", "last_name", "phone", "org", "last_message_subject",
+                    _ts(F.col("last_message_received_at")).alias("last_message_received_at"), "last_message_excerpt")
 
 
 @register("stream_totals")
 def q_stream_totals(spark, sf_dir):
-    fx_ = stream_fixture(spark, sf_dir)
-    return spark.read.parquet(f"{fx_['base']}/totals").select("folder", "domain", "processed")
+    from ..streaming import ingest_stream as S
+    return S.read_live_totals(spark, f"{stream_fixture(spark, sf_dir)['base']}/totals")
+
+
+@register("stream_watermark_dedup")
+def q_stream_watermark_dedup(spark, sf_dir):
+    """T3 with a bounded horizon that spans the fixture's days: every message key stays once."""
+    from ..session import scratch_path
+    from ..streaming import ingest_stream as S
+    base = scratch_path(spark, "watermark")
+    S.write_mail_drop(messages(spark, sf_dir), f"{base}/drop")
+    src = spark.readStream.schema(spark.read.parquet(f"{base}/drop").schema).parquet(f"{base}/drop")
+    kept = S.dedup_within_watermark(src.withColumn("received_ts", F.col("received_date").cast("timestamp")),
+                                    "received_ts", DEDUP_HORIZON)
+    (kept.select("message_id", "imap_uid").writeStream.option("checkpointLocation", f"{base}/ckpt")
+     .option("path", f"{base}/kept").format("parquet").trigger(availableNow=True).start().awaitTermination())
+    return (spark.read.parquet(f"{base}/kept").groupBy(routing.ledger_key("message_id", "imap_uid").alias("key"))
+            .agg(F.count(F.lit(1)).alias("n")))
 
 
 @register("stream_replay")

@@ -344,8 +344,11 @@ sql("stream_contacts", _S + """
 SELECT email, first_name, last_name, phone, org, last_message_subject, last_message_received_at, last_message_excerpt FROM c2""")
 sql("stream_totals", _S + f"""
 SELECT {O.sanitize_folder('folder')} AS folder, {O.sanitize_domain('from_domain')} AS domain,
-       count(*) FILTER (WHERE outcome IN ('processed', 'missing_email')) AS processed
+       count(*) FILTER (WHERE outcome IN ('processed', 'missing_email')) AS processed,
+       count(*) FILTER (WHERE created) AS leads
 FROM o2 GROUP BY 1, 2""")
+sql("stream_watermark_dedup", O.with_messages() + f"""
+SELECT DISTINCT coalesce(nullif({O.strip('message_id')}, ''), 'uid:' || imap_uid) AS key, CAST(1 AS BIGINT) AS n FROM messages""")
 sql("stream_replay", _S + """
 SELECT count(*) AS ledger_rows, CAST(0 AS BIGINT) AS replay_ledger_rows, count(*) AS ledger_rows_before,
   (SELECT count(*) FROM messages) AS replay_rows, CAST(0 AS BIGINT) AS replay_not_duplicate

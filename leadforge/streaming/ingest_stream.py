@@ -4,64 +4,91 @@ T1  ``start_ingest``: new mail files -> ``foreachBatch`` runs the batch plan
     (``plans.ingest.run``) against the ledger and contacts kept under a state
     folder. Every micro-batch writes its outputs under ``batch_id=<n>`` and
     overwrites that folder if the batch is replayed after a failure, then
-    records the id in ``commits``; readers take only committed ids, so
-    ledger, events and contacts stay consistent (exactly once per batch id).
-T2  ``contact_state``: keyed contact state by email with
-    ``applyInPandasWithState``; fields merge by arrival sequence, so the state
-    does not depend on how messages were grouped into micro-batches.
+    records the id in ``commits``; readers join with ``commits``, so ledger,
+    events and contacts stay consistent (exactly once per batch id). Contacts
+    are written as the changed rows only, with a full base every
+    ``compact_every`` batches.
+T2  ``start_contact_state``: contact state per email. The stream reads
+    ``commits``, so it sees committed batches only; a batch is reduced to one row
+    per email with partial aggregation (a hot address is one row per task), and
+    rows merge by the smallest or largest (sequence, value) pair. The merge gives
+    the same state in any order and when a batch comes twice.
 T3  dedup: the ledger anti-join inside T1 has an unbounded horizon; the
     opt-in ``dedup_within_watermark`` bounds state with a watermark instead.
-T4  ``live_totals``: streaming counts per (folder, domain) in complete mode.
+T4  ``start_live_totals``: counts per (folder, domain) of each committed batch;
+    a batch that comes twice rewrites its own counts.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import upsert
+from ..operators.routing import ledger_key
 from ..operators.text import sanitize_domain, sanitize_folder
 from ..plans import ingest
 
+EPOCH_SPAN = 1_000_000_000
+COMMIT_SCHEMA = "committed boolean, base_id long, batch_id long"
+
 
-def write_mail_drop(batch: DataFrame, path: str, one_file_per_day: bool = True) -> None:
+def write_mail_drop(batch: DataFrame, path: str, files_per_day: int = 8) -> None:
     """Lay out a batch as the files a mail collector would drop, one folder per day.
 
-    With ``one_file_per_day`` a day's mail (including redelivered copies) is one
-    file, so it reaches the stream in one micro-batch and arrival order inside
-    the day is the sequence order.
+    A day's mail is spread over up to ``files_per_day`` files by message key, so the
+    redelivered copies of a message share a file and reach the stream in one
+    micro-batch, where arrival order is the sequence order.
     """
-    out = batch.repartition("received_date") if one_file_per_day else batch
-    out.write.mode("overwrite").partitionBy("received_date").parquet(path)
+    part = F.pmod(F.xxhash64(ledger_key("message_id", "imap_uid")), F.lit(files_per_day))
+    batch.repartition("received_date", part).write.mode("overwrite").partitionBy("received_date").parquet(path)
+
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
-def _committed(spark: SparkSession, state: str, before: int | None = None) -> list[int]:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/commits")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return []  # no commit yet; a folder that cannot be read is an error
-    c = spark.read.parquet(f"{state}/commits")
-    if before is not None:
-        c = c.filter(F.col("batch_id") < before)
-    return sorted(r["batch_id"] for r in c.select("batch_id").distinct().collect())  # one row per batch
+
+def committed(spark: SparkSession, state: str, before: int | None = None) -> DataFrame | None:
+    """(batch_id, base_id) per committed batch; None before the first commit.
+
+    A commit folder that exists but cannot be read is an error, never an empty state.
+    """
+    if not _exists(spark, f"{state}/commits"):
+        return None
+    c = spark.read.parquet(f"{state}/commits").select(F.col("batch_id").cast("long").alias("batch_id"), "base_id")
+    c = c if before is None else c.filter(F.col("batch_id") < before)
+    return None if c.isEmpty() else c
 
 
 def read_state(spark: SparkSession, state: str, name: str, before: int | None = None) -> DataFrame | None:
-    ids = _committed(spark, state, before)
-    if not ids:
+    """The committed rows of one output (``contacts``: the current contacts); None before the first commit."""
+    done = committed(spark, state, before)
+    if done is None:
         return None
-    df = spark.read.parquet(f"{state}/{name}")
     if name == "contacts":
-        return df.filter(F.col("batch_id") == ids[-1]).drop("batch_id")
-    return df.filter(F.col("batch_id").isin(ids)).drop("batch_id")
+        return _current_contacts(spark, state, done)
+    return spark.read.parquet(f"{state}/{name}").join(done.select("batch_id"), "batch_id", "left_semi").drop("batch_id")
 
 
-EPOCH_SPAN = 1_000_000_000
+def _current_contacts(spark: SparkSession, state: str, done: DataFrame) -> DataFrame:
+    """The last committed base and the changed rows written since, the newest row of each email."""
+    base_id = done.agg(F.max_by("base_id", "batch_id").alias("b")).first()["b"]  # one number
+    rows = (spark.read.parquet(f"{state}/contacts").filter(F.col("batch_id") > F.lit(base_id or 0))
+            .join(done.select("batch_id"), "batch_id", "left_semi"))
+    if base_id is not None:
+        rows = rows.unionByName(spark.read.parquet(f"{state}/contacts_base").filter(F.col("batch_id") == base_id))
+    return _newest(rows)
+
 
+def _newest(rows: DataFrame) -> DataFrame:
+    fields = [c for c in upsert.CONTACT_COLUMNS if c != "email"]
+    return rows.groupBy("email").agg(F.max_by(F.struct(*fields), "batch_id").alias("c")).select(
+        *[F.col("email") if c == "email" else F.col(f"c.{c}").alias(c) for c in upsert.CONTACT_COLUMNS])
 
-def process_batch(batch: DataFrame, stream_batch: int, state: str, cfg: ingest.RunConfig, epoch: int = 1) -> None:
+
+def process_batch(batch: DataFrame, stream_batch: int, state: str, cfg: ingest.RunConfig, epoch: int = 1,
+                  compact_every: int = 50) -> None:
     """T1 body: one micro-batch through the batch plan, outputs under its state batch id.
 
     The state id is ``epoch * 1e9 + stream batch id``: the same micro-batch
@@ -73,24 +100,30 @@ def process_batch(batch: DataFrame, stream_batch: int, state: str, cfg: ingest.R
     ledger = read_state(spark, state, "ledger", before=batch_id)
     contacts = read_state(spark, state, "contacts", before=batch_id)
     ledger = ledger.select("message_id", "imap_uid") if ledger is not None else ingest.empty_ledger(spark)
-    contacts = contacts if contacts is not None else upsert.empty_contacts(spark)
+    prior = contacts if contacts is not None else upsert.empty_contacts(spark)
 
-    def cut(df: DataFrame) -> DataFrame:
-        path = f"{state}/scored/batch_id={batch_id}"
+    def write(name: str, df: DataFrame) -> DataFrame:
+        path = f"{state}/{name}/batch_id={batch_id}"
         df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-
-    r = ingest.run(batch, ledger, contacts, cfg, cut=cut)
-    for name, df in (("outcomes", r.outcomes), ("ledger", r.ledger), ("events", r.events),
-                     ("new_leads", r.new_leads), ("contacts", r.contacts)):
-        df.write.mode("overwrite").parquet(f"{state}/{name}/batch_id={batch_id}")
-    spark.createDataFrame([(True,)], "committed boolean").write.mode("overwrite").parquet(
-        f"{state}/commits/batch_id={batch_id}")
+        return spark.read.schema(df.schema).parquet(path)
+
+    r = ingest.run(batch, ledger, prior, cfg, cut=lambda df: write("scored", df), changed_only=True)
+    for name, df in (("outcomes", r.outcomes), ("ledger", r.ledger), ("events", r.events), ("new_leads", r.new_leads)):
+        write(name, df)
+    changed = write("contacts", r.contacts)
+    done = committed(spark, state, before=batch_id)
+    base_id = None if done is None else done.agg(F.max_by("base_id", "batch_id").alias("b")).first()["b"]
+    if (int(stream_batch) + 1) % compact_every == 0:
+        whole = changed.withColumn("batch_id", F.lit(1)).unionByName(prior.withColumn("batch_id", F.lit(0)))
+        write("contacts_base", _newest(whole))
+        base_id = batch_id
+    spark.createDataFrame([(True, base_id)], "committed boolean, base_id long").coalesce(1).write.mode(
+        "overwrite").parquet(f"{state}/commits/batch_id={batch_id}")
 
 
 def start_ingest(spark: SparkSession, drop: str, state: str, checkpoint: str, schema,
                  cfg: ingest.RunConfig, files_per_trigger: int = 5, available_now: bool = True,
-                 interval: str = "5 minutes", epoch: int = 1):
+                 interval: str = "5 minutes", epoch: int = 1, compact_every: int = 50):
     """Start the ingest stream (``availableNow`` drains what is there; else a timed trigger).
 
     ``epoch`` must be the same whenever this checkpoint is restarted and differ
@@ -98,85 +131,104 @@ def start_ingest(spark: SparkSession, drop: str, state: str, checkpoint: str, sc
     """
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(drop)
     w = src.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda df, bid: process_batch(df, bid, state, cfg, epoch))
+        lambda df, bid: process_batch(df, bid, state, cfg, epoch, compact_every))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
 
 
 # ---------------------------------------------------------------------------
-# Keyed contact state
+# Streams over committed batches: contact state (T2) and live totals (T4)
 # ---------------------------------------------------------------------------
 
-FILL = ["first_name", "last_name", "phone", "org"]
-STATE_SCHEMA = T.StructType(
-    [T.StructField("first_seq", T.LongType())]
-    + [f for n in FILL for f in (T.StructField(n, T.StringType()), T.StructField(f"{n}_seq", T.LongType()))]
-    + [T.StructField("subject", T.StringType()), T.StructField("subject_seq", T.LongType()),
-       T.StructField("received_at", T.TimestampType()), T.StructField("received_seq", T.LongType()),
-       T.StructField("excerpt", T.StringType()), T.StructField("excerpt_seq", T.LongType())])
-OUT_SCHEMA = T.StructType([
-    T.StructField("email", T.StringType()), T.StructField("first_seq", T.LongType()),
-    *[T.StructField(n, T.StringType()) for n in FILL],
-    T.StructField("last_message_subject", T.StringType()),
-    T.StructField("last_message_received_at", T.TimestampType()),
-    T.StructField("last_message_excerpt", T.StringType()),
-])
-
-
-def _merge_contact(key, pdfs, state):
-    email = key[0]
-    cur = dict(zip([f.name for f in STATE_SCHEMA.fields], state.get)) if state.exists else {
-        f.name: None for f in STATE_SCHEMA.fields}
-
-    def earlier(a, b):
-        return b is None or (a is not None and a < b)
-
-    for pdf in pdfs:
-        for row in pdf.sort_values("seq").itertuples(index=False):
-            s = int(row.seq)
-            if earlier(s, cur["first_seq"]):
-                cur["first_seq"] = s
-            for n in FILL:
-                v = getattr(row, n)
-                if isinstance(v, str) and v and earlier(s, cur[f"{n}_seq"]):
-                    cur[n], cur[f"{n}_seq"] = v, s
-            if isinstance(row.subject, str) and row.subject and (cur["subject_seq"] is None or s > cur["subject_seq"]):
-                cur["subject"], cur["subject_seq"] = row.subject, s
-            if row.received_at is not None and not pd.isna(row.received_at) and (
-                    cur["received_seq"] is None or s > cur["received_seq"]):
-                cur["received_at"], cur["received_seq"] = row.received_at, s
-            if cur["excerpt_seq"] is None or s > cur["excerpt_seq"]:
-                cur["excerpt"], cur["excerpt_seq"] = row.excerpt, s
-    state.update(tuple(cur[f.name] for f in STATE_SCHEMA.fields))
-    yield pd.DataFrame([{
-        "email": email, "first_seq": cur["first_seq"], **{n: cur[n] for n in FILL},
-        "last_message_subject": cur["subject"], "last_message_received_at": cur["received_at"],
-        "last_message_excerpt": cur["excerpt"],
-    }])
-
-
-def contact_state(processed: DataFrame) -> DataFrame:
-    """Streaming contact rows per email (update mode), merged by arrival sequence."""
-    cols = ["email", "seq", *FILL, "subject", "received_at", "excerpt"]
-    return processed.select(*cols).groupBy("email").applyInPandasWithState(
-        _merge_contact, OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
+def _follow_commits(spark: SparkSession, state: str, checkpoint: str, on_batch, commits_per_trigger: int):
+    """Call ``on_batch(outcomes)`` with the outcomes (and ``batch_id``) of newly committed batches.
 
+    At most ``commits_per_trigger`` ids are read to the driver per trigger; only their folders are listed.
+    """
+    def step(commits: DataFrame, _) -> None:
+        ids = sorted({r["batch_id"] for r in commits.select("batch_id").collect()})
+        if ids:
+            own = commits.sparkSession
+            on_batch(own.read.option("basePath", f"{state}/outcomes").parquet(
+                *[f"{state}/outcomes/batch_id={i}" for i in ids]))
 
-# ---------------------------------------------------------------------------
-# T3 option and T4
-# ---------------------------------------------------------------------------
+    src = spark.readStream.schema(COMMIT_SCHEMA).option("maxFilesPerTrigger", commits_per_trigger).parquet(
+        f"{state}/commits")
+    return (src.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
+            .trigger(availableNow=True).start())
+
+
+def _write_by_batch(df: DataFrame, path: str) -> None:
+    """Write rows under their source batch id; a batch that comes twice replaces its own rows."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+
+FIRST = ["first_name", "last_name", "phone", "org"]
+LAST = ["subject", "received_at", "excerpt"]
 
-def dedup_within_watermark(stream: DataFrame, event_time: str, horizon: str = "7 days") -> DataFrame:
-    """T3 (bounded): drop repeated ids seen within ``horizon`` of event time."""
-    key = F.coalesce(F.nullif(F.trim("message_id"), F.lit("")), F.concat(F.lit("uid:"), F.col("imap_uid")))
-    return (stream.withColumn("_key", key).withWatermark(event_time, horizon)
-            .dropDuplicatesWithinWatermark(["_key"]).drop("_key"))
 
+def contact_parts(processed: DataFrame, by: tuple[str, ...] = ("email",)) -> DataFrame:
+    """Per email the first non-empty fill fields and the last subject, time and excerpt,
+    each as a (sequence, value) pair; the smallest or largest pair wins."""
+    seq, text_fields = F.col("seq"), {"subject", *FIRST}
 
-def live_totals(outcomes: DataFrame) -> DataFrame:
-    """T4: processed and created-lead counts per (folder, domain), for complete-mode output."""
+    def pair(c):
+        given = F.col(c).isNotNull() if c not in text_fields else F.col(c).isNotNull() & (F.col(c) != "")
+        return F.struct(seq, F.col(c).alias("value")) if c == "excerpt" else F.when(given, F.struct(seq, F.col(c).alias("value")))
+
+    return processed.groupBy(*by).agg(
+        F.min("seq").alias("first_seq"), *[F.min(pair(c)).alias(c) for c in FIRST], *[F.max(pair(c)).alias(c) for c in LAST])
+
+
+def merge_parts(parts: DataFrame) -> DataFrame:
+    """Merge contact parts into one row per email; merging merged rows again changes nothing."""
+    return parts.groupBy("email").agg(
+        F.min("first_seq").alias("first_seq"), *[F.min(c).alias(c) for c in FIRST], *[F.max(c).alias(c) for c in LAST])
+
+
+def start_contact_state(spark: SparkSession, state: str, out: str, checkpoint: str, commits_per_trigger: int = 100):
+    """Keep contact parts under ``out`` for every committed batch."""
+    def on_batch(outcomes: DataFrame) -> None:
+        _write_by_batch(contact_parts(outcomes.filter(F.col("outcome") == "processed"), ("batch_id", "email")), out)
+    return _follow_commits(spark, state, checkpoint, on_batch, commits_per_trigger)
+
+
+def read_contact_state(spark: SparkSession, out: str) -> DataFrame:
+    """The contact state: one row per email."""
+    m = merge_parts(spark.read.parquet(out))
+    return m.select(
+        "email", "first_seq", *[F.col(f"{c}.value").alias(c) for c in FIRST],
+        F.col("subject.value").alias("last_message_subject"), F.col("received_at.value").alias("last_message_received_at"),
+        F.col("excerpt.value").alias("last_message_excerpt"))
+
+
+def start_live_totals(spark: SparkSession, state: str, out: str, checkpoint: str, commits_per_trigger: int = 100):
+    """T4: keep processed and created-lead counts per (folder, domain) for every committed batch."""
+    def on_batch(outcomes: DataFrame) -> None:
+        _write_by_batch(live_totals(outcomes, ("batch_id",)), out)
+    return _follow_commits(spark, state, checkpoint, on_batch, commits_per_trigger)
+
+
+def live_totals(outcomes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Processed and created-lead counts per (folder, domain)."""
     o = F.col("outcome")
-    return outcomes.groupBy(sanitize_folder("folder").alias("folder"),
+    return outcomes.groupBy(*by, sanitize_folder("folder").alias("folder"),
                             sanitize_domain("from_domain").alias("domain")).agg(
         F.count_if(o.isin("processed", "missing_email")).alias("processed"),
         F.count_if(F.col("created")).alias("leads"))
+
+
+def read_live_totals(spark: SparkSession, out: str) -> DataFrame:
+    """The totals over all committed batches seen so far."""
+    return spark.read.parquet(out).groupBy("folder", "domain").agg(
+        F.sum("processed").alias("processed"), F.sum("leads").alias("leads"))
+
+
+# ---------------------------------------------------------------------------
+# T3 option
+# ---------------------------------------------------------------------------
+
+def dedup_within_watermark(stream: DataFrame, event_time: str, horizon: str = "7 days") -> DataFrame:
+    """T3 (bounded): drop repeated ids seen within ``horizon`` of event time."""
+    return (stream.withColumn("_key", ledger_key("message_id", "imap_uid")).withWatermark(event_time, horizon)
+            .dropDuplicatesWithinWatermark(["_key"]).drop("_key"))

@@ -1,5 +1,8 @@
-"""Stream over daily files equals one batch run; replaying the files adds nothing."""
+"""Stream over daily files equals one batch run; replaying the files adds nothing; failed batches leave no trace."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -18,12 +21,85 @@ def test_stream_equals_batch_and_replay_is_empty(spark):
     S.write_mail_drop(msgs, drop)
     schema = spark.read.parquet(drop).schema
     cfg = ingest.RunConfig(allowed_domains=PIPELINE_DOMAINS, run_ts=RUN2_TS)
-    S.start_ingest(spark, drop, state, f"{base}/ck1", schema, cfg, files_per_trigger=10, epoch=1).awaitTermination()
+    S.start_ingest(spark, drop, state, f"{base}/ck1", schema, cfg, files_per_trigger=80, epoch=1).awaitTermination()
     batch = ingest.run(msgs, ingest.empty_ledger(spark), upsert.empty_contacts(spark), cfg)
     streamed = spark.read.parquet(f"{state}/outcomes").select("seq", "outcome")
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.outcomes.select("seq", "outcome").collect()))
     n_ledger = spark.read.parquet(f"{state}/ledger").count()
-    S.start_ingest(spark, drop, state, f"{base}/ck2", schema, cfg, files_per_trigger=10, epoch=2).awaitTermination()
+    S.start_ingest(spark, drop, state, f"{base}/ck2", schema, cfg, files_per_trigger=80, epoch=2).awaitTermination()
     assert spark.read.parquet(f"{state}/ledger").count() == n_ledger
     replay = spark.read.parquet(f"{state}/outcomes").filter(F.col("batch_id") >= 2 * S.EPOCH_SPAN)
     assert replay.filter(F.col("outcome") != "duplicate").count() == 0
+
+
+CFG = ingest.RunConfig(allowed_domains=PIPELINE_DOMAINS, run_ts=RUN2_TS)
+
+
+def _rows(df):
+    return sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=repr)
+
+
+def test_failed_batch_is_invisible_and_its_replay_completes_the_state(spark, monkeypatch):
+    base = scratch_path(spark, "t-replay")
+    state = f"{base}/state"
+    msgs = messages(spark, SF_SMALL).filter("seq < 120").checkpoint()
+    batches = [msgs.filter(F.col("seq").between(i * 40, i * 40 + 39)) for i in range(3)]
+
+    def follow():
+        S.start_contact_state(spark, state, f"{base}/parts", f"{base}/ck_state").awaitTermination()
+        S.start_live_totals(spark, state, f"{base}/totals", f"{base}/ck_totals").awaitTermination()
+
+    S.process_batch(batches[0], 0, state, CFG, compact_every=2)
+    before = _rows(S.read_state(spark, state, "contacts"))
+    calls, newest = [], S._newest
+
+    def failing(rows):  # the second call of this batch writes the base, after all other outputs
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("executor lost")
+        return newest(rows)
+
+    monkeypatch.setattr(S, "_newest", failing)
+    with pytest.raises(RuntimeError):
+        S.process_batch(batches[1], 1, state, CFG, compact_every=2)
+    monkeypatch.undo()
+    follow()
+    assert _rows(S.read_state(spark, state, "contacts")) == before
+    first = spark.read.parquet(f"{state}/outcomes/batch_id={S.EPOCH_SPAN}")
+    assert _rows(S.read_live_totals(spark, f"{base}/totals")) == _rows(S.live_totals(first))
+
+    S.process_batch(batches[1], 1, state, CFG, compact_every=2)
+    S.process_batch(batches[1], 1, state, CFG, compact_every=2)  # a batch that comes twice
+    S.process_batch(batches[2], 2, state, CFG, compact_every=2)  # reads the base of batch 1
+    follow()
+    whole = ingest.run(msgs, ingest.empty_ledger(spark), upsert.empty_contacts(spark), CFG)
+    assert _rows(S.read_state(spark, state, "contacts")) == _rows(whole.contacts)
+    assert _rows(S.read_live_totals(spark, f"{base}/totals")) == _rows(S.live_totals(whole.outcomes))
+    cols = ["email", "first_name", "last_name", "phone", "org", "last_message_subject", "last_message_received_at",
+            "last_message_excerpt"]
+    assert _rows(S.read_contact_state(spark, f"{base}/parts").select(*cols)) == _rows(whole.contacts.select(*cols))
+
+
+def test_unreadable_state_stops_the_run(spark):
+    state = scratch_path(spark, "t-broken")
+    folder = f"{state.removeprefix('file:')}/commits/batch_id={S.EPOCH_SPAN}"
+    os.makedirs(folder)
+    with open(f"{folder}/part-0.parquet", "w") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception):
+        S.process_batch(messages(spark, SF_SMALL).limit(5), 1, state, CFG)
+    assert not os.path.exists(f"{state}/outcomes")
+
+
+def test_contact_parts_merge_in_any_order(spark):
+    rows = spark.createDataFrame(
+        [("a", i, None if i == 0 else f"n{i}", "", None, None, None if i == 3 else f"s{i}", None, None if i == 3 else "x")
+         for i in range(4)] * 2,
+        "email string, seq long, first_name string, last_name string, phone string, org string, subject string, "
+        "received_at timestamp, excerpt string")
+    parts = [S.contact_parts(rows.filter(c)) for c in ("seq % 2 = 0", "seq % 2 = 1")]
+    want = S.contact_parts(rows).collect()
+    assert want[0]["first_name"]["value"] == "n1" and want[0]["last_name"] is None
+    assert want[0]["subject"]["value"] == "s2" and want[0]["excerpt"]["value"] is None and want[0]["received_at"] is None
+    assert S.merge_parts(parts[0].unionByName(parts[1])).collect() == want
+    assert S.merge_parts(parts[1].unionByName(parts[0]).unionByName(parts[1])).collect() == want
