@@ -531,7 +531,7 @@ def split_scored_ctes(test_size: float, seed: int) -> list[str]:
             "scored AS (SELECT t.id, t.label, s.score FROM tst t JOIN sn_sc s ON t.id = s.id)"]
 
 
-def curve_ctes() -> str:
+def curve_ctes(threshold: float = 0.5) -> str:
     return """cg AS (SELECT score, count(*) FILTER (WHERE label = 1) AS tp_g, count(*) FILTER (WHERE label <> 1) AS fp_g
                FROM scored GROUP BY score),
 cc AS (SELECT score, tp_g, fp_g, sum(tp_g) OVER (ORDER BY score DESC) AS ctp, sum(fp_g) OVER (ORDER BY score DESC) AS cfp,
@@ -543,15 +543,15 @@ roc AS (SELECT CAST(point AS BIGINT) AS point, score AS threshold, CAST(cfp AS D
 auc AS (SELECT coalesce(sum((fpr - pf) * (tpr + pt) / 2.0), 0.0) AS roc_auc FROM (
           SELECT fpr, tpr, lag(fpr) OVER (ORDER BY point) AS pf, lag(tpr) OVER (ORDER BY point) AS pt FROM roc)
         WHERE pf IS NOT NULL),
-conf AS (SELECT count(*) FILTER (WHERE score >= 0.5 AND label = 1) AS tp, count(*) FILTER (WHERE score >= 0.5 AND label = 0) AS fp,
-                count(*) FILTER (WHERE score < 0.5 AND label = 0) AS tn, count(*) FILTER (WHERE score < 0.5 AND label = 1) AS fn
+conf AS (SELECT count(*) FILTER (WHERE score >= {t} AND label = 1) AS tp, count(*) FILTER (WHERE score >= {t} AND label = 0) AS fp,
+                count(*) FILTER (WHERE score < {t} AND label = 0) AS tn, count(*) FILTER (WHERE score < {t} AND label = 1) AS fn
          FROM scored),
 met AS (SELECT tp, fp, tn, fn,
           CAST(tp + tn AS DOUBLE) / greatest(tp + fp + tn + fn, 1) AS accuracy,
           CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0.0 END AS precision,
           CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0.0 END AS recall FROM conf),
 met2 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1,
-                accuracy > 0.95 AS overfit FROM met)"""
+                accuracy > 0.95 AS overfit FROM met)""".replace("{t}", str(threshold))
 
 
 # ---------------------------------------------------------------------------

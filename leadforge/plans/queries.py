@@ -26,6 +26,7 @@ from . import ingest
 from ..operators import notify
 from ..sources import mail, model_store
 from ..operators import features as fx
+from ..functions.ranking import ordered_running
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -34,6 +35,7 @@ QUERIES: dict[str, QueryFn] = {}
 ALLOWED_DOMAINS = ["d1.example", "d2.example", "d3.example", "d5.example", "d8.example"]
 AS_OF_DATE = "2024-01-30"
 SINCE_DAYS = 7
+STORED_THRESHOLD = 0.7
 NEGATIVE_PHRASES = ["richiesta informazioni", "newsletter"]
 TS_FMT = "yyyy-MM-dd HH:mm:ss"
 
@@ -377,10 +379,11 @@ def _split_scored(spark, sf_dir) -> DataFrame:
     split = ev.stratified_split(lab.select("id", "label"), test_size=TEST_SIZE, seed=SPLIT_SEED)
     flags = split.select("id", "is_train", "is_test")
     data = lab.join(flags, "id")
-    model = nb.train_nb(data.filter("is_train"))
-    test = data.filter("is_test")
-    s = nb.nb_score(test, model, "id", "text", out="score")
-    return test.select("id", "label").join(s, "id")
+    return _score_held_out(nb.train_nb(data.filter("is_train")), data.filter("is_test"))
+
+
+def _score_held_out(model, test) -> DataFrame:
+    return test.select("id", "label").join(nb.nb_score(test, model, "id", "text", out="score"), "id")
 
 
 @register("confusion")
@@ -413,12 +416,45 @@ def q_pr_curve(spark, sf_dir):
     return r.select("point", *[_r6(F.col(c)).alias(c) for c in ("threshold", "precision", "recall")])
 
 
+_EVALUATED: dict = {}
+
+
+def evaluated_model(spark, sf_dir) -> str:
+    """Train, save, load again, score the held-out rows, evaluate at the model's own threshold and
+    write metrics and curves (S10, V7, S11); the folder is reused within one application."""
+    from ..session import scratch_path
+    from ..sources.sinks import write_evaluation
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _EVALUATED:
+        base = scratch_path(spark, "evaluated")
+        lab = labelled_messages(spark, sf_dir)
+        split = ev.stratified_split(lab.select("id", "label"), test_size=TEST_SIZE, seed=SPLIT_SEED)
+        data = lab.join(split.select("id", "is_train", "is_test"), "id")
+        model_store.save_model(spark, nb.train_nb(data.filter("is_train")), f"{base}/model", threshold=STORED_THRESHOLD)
+        model = model_store.load_model(spark, f"{base}/model")
+        scored = _checkpoint(_score_held_out(model, data.filter("is_test")))
+        write_evaluation(f"{base}/out", ev.evaluate(scored, threshold=model.threshold), ev.roc_curve(scored), ev.pr_curve(scored))
+        _EVALUATED[key] = f"{base}/out"
+    return _EVALUATED[key]
+
+
 @register("evaluate_model")
 def q_evaluate_model(spark, sf_dir):
-    e = ev.evaluate(split_scored(spark, sf_dir))
+    e = spark.read.schema("metric string, value double").json(f"{evaluated_model(spark, sf_dir)}/metrics")
     return e.select("metric", _r6(F.col("value")).alias("value"))
 
 
+@register("evaluation_curves")
+def q_evaluation_curves(spark, sf_dir):
+    out = evaluated_model(spark, sf_dir)
+    roc = spark.read.schema("point long, threshold double, fpr double, tpr double").json(f"{out}/roc_curve")
+    pr = spark.read.schema("point long, threshold double, precision double, recall double").json(f"{out}/pr_curve")
+    return (roc.select(F.lit("roc").alias("curve"), "point", "threshold", F.col("fpr").alias("x"), F.col("tpr").alias("y"))
+            .unionByName(pr.select(F.lit("pr").alias("curve"), "point", "threshold", F.col("recall").alias("x"),
+                                   F.col("precision").alias("y")))
+            .select("curve", "point", *[_r6(F.col(c)).alias(c) for c in ("threshold", "x", "y")]))
+
+
 # ---------------------------------------------------------------------------
 # Ensemble and runner strategies
 # ---------------------------------------------------------------------------
@@ -449,6 +485,15 @@ def q_ensemble_rule_only(spark, sf_dir):
                     F.col("e.method").alias("method"))
 
 
+@register("ensemble_ml_only")
+def q_ensemble_ml_only(spark, sf_dir):
+    model = _model_on_all(spark, sf_dir)
+    m = nb.nb_score(scored_messages_text(messages(spark, sf_dir)), model, "seq", "text", out="ml_score")
+    e = m.select("seq", ens.ensemble_score("ml_score", F.lit(None).cast("double"), "ml").alias("e"))
+    return e.select("seq", _r6(F.col("e.score")).alias("score"), F.col("e.confidence").alias("confidence"),
+                    F.col("e.method").alias("method"))
+
+
 @register("ensemble_decision")
 def q_ensemble_decision(spark, sf_dir):
     s = ml_and_rule_scores(spark, sf_dir).select("seq", ens.ensemble_score("ml_score", "rule_score").alias("e"))
@@ -496,6 +541,8 @@ PIPELINE_DOMAINS = ["d0.example", "d1.example", "d2.example", "d3.example", "d5.
 LEAD_HEADERS = ["Email", " company ", "", "Phone", "NOTES", "fax"]
 PAGE_OFFSET, PAGE_LIMIT = 100, 50
 DEDUP_HORIZON = "60 days"
+METRICS_FOLDER = "INBOX"
+SHEET_FILE = "leads.xlsx"
 
 
 _RUNS: dict = {}
@@ -635,6 +682,12 @@ def q_metrics_snapshot(spark, sf_dir):
     return mx.metrics_snapshot(r2.outcomes)
 
 
+@register("metrics_by_folder")
+def q_metrics_by_folder(spark, sf_dir):
+    _, _, r2 = two_runs(spark, sf_dir)
+    return mx.metrics_snapshot(r2.outcomes, folder=METRICS_FOLDER)
+
+
 def _sheet(spark, sf_dir):
     """The lead sheet after both runs: run 1's rows, then run 2's."""
     _, r1, r2 = two_runs(spark, sf_dir)
@@ -734,6 +787,30 @@ def q_lead_outbox(spark, sf_dir):
     return leads.select("seq", n["subject"].alias("subject"), n["body"].alias("body"))
 
 
+@register("sheet_notice")
+def q_sheet_notice(spark, sf_dir):
+    """One notice per row that run 2 appends to the sheet; the header is row 1 and run 1's rows come before."""
+    _, r1, r2 = two_runs(spark, sf_dir)
+    rows = ordered_running(r2.new_leads, ["seq"], rank_col="row")
+    n = notify.sheet_update_notice("first_name", "last_name", "email", "company", "phone", "notes", SHEET_FILE,
+                                   F.col("row") + (r1.new_leads.count() + 1),
+                                   F.date_format("inserted_at", "yyyy-MM-dd'T'HH:mm:ss"))
+    return rows.select("seq", n["subject"].alias("subject"), n["body"].alias("body"))
+
+
+@register("events_json")
+def q_events_json(spark, sf_dir):
+    """The JSON payload of every event, read back field by field."""
+    from ..sources.sinks import events_json
+    _, _, r2 = two_runs(spark, sf_dir)
+    paths = {"header_message_id": "$.headers.Message-ID", "header_date": "$.headers.Date", "header_subject": "$.headers.Subject",
+             "extracted_email": "$.extracted.email", "extracted_first_name": "$.extracted.first_name",
+             "received_at": "$.received_at", "body_excerpt": "$.body_excerpt"}
+    e = events_json(r2.events)
+    return e.select("seq", "contact_id", *[F.get_json_object("payload", p).alias(c) for c, p in paths.items()],
+                    F.col("payload").contains('"To":null').alias("keeps_null_headers"))
+
+
 # ---------------------------------------------------------------------------
 # Augmentation, TF-IDF, logistic regression
 # ---------------------------------------------------------------------------

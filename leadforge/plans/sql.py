@@ -5,8 +5,8 @@ from __future__ import annotations
 from ..operators.rules import compile_lexicon
 from . import oracle as O
 from .queries import (
-    ALLOWED_DOMAINS, AS_OF_DATE, LEAD_HEADERS, NEGATIVE_PHRASES, PAGE_LIMIT, PAGE_OFFSET,
-    PIPELINE_DOMAINS, RUN1_BEFORE, RUN1_TS, RUN2_TS, SINCE_DAYS, SPLIT_SEED, TEST_SIZE,
+    ALLOWED_DOMAINS, AS_OF_DATE, LEAD_HEADERS, METRICS_FOLDER, NEGATIVE_PHRASES, PAGE_LIMIT, PAGE_OFFSET,
+    PIPELINE_DOMAINS, RUN1_BEFORE, RUN1_TS, RUN2_TS, SHEET_FILE, SINCE_DAYS, STORED_THRESHOLD, SPLIT_SEED, TEST_SIZE,
 )
 
 SQL: dict[str, str] = {}
@@ -151,7 +151,8 @@ sql("pr_curve", O.with_messages(*_ev) + """
 SELECT CAST(point AS BIGINT) AS point, round(score, 6) AS threshold, round(CAST(ctp AS DOUBLE) / (ctp + cfp), 6) AS precision,
        round(CAST(ctp AS DOUBLE) / pos, 6) AS recall FROM cc, ctot
 UNION ALL SELECT CAST(0 AS BIGINT), NULL, 1.0, 0.0""")
-sql("evaluate_model", O.with_messages(*_ev) + """
+_ev_stored = O.split_scored_ctes(TEST_SIZE, SPLIT_SEED) + [O.curve_ctes(STORED_THRESHOLD)]
+sql("evaluate_model", O.with_messages(*_ev_stored) + """
 SELECT metric, round(value, 6) AS value FROM (
   SELECT 'accuracy' AS metric, accuracy AS value FROM met2 UNION ALL SELECT 'precision', precision FROM met2 UNION ALL
   SELECT 'recall', recall FROM met2 UNION ALL SELECT 'f1', f1 FROM met2 UNION ALL
@@ -160,6 +161,12 @@ SELECT metric, round(value, 6) AS value FROM (
   SELECT 'overfit', CASE WHEN overfit THEN 1.0 ELSE 0.0 END FROM met2 UNION ALL
   SELECT 'roc_auc', roc_auc FROM auc)""")
 
+sql("evaluation_curves", O.with_messages(*_ev) + """
+SELECT 'roc' AS curve, point, round(threshold, 6) AS threshold, round(fpr, 6) AS x, round(tpr, 6) AS y FROM roc
+UNION ALL SELECT 'pr', CAST(point AS BIGINT), round(score, 6), round(CAST(ctp AS DOUBLE) / pos, 6),
+  round(CAST(ctp AS DOUBLE) / (ctp + cfp), 6) FROM cc, ctot
+UNION ALL SELECT 'pr', CAST(0 AS BIGINT), NULL, 0.0, 1.0""")
+
 # ---------------------------------------------------------------------------
 # ensemble
 # ---------------------------------------------------------------------------
@@ -169,6 +176,8 @@ sql("ensemble_score", O.with_messages(*_E) + "SELECT seq, round(score, 6) AS sco
 sql("ensemble_rule_only", O.with_messages() + f"""
 SELECT seq, round(least(r / 2.0, 1.0), 6) AS score, CASE WHEN least(r / 2.0, 1.0) > 0.5 THEN 'medium' ELSE 'low' END AS confidence,
        'rule_based' AS method FROM (SELECT seq, {O.rule_score()} AS r FROM messages)""")
+sql("ensemble_ml_only", O.with_messages(*_nb_all) + f"""
+SELECT id AS seq, round(score, 6) AS score, {O.confidence_band('score')} AS confidence, 'ml_only' AS method FROM nb_sc""")
 sql("ensemble_decision", O.with_messages(*_E) + """
 SELECT seq, score >= applied AS is_lead, round(applied, 6) AS applied_threshold FROM ed""")
 sql("ensemble_explain", O.with_messages(*_E) + f"""
@@ -240,6 +249,14 @@ sql("metrics_snapshot", _W + f"""
   SELECT 'leads_created', {O.sanitize_folder('folder')}, {O.sanitize_domain('from_domain')} FROM o2 WHERE created)
 SELECT metric, domain, count(*) AS value FROM cr GROUP BY metric, domain
 UNION ALL SELECT metric, '__total__', count(*) FROM cr GROUP BY metric""".replace("\\n, cr AS", ", cr AS", 1))
+sql("metrics_by_folder", _W + f"""
+, cr AS (
+  SELECT outcome, created, {O.sanitize_domain('from_domain')} AS domain FROM o2
+  WHERE {O.sanitize_folder('folder')} = '{METRICS_FOLDER}'),
+cm AS (SELECT 'emails_processed' AS metric, domain FROM cr WHERE outcome IN ('processed', 'missing_email')
+       UNION ALL SELECT 'leads_created', domain FROM cr WHERE created)
+SELECT metric, domain, count(*) AS value FROM cm GROUP BY metric, domain
+UNION ALL SELECT metric, '__total__', count(*) FROM cm GROUP BY metric""")
 _SHEET = ("sheet AS (SELECT 1 AS run, seq, email, org AS company FROM leads1 "
           "UNION ALL SELECT 2, seq, email, org FROM leads2)")
 sql("lead_summary", O.with_messages(*_P, _SHEET) + """
@@ -316,6 +333,21 @@ SELECT seq, coalesce(nullif(subject_h, ''), 'Nuovo lead ricevuto') AS subject,
   || coalesce(excerpt, '') AS body
 FROM lo""")
 
+sql("sheet_notice", _W + f"""
+SELECT seq, 'AVVISO: è stato aggiunto un cliente al foglio excel!' AS subject, concat_ws(chr(10),
+  'AVVISO: è stato aggiunto un cliente al foglio excel!', '', 'Email cliente: ' || coalesce(email, ''),
+  'Nome: ' || coalesce(first_name, '') || ' ' || coalesce(last_name, ''), 'Azienda: ' || coalesce(org, ''),
+  'Telefono: ' || coalesce(phone, ''), 'File Excel: {SHEET_FILE}',
+  'Riga inserita: ' || (1 + (SELECT count(*) FROM leads1) + row_number() OVER (ORDER BY seq)),
+  'Aggiornato alle: {RUN2_TS.replace(" ", "T")}', '', 'Estratto nota:', coalesce(excerpt, '')) AS body
+FROM leads2""")
+
+sql("events_json", _W + """
+SELECT o2.seq, sha256(o2.email) AS contact_id, o2.mid AS header_message_id, m.date_header AS header_date,
+       o2.subject_h AS header_subject, o2.email AS extracted_email, o2.first_name AS extracted_first_name,
+       o2.received_iso AS received_at, o2.excerpt AS body_excerpt, true AS keeps_null_headers
+FROM o2 JOIN messages m ON o2.seq = m.seq WHERE o2.outcome = 'processed'""")
+
 # ---------------------------------------------------------------------------
 # augmentation and tf-idf
 # ---------------------------------------------------------------------------
