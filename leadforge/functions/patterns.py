@@ -33,6 +33,9 @@ PHONE = (
 )
 # feature "phone pattern":  \+?\d[\d\s().-]{7,}
 FEATURE_PHONE = rf"\+?{DIGIT}[{DIGIT}{WS_CHARS}().-]{{7,}}"
+# whether EMAIL or FEATURE_PHONE matches anywhere: the shortest core of a match, found in one pass
+HAS_EMAIL = rf"[{WORD_CHARS}.-]@[{WORD_CHARS}.-]+\.{WORD}"
+HAS_FEATURE_PHONE = rf"{DIGIT}[{DIGIT}{WS_CHARS}().-]{{7}}"
 # classifier token:  [\w']+
 ML_TOKEN = rf"[{WORD_CHARS}']+"
 # rule tokenizer: anything that is not a word or space character becomes a space

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.columns import let
-from ..functions.patterns import EMAIL, FEATURE_PHONE, ML_TOKEN, WS
+from ..functions.patterns import HAS_EMAIL, HAS_FEATURE_PHONE, ML_TOKEN, WS
 from .text import _c, strip_ws
 
 UNIGRAM, BIGRAM = "uni", "bi"
@@ -50,38 +50,39 @@ def _count_substrings(low: Column, words) -> Column:
 
 def text_features(text, legacy_train: bool = False) -> Column:
     """M3: struct of the six numeric features (serving definition unless ``legacy_train``)."""
+    def signature_score(lines):
+        def hits(ls):
+            return F.size(F.filter(ls, lambda line: let(
+                F.lower(line), lambda lw: _count_substrings(lw, L.SIGNATURE_INDICATORS) > 0)))
+
+        def in_window(last5):
+            if legacy_train:
+                return hits(last5) / 5.0
+            window = let(F.filter(last5, lambda line: strip_ws(line) != ""),
+                         lambda nonblank: F.when(F.size(nonblank) > 0, nonblank).otherwise(last5))
+            return let(window, lambda w: hits(w) / F.greatest(F.size(w), F.lit(1)))
+        return let(F.slice(lines, F.greatest(F.size(lines) - 4, F.lit(1)), 5), in_window)
+
     def build(r):
-        t, low, stripped = r["t"], r["low"], r["stripped"]
+        t, low, words = r["t"], r["low"], r["words"]
         urgency = F.least(_count_substrings(low, L.URGENCY_WORDS) / 3.0, F.lit(1.0))
         greeting = F.when(_count_substrings(low, L.GREETING_WORDS) > 0, 1.0).otherwise(0.0)
         questions = F.char_length(t) - F.char_length(F.replace(t, F.lit("?"), F.lit("")))
-        words = F.when(stripped == "", F.lit(0)).otherwise(F.size(F.split(stripped, f"{WS}+")))
         density = F.least(questions / F.greatest(words / 50.0, F.lit(1.0)), F.lit(1.0))
         length = F.least(words / 200.0, F.lit(1.0))
-        contact = F.when(t.rlike(FEATURE_PHONE) | t.rlike(EMAIL), 1.0).otherwise(0.0)
-        lines = F.split(t, "\n", -1)
-        last5 = F.slice(lines, F.greatest(F.size(lines) - 4, F.lit(1)), 5)
-
-        def hits(ls):
-            return F.size(F.filter(ls, lambda line: let(
-                F.lower(line), lambda lw: _count_substrings(lw, L.SIGNATURE_INDICATORS) > 0)))
-
-        if legacy_train:
-            signature = hits(last5) / 5.0
-        else:
-            nonblank = F.filter(last5, lambda line: strip_ws(line) != "")
-            window = F.when(F.size(nonblank) > 0, nonblank).otherwise(last5)
-            signature = hits(window) / F.greatest(F.size(window), F.lit(1))
+        contact = F.when(t.rlike(HAS_FEATURE_PHONE) | t.rlike(HAS_EMAIL), 1.0).otherwise(0.0)
         return F.struct(
             urgency.cast("double").alias("urgency_score"),
             greeting.cast("double").alias("has_greeting"),
             density.cast("double").alias("question_density"),
             length.cast("double").alias("length_score"),
             contact.cast("double").alias("has_contact_info"),
-            signature.cast("double").alias("signature_score"),
+            let(F.split(t, "\n", -1), signature_score).cast("double").alias("signature_score"),
         )
+
     def bind(t):
-        return let(F.struct(t.alias("t"), F.lower(t).alias("low"), strip_ws(t).alias("stripped")), build)
+        words = let(strip_ws(t), lambda x: F.when(x == "", F.lit(0)).otherwise(F.size(F.split(x, f"{WS}+"))))
+        return let(F.struct(t.alias("t"), F.lower(t).alias("low"), words.alias("words")), build)
     return let(F.coalesce(_c(text), F.lit("")), bind)
 
 
@@ -179,7 +180,7 @@ class NBModel:
     use_ngrams: bool = True
     use_features: bool = True
     threshold: float | None = None
-    n_terms: int | None = None        # rows in ``terms`` (checked before any broadcast)
+    term_bytes: int | None = None     # size of ``terms`` in memory (checked before any broadcast)
 
 
 def train_nb(train: DataFrame, text_col: str = "text", label_col: str = "label", use_ngrams: bool = True,
@@ -195,14 +196,14 @@ def train_nb(train: DataFrame, text_col: str = "text", label_col: str = "label",
         train, text_col, label_col, use_ngrams, legacy_train)
     if materialize and persist_terms is None:
         terms = terms.checkpoint(eager=True)
-    n_terms = terms.count() if materialize else None
+    term_bytes = table_bytes(terms) if materialize else None
     st = {r["stat"]: r["value"] for r in nb_stats(train, terms, label_col).collect()}  # five rows
     weights = {}
     if use_features:
         weights = {r["feature"]: r["weight"] for r in
                    feature_weights(train, text_col, label_col, legacy_train).collect()}
     return NBModel(terms, st["prior_pos"], st["prior_neg"], int(st["total_pos"]), int(st["total_neg"]),
-                   int(st["vocabulary_size"]), weights, use_ngrams, use_features, n_terms=n_terms)
+                   int(st["vocabulary_size"]), weights, use_ngrams, use_features, term_bytes=term_bytes)
 
 
 # ---------------------------------------------------------------------------
@@ -249,7 +250,7 @@ def nb_score(df: DataFrame, model: NBModel, id_col: str, text_col: str, out: str
         F.log(F.col("n_pos") + 1.0).alias("lp"),
         F.log(F.col("n_neg") + 1.0).alias("ln"),
     )
-    model_terms = sized_for_join(model_terms, model.n_terms, df.sparkSession)
+    model_terms = sized_for_join(model_terms, model.term_bytes, df.sparkSession)
     weight = F.when(F.col("kind") == BIGRAM, 0.5).otherwise(1.0)
     s = exploded.join(model_terms, ["kind", "term"], "left").groupBy("_id").agg(
         F.count_if(F.col("kind") == UNIGRAM).alias("_n_uni"), F.count_if(F.col("kind") == BIGRAM).alias("_n_big"),
@@ -263,11 +264,17 @@ def nb_score(df: DataFrame, model: NBModel, id_col: str, text_col: str, out: str
     return s.select(F.col("_id").alias(id_col), *carry, prob.alias(out))
 
 
-BYTES_PER_TERM_ROW = 100  # kind + term text + two counts, with hash-table overhead
+BYTES_PER_TERM_ROW = 60  # kind, two counts and hash-table overhead, beside the term text
+
+
+def table_bytes(terms: DataFrame) -> int:
+    """Memory that the term table takes once broadcast, from its rows and text lengths (one action)."""
+    size = F.count(F.lit(1)) * BYTES_PER_TERM_ROW + F.coalesce(F.sum(F.octet_length("term")), F.lit(0))
+    return terms.agg(size.alias("b")).first()["b"]
 
 
-def sized_for_join(terms: DataFrame, n_rows: int | None, spark) -> DataFrame:
-    """Broadcast the term table only when its checked row count fits the session's
+def sized_for_join(terms: DataFrame, n_bytes: int | None, spark) -> DataFrame:
+    """Broadcast the term table only when its checked size fits the session's
     broadcast budget; otherwise request a sort-merge join, so a mis-estimated
     large model is never shipped to every executor."""
     budget = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
@@ -275,7 +282,7 @@ def sized_for_join(terms: DataFrame, n_rows: int | None, spark) -> DataFrame:
         budget = int(str(budget).lower().rstrip("b"))
     except ValueError:
         budget = 10 * 1024 * 1024
-    if n_rows is not None and 0 <= n_rows * BYTES_PER_TERM_ROW <= budget:
+    if n_bytes is not None and 0 <= n_bytes <= budget:
         return F.broadcast(terms)
     return terms.hint("merge")
 

@@ -13,7 +13,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.nb import BIGRAM, UNIGRAM, NBModel
+from ..operators.nb import BIGRAM, UNIGRAM, NBModel, table_bytes
 
 LEGACY_SCHEMA = (
     "version INT, class_priors MAP<STRING, DOUBLE>, token_counts MAP<STRING, MAP<STRING, BIGINT>>, "
@@ -33,7 +33,7 @@ def save_model(spark: SparkSession, model: NBModel, path: str, threshold: float
         "total_pos": model.total_pos, "total_neg": model.total_neg,
         "vocabulary_size": model.vocabulary_size, "use_ngrams": model.use_ngrams,
         "use_features": model.use_features, "feature_weights": json.dumps(model.weights),
-        "n_terms": model.n_terms if model.n_terms is not None else -1,
+        "term_bytes": model.term_bytes if model.term_bytes is not None else -1,
     }
     spark.createDataFrame([meta]).coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
@@ -44,7 +44,7 @@ def load_model(spark: SparkSession, path: str) -> NBModel:
     return NBModel(terms, m["prior_pos"], m["prior_neg"], int(m["total_pos"]), int(m["total_neg"]),
                    int(m["vocabulary_size"]), json.loads(m["feature_weights"] or "{}"),
                    bool(m["use_ngrams"]), bool(m["use_features"]), m.get("threshold"),
-                   n_terms=None if m.get("n_terms", -1) in (None, -1) else int(m["n_terms"]))
+                   term_bytes=None if m.get("term_bytes", -1) in (None, -1) else int(m["term_bytes"]))
 
 
 def _counts(doc: DataFrame, field: str, kind: str) -> DataFrame:
@@ -82,4 +82,4 @@ def import_legacy_json(spark: SparkSession, path: str, meta_path: str | None = N
     return NBModel(terms, head["prior_pos"] or 1e-9, head["prior_neg"] or 1e-9, int(head["total_pos"] or 0),
                    int(head["total_neg"] or 0), int(head["vocabulary_size"] or 0), weights,
                    use_ngrams=bool(has_bigrams), use_features=bool(weights), threshold=threshold,
-                   n_terms=terms.count())
+                   term_bytes=table_bytes(terms))
