@@ -16,7 +16,7 @@ FAST = [
     "text_features", "class_term_counts", "nb_score", "stratified_split", "roc_curve", "evaluate_model",
     "ensemble_explain", "runner_strategy", "route_outcome", "contact_upsert", "ledger_rows", "new_leads",
     "run_progress", "metrics_snapshot", "top_domains", "augment", "tfidf_weights", "label_check", "eml_load",
-    "coerce_ts", "lead_outbox",
+    "coerce_ts", "lead_outbox", "evaluation_curves", "ensemble_ml_only", "metrics_by_folder", "sheet_notice", "events_json",
 ]
 
 
