@@ -6,16 +6,20 @@ hash is zero; it is a cut if no other candidate lies in the ``MIN_CHUNK`` bytes
 before it, so cuts depend on nearby content only and an insertion shifts no cut
 beyond its neighbourhood. Longer stretches are cut every ``MAX_CHUNK`` bytes.
 
-Chunks are known by a 128-bit digest. The first place of a digest, by
-``(doc_id, start)``, stays; all others are duplicates. Runs of neighbouring
-duplicates that cover ``MIN_RUN`` bytes or more are removed; shorter ones are
-chance repeats of a phrase or a line and stay.
-
-The digests are aggregated partially (a chunk that occurs in a third of all
-rows costs one row per task). Only chunks that a Bloom filter of the repeated
+Neighbouring chunks that together reach ``MIN_RUN`` bytes are a *window*: from
+every chunk the fewest chunks onwards, and up to every chunk the fewest before
+it. Windows are known by a 128-bit digest of their chunks' digests. The first
+place of a window, by ``(doc_id, start)``, stays; all others are removed, and
+what they cover together are the removed runs. A run of ``MIN_RUN`` bytes or more
+that stands elsewhere chunk for chunk is covered by its own windows to both ends;
+chunks that are known from different places only (chance repeats of a phrase or
+a line) are in no repeated window and stay.
+
+The digests are aggregated partially (a window that occurs in a third of all
+rows costs one row per task). Only windows that a Bloom filter of the repeated
 digests passes are shuffled again, to meet their first document, in a join of
 two freshly shuffled sides that adaptive execution splits where a digest is hot;
-and only texts with a run to remove are shuffled to meet their runs. Chunks are
+and only texts with a run to remove are shuffled to meet their runs. Windows are
 cut anew where they are needed, which costs less than keeping them.
 
 Result, one row per row of ``docs``: ``doc_id, n_bytes, n_chunks, n_removed``
@@ -40,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .tables import bounded_batches, materialise, text_of
-from .text import buffers, chunks, hash_spans
+from .text import buffers, chunks, hash_spans, mix
 
 WINDOW = 16                     # bytes the rolling hash depends on
 MASK = np.uint16(0xF000)        # four of the top bits: one byte in 16 is a candidate
@@ -93,48 +97,68 @@ def chunk_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return row, starts - offsets[row], ends - starts, high, low
 
 
-CHUNK_SCHEMA = "doc_id bigint, start int, length int, high bigint, low bigint"
+def window_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """(row, start in the row, length, digest high, digest low) of all windows by row and start, and the chunks of each row."""
+    row, start, length, *digests = chunk_rows(data, offsets)
+    per_row = np.bincount(row, minlength=len(offsets) - 1)
+    n = len(row)
+    begin = offsets[row] + start
+    end = begin + length
+    onwards = np.searchsorted(end, begin + MIN_RUN)              # last chunk of the window from each chunk
+    backwards = np.searchsorted(begin, end - MIN_RUN, "right") - 1   # first chunk of the window up to each chunk
+    first, last = np.concatenate([np.arange(n), backwards]), np.concatenate([onwards, np.arange(n)])
+    whole = (first >= 0) & (last < n)
+    first, last = first[whole], last[whole]
+    whole = row[first] == row[last]
+    pair = np.unique(first[whole] * max(n, 1) + last[whole])
+    first, last = pair // max(n, 1), pair % max(n, 1)
+    chained = []
+    for digest in digests:
+        value = mix((last - first).astype(np.uint64))
+        at, k = np.arange(len(first)), 0
+        while len(at):
+            value[at] = mix(value[at] ^ digest[first[at] + k].view(np.uint64))
+            k += 1
+            at = at[first[at] + k <= last[at]]
+        chained.append(value.view(np.int64))
+    return (row[first], start[first], end[last] - begin[first], *chained), per_row
+
+
+WINDOW_SCHEMA = "doc_id bigint, start int, length int, high bigint, low bigint"
 RESULT = ("doc_id bigint, n_bytes bigint, n_chunks bigint, n_removed bigint, n_spans bigint, "
           "spans array<struct<start:bigint,length:bigint>>, kept_sha256 string")
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, data, offsets in chunks(*buffers(batch.column(1))):
-            row, start, length, high, low = chunk_rows(data, offsets)
+            (row, start, length, high, low), _ = window_rows(data, offsets)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(lo, len(offsets) - 1).take(pa.array(row)), pa.array(start.astype(np.int32)),
                  pa.array(length.astype(np.int32)), pa.array(high), pa.array(low)],
                 names=["doc_id", "start", "length", "high", "low"])
 
 
-def _long_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents whose duplicate chunks make a run worth removing, with these chunks."""
-    for batch in batches:
-        keep = pa.array([bool(runs([(p["start"], p["length"]) for p in places])) for places in batch.column(1).to_pylist()], pa.bool_())
-        yield batch.filter(keep)
-
-
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, duplicate chunks of the id) to results."""
+    """Rows (doc_id, text, repeated windows of the id) to results."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
     for batch in batches:
         out = {"n_bytes": [], "n_chunks": [], "n_removed": [], "n_spans": [], "spans": [], "kept_sha256": []}
         places = batch.column(2).to_pylist()
         for lo, data, offsets in chunks(*buffers(batch.column(1))):
-            row, start, _, high, _ = chunk_rows(data, offsets)
+            (row, start, length, high, _), n_chunks = window_rows(data, offsets)
             first = np.searchsorted(row, np.arange(len(offsets)))
             for r in range(len(offsets) - 1):
                 text, spans = data[offsets[r]:offsets[r + 1]], []
                 if places[lo + r]:
-                    # rows that share an id can differ: only chunks that the row has itself count
-                    own = dict(zip(start[first[r]:first[r + 1]].tolist(), high[first[r]:first[r + 1]].tolist()))
-                    spans = runs([(p["start"], p["length"]) for p in places[lo + r] if own.get(p["start"]) == p["high"]])
+                    # rows that share an id can differ: only windows that the row has itself count
+                    own = set(zip(*[x[first[r]:first[r + 1]].tolist() for x in (start, length, high)]))
+                    spans = merged([(p["start"], p["length"]) for p in places[lo + r] if (p["start"], p["length"], p["high"]) in own])
                 keep = np.ones(len(text), dtype=bool)
                 for s, n in spans:
                     keep[s:s + n] = False
                 out["n_bytes"].append(len(text))
-                out["n_chunks"].append(int(first[r + 1] - first[r]))
+                out["n_chunks"].append(int(n_chunks[r]))
                 out["n_removed"].append(sum(n for _, n in spans))
                 out["n_spans"].append(len(spans))
                 out["spans"].append([{"start": s, "length": n} for s, n in spans])
@@ -145,24 +169,29 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def runs(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of neighbouring duplicate chunks of ``MIN_RUN`` bytes or more."""
-    merged: list[list[int]] = []
+    """Maximal runs of neighbouring places of ``MIN_RUN`` bytes or more."""
+    return [(s, n) for s, n in merged(places) if n >= MIN_RUN]
+
+
+def merged(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretches that places (start, length) cover together."""
+    out: list[tuple[int, int]] = []
     for start, length in sorted(set(places)):
-        if merged and merged[-1][0] + merged[-1][1] == start:
-            merged[-1][1] += length
+        if out and out[-1][0] + out[-1][1] >= start:
+            out[-1] = (out[-1][0], max(out[-1][1], start + length - out[-1][0]))
         else:
-            merged.append([start, length])
-    return [(s, n) for s, n in merged if n >= MIN_RUN]
+            out.append((start, length))
+    return out
 
 
 def duplicates(narrow: DataFrame) -> DataFrame:
-    """``(doc_id, start, length, high)`` of every chunk that is not the first of its digest; null ids as ``FIRST_ID``."""
-    cut = narrow.mapInArrow(_chunks, CHUNK_SCHEMA).withColumn("doc_id", F.coalesce("doc_id", F.lit(FIRST_ID)))
+    """``(doc_id, start, length, high)`` of every window that is not the first of its digest; null ids as ``FIRST_ID``."""
+    cut = narrow.mapInArrow(_windows, WINDOW_SCHEMA).withColumn("doc_id", F.coalesce("doc_id", F.lit(FIRST_ID)))
     repeated = materialise(
         cut.groupBy("high", "low").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1").drop("n"), "repeated-chunks")
+        .filter("n > 1").drop("n"), "repeated-windows")
     likely = bloom.possible(cut, F.xxhash64("high", "low"), repeated, F.xxhash64("high", "low"), repeated.count(), max_blocks=1 << 18)
-    met = materialise(likely.filter("_possible").drop("_possible").join(repeated, ["high", "low"]), "chunk-places")
+    met = materialise(likely.filter("_possible").drop("_possible").join(repeated, ["high", "low"]), "window-places")
     later = met.filter("doc_id > first_doc").select("doc_id", "start", "length", "high")
     # inside the first document the first place stays; such a group is part of one document
     inside = met.filter("doc_id = first_doc").select("doc_id", "start", "length", "high", "low").distinct()
@@ -177,7 +206,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     narrow = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
     found = duplicates(narrow).groupBy(F.col("doc_id").alias("removed_id")).agg(
         F.collect_set(F.struct(F.col("start").cast("bigint").alias("start"), F.col("length").cast("bigint").alias("length"), "high")).alias("places"))
-    removed = materialise(found.mapInArrow(_long_runs, found.schema), "removed-runs")
+    removed = materialise(found, "removed-windows")
     known = F.coalesce(F.col("doc_id"), F.lit(FIRST_ID))
     flagged = bloom.possible(narrow, known, removed, F.col("removed_id"), removed.count())
     none = F.lit(None).cast(removed.schema["places"].dataType)

@@ -70,6 +70,32 @@ def test_substring_dedup_matches_sequential_chunks(docs_of):
     assert got[101]["n_removed"] > 0 and got[104]["n_removed"] > 0 and got[7]["n_removed"] == 0
 
 
+def repeated_bytes(rows):
+    """For each id, which bytes lie in a string of 100 bytes that stands earlier."""
+    seen, out = set(), {}
+    for i, text in sorted(((r[0] if r[0] is not None else -1, r[1]) for r in set(rows)), key=lambda r: r[0]):
+        b = (text or "").encode()
+        out[i] = bytearray(len(b))
+        for p in range(len(b) - 99):
+            if b[p:p + 100] in seen:
+                out[i][p:p + 100] = b"\x01" * 100
+            seen.add(b[p:p + 100])
+    return out
+
+
+def test_substring_dedup_removes_repeated_strings_only(docs_of):
+    phrases = [prose(3000 + k, 5) for k in range(60)]
+    mixed = [(1000 + k, " ".join(sorted(phrases, key=lambda p: hashlib.md5(f"{k}{p}".encode()).digest()))) for k in range(40)]
+    rows = [*corpus(), *mixed, (2000, prose(60, 30) + mixed[3][1][:400] + prose(61, 30))]
+    repeated = repeated_bytes(rows)
+    got = {-1 if r["doc_id"] is None else r["doc_id"]: r for r in substring_dedup.dedup_substrings(docs_of(rows)).collect()}
+    for i, r in got.items():
+        assert all(all(repeated[i][s["start"]:s["start"] + s["length"]]) for s in r["spans"]), i
+    clean = [i for i, _ in mixed if not any(repeated[i])]
+    assert len(clean) > 15 and all(got[i]["n_removed"] == 0 for i in clean)
+    assert got[2000]["n_removed"] >= 300 and got[101]["n_removed"] == got[101]["n_bytes"]
+
+
 def test_cuts_resist_insertions():
     text = prose(50, 800)
     ends = set(substring_dedup.cut_places(*buffers(pa.array([text]))).tolist())
