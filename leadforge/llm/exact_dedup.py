@@ -112,10 +112,11 @@ def keep_first(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of ``docs`` that :func:`dedup` keeps, with their own columns.
 
     Only rows whose text occurs more than once, or is known to the index, are
-    shuffled; of repeated rows (same id, same text) one stays.
+    shuffled; of repeated rows (same id, equal texts) one stays.
     """
     decided = dedup(docs, index).filter((F.col("group_size") > 1) | ~F.col("kept"))
-    return drop_losers(docs, decided.groupBy("doc_id").agg(F.max("kept").alias("stays")))
+    return drop_losers(docs, decided.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays")),
+                       lambda rows: rows.withColumn("text_sha256", F.lower(F.hex(digest_of(F.col("text"))))))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bloom
 from .components import connected
@@ -175,6 +176,11 @@ def _linked(threshold: float):
 
 def links(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
     """One row per row of ``docs``; see the module text."""
+    return _links(docs, threshold, target).select("doc_id", "class_id", "copy_of", "n_copies", "n_links")
+
+
+def _links(docs: DataFrame, threshold: float, target: float) -> DataFrame:
+    """:func:`links` with each row's class ``(node, check)`` and ``keeper``, the node of the class that stays of its group."""
     bounded_batches(docs.sparkSession)
     narrow = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
     signed = materialise(
@@ -216,17 +222,25 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_
     found = materialise(grouped.mapInArrow(_linked(threshold), "node bigint, root bigint, links bigint"), "links")
     groups = materialise(
         connected(found.select("node", "root"), "node", "root").join(members.select("node", "copy_of"), "node"), "groups")
-    least = materialise(groups.groupBy("root").agg(F.min("copy_of").alias("class_id")), "group-ids")
+    # several classes of a group can have its least id, or none an id: the least node of these is kept
+    least = materialise(
+        groups.groupBy("root").agg(
+            F.min("copy_of").alias("class_id"),
+            F.min(F.struct(F.col("copy_of").isNull().alias("none"), "copy_of", "node")).alias("first")).select(
+            "root", "class_id", F.col("first.node").alias("keeper")), "group-ids")
     grouped = groups.join(least, "root").join(found.groupBy("node").agg(F.sum("links").alias("n_links")), "node")
     labelled = materialise(
-        classes.select("node", "check", "copy_of", "n_copies").join(grouped.select("node", "class_id", "n_links"), "node", "left").select(
+        classes.select("node", "check", "copy_of", "n_copies").join(grouped.select("node", "class_id", "keeper", "n_links"), "node", "left").select(
             "node", "check", "copy_of", "n_copies", F.coalesce("class_id", "copy_of").alias("class_id"),
+            F.coalesce("keeper", "node").alias("keeper"),
             F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links")), "class-labels")
     rows = signed.select("doc_id", "n", "node", "check")
-    with_class = rows.filter("n > 0").join(labelled, ["node", "check"]).select("doc_id", "class_id", "copy_of", "n_copies", "n_links")
+    with_class = rows.filter("n > 0").join(labelled, ["node", "check"]).select(
+        "doc_id", "class_id", "copy_of", "n_copies", "n_links", "node", "check", "keeper")
     without = rows.filter("n = 0").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"),
-        F.lit(1).cast("bigint").alias("n_copies"), F.lit(0).cast("bigint").alias("n_links"))
+        F.lit(1).cast("bigint").alias("n_copies"), F.lit(0).cast("bigint").alias("n_links"),
+        "node", "check", F.col("node").alias("keeper"))
     return with_class.unionByName(without)
 
 
@@ -240,11 +254,28 @@ def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep))
 
 
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text, row) with the class ``(node, check)`` of the text."""
+    for batch in batches:
+        node, check = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
+        for lo, data, offsets in chunks(*buffers(batch.column(1))):
+            rows = len(offsets) - 1
+            node[lo:lo + rows], check[lo:lo + rows] = digests(*shingle_sets(data, offsets), rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node), pa.array(check)], names=["id", "text", "row", "node", "check"])
+
+
+def _with_classes(rows: DataFrame) -> DataFrame:
+    schema = T.StructType([*rows.schema, T.StructField("node", T.LongType()), T.StructField("check", T.LongType())])
+    return rows.mapInArrow(_classes, schema)
+
+
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their near-duplicate group, with their own columns.
+    """Of each near-duplicate group of ``docs`` the row with the least id, with its own columns.
 
-    Only rows whose group has others are shuffled; of repeated rows one stays.
+    Only rows whose group has others are shuffled; of repeated rows one stays. Of
+    texts of one group with the same id (or all without) one stays.
     """
-    joined = links(docs, threshold, target)
+    joined = _links(docs, threshold, target)
     decided = materialise(joined.filter((F.col("n_links") > 0) | (F.col("n_copies") > 1)), "near-duplicates")
-    return drop_losers(docs, decided.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("stays")))
+    stays = F.col("doc_id").eqNullSafe(F.col("copy_of")) & (F.col("node") == F.col("keeper"))
+    return drop_losers(docs, decided.groupBy("doc_id", "node", "check").agg(F.max(stays).alias("stays")), _with_classes)

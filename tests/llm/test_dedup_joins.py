@@ -157,6 +157,17 @@ def test_keep_one_keeps_the_least_of_each_group(docs_of):
     assert ids.count(4) == 1 and {1, 2, 3, 7, 104} <= set(ids)
 
 
+def test_keep_one_decides_by_id_and_text(docs_of):
+    """Null and repeated ids, of which only some texts are copies."""
+    near, other, alone = prose(40, 80), prose(41, 80), prose(43, 80)
+    rows = [(1, near), (None, near + " tail"), (None, prose(42, 80)), (None, near), (5, near + " end"), (5, prose(44, 80)),
+            (None, other), (None, other + " tail"), (8, alone), (8, alone + " tail"), (8, prose(45, 80))]
+    left = sorted(((r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs_of(rows)).collect()), key=str)
+    assert sum(t in (other, other + " tail") for _, t in left) == 1 and sum(t in (alone, alone + " tail") for _, t in left) == 1
+    rest = [x for x in left if x[1].removesuffix(" tail") not in (other, alone)]
+    assert rest == sorted([(1, near), (None, prose(42, 80)), (5, prose(44, 80)), (8, prose(45, 80))], key=str)
+
+
 def test_empty_tables(empty):
     assert ngram_join.links(empty).count() == 0
     assert substring_dedup.dedup_substrings(empty).count() == 0

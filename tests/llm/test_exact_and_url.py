@@ -43,6 +43,14 @@ def test_keep_first_hands_rows_through(spark, docs_of, empty):
     assert exact_dedup.keep_first(empty, exact_dedup.open_index(spark, buckets=2)).count() == 0
 
 
+def test_keep_first_decides_by_id_and_text(spark, docs_of):
+    """Null and repeated ids, of which only some texts are copies."""
+    rows = [(1, "a"), (None, "a"), (None, "b"), (None, "c"), (None, "c"), (2, "a"), (2, "d"), (3, "e"), (3, "f"), (4, "e"), (5, "g h"), (5, "g  h")]
+    got = exact_dedup.keep_first(docs_of(rows), exact_dedup.open_index(spark, buckets=2)).collect()
+    assert sorted(((r["doc_id"] or 0, " ".join(r["text"].split())) for r in got)) == [
+        (0, "b"), (0, "c"), (1, "a"), (2, "d"), (3, "e"), (3, "f"), (5, "g h")]
+
+
 def test_bloom_filter_never_misses(spark):
     members = spark.range(0, 500).withColumnRenamed("id", "k")
     probed = bloom.possible(spark.range(0, 5000), F.col("id"), members, F.col("k"), 500)
