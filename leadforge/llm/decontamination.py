@@ -18,13 +18,16 @@ with one threshold:
    five-word shingles that the passage holds, 0.8 or more of both. The answer
    is an item's last sentence (the last third of a single one).
 
+Items of fewer than ``MIN_WORDS`` words are too short for shingles of both parts.
+They are looked up by hash: a text holds one where all its words stand in it in
+a row (score and overlaps are 1).
+
 The index is broadcast in shards of at most ``SHARD_BYTES`` bytes of item text,
 each a collection of its own, so its size is bounded whatever the number of
 items. Texts are read once per shard and never shuffled.
 
 Defined cases: null and empty texts or items hold no passage and are in no
-pair; items of fewer than ``MIN_WORDS`` words are not looked for; repeated rows
-and items give a row each; a null id is kept; an empty table gives an empty
+pair, nor do items without a word; repeated rows and items give a row each; a null id is kept; an empty table gives an empty
 result; other columns are not read (``clean`` hands them through).
 """
 
@@ -43,19 +46,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tables import bounded_batches, text_of
-from .text import buffers, chunks, shingle_hashes, word_hashes, words
+from .text import buffers, chunks, mix, shingle_hashes, word_hashes, words
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6          # share of an item's own score
 OVERLAP = 0.8
 SHINGLE = 5
-MIN_WORDS = 8
+MIN_WORDS = 8            # shorter items are matched as runs of words
 BLOCK = 8                # postings under one block maximum
 GROUPS = 48              # blocks of neighbouring items in the bound of whole batches
 AT_ONCE = 4096           # passages bounded at once
 STRIDE = 64
 SHARD_BYTES = 16 << 20
 SENTENCE = re.compile(r"(?<=[.?!])\s+")
+#: ``first_word``: where the passage begins, or the first run of a short item
 SCHEMA = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double, first_word bigint"
 
 
@@ -83,9 +87,20 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
         self.threshold = threshold
-        kept = [(i, t) for i, t in items if t and len(hashes_of(t)) >= MIN_WORDS]
-        self.item_id = [i for i, _ in kept]
-        tokens = [hashes_of(t).tolist() for _, t in kept]
+        known = [(i, t, hashes_of(t)) for i, t in items if t]
+        kept = [(i, t) for i, t, h in known if len(h) >= MIN_WORDS]
+        short = [(i, h) for i, _, h in known if 0 < len(h) < MIN_WORDS]
+        self.item_id = [i for i, _ in kept] + [i for i, _ in short]  # short items after the indexed ones
+        tokens = [h.tolist() for _, _, h in known if len(h) >= MIN_WORDS]
+        # by number of words: sorted run hashes and the items of each
+        self.runs: list[tuple[int, np.ndarray, list[list[int]]]] = []
+        for size in range(1, MIN_WORDS):
+            by_run: dict[int, list[int]] = defaultdict(list)
+            for k, (_, h) in enumerate(short, len(kept)):
+                if len(h) == size:
+                    by_run[int(shingle_hashes(h, np.array([0, size]), size)[0][0])].append(k)
+            if by_run:
+                self.runs.append((size, np.array(sorted(by_run), dtype=np.uint64), [by_run[r] for r in sorted(by_run)]))
         self.parts = [tuple(shingles_of(p) for p in question_and_answer(t)) for _, t in kept]
         self.longest = max(map(len, tokens), default=0)
         average = sum(map(len, tokens)) / max(len(tokens), 1)
@@ -186,16 +201,40 @@ class Index:
     def matches(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, float, float, float, int]]:
         """(row, item, score, question overlap, answer overlap, first word) of verified passages, best per item."""
         w = words(data, offsets)
-        if not self.longest or not len(w.start):
+        if not len(w.start):
             return
         hashes = word_hashes(w)
+        best = self._short_items(hashes, w.row_first)
+        if self.longest:
+            best |= self._passages(hashes, w.row_first)
+        for (r, item), found in sorted(best.items()):
+            yield r, item, *found
+
+    def _short_items(self, hashes: np.ndarray, row_first: np.ndarray) -> dict[tuple[int, int], tuple]:
+        """(row, item) of short items whose words stand in a row, with the first place."""
+        best: dict[tuple[int, int], tuple] = {}
+        row = np.repeat(np.arange(len(row_first) - 1), np.diff(row_first)) if self.runs else None
+        for size, known, items in self.runs:
+            at = np.flatnonzero(np.arange(len(hashes)) + size <= row_first[row + 1])
+            value = np.zeros(len(at), dtype=np.uint64)
+            for k in range(size):
+                value = mix(value ^ hashes[at + k])
+            place = np.minimum(np.searchsorted(known, value), len(known) - 1)
+            for i in np.flatnonzero(known[place] == value).tolist():
+                r = int(row[at[i]])
+                for item in items[place[i]]:
+                    best.setdefault((r, item), (1.0, 1.0, 1.0, int(at[i] - row_first[r])))
+        return best
+
+    def _passages(self, hashes: np.ndarray, row_first: np.ndarray) -> dict[tuple[int, int], tuple]:
+        """(row, item) of indexed items, with the best verified passage."""
         numbers = self.numbers(hashes)
-        count = np.diff(w.row_first)
+        count = np.diff(row_first)
         passages = np.where(count > 0, np.maximum(1, -(-(count - self.longest) // STRIDE)), 0)
         row = np.repeat(np.arange(len(count)), passages)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(passages) - passages, passages)
-        begin = w.row_first[row] + nth * STRIDE
-        stop = np.minimum(begin + STRIDE + self.longest, w.row_first[row + 1])
+        begin = row_first[row] + nth * STRIDE
+        stop = np.minimum(begin + STRIDE + self.longest, row_first[row + 1])
         total = np.concatenate([[0.0], np.cumsum(self.most[numbers])])
         likely = np.flatnonzero(total[stop] - total[begin] >= self.threshold - 1e-9)
         best: dict[tuple[int, int], tuple] = {}
@@ -212,11 +251,10 @@ class Index:
                 question = max(question, _short_part(self.parts[item][0], hashes[b:s]))
                 if question >= OVERLAP and answer >= OVERLAP:
                     r = int(row[p])
-                    new = (score, question, answer, b - int(w.row_first[r]))
+                    new = (score, question, answer, b - int(row_first[r]))
                     if (r, item) not in best or new[:3] > best[r, item][:3]:
                         best[r, item] = new
-        for (r, item), found in sorted(best.items()):
-            yield r, item, *found
+        return best
 
 
 def _short_part(shingles: np.ndarray, hashes: np.ndarray) -> float:

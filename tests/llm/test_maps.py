@@ -128,6 +128,19 @@ def test_leaks_match_planted_ones(spark, docs_of):
     assert {1000, 1001}.isdisjoint({r["doc_id"] for r in left.collect()}) and left.filter(F.col("doc_id").isin(1002, 1003)).count() == 2
 
 
+def test_short_items_match_as_runs_of_words(spark, docs_of):
+    bench = spark.createDataFrame(
+        [(1, "Who wrote Kestrel? Ada Quill."), (2, "what colour is zinc"), (3, "Xyzzyish!"), (4, "..."), (5, " ".join(f"q{j}" for j in range(30)))],
+        "item_id bigint, text string")
+    docs = docs_of([(10, prose(1, 200) + " who wrote KESTREL ada quill " + prose(2, 90)), (11, "Who wrote Kestrel? Not Ada Quill."), (12, "What colour is"),
+                    (13, "zinc"), (14, "is zinc what colour is zinc"), (15, "xyzzyish"), (None, "Xyzzyish xyzzyish"), (16, None), (17, "")])
+    got = sorted((r["doc_id"] or 0, r["item_id"], r["score"], r["first_word"]) for r in decontamination.leaks(docs, bench).collect())
+    assert got == [(0, 3, 1.0, 0), (10, 1, 1.0, 200), (14, 2, 1.0, 2), (15, 3, 1.0, 0)]
+    assert sorted(r["doc_id"] for r in decontamination.clean(docs, bench).collect()) == [11, 12, 13, 16, 17]
+    only = decontamination.leaks(docs, bench.filter("item_id = 2"))
+    assert [r["doc_id"] for r in only.collect()] == [14]
+
+
 def test_shards_find_the_same(spark, docs_of):
     rows, bench = items(spark)
     docs = docs_of([(k, prose(k, 80) + " " + t) for k, t in rows])
