@@ -10,7 +10,8 @@ some template (the matching statistics). From them come
 * the *covered spans*: matches of ``MIN_MATCH`` words or more that cannot be
   extended are anchors (text place, template place, length); anchors of one
   template that follow each other in both within ``MAX_GAP`` words are chained,
-  and a chain that covers ``MIN_COVER`` of its template adds the label.
+  and a chain that covers ``MIN_COVER`` of its template and overlaps no better
+  chain of it is a span and adds the label.
 
 Only words that stand beside a neighbour they also have in a template can be in
 a match of two words or more, so the stream skips all others in whole-array
@@ -28,6 +29,7 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
@@ -237,38 +239,104 @@ class Scanner:
         return base, anchors
 
     def chain(self, anchors: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Covered spans (label, first word, last word, share of the template), the best chain of each stretch."""
+        """Covered spans (label, first word, last word, share of the template).
+
+        Of each template all chains that reach ``MIN_COVER`` and do not overlap a
+        better one of it; a stretch without any has its best chain.
+        """
         spans = []
         by_template = defaultdict(list)
         for k, at, place, n in anchors:
             by_template[k].append((at, place, n))
         for k, found in by_template.items():
             found.sort()
-            chains: list[tuple[int, int, int, int]] = []  # (text end, template end, words covered, text start)
-            stretch: list[tuple[int, int, int, int]] = []
-            reach = -1
-
-            def close() -> None:
-                if stretch:
-                    end, _, covered, start = max(stretch, key=lambda c: (c[2], -c[0]))
-                    spans.append((self.labels[k], start, end - 1, min(1.0, covered / self.sizes[k])))
-
-            for at, place, n in found:
-                if reach >= 0 and at > reach + MAX_GAP:
-                    close()
-                    chains, stretch = [], []
-                chains = [c for c in chains if at - c[0] <= MAX_GAP]
-                best = (at + n, place + n, n, at)
-                for end, stop, covered, start in chains:
-                    gain = n - max(0, end - at, stop - place)
-                    if gain > 0 and place - stop <= MAX_GAP and place + n > stop and covered + gain > best[2]:
-                        best = (at + n, place + n, covered + gain, start)
-                chains.append(best)
-                stretch = [best] if not stretch or best[2] > stretch[0][2] else stretch
-                reach = max(reach, at + n)
-            close()
+            for stretch in self._stretches(found):
+                chosen = self._apart(stretch, MIN_COVER * self.sizes[k])
+                spans += [(self.labels[k], start, end - 1, min(1.0, covered / self.sizes[k])) for end, _, covered, start in chosen]
         return spans
 
+    @staticmethod
+    def _stretches(found: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+        """Runs of anchors (text place, template place, length) within ``MAX_GAP`` words of those before."""
+        stretch: list[tuple[int, int, int]] = []
+        reach = -1
+        for at, place, n in found:
+            if stretch and at > reach + MAX_GAP:
+                yield stretch
+                stretch = []
+            stretch.append((at, place, n))
+            reach = max(reach, at + n)
+        if stretch:
+            yield stretch
+
+    @staticmethod
+    def _chains(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """The best chain that ends with each anchor: (text end, template end, words covered, text start); of equal ones the shortest."""
+        chains: list[tuple[int, int, int, int]] = []
+        near: list[tuple[int, int, int, int]] = []
+        for at, place, n in found:
+            near = [c for c in near if at - c[0] <= MAX_GAP]
+            best = (at + n, place + n, n, at)
+            for end, stop, covered, start in near:
+                gain = n - max(0, end - at, stop - place)
+                if gain > 0 and place - stop <= MAX_GAP and place + n > stop and (covered + gain, start) > (best[2], best[3]):
+                    best = (at + n, place + n, covered + gain, start)
+            near.append(best)
+            chains.append(best)
+        return chains
+
+    def _apart(self, stretch: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int, int]]:
+        """The chains of a stretch that cover ``least`` words and overlap no better one, by place; the best chain if none does."""
+        taken: list[tuple[int, int, int, int]] = []
+        open_parts = [stretch]
+        while open_parts:
+            again = []
+            for part in open_parts:
+                chains = sorted(set(self._chains(part)), key=lambda c: (-c[2], c[0], -c[3]))
+                if not taken and chains[0][2] < least:
+                    return [chains[0]]
+                own: list[tuple[int, int]] = []    # taken places
+                held: list[tuple[int, int]] = []   # places of chains that overlap a better one: a shorter chain may be hidden there
+                for c in chains:
+                    if c[2] < least:
+                        break
+                    if not _meets(own, c[3], c[0]) and not _meets(held, c[3], c[0]):
+                        insort(own, (c[3], c[0]))
+                        taken.append(c)
+                    else:
+                        held = _joined(held, c[3], c[0])
+                if held:
+                    again += self._left(part, own)
+            open_parts = again
+        return sorted(taken, key=lambda c: c[3])
+
+    @staticmethod
+    def _left(part: list[tuple[int, int, int]], own: list[tuple[int, int]]) -> list[list[tuple[int, int, int]]]:
+        """The anchors of ``part`` between the taken places."""
+        left: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for at, place, n in part:
+            if not _meets(own, at, at + n):
+                left[bisect_left(own, (at, at))].append((at, place, n))
+        return [left[i] for i in sorted(left)]
+
+
+def _meets(places: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether one of the sorted disjoint places (start, end) overlaps this one."""
+    i = bisect_left(places, (end, end))
+    return i > 0 and places[i - 1][1] > start
+
+
+def _joined(places: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
+    """The sorted disjoint places with this one, overlapping ones united."""
+    hi = bisect_left(places, (end, end))
+    lo = hi
+    while lo > 0 and places[lo - 1][1] > start:
+        lo -= 1
+    if lo < hi:
+        start, end = min(start, places[lo][0]), max(end, places[hi - 1][1])
+    places[lo:hi] = [(start, end)]
+    return places
+
 
 _SCANNERS: dict[tuple, Scanner] = {}
 

@@ -94,6 +94,28 @@ def test_changed_notice_is_chained(docs_of):
     assert found[2]["labels"] == "" and found[2]["score"] == 0 and found[3]["labels"] == "mit"
 
 
+def test_adjacent_notices_have_a_span_each(docs_of):
+    full = next(t for label, t in licenses.TEMPLATES if t.startswith("Permission is hereby granted"))
+    changed = full.replace("including without limitation", "including, but WITHOUT any limitation")
+    n, m = len(licenses.split_words(full)), len(licenses.split_words(changed))
+    spdx = "SPDX-License-Identifier: MIT"
+    rows = [(1, f"{full} {full}"), (2, f"{changed} {full} {changed}"), (3, f"{spdx} a.js {spdx} b.js {spdx}"), (4, f"{prose(1, 20)} {full}"),
+            (5, f"{full} {full} " * 200)]
+    got = {r["doc_id"]: [(s["first_word"], s["last_word"]) for s in r["spans"] if s["label"] == "mit"]
+           for r in licenses.scan_licences(docs_of(rows)).collect()}
+    assert got[1] == [(0, n - 1), (n, 2 * n - 1)]
+    assert got[2] == [(0, m - 1), (m, m + n - 1), (m + n, 2 * m + n - 1)]
+    assert got[3] == [(0, 3), (6, 9), (12, 15)]
+    assert got[4] == [(20, 19 + n)] and got[5] == [(k * n, k * n + n - 1) for k in range(400)]
+
+
+def test_hidden_chains_are_found():
+    scanner = licenses.Scanner([("x", " ".join(f"w{i}" for i in range(20)))])
+    # a copy in two parts, then another from word 7 on, whose parts could also follow the first part of the first
+    anchors = [(0, 0, 0, 10), (0, 12, 10, 10), (0, 24, 7, 6), (0, 31, 13, 7)]
+    assert [(f, e) for _, f, e, _ in scanner.chain(anchors)] == [(0, 21), (24, 37)]
+
+
 def test_matching_statistics_against_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(40):
