@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, licenses, ngram_join, packing, quality, substring_dedup, suffix_dedup, toxicity, url_filter
-from .tables import read_table
+from . import (decontamination, exact_dedup, licenses, ngram_join, packing, periodic_runs, quality, spelling, substring_dedup,
+               suffix_dedup, toxicity, url_filter)
+from .tables import materialise, read_table
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +58,22 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_suffixes(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.repeat_tails(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.periodic_runs(docs).withColumn("longest", periodic_runs.longest("runs"))
+    length, period = F.col("longest.length"), F.col("longest.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("longest.start").alias("start"), length.alias("length"),
+        period.alias("period"), F.floor(1000 * length / period).cast("bigint").alias("exponent_milli"),
+        F.sha2(periodic_runs.run_lines("runs"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = materialise(spelling.word_counts(docs, drop_one_in=97), "vocabulary")
+    return spelling.spelling_variants(words)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality": op2_quality,
@@ -67,4 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_packing": op10_packing,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_spelling_variants": op13_spelling_variants,
 }
