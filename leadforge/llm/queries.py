@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontamination, exact_dedup, licenses, ngram_join, packing, periodic_runs, quality, spelling, substring_dedup,
-               suffix_dedup, toxicity, url_filter)
+from . import (decontamination, exact_dedup, licenses, ngram_join, packing, periodic_runs, quality, secret_scan, spelling,
+               substring_dedup, suffix_dedup, toxicity, url_filter)
 from .tables import materialise, read_table
 
 
@@ -58,6 +58,16 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_suffixes(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan_secrets(docs, secret_scan.fit(docs))
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    kinds = F.transform("spans", lambda s: s["kind"])
+    count = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *count, F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
+                        secret_scan.joined(F.col("spans")).alias("spans"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic_runs.repeat_tails(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = periodic_runs.periodic_runs(docs).withColumn("longest", periodic_runs.longest("runs"))
@@ -85,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_packing": op10_packing,
+    "op11_secret_scan": op11_secret_scan,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_spelling_variants": op13_spelling_variants,
 }
