@@ -226,10 +226,13 @@ def neighbours(words: DataFrame, min_letters: int = MIN_LETTERS, bucket_letters:
     words = words.withColumn("letters", F.char_length("word"))
     total = words.agg(F.sum("letters").alias("t")).first()["t"] or 0
     buckets = max(1, -(-total // bucket_letters))
+    # a search costs far more than its bytes tell, so the number of tasks is not left to their size
+    set_parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(buckets, max(set_parts, buckets // 8))
     left = min_letters // 2
     ends = ((_search_right, F.substring("word", 1, left)), (_search_left, F.expr(f"right(word, {min_letters - left})")))
-    found = [_units(words, key, buckets, block_letters).groupBy("bucket", "i", "j").applyInArrow(searched, SEARCHED)
-             for searched, key in ends]
+    found = [_units(words, key, buckets, block_letters).repartition(parts, "bucket", "i", "j")
+             .groupBy("bucket", "i", "j").applyInArrow(searched, SEARCHED) for searched, key in ends]
     return found[0].unionByName(found[1]).groupBy("word").agg(
         F.max("n").alias("n"), F.sum("n_near").alias("n_near"), F.min("best").alias("best"))
 
