@@ -1,4 +1,4 @@
-"""Training-set augmentation (M10), TF-IDF weights (M12) and the logistic-regression model."""
+"""Training-set augmentation (M10) and TF-IDF weights."""
 
 from __future__ import annotations
 
@@ -11,9 +11,6 @@ from . import nb as NB
 from .text import _c
 
 
-MAX_TERMS = 20_000_000
-
-
 def _word(word: str) -> str:
     return rf"(?i)(?<![{WORD_CHARS}]){word}(?![{WORD_CHARS}])"
 
@@ -63,72 +60,3 @@ def tfidf_weights(df: DataFrame, id_col: str = "id", text_col: str = "text", use
         id_col, "term", (F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
     return w.select(id_col, "term", F.when(norm > 0, F.col("raw") / norm).otherwise(0.0).alias("weight"))
-
-
-def train_logreg(train: DataFrame, text_col: str = "text", label_col: str = "label", use_ngrams: bool = True,
-                 use_features: bool = True, max_iter: int = 1000, tol: float = 1e-3,
-                 max_terms: int = MAX_TERMS):
-    """tokens(+bigrams) -> counts -> smooth idf -> L2 -> (+ six features) -> class-balanced
-    L2 logistic regression (C = 1, unpenalised intercept), fitted with ``pyspark.ml`` (L-BFGS).
-
-    The vocabulary is exactly the distinct terms of ``train``. It and the coefficients
-    live on the driver, which this fit cannot avoid: more than ``max_terms`` terms
-    raise an error, as does a fit that has not converged after ``max_iter`` iterations.
-
-    Returns (pipeline_model, scorer) where ``scorer(df)`` adds ``probability_1``.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.linalg import Vectors
-
-    def prepare(d: DataFrame) -> DataFrame:
-        t = NB.with_terms(d, text_col, use_ngrams).withColumn("_terms", F.concat("_tok", "_big"))
-        if use_features:
-            f = NB.text_features(text_col)
-            t = t.select("*", *[f[n].alias(f"_f_{n}") for n in sorted(L.FEATURE_NAMES)])
-        return t
-
-    from pyspark import StorageLevel
-
-    # the fit makes several passes (vocabulary, idf, class counts, optimiser): keep the
-    # prepared rows in executor memory/disk for its duration
-    prepared = prepare(train).persist(StorageLevel.MEMORY_AND_DISK)
-    terms = prepared.select(F.explode("_terms").alias("t")).agg(F.count_distinct("t").alias("n")).first()["n"]
-    if terms > max_terms:
-        prepared.unpersist()
-        raise ValueError(f"{terms} distinct terms; the fit keeps its vocabulary on the driver and takes {max_terms} at most")
-    data = prepared
-    counts = data.groupBy(label_col).count().collect()  # two rows
-    total = sum(r["count"] for r in counts)
-    weights = {r[label_col]: total / (2.0 * r["count"]) for r in counts}
-    wcol = F.lit(0.0)
-    for k, v in weights.items():
-        wcol = F.when(F.col(label_col) == k, F.lit(v)).otherwise(wcol)
-    data = data.withColumn("_w", wcol)
-
-    cv = CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=1.0, vocabSize=max(terms, 1)).fit(data)
-    idf_model = IDF(inputCol="_tf", outputCol="_idf_unused").fit(cv.transform(data))
-    scale = Vectors.dense([v + 1.0 for v in idf_model.idf.toArray()])
-    feats = ["_l2"] + ([f"_f_{n}" for n in sorted(L.FEATURE_NAMES)] if use_features else [])
-    lr = LogisticRegression(featuresCol="_x", labelCol=label_col, weightCol="_w", maxIter=max_iter, tol=tol,
-                            regParam=1.0 / sum(weights[r[label_col]] * r["count"] for r in counts),
-                            elasticNetParam=0.0, standardization=False, fitIntercept=True)
-    pipe = Pipeline(stages=[
-        cv,
-        ElementwiseProduct(scalingVec=scale, inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="_l2", p=2.0),
-        VectorAssembler(inputCols=feats, outputCol="_x"),
-        lr,
-    ])
-    model = pipe.fit(data.withColumn(label_col, F.col(label_col).cast("double")))
-    prepared.unpersist()
-    if model.stages[-1].summary.totalIterations >= max_iter:
-        raise RuntimeError(f"the logistic regression has not converged after {max_iter} iterations")
-
-    def scorer(d: DataFrame) -> DataFrame:
-        out = model.transform(prepare(d))
-        return out.withColumn("probability_1", vector_to_array("probability")[1])
-
-    return model, scorer
