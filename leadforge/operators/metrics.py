@@ -18,14 +18,14 @@ def run_stats(outcomes: DataFrame) -> DataFrame:
     """A1: total, processed (reached the upsert, incl. missing email), new leads, skipped.
 
     As in the original counters, a message skipped for a missing email counts as
-    processed *and* skipped.
+    processed *and* skipped, and a failed one as neither.
     """
     o = F.col("outcome")
     return outcomes.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(o.isin("processed", "missing_email")).alias("processed"),
         F.count_if(F.col("created")).alias("new_leads"),
-        F.count_if(o != "processed").alias("skipped"),
+        F.count_if(~o.isin("processed", "error")).alias("skipped"),
     )
 
 
@@ -75,7 +75,7 @@ def run_progress(outcomes: DataFrame) -> DataFrame:
     x = outcomes.select(
         "seq",
         F.when(o.isin("processed", "missing_email"), 1.0).otherwise(0.0).alias("p"),
-        F.when(o != "processed", 1.0).otherwise(0.0).alias("s"),
+        F.when(o.isin("processed", "error"), 0.0).otherwise(1.0).alias("s"),
         F.when(F.col("created"), 1.0).otherwise(0.0).alias("l"),
         o.isin("processed", "missing_email").alias("legacy_emit"),
     )

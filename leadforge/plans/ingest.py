@@ -10,6 +10,10 @@ the scorer and come back with null scores):
 4. contact fields (only for leads);
 5. outcome routing, then the contact upsert and the sink rows.
 
+A batch may carry a column ``fault``, the reason why a mail could not be read: such a
+row gets the outcome ``error`` and nothing else. It is in no ledger, so a good copy of
+the mail is taken when it comes, in this batch or a later one; the run goes on.
+
 ``run_batch`` writes every output under one ``batch_id`` folder; replaying a
 batch rewrites the same folder, so ledger, events and contacts stay consistent.
 """
@@ -83,14 +87,17 @@ def run(batch: DataFrame, ledger: DataFrame, prior_contacts: DataFrame, cfg: Run
     """
     if cfg.check_keys and ambiguous_keys(batch):
         raise ValueError("batch has a uid with several Message-IDs (or the reverse)")
-    dup = routing.duplicate_flags(batch, ledger)
+    has_fault = "fault" in batch.columns
+    good = F.col("fault").isNull() if has_fault else F.lit(True)
+    keyed = batch.select("seq", *[F.when(good, F.col(c)).alias(c) for c in ("message_id", "imap_uid")]) if has_fault else batch
+    dup = routing.duplicate_flags(keyed, ledger)
     b = batch.join(dup, "seq", "inner")
     allowed, reason = routing.sender_check("from_header", cfg.allowed_domains)
     b = b.select(
         "*",
         F.nullif(text.strip_ws("message_id"), F.lit("")).alias("mid"),
         text.sender_domain("from_header").alias("from_domain"),
-        allowed.alias("allowed"), reason.alias("allow_reason"),
+        F.coalesce(allowed & good, F.lit(False)).alias("allowed"), reason.alias("allow_reason"),
         headers_map(b).alias("headers"),
         F.nullif(F.col("subject"), F.lit("")).alias("subject_h"),
     )
@@ -100,9 +107,11 @@ def run(batch: DataFrame, ledger: DataFrame, prior_contacts: DataFrame, cfg: Run
     fields = F.when(F.col("is_lead"), extract.parse_contact("body", "headers"))
     p = scored.withColumn("fields", fields)
     outcome, status = routing.route_outcome("duplicate", "allowed", "is_lead", F.col("fields.email"))
+    if has_fault:
+        outcome, status = F.when(~good, F.lit("error")).otherwise(outcome), F.when(~good, F.lit("error")).otherwise(status)
     p = p.withColumn("outcome", outcome).withColumn("status", status)
     reason_col = (
-        F.when(F.col("outcome") == "duplicate", F.lit("duplicate"))
+        F.when(F.col("outcome") == "error", F.col("fault") if has_fault else F.lit(None).cast("string")).when(F.col("outcome") == "duplicate", F.lit("duplicate"))
         .when(F.col("outcome") == "not_allowed", F.col("allow_reason"))
         .when(F.col("outcome") == "not_lead",
               F.format_string("Missing lead keywords (score=%.2f, conf=%s)", F.col("lead_score"), F.col("confidence")))
@@ -121,6 +130,7 @@ def run(batch: DataFrame, ledger: DataFrame, prior_contacts: DataFrame, cfg: Run
         F.col("subject_h").alias("subject"),
         F.when(reached, text.received_at("date_header")).alias("received_at"),
         F.when(F.col("outcome") == "processed", text.excerpt("body")).alias("excerpt"),
+        F.map_filter("headers", lambda name, _: ~name.isin("Message-ID", "Subject")).alias("other_headers"),
         "date_header",
     )
     if cut is not None:
@@ -134,7 +144,7 @@ def run(batch: DataFrame, ledger: DataFrame, prior_contacts: DataFrame, cfg: Run
     outcomes = outcomes.join(created, "seq", "left").withColumn(
         "created", F.coalesce("created", F.lit(False)))
 
-    ledger_rows = outcomes.filter(F.col("outcome") != "duplicate").select(
+    ledger_rows = outcomes.filter(~F.col("outcome").isin("duplicate", "error")).select(
         F.coalesce(F.col("message_id"), F.concat(F.lit("uid:"), F.col("imap_uid")),
                    F.when(F.col("outcome") == "processed", upsert.contact_id(F.col("email"))))
         .alias("message_id"),
@@ -147,9 +157,8 @@ def run(batch: DataFrame, ledger: DataFrame, prior_contacts: DataFrame, cfg: Run
         F.lit("email_inbound").alias("event_type"),
         F.lit(cfg.run_ts).cast("timestamp").alias("occurred_at"),
         F.struct(
-            F.create_map(F.lit("Message-ID"), F.col("message_id"), F.lit("From"), F.col("from_header"),
-                         F.lit("To"), F.lit(None).cast("string"),  # the batch carries no To header
-                         F.lit("Subject"), F.col("subject"), F.lit("Date"), F.col("date_header")).alias("headers"),
+            F.map_concat(F.create_map(F.lit("Message-ID"), F.col("message_id"), F.lit("Subject"), F.col("subject")),
+                         F.col("other_headers")).alias("headers"),
             F.struct("first_name", "last_name", "email", "phone", "org").alias("extracted"),
             text.received_at_iso_local("date_header").alias("received_at"),
             F.col("excerpt").alias("body_excerpt"),
@@ -161,7 +170,7 @@ def run(batch: DataFrame, ledger: DataFrame, prior_contacts: DataFrame, cfg: Run
         "email", "first_name", "last_name", F.col("org").alias("company"), "phone", "subject",
         "received_at", F.col("excerpt").alias("notes"),
     )
-    return RunResult(outcomes.drop("date_header", "from_header"), contacts, ledger_rows, events, new_leads)
+    return RunResult(outcomes.drop("date_header", "from_header", "other_headers"), contacts, ledger_rows, events, new_leads)
 
 
 def ambiguous_keys(batch: DataFrame) -> bool:

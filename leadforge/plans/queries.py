@@ -544,6 +544,7 @@ PAGE_OFFSET, PAGE_LIMIT = 100, 50
 DEDUP_HORIZON = "60 days"
 METRICS_FOLDER = "INBOX"
 SHEET_FILE = "leads.xlsx"
+MAIL_FOLDER = "maildrop"
 
 
 _RUNS: dict = {}
@@ -741,6 +742,56 @@ def q_eml_load(spark, sf_dir):
                     _ts(text.received_at("date_header")).alias("received_at"), "body")
 
 
+def raw_mail(spark, sf_dir) -> DataFrame:
+    """The batch as raw mail with ``To`` and some ``Reply-To`` headers; every 83rd mail is broken: nothing, blanks or no headers."""
+    m = messages(spark, sf_dir)
+    u = (F.floor(F.col("seq") / 2) % 31).cast("string")
+    m = m.withColumn("to_header", F.when(F.col("seq") % 4 == 0, F.concat(F.lit("Vendite <vendite"), u, F.lit("@ours.example>"))))
+    m = m.withColumn("reply_to", F.when(F.col("seq") % 29 == 0, F.concat(F.lit("Sara Blu <sara"), u, F.lit("@risposte.example>"))))
+    seq = F.col("path").cast("long")
+    broken = F.when(seq % 3 == 0, F.lit(None).cast("string")).when(seq % 3 == 1, F.lit(" \n ")).otherwise(F.lit("\nno header"))
+    return mail.render_raw(m).withColumn("content", F.when(seq % 83 == 0, broken).otherwise(F.col("content")))
+
+
+_MAIL_RUNS: dict = {}
+
+
+def mail_run(spark, sf_dir) -> ingest.RunResult:
+    """Raw mail to contacts in one plan: parse, number, route, extract, upsert (reused within one application)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MAIL_RUNS:
+        parsed = mail.parse_raw(raw_mail(spark, sf_dir), "path", "content", faults=True)
+        batch = _checkpoint(mail.to_batch(parsed, F.col("path"), MAIL_FOLDER))
+        _MAIL_RUNS[key] = ingest.run(batch, ingest.empty_ledger(spark), upsert.empty_contacts(spark),
+                                     ingest.RunConfig(allowed_domains=PIPELINE_DOMAINS, run_ts=RUN2_TS), cut=_checkpoint)
+    return _MAIL_RUNS[key]
+
+
+@register("mail_contacts")
+def q_mail_contacts(spark, sf_dir):
+    return _contact_cols(mail_run(spark, sf_dir).contacts)
+
+
+@register("mail_events")
+def q_mail_events(spark, sf_dir):
+    h = F.col("payload.headers")
+    return mail_run(spark, sf_dir).events.select(
+        "seq", "contact_id", h["Message-ID"].alias("header_message_id"), h["From"].alias("header_from"), h["To"].alias("header_to"),
+        h["Reply-To"].alias("header_reply_to"), h["Subject"].alias("header_subject"), _ts(text.received_at(h["Date"])).alias("received_at"),
+        F.col("payload.extracted.email").alias("extracted_email"), F.col("payload.extracted.first_name").alias("extracted_first_name"))
+
+
+@register("mail_outcomes")
+def q_mail_outcomes(spark, sf_dir):
+    return mail_run(spark, sf_dir).outcomes.select("seq", "folder", "outcome", "status", "reason")
+
+
+@register("mail_metrics")
+def q_mail_metrics(spark, sf_dir):
+    """Counters of the mail run by (folder, domain), the error counter among them."""
+    return mx.counter_rows(mail_run(spark, sf_dir).outcomes)
+
+
 def labelled_lines(spark, sf_dir) -> DataFrame:
     """JSON lines of the labelled messages with planted blank, truncated and label-less lines."""
     lab = messages(spark, sf_dir, with_copies=False).filter(F.col("label").isNotNull())

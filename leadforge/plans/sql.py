@@ -6,7 +6,7 @@ from ..operators.rules import compile_lexicon
 from . import oracle as O
 from .queries import (
     ALLOWED_DOMAINS, AS_OF_DATE, LEAD_HEADERS, METRICS_FOLDER, NEGATIVE_PHRASES, PAGE_LIMIT, PAGE_OFFSET,
-    PIPELINE_DOMAINS, RUN1_BEFORE, RUN1_TS, RUN2_TS, SHEET_FILE, SINCE_DAYS, STORED_THRESHOLD, SPLIT_SEED, TEST_SIZE,
+    MAIL_FOLDER, PIPELINE_DOMAINS, RUN1_BEFORE, RUN1_TS, RUN2_TS, SHEET_FILE, SINCE_DAYS, STORED_THRESHOLD, SPLIT_SEED, TEST_SIZE,
 )
 
 SQL: dict[str, str] = {}
@@ -284,18 +284,64 @@ sql("outcome_counts", _W + "SELECT outcome, count(*) AS n FROM o2 GROUP BY outco
 # ---------------------------------------------------------------------------
 
 _SPECIALS = r'[()<>@,:;.\\"\[\]]'
-sql("eml_load", O.with_messages() + f"""
-SELECT CAST(seq AS VARCHAR) AS path, nullif(message_id, '') AS message_id,
-  CASE WHEN from_header = '' THEN NULL
+# a From header as the mail parser writes it
+_PARSED_FROM = f"""CASE WHEN from_header = '' THEN NULL
        WHEN starts_with(from_header, '"') OR contains(from_header, ',') THEN from_header
        WHEN ends_with(from_header, ')') THEN split_part(from_header, ' (', 1)  -- the header parser drops comments
        WHEN regexp_matches(from_header, '^([^<]*[^ <]) <([^<>]*)>$')
             AND regexp_matches(regexp_extract(from_header, '^([^<]*[^ <]) <', 1), {O.q(_SPECIALS)})
        THEN '"' || regexp_extract(from_header, '^([^<]*[^ <]) <', 1) || '" <' || regexp_extract(from_header, '<([^<>]*)>$', 1) || '>'
-       ELSE from_header END AS from_header,
+       ELSE from_header END"""
+sql("eml_load", O.with_messages() + f"""
+SELECT CAST(seq AS VARCHAR) AS path, nullif(message_id, '') AS message_id, {_PARSED_FROM} AS from_header,
   nullif(subject, '') AS subject, {O.received_at_str('date_header')} AS received_at, {O.strip('body')} AS body
 FROM messages""")
 
+# raw mail to contacts: one run; names and addresses come from Reply-To where there is one
+_MAIL_ALLOWED, _MAIL_REASON = O.sender_check("sender", PIPELINE_DOMAINS)
+_MAIL = "WITH raw AS (" + O.with_messages() + f"""SELECT * FROM messages),
+headed AS (SELECT seq, nullif(message_id, '') AS message_id, {_PARSED_FROM} AS sender,
+    CASE WHEN seq % 4 = 0 THEN 'Vendite <vendite' || ((seq // 2) % 31) || '@ours.example>' END AS to_header,
+    CASE WHEN seq % 29 = 0 THEN 'Sara Blu <sara' || ((seq // 2) % 31) || '@risposte.example>' END AS reply_to,
+    subject, {O.strip('body')} AS body, date_header FROM raw WHERE seq % 83 <> 0),
+messages AS (SELECT *, coalesce(reply_to, sender) AS from_header FROM headed),
+""" + ",\n".join(c.strip() for c in O.parse_ctes()) + f""",
+mo AS (SELECT m.*, p.email, p.first_name, p.last_name, p.phone, p.org,
+    m.message_id IS NOT NULL AND m.seq <> min(m.seq) OVER (PARTITION BY m.message_id) AS duplicate,
+    {O.rule_score(others="concat_ws(' ', m.message_id, m.sender, m.to_header, m.reply_to, m.date_header)", subject='m.subject', body='m.body')} AS rule,
+    {_MAIL_ALLOWED} AS allowed, {_MAIL_REASON} AS allow_reason, {O.sender_domain('sender')} AS domain,
+    {O.received_at_str('m.date_header')} AS received_at, {O.excerpt('m.body')} AS excerpt
+  FROM messages m JOIN pcf p ON m.seq = p.seq),
+mr AS (SELECT *, CASE WHEN duplicate THEN 'duplicate' WHEN NOT allowed THEN 'not_allowed' WHEN rule < 2.0 THEN 'not_lead'
+    WHEN email IS NULL THEN 'missing_email' ELSE 'processed' END AS outcome FROM mo)
+"""
+_MAIL_FIRST = lambda f: f"arg_min({f}, seq) FILTER (WHERE {f} IS NOT NULL AND {f} <> '') AS {f}"
+sql("mail_contacts", _MAIL + f"""
+SELECT sha256(email) AS id, email, {', '.join(_MAIL_FIRST(f) for f in ('first_name', 'last_name', 'phone', 'org'))},
+       'email' AS source, false AS consent, '{RUN2_TS}' AS created_at,
+       arg_max(subject, seq) FILTER (WHERE subject <> '') AS last_message_subject,
+       arg_max(received_at, seq) FILTER (WHERE received_at IS NOT NULL) AS last_message_received_at,
+       arg_max(excerpt, seq) AS last_message_excerpt
+FROM mr WHERE outcome = 'processed' GROUP BY email""")
+sql("mail_events", _MAIL + """
+SELECT seq, sha256(email) AS contact_id, message_id AS header_message_id, sender AS header_from, to_header AS header_to,
+       reply_to AS header_reply_to, nullif(subject, '') AS header_subject, received_at,
+       email AS extracted_email, first_name AS extracted_first_name
+FROM mr WHERE outcome = 'processed'""")
+sql("mail_outcomes", _MAIL + f"""
+SELECT seq, '{MAIL_FOLDER}' AS folder, outcome, CASE WHEN outcome = 'processed' THEN 'processed' ELSE 'skipped' END AS status,
+  CASE WHEN outcome = 'duplicate' THEN 'duplicate' WHEN outcome = 'not_allowed' THEN allow_reason
+       WHEN outcome = 'not_lead' THEN printf('Missing lead keywords (score=%.2f, conf=%s)', rule, 'rule_based')
+       WHEN outcome = 'missing_email' THEN 'missing_email' END AS reason FROM mr
+UNION ALL SELECT seq, '{MAIL_FOLDER}', 'error', 'error',
+  CASE WHEN seq % 3 = 2 THEN 'mail has no headers' ELSE 'mail has no content' END FROM raw WHERE seq % 83 = 0""")
+sql("mail_metrics", _MAIL + f"""
+, lead1 AS (SELECT min(seq) AS seq FROM mr WHERE outcome = 'processed' GROUP BY email),
+mc AS (SELECT 'emails_processed' AS metric, {O.sanitize_domain('domain')} AS domain FROM mr WHERE outcome IN ('processed', 'missing_email')
+       UNION ALL SELECT 'leads_created', {O.sanitize_domain('domain')} FROM mr JOIN lead1 USING (seq)
+       UNION ALL SELECT 'errors', 'unknown' FROM raw WHERE seq % 83 = 0)
+SELECT metric, '{MAIL_FOLDER}' AS folder, domain, count(*) AS value FROM mc GROUP BY ALL""")
+
 _LINES = """ll AS (
   SELECT seq, CASE WHEN seq % 83 = 0 THEN ''
     WHEN seq % 97 = 0 THEN substr(CAST(to_json({'label': label, 'subject': subject, 'body': body}) AS VARCHAR), 1,

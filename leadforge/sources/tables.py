@@ -120,11 +120,17 @@ def labelled_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headers_map(df: DataFrame) -> Column:
-    """Header map as the mail loader returns it: absent or empty headers are null."""
+    """Header map as the mail loader returns it: absent or empty headers are null.
+
+    ``To`` and ``Reply-To`` come from the columns ``to_header`` and ``reply_to`` where the batch has them.
+    """
+    to = F.col("to_header") if "to_header" in df.columns else F.lit(None).cast("string")
+    reply = [F.lit("Reply-To"), F.col("reply_to")] if "reply_to" in df.columns else []
     return F.create_map(
         F.lit("Message-ID"), F.nullif(F.col("message_id"), F.lit("")),
         F.lit("From"), F.col("from_header"),
-        F.lit("To"), F.lit(None).cast("string"),
+        F.lit("To"), to,
+        *reply,
         F.lit("Subject"), F.col("subject"),
         F.lit("Date"), F.col("date_header"),
     )

@@ -109,3 +109,54 @@ def test_dedup_with_conflicting_keys_follows_message_order(spark):
     df = spark.createDataFrame(rows, "seq bigint, message_id string, imap_uid string")
     got = {r["seq"] for r in routing.duplicate_flags(df).filter("duplicate").collect()}
     assert got == want and {2, 4, 5}.isdisjoint(got)
+
+
+RAW = [
+    ("10", b"Message-ID: <r1@x>\nFrom: Giulia Neri <giulia@neri.example>\nTo: vendite@ours.example\n"
+           b"Reply-To: Sara Blu <sara@blu.example>\nSubject: Richiesta preventivo\nDate: Fri, 1 Mar 2024 09:00:00 +0100\n\nCell: 347 5550100"),
+    ("11", b""), ("12", None), ("13", b"\njust words, no header"),
+    ("14", b"Message-ID: <r5@x>\nFrom: Anna <anna@bianchi.example>\nSubject: Richiesta preventivo\n\npreventivo"),
+    ("15", b"Message-ID: <r5@x>\nFrom: Anna <anna@bianchi.example>\nSubject: Richiesta preventivo\n\npreventivo"),
+]
+
+
+def mail_batch(spark, rows):
+    from leadforge.sources import mail
+    parsed = mail.parse_raw(spark.createDataFrame(rows, "path string, content binary"), "path", "content", faults=True)
+    return mail.to_batch(parsed, F.col("path"), "drop")
+
+
+def run_mail(spark, rows, ledger=None):
+    return ingest.run(mail_batch(spark, rows), ledger if ledger is not None else ingest.empty_ledger(spark),
+                      upsert.empty_contacts(spark), ingest.RunConfig(), cut=lambda df: df.checkpoint())
+
+
+def test_raw_mail_to_contacts_with_faults(spark):
+    from leadforge.operators import metrics
+    r = run_mail(spark, RAW)
+    out = {row["seq"]: row for row in r.outcomes.collect()}
+    assert [out[i]["outcome"] for i in range(10, 16)] == ["processed", "error", "error", "error", "processed", "duplicate"]
+    assert [out[i]["reason"] for i in (11, 12, 13)] == ["mail has no content"] * 2 + ["mail has no headers"]
+    assert {row["email"] for row in r.contacts.collect()} == {"sara@blu.example", "anna@bianchi.example"}
+    event = {row["seq"]: row["payload"] for row in r.events.collect()}[10]
+    assert event["headers"]["To"] == "vendite@ours.example" and event["headers"]["Reply-To"] == "Sara Blu <sara@blu.example>"
+    assert sorted(row["message_id"] for row in r.ledger.collect()) == ["<r1@x>", "<r5@x>"]
+    errors = metrics.counter_rows(r.outcomes).filter("metric = 'errors'").collect()
+    assert [(e["folder"], e["domain"], e["value"]) for e in errors] == [("drop", "unknown", 3)]
+    stats = metrics.run_stats(r.outcomes).first()
+    assert (stats["total"], stats["processed"], stats["skipped"]) == (6, 2, 1)
+
+
+def test_a_failed_mail_is_taken_when_it_comes_again(spark):
+    first = run_mail(spark, RAW[1:2])
+    again = run_mail(spark, [("11", RAW[4][1])], ledger=first.ledger.select("message_id", "imap_uid"))
+    assert [row["outcome"] for row in again.outcomes.collect()] == ["processed"]
+
+
+def test_one_mail_that_breaks_the_parser_does_not_stop_the_run(spark, tmp_path):
+    from leadforge.sources import mail
+    for i, (_, content) in enumerate(RAW):
+        (tmp_path / f"m{i}.eml").write_bytes(content or b" ")
+    batch = mail.load_batch(spark, str(tmp_path), folder="drop").collect()
+    assert sorted(b["seq"] for b in batch) == [1, 2, 3, 4, 5, 6] and sum(b["fault"] is not None for b in batch) == 3
+    assert mail._parse_one(b"From: a@b\n\nx", True, lambda *a, **k: 1 / 0, None)[-1] == "mail cannot be read: ZeroDivisionError"
