@@ -15,11 +15,15 @@ Design for scale:
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.components import connected
 from .text import _c, address_of, strip_ws
 
+MAX_COMPONENT = 500_000  # key pairs of one component that a task settles
+
 
 def sender_check(from_header, allowed_domains=None) -> tuple[Column, Column]:
     """(allowed, reason). Invalid address rejects; an empty list allows every domain."""
@@ -91,15 +95,55 @@ def _first_by_both(open_rows: DataFrame) -> DataFrame:
     return by_uid.join(by_mid, "seq").select("seq", "mid", "uid")
 
 
+def _close(open_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round: (rows first by both keys, open rows that share no key with them)."""
+    kept = _first_by_both(open_rows).checkpoint()
+    left = (open_rows.join(kept.select("seq"), "seq", "left_anti")
+            .join(kept.select("mid").filter("mid is not null"), "mid", "left_anti")
+            .join(kept.select("uid").filter("uid is not null"), "uid", "left_anti")
+            .select("seq", "mid", "uid").checkpoint())
+    return kept.select("seq"), left
+
+
+def _in_order(group: pa.Table) -> pa.Table:
+    """The rows of one component that stay, message by message."""
+    rows = sorted(zip(*[group[c].to_pylist() for c in ("seq", "mid", "uid")]))
+    mids, uids, stay = set(), set(), []
+    for seq, mid, uid in rows:
+        if mid not in mids and uid not in uids:
+            stay.append(seq)
+            mids |= {mid} - {None}
+            uids |= {uid} - {None}
+    return pa.table({"seq": pa.array(stay, pa.int64())})
+
+
+def _by_component(open_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that stay in the components of ``MAX_COMPONENT`` key pairs at most, open rows of larger ones).
+
+    Rows with equal keys count by their first alone: the others are duplicates, whether it stays or not.
+    """
+    pairs = open_rows.groupBy("mid", "uid").agg(F.min("seq").cast("long").alias("seq")).checkpoint()
+    mid, uid = F.concat(F.lit("m"), F.col("mid")), F.concat(F.lit("u"), F.col("uid"))
+    named = pairs.withColumn("node", F.coalesce(mid, uid))
+    roots = connected(named.select(F.col("node").alias("u"), F.coalesce(uid, mid).alias("v"))).checkpoint()
+    sized = named.join(roots, "node")
+    small = sized.groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumn("small", F.col("n") <= MAX_COMPONENT)
+    placed = sized.join(small, "root")
+    stay = placed.filter("small").select("root", "seq", "mid", "uid").groupBy("root").applyInArrow(_in_order, "seq long")
+    return stay.checkpoint(), placed.filter(~F.col("small")).select("seq", "mid", "uid").checkpoint()
+
+
 def duplicate_flags(batch: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """F2 + F3 on the narrow key frame: (seq, duplicate).
 
     A message is a duplicate when its id or uid is already in the ledger, or an
     earlier message of the batch (that was not itself a duplicate) shares its
-    id or uid: exactly the message-by-message order, in rounds. A round keeps the
-    open rows that are first by both keys and closes all rows that share a key
-    with them. One round closes everything unless a uid carries several ids or
-    the reverse; every round is checkpointed, narrow rows only.
+    id or uid: exactly the message-by-message order. A first round keeps the rows
+    that are first by both keys and closes all rows that share a key with them;
+    that is everything unless a uid carries several ids or the reverse. The rest
+    falls into connected components of keys, each settled in message order in one
+    task, whatever the length of its chains. A component of more than ``MAX_COMPONENT``
+    key pairs goes on in rounds instead, so no task holds more. Narrow rows only.
     """
     if ledger is not None:
         keys = seen_flags(batch, ledger)
@@ -111,19 +155,12 @@ def duplicate_flags(batch: DataFrame, ledger: DataFrame | None = None) -> DataFr
             F.col("imap_uid").alias("uid"),
         ).withColumn("seen", F.lit(False))
     keys = keys.checkpoint()
-    open_rows, rounds = keys.filter(~F.col("seen")).drop("seen"), []
-    while True:
-        kept = _first_by_both(open_rows).checkpoint()
-        rounds.append(kept.select("seq"))
-        left = (open_rows.join(kept.select("seq"), "seq", "left_anti")
-                .join(kept.select("mid").filter("mid is not null"), "mid", "left_anti")
-                .join(kept.select("uid").filter("uid is not null"), "uid", "left_anti")
-                .select("seq", "mid", "uid").checkpoint())
-        if left.isEmpty():
-            break
-        open_rows = left
-    stay = rounds[0]
-    for more in rounds[1:]:
+    stay, left = _close(keys.filter(~F.col("seen")).drop("seen"))
+    if not left.isEmpty():
+        more, left = _by_component(left)
+        stay = stay.unionByName(more)
+    while not left.isEmpty():
+        more, left = _close(left)
         stay = stay.unionByName(more)
     return keys.select("seq").join(stay.withColumn("kept", F.lit(True)), "seq", "left").select(
         "seq", F.col("kept").isNull().alias("duplicate"))
