@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .tables import bounded_batches, text_of
+from .tables import bounded_batches, materialise, text_of
 from .text import IS_WORD, LOWER, buffers, chunks, hash_spans
 
 # FIXED VALUES — base patterns with the shortest length that counts: of the value (assign, read in lower case) or the match
@@ -267,14 +267,22 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def training_windows(docs: DataFrame, limit: int = MAX_WINDOWS) -> list[tuple[str, int, bool]]:
-    """At most ``limit`` windows of each sort on the driver, the distinct ones with the smallest hashes."""
+    """At most ``limit`` windows of each sort on the driver, the distinct ones with the smallest hashes.
+
+    A bound on the hash, from their counted number, leaves some more than ``limit`` of a sort, however many
+    there are; only these are ordered, and read by the driver.
+    """
     bounded_batches(docs.sparkSession)
-    found = docs.select(text_of(docs).alias("text")).mapInArrow(
-        _windows, "window string, file int, holds boolean, chance bigint").distinct()
-    order = ["chance", "window", "file"]
-    rows = [r for holds in (True, False)
-            for r in found.filter(F.col("holds") == holds).orderBy(*order).limit(limit).collect()]  # 2 * limit rows at most
-    return [(r["window"], r["file"], r["holds"]) for r in rows]
+    found = materialise(docs.select(text_of(docs).alias("text")).mapInArrow(
+        _windows, "window string, file int, holds boolean, chance bigint").distinct(), "secret-windows")
+    counts = {r["holds"]: r["n"] for r in found.groupBy("holds").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    out = []
+    for holds in (True, False):
+        share = min(1.0, (1.5 * limit + 100) / max(counts.get(holds, 0), 1))
+        near = found.filter((F.col("holds") == holds) & (F.col("chance") <= int(share * (1 << 32))))
+        rows = near.orderBy("chance", "window", "file").limit(limit).collect()
+        out += [(r["window"], r["file"], r["holds"]) for r in rows]
+    return out
 
 
 # kinds of secret and key words that stand in for those of a base span

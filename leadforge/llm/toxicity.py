@@ -264,11 +264,13 @@ def gather(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, limi
     lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     texts = docs.select(docs["doc_id"].alias("doc_id"), text_of(docs).alias("text"), lang.alias("lang")).filter(
         F.length("text") <= MAX_TRAIN_CHARS)
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "_label")  # `limit` rows at most
+    # a repeated id counts by one of its rows, so the sample has `limit` rows at most
+    sample = (texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id")
+              .agg(F.min_by(F.struct("text", "lang", "_label"), F.struct(F.xxhash64("text"), "text", "lang")).alias("r"))
+              .select("doc_id", "r.text", "r.lang", "r._label"))
     bounded_batches(spark)
     rows = sample.mapInArrow(_buckets, "doc_id bigint, lang string, label int, a binary, b binary").toPandas()
-    # a table may repeat ids: the order of equal ones does not matter to the fit's determinism beyond ties
-    rows = rows.sort_values(["doc_id", "a"], kind="stable").head(2 * limit)
+    rows = rows.sort_values("doc_id", kind="stable")
     unpack = lambda column: [np.frombuffer(x, dtype=np.int32) for x in column]
     return unpack(rows["a"]), unpack(rows["b"]), rows["label"].to_numpy(), rows["lang"].tolist()
 

@@ -49,24 +49,33 @@ def test_suffix_dedup_is_exact(docs_of, monkeypatch, hot):
         assert tuple(r)[1:] == want[-1 if r["doc_id"] is None else r["doc_id"]], r["doc_id"]
 
 
+def windows_of(b, ends):
+    """(start, end) of all shortest runs of chunks that reach MIN_RUN bytes, from each chunk onwards and up to each chunk."""
+    chunk = list(zip([0, *ends[:-1]], ends))
+    out = set()
+    for i, (s, _) in enumerate(chunk):
+        out |= {(s, next((e for _, e in chunk[i:] if e - s >= substring_dedup.MIN_RUN), None))}
+    for j, (_, e) in enumerate(chunk):
+        out |= {(next((s for s, _ in reversed(chunk[:j + 1]) if e - s >= substring_dedup.MIN_RUN), None), e)}
+    return sorted(w for w in out if None not in w)
+
+
 def test_substring_dedup_matches_sequential_chunks(docs_of):
     rows = corpus()
     got = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(docs_of(rows)).collect()}
-    seen: dict[bytes, tuple] = {}
+    seen: dict[tuple, tuple] = {}
     for i, text in sorted(((r[0] if r[0] is not None else -1, r[1]) for r in set(rows)), key=lambda r: r[0]):
         b = (text or "").encode()
         ends = substring_dedup.cut_places(*buffers(pa.array([text]))).tolist()
-        places = []
-        for s, e in zip([0, *ends[:-1]], ends):
-            if seen.setdefault(b[s:e], (i, s)) != (i, s):
-                places.append((s, e - s))
-        spans = substring_dedup.runs(places)
-        kept = bytearray(b)
-        for s, n in reversed(spans):
-            del kept[s:s + n]
+        gone = bytearray(len(b))
+        for s, e in windows_of(b, ends):
+            inner = tuple(x - s for x in ends if s < x <= e)  # equal bytes cut alike
+            if seen.setdefault((b[s:e], inner), (i, s)) != (i, s):
+                gone[s:e] = b"\x01" * (e - s)
+        kept = bytes(c for c, g in zip(b, gone) if not g)
         r = got[None if i == -1 else i]
         assert (r["n_bytes"], r["n_chunks"], r["n_removed"], r["kept_sha256"]) == (
-            len(b), len(ends), sum(n for _, n in spans), hashlib.sha256(bytes(kept)).hexdigest()), i
+            len(b), len(ends), sum(gone), hashlib.sha256(kept).hexdigest()), i
     assert got[101]["n_removed"] > 0 and got[104]["n_removed"] > 0 and got[7]["n_removed"] == 0
 
 
