@@ -1,6 +1,6 @@
 """Exact dedup against a persistent digest index, in DataFrame operations only.
 
-The index is a table of one row per distinct text, ``(digest, keep_id, added)``,
+The index is a table of one row per distinct text, ``(digest, keep_id, added, batch)``,
 bucketed and sorted by ``digest``. A batch is handled in four steps:
 
 1. texts are normalised and digested once; only ``(doc_id, digest)`` goes on;
@@ -10,6 +10,10 @@ bucketed and sorted by ``digest``. A batch is handled in four steps:
    index side is read in its buckets, already sorted: it does not shuffle);
 4. these are appended to the index.
 
+The index remembers which batch brought a text. A batch that is run again under the
+same name, after a failure say, finds its texts there as its own: it keeps the same
+rows and appends nothing.
+
 Rows get their keeper back through a join whose two sides are both freshly
 shuffled narrow tables, so that adaptive execution splits a hot digest.
 
@@ -34,7 +38,7 @@ from .keep import drop_losers
 from .tables import materialise
 
 SPACES = r"[\x20\x09-\x0D]+"
-INDEX_SCHEMA = "digest binary, keep_id bigint, added bigint"
+INDEX_SCHEMA = "digest binary, keep_id bigint, added bigint, batch string"
 
 
 def normalised(text: Column) -> Column:
@@ -69,8 +73,8 @@ class DigestIndex:
         return firsts.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
 
     def append(self, new: DataFrame) -> None:
-        """Append ``(digest, keep_id, added)`` rows; one task and file per bucket, sorted by digest."""
-        (new.select("digest", "keep_id", "added")
+        """Append ``(digest, keep_id, added, batch)`` rows; one task and file per bucket, sorted by digest."""
+        (new.select("digest", "keep_id", "added", "batch")
             .repartition(self.buckets, "digest").sortWithinPartitions("digest")
             .write.insertInto(self.name))
         self.spark.catalog.refreshTable(self.name)
@@ -82,29 +86,28 @@ def open_index(spark: SparkSession, path: str | None = None, buckets: int | None
     return DigestIndex(spark, path or scratch_path(spark, "digest-index"), buckets=count)
 
 
-def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     ``keep_id`` is the id that the index holds for the text, after the batch's new
     texts were appended; ``group_size`` counts the rows of this batch with the
-    text; ``kept`` marks the rows that stay: those that brought a new text.
+    text; ``kept`` marks the rows that stay: those that brought a new text. ``batch`` names
+    the batch; without a name it is a new one.
     """
+    batch = batch or uuid.uuid4().hex
     digested = materialise(
         docs.select(docs[id_col].cast("bigint").alias("doc_id"), digest_of(docs[text_col]).alias("digest")),
         "digests")
     firsts = materialise(
         digested.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("added")),
         "digest-firsts")
-    new = materialise(index.lacking(firsts), "digests-new")
+    new = materialise(index.lacking(firsts).withColumn("batch", F.lit(batch)), "digests-new")
     index.append(new)
-    # keepers of this batch's texts: new ones from the batch, others from the index
-    old = firsts.select("digest", F.col("added").alias("group_size")).join(
-        new.select("digest", F.col("keep_id").alias("new_id"), F.lit(True).alias("is_new")), "digest", "left")
-    known = index.read().select("digest", "keep_id")
-    keepers = materialise(old.join(known, "digest").drop("new_id"), "digest-keepers")
+    # the keepers of this batch's texts, with whether this batch brought them
+    known = index.read().select("digest", "keep_id", (F.col("batch") == batch).alias("own"))
+    keepers = materialise(firsts.select("digest", F.col("added").alias("group_size")).join(known, "digest"), "digest-keepers")
     return digested.join(keepers, "digest").select(
-        "doc_id", "keep_id", "group_size",
-        (F.coalesce(F.col("is_new"), F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        "doc_id", "keep_id", "group_size", (F.col("own") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))
 
 

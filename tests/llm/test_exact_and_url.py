@@ -94,3 +94,16 @@ def test_drop_losers_only_drops_decided(spark, docs_of):
     docs = docs_of([(1, "a"), (2, "b"), (2, "b"), (3, "c"), (None, "d")])
     decided = spark.createDataFrame([(1, False), (2, True)], "doc_id bigint, stays boolean")
     assert sorted((r["doc_id"] or 0, r["text"]) for r in keep.drop_losers(docs, decided).collect()) == [(0, "d"), (2, "b"), (3, "c")]
+
+
+def test_a_batch_that_runs_again_keeps_the_same_rows(spark, docs_of):
+    index = exact_dedup.open_index(spark)
+    first = docs_of([(1, "a x"), (2, "a  x"), (3, "b"), (None, "c")])
+
+    def kept(rows, batch):
+        return {r["doc_id"]: r["kept"] for r in exact_dedup.dedup(rows, index, batch=batch).collect()}
+    once = kept(first, "monday")
+    assert once == {1: True, 2: False, 3: True, None: True}
+    assert kept(first, "monday") == once and index.read().count() == 3
+    assert kept(docs_of([(1, "a\tx"), (9, "d")]), "tuesday") == {1: False, 9: True}
+    assert kept(first, "monday") == once
