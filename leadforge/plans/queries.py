@@ -545,6 +545,7 @@ DEDUP_HORIZON = "60 days"
 METRICS_FOLDER = "INBOX"
 SHEET_FILE = "leads.xlsx"
 MAIL_FOLDER = "maildrop"
+LEGACY_SPAN = 400  # two ids a document
 
 
 _RUNS: dict = {}
@@ -672,6 +673,16 @@ def q_contacts_page(spark, sf_dir):
     return _contact_cols(contacts_page(r2.contacts, limit=PAGE_LIMIT, offset=PAGE_OFFSET))
 
 
+@register("contacts_next_page")
+def q_contacts_next_page(spark, sf_dir):
+    """The page behind that of ``contacts_page``, sought by the key of its last row."""
+    from ..sources.sinks import contacts_after, contacts_page
+    _, _, r2 = two_runs(spark, sf_dir)
+    last = contacts_page(r2.contacts, limit=PAGE_LIMIT, offset=PAGE_OFFSET).agg(
+        F.max(F.struct("created_at", "id")).alias("k")).first()["k"]  # one key
+    return _contact_cols(contacts_after(r2.contacts, (last["created_at"], last["id"]) if last else None, limit=PAGE_LIMIT))
+
+
 @register("run_stats")
 def q_run_stats(spark, sf_dir):
     _, _, r2 = two_runs(spark, sf_dir)
@@ -818,6 +829,33 @@ def q_nb_model_terms(spark, sf_dir):
     return model_store.load_model(spark, path).terms.select("kind", "term", "n_pos", "n_neg")
 
 
+def legacy_documents(spark, sf_dir) -> DataFrame:
+    """(model, value): a version-2 JSON document for every 200 documents' labelled messages."""
+    lab = labelled_messages(spark, sf_dir).select(F.floor(F.col("id") / LEGACY_SPAN).alias("model"), "label", "text")
+    kinds = F.array(F.struct(F.lit(nb.UNIGRAM).alias("kind"), F.col("_tok").alias("terms")),
+                    F.struct(F.lit(nb.BIGRAM).alias("kind"), F.col("_big").alias("terms")))
+    counts = (nb.with_terms(lab, "text").select("model", "label", F.explode(kinds).alias("k"))
+              .select("model", "label", "k.kind", F.explode("k.terms").alias("term"))
+              .groupBy("model", "label", "kind", "term").agg(F.count(F.lit(1)).alias("n")))
+
+    def table(kind, label):
+        mine = (F.col("kind") == kind) & (F.col("label") == label)
+        return F.map_from_entries(F.collect_list(F.when(mine, F.struct("term", "n"))))
+    maps = counts.groupBy("model").agg(*[table(k, y).alias(f"{k}{y}") for k in (nb.UNIGRAM, nb.BIGRAM) for y in (1, 0)])
+    both = [F.create_map(F.lit("1"), F.col(f"{k}1"), F.lit("0"), F.col(f"{k}0")) for k in (nb.UNIGRAM, nb.BIGRAM)]
+    return maps.select("model", F.to_json(F.struct(
+        F.lit(2).alias("version"), both[0].alias("token_counts"), both[1].alias("bigram_counts"))).alias("value"))
+
+
+@register("legacy_model_terms")
+def q_legacy_model_terms(spark, sf_dir):
+    """Model documents written out, read back and taken apart in one job."""
+    from ..session import scratch_path
+    path = scratch_path(spark, "legacy")
+    legacy_documents(spark, sf_dir).write.parquet(path)
+    return model_store.legacy_terms(spark.read.parquet(path))
+
+
 @register("coerce_ts")
 def q_coerce_ts(spark, sf_dir):
     ev_ = read_table(spark, sf_dir, "events")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators.rules import compile_lexicon
 from . import oracle as O
 from .queries import (
-    ALLOWED_DOMAINS, AS_OF_DATE, LEAD_HEADERS, METRICS_FOLDER, NEGATIVE_PHRASES, PAGE_LIMIT, PAGE_OFFSET,
+    ALLOWED_DOMAINS, AS_OF_DATE, LEAD_HEADERS, LEGACY_SPAN, METRICS_FOLDER, NEGATIVE_PHRASES, PAGE_LIMIT, PAGE_OFFSET,
     MAIL_FOLDER, PIPELINE_DOMAINS, RUN1_BEFORE, RUN1_TS, RUN2_TS, SHEET_FILE, SINCE_DAYS, STORED_THRESHOLD, SPLIT_SEED, TEST_SIZE,
 )
 
@@ -238,6 +238,7 @@ sql("contacts_export", _W + f"""
 SELECT id, email, first_name, last_name, phone, org, source, consent, {O.iso('created_at')} AS created_at,
        last_message_subject, {O.iso('last_message_received_at')} AS last_message_received_at, last_message_excerpt FROM c2""")
 sql("contacts_page", _W + f"SELECT {_CC} FROM c2 ORDER BY created_at, id LIMIT {PAGE_LIMIT} OFFSET {PAGE_OFFSET}")
+sql("contacts_next_page", _W + f"SELECT {_CC} FROM c2 ORDER BY created_at, id LIMIT {PAGE_LIMIT} OFFSET {PAGE_OFFSET + PAGE_LIMIT}")
 sql("run_stats", _W + """
 SELECT count(*) AS total, count(*) FILTER (WHERE outcome IN ('processed', 'missing_email')) AS processed,
        count(*) FILTER (WHERE created) AS new_leads, count(*) FILTER (WHERE outcome <> 'processed') AS skipped FROM o2""")
@@ -361,6 +362,13 @@ FROM lk""")
 
 sql("nb_model_terms", SQL["class_term_counts"])
 
+sql("legacy_model_terms", O.with_messages(O.LABELLED_CTE, f"""
+lt AS (SELECT id // {LEGACY_SPAN} AS model, label, {O.ml_tokens('text')} AS t FROM lm),
+lk AS (SELECT model, label, 'uni' AS kind, unnest(t) AS term FROM lt UNION ALL
+       SELECT model, label, 'bi', unnest({O.bigrams('t')}) FROM lt)""") + """
+SELECT model, kind, term, count(*) FILTER (WHERE label = 1) AS n_pos, count(*) FILTER (WHERE label = 0) AS n_neg
+FROM lk GROUP BY model, kind, term""")
+
 sql("coerce_ts", """
 WITH x AS (
   SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'garbage-' || CAST(event_id AS VARCHAR)

@@ -56,6 +56,32 @@ def _counts(doc: DataFrame, field: str, kind: str) -> DataFrame:
         F.coalesce("n_neg", F.lit(0)).cast("long").alias("n_neg"))
 
 
+def legacy_terms(documents: DataFrame, model_col: str = "model", json_col: str = "value") -> DataFrame:
+    """S10 for many models: version-2 JSON documents to ``(model, kind, term, n_pos, n_neg)`` in one job.
+
+    A document is parsed in the row that holds it; its terms leave as rows. A document without count maps gives no
+    row, nor does one that is not JSON.
+    """
+    def entries(field: str, kind: str, label: str):
+        counts = F.map_entries(F.try_element_at(F.col(f"m.{field}"), F.lit(label)))
+        zero = F.lit(0).cast("bigint")
+        found = F.transform(counts, lambda e: F.struct(
+            F.lit(kind).alias("kind"), e["key"].alias("term"), (e["value"] if label == "1" else zero).alias("n_pos"),
+            (e["value"] if label == "0" else zero).alias("n_neg")))
+        return F.coalesce(found, F.array().cast("array<struct<kind:string,term:string,n_pos:bigint,n_neg:bigint>>"))
+
+    parsed = documents.select(F.col(model_col).alias("model"), F.from_json(json_col, LEGACY_SCHEMA).alias("m"))
+    rows = F.concat(*[entries(f, k, y) for f, k in (("token_counts", UNIGRAM), ("bigram_counts", BIGRAM)) for y in "10"])
+    return (parsed.select("model", F.explode(rows).alias("r")).select("model", "r.*").groupBy("model", "kind", "term")
+            .agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg")))
+
+
+def load_legacy_folder(spark: SparkSession, path: str) -> DataFrame:
+    """The terms of every ``.json`` model document of a folder, known by file path."""
+    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    return legacy_terms(files.select(F.col("_metadata.file_path").alias("model"), "value"))
+
+
 def import_legacy_json(spark: SparkSession, path: str, meta_path: str | None = None) -> NBModel:
     """Read a version-2 JSON model (one JSON document) into an ``NBModel``.
 

@@ -45,6 +45,18 @@ def contacts_page(contacts: DataFrame, limit: int = 100, offset: int = 0) -> Dat
     return contacts.orderBy("created_at", "id").offset(offset).limit(limit)
 
 
+def contacts_after(contacts: DataFrame, after: tuple | None = None, limit: int = 100) -> DataFrame:
+    """S4 by key: the page behind ``after``, the (created_at, id) of the last row seen; the first page without one.
+
+    The order is that of :func:`contacts_page`. A seek reads the rows behind the key and keeps ``limit`` of them, so a
+    late page costs no more than the first; an offset sorts all rows before it.
+    """
+    if after is not None:
+        created_at, last_id = F.lit(after[0]).cast("timestamp"), F.lit(after[1])
+        contacts = contacts.filter((F.col("created_at") > created_at) | ((F.col("created_at") == created_at) & (F.col("id") > last_id)))
+    return contacts.orderBy("created_at", "id").limit(limit)
+
+
 def append(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None) -> None:
     w = df.write.mode("append").format(fmt)
     if partition_by:

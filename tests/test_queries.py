@@ -17,6 +17,7 @@ FAST = [
     "ensemble_explain", "runner_strategy", "route_outcome", "contact_upsert", "ledger_rows", "new_leads",
     "run_progress", "metrics_snapshot", "top_domains", "augment", "tfidf_weights", "label_check", "eml_load",
     "coerce_ts", "lead_outbox", "evaluation_curves", "ensemble_ml_only", "metrics_by_folder", "sheet_notice", "events_json",
+    "contacts_next_page", "legacy_model_terms", "mail_contacts", "mail_events", "mail_outcomes", "mail_metrics",
 ]
 
 

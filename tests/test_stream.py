@@ -103,3 +103,27 @@ def test_contact_parts_merge_in_any_order(spark):
     assert want[0]["subject"]["value"] == "s2" and want[0]["excerpt"]["value"] is None and want[0]["received_at"] is None
     assert S.merge_parts(parts[0].unionByName(parts[1])).collect() == want
     assert S.merge_parts(parts[1].unionByName(parts[0]).unionByName(parts[1])).collect() == want
+
+
+def test_watermark_dedup_forgets_what_lies_behind_its_horizon(spark, tmp_path):
+    """A repeat within the horizon goes, one behind it stays: the watermark moved and evicted the key."""
+    import datetime as dt
+    import os
+
+    from pyspark.sql import functions as F
+
+    from leadforge.streaming import ingest_stream as S
+    drop, schema = tmp_path / "drop", "message_id string, imap_uid string, at timestamp"
+    days = [(1, "<early@x>"), (2, "<early@x>"), (10, "<b@x>"), (20, "<c@x>"), (21, "<early@x>"), (22, "<c@x>"), (40, "<d@x>")]
+    for i, (day, mid) in enumerate(days):  # one file, so one trigger, a day
+        row = [(mid, None, dt.datetime(2024, 1, 1) + dt.timedelta(days=day))]
+        spark.createDataFrame(row, schema).coalesce(1).write.mode("append").parquet(str(drop))
+        newest = max((p for p in drop.glob("*.parquet")), key=lambda p: p.stat().st_mtime_ns)
+        os.utime(newest, (1_700_000_000 + i, 1_700_000_000 + i))
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(drop))
+    q = (S.dedup_within_watermark(src, "at", "3 days").writeStream.option("checkpointLocation", str(tmp_path / "ckpt"))
+         .format("parquet").option("path", str(tmp_path / "kept")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    kept = spark.read.schema(schema).parquet(str(tmp_path / "kept")).groupBy("message_id").agg(F.count(F.lit(1)).alias("n"))
+    assert {r["message_id"]: r["n"] for r in kept.collect()} == {"<early@x>": 2, "<b@x>": 1, "<c@x>": 1, "<d@x>": 1}
+    assert q.lastProgress.stateOperators[0].numRowsTotal < len(days) - 2
