@@ -40,36 +40,49 @@ def split_lines(text) -> Column:
 
 QUOTED = r'"(?:[^"\\]|\\.)*"'
 COMMENT = r"\([^()]*\)"
+ADDRESS = rf"^(?:{QUOTED}|[^\s,<>@\"]+)@[^\s,<>@]+$"
 
 
 def first_entry(header) -> Column:
-    """The first entry of an address-list header without quoted strings and comments.
+    """The first entry of an address-list header without quoted names, escapes, comments and a group's name.
 
-    Only headers that hold a quote, a parenthesis or a comma are taken apart.
+    A quoted string right before an ``@`` is a local part and stays. Only headers that hold one of the signs in
+    question are taken apart.
     """
     h = F.coalesce(_c(header), F.lit(""))
 
     def plain(x):
-        bare = F.regexp_replace(x, QUOTED, "")
+        bare = F.regexp_replace(x, rf"{QUOTED}(?!@)", "")
+        bare = F.regexp_replace(bare, r'\\[^"]', " ")
         for _ in range(3):  # nested comments, from the inside
             bare = F.regexp_replace(bare, COMMENT, " ")
-        return F.regexp_extract(bare, r"^[,\s]*([^,]*)", 1)
+        bare = F.regexp_replace(bare, r'^[^"<>@,:;]*:', "")
+        return F.regexp_extract(bare, rf"^[,;\s]*((?:{QUOTED}|[^,;])*)", 1)
 
-    return F.when(h.rlike(r'["(,]'), plain(h)).otherwise(h)
+    return F.when(h.rlike(r'["(,;:\\]'), plain(h)).otherwise(h)
 
 
 def address_of(header) -> Column:
-    """Address of the first entry of an RFC-822 address header (``Name <a@b>``, ``a@b (Name)``, ``a@b, c@d``)."""
-    return let(first_entry(header), lambda h: strip_ws(
-        F.when(h.rlike(r"<[^<>]*>"), F.regexp_extract(h, r"<([^<>]*)>", 1)).otherwise(h)))
+    """Address of the first entry of an RFC-822 address header (``Name <a@b>``, ``a@b (Name)``, ``a@b, c@d``, ``Team: a@b;``).
+
+    A bracket that is not closed ends with the entry. What holds an ``@`` but is no address (nothing, a blank or a
+    bracket before it, or two of them) gives an empty string; an entry without ``@`` is returned as it is.
+    """
+    def checked(a):
+        return F.when(a.contains("@") & ~a.rlike(ADDRESS), F.lit("")).otherwise(a)
+    return let(first_entry(header), lambda h: let(strip_ws(
+        F.when(h.contains("<"), F.regexp_extract(h, r"<([^<>]*)", 1)).otherwise(h)), checked))
 
 
 def display_name_of(header) -> Column:
-    """Display name of the first entry: a quoted string, the words before ``<addr>``, or the comment behind a bare address."""
+    """Display name of the first entry: a quoted string, the words before ``<addr>``, or the comment behind a bare address.
+
+    A quote without its partner is dropped.
+    """
     h = F.coalesce(_c(header), F.lit(""))
     quoted = F.regexp_extract(h, rf"^\s*({QUOTED})\s*<[^<>]*>", 1)
-    unquoted = F.regexp_replace(F.regexp_replace(quoted, '^"|"$', ""), r"\\\\(.)", "$1")
-    before = strip_ws(F.regexp_extract(first_entry(h), r"^([^<]*)<[^<>]*>", 1))
+    unquoted = F.regexp_replace(F.regexp_replace(quoted, '^"|"$', ""), r"\\(.)", "$1")
+    before = strip_ws(F.regexp_replace(F.regexp_extract(first_entry(h), r"^([^<]*)<", 1), '"', ""))
     comment = strip_ws(F.regexp_extract(h, r"^[^<,(]*\(([^()]*)\)", 1))
     return (F.when(quoted != "", unquoted).when(first_entry(h).contains("<"), before)
             .otherwise(F.when(h.contains("("), comment).otherwise("")))
@@ -130,16 +143,23 @@ def excerpt(body, max_chars: int = L.BODY_EXCERPT_CHARS) -> Column:
 # FIXED VALUES — zone names of RFC 822 and their offsets
 ZONES = {"GMT": "+0000", "UT": "+0000", "UTC": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600",
          "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
-DATE = (r"(?i)^\s*(?:[a-z]{3,9},?\s+)?(\d{1,2})[ -]+([a-z]{3})[a-z]*[ -]+(\d{4}|\d{2})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?"
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+DATE = (r"(?i)^\s*(?:[a-z]{3,9},?\s+)?(\d{1,2})[ -]+([a-z]{3,9})[ -]+(\d{4}|\d{2})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?"
         r"(?:\s*([+-]\d{4})|\s+([a-z]{1,5}))?\s*(?:\([^)]*\)\s*)?$")
 
 
 def _date_parts(date_header) -> Column:
     """struct(local timestamp text, offset) of an RFC-2822 date; null fields where it is none.
 
-    Two-digit years up to 68 are 20xx; a missing zone counts as UTC.
+    Two-digit years up to 68 are 20xx; a missing or unknown zone counts as UTC. Times may have dots for colons, and
+    the order of C's ``asctime`` (``Mon Jan  1 09:30:00 2024``) is read too; a month goes by its name or its first
+    three letters.
     """
     d = F.regexp_replace(F.coalesce(_c(date_header), F.lit("")), ",(\\S)", ", $1")
+    d = F.when(d.contains("."), F.regexp_replace(F.regexp_replace(
+        d, r"(?<=\s)(\d{1,2})\.(\d{2})\.(\d{2})(?=\s|$)", "$1:$2:$3"), r"(?<=\s)(\d{1,2})\.(\d{2})(?=\s|$)", "$1:$2")).otherwise(d)
+    d = F.when(d.rlike(r"[A-Za-z]\s+\d{1,2}\s+\d{1,2}:"), F.regexp_replace(
+        d, r"(?i)^\s*(?:[a-z]+,?\s+)?([a-z]{3,9})\s+(\d{1,2})\s+(\d{1,2}:\d{2}(?::\d{2})?)\s+(\d{4})\s*$", "$2 $1 $4 $3")).otherwise(d)
 
     def part(i):
         return F.regexp_extract(d, DATE, i)
@@ -147,13 +167,14 @@ def _date_parts(date_header) -> Column:
     year = F.when(F.length(part(3)) == 4, part(3)).otherwise(
         F.concat(F.when(part(3) <= "68", F.lit("20")).otherwise(F.lit("19")), part(3)))
     name = F.upper(part(8))
-    named = F.lit(None).cast("string")
+    named = F.lit("+0000")
     for zone, offset in ZONES.items():
         named = F.when(name == zone, F.lit(offset)).otherwise(named)
     offset = F.when(part(7) != "", part(7)).when(name == "", F.lit("+0000")).otherwise(named)
-    local = F.concat(part(1), F.lit(" "), F.initcap(part(2)), F.lit(" "), year, F.lit(" "), F.lpad(part(4), 2, "0"), F.lit(":"), part(5),
+    month = F.lower(part(2))
+    local = F.concat(part(1), F.lit(" "), F.initcap(F.substring(month, 1, 3)), F.lit(" "), year, F.lit(" "), F.lpad(part(4), 2, "0"), F.lit(":"), part(5),
                      F.lit(":"), F.when(part(6) != "", part(6)).otherwise("00"))
-    found = part(1) != ""
+    found = (part(1) != "") & month.isin([*MONTHS, *(m[:3] for m in MONTHS)])
     return F.struct(F.when(found, local).alias("local"), F.when(found, offset).alias("offset"))
 
 

@@ -34,6 +34,15 @@ QUERIES: dict[str, QueryFn] = {}
 
 # Query parameters (shared with the SQL statements).
 ALLOWED_DOMAINS = ["d1.example", "d2.example", "d3.example", "d5.example", "d8.example"]
+# address headers that leave the plain forms; # stands for a number
+ODD_HEADERS = [
+    "Team: a#@d1.example, c@d2.example;", '"a b#"@d1.example', "Mia <m#@d1.example", "Rossi\\, Mia <m#@d1.example>",
+    'Mia (a "b) Neri <m#@d1.example>', '"unclosed <m#@d1.example>', "<@d1.example>", "a b#@d1.example", "a#@b@d1.example",
+    '"Neri, Q" <q#@D1.example>, x@d2.example', "Team:;", "q#@d1.example (Sig. (Q) Neri)",
+]
+# Date headers that leave the plain forms; # stands for a day
+ODD_DATES = ["Mon Jan # 09:30:00 2024", "Mon, # Jan 2024 09.30.15 +0100", "# Jan 2024 09.30 GMT", "# January 2024 09:30:00 CEST",
+             "# Sept 2024 09:30:00 +0000", "# Sep 2024 09:30:00 EDT", "Jan #, 2024", "# Jan 24 23:59"]
 AS_OF_DATE = "2024-01-30"
 SINCE_DAYS = 7
 STORED_THRESHOLD = 0.7
@@ -77,6 +86,23 @@ def q_sender_domain(spark, sf_dir):
     return m.select("seq", text.sender_domain("from_header").alias("sender_domain"))
 
 
+def odd_headers(spark, sf_dir) -> DataFrame:
+    """(seq, header): twelve forms of address headers in turn, over all messages."""
+    m = messages(spark, sf_dir).select("seq")
+    n, form = F.col("seq").cast("string"), F.lit(None).cast("string")
+    for k, h in enumerate(ODD_HEADERS):
+        form = F.when(F.col("seq") % len(ODD_HEADERS) == k, F.replace(F.lit(h), F.lit("#"), n)).otherwise(form)
+    return m.select("seq", form.alias("header"))
+
+
+@register("odd_addresses")
+def q_odd_addresses(spark, sf_dir):
+    h = odd_headers(spark, sf_dir)
+    allowed, _ = routing.sender_check("header", ["d1.example"])
+    return h.select("seq", text.address_of("header").alias("address"), text.sender_domain("header").alias("domain"),
+                    text.normalize_whitespace(text.display_name_of("header")).alias("name"), allowed.alias("allowed"))
+
+
 @register("allowed_sender")
 def q_allowed_sender(spark, sf_dir):
     m = messages(spark, sf_dir)
@@ -120,6 +146,15 @@ def q_received_at(spark, sf_dir):
     return m.select("seq", _ts(text.received_at("date_header")).alias("received_at"))
 
 
+@register("odd_dates")
+def q_odd_dates(spark, sf_dir):
+    m = messages(spark, sf_dir).select("seq", F.lpad((F.col("seq") % 28 + 1).cast("string"), 2, "0").alias("day"))
+    d = F.lit(None).cast("string")
+    for k, form in enumerate(ODD_DATES):
+        d = F.when(F.col("seq") % len(ODD_DATES) == k, F.replace(F.lit(form), F.lit("#"), F.col("day"))).otherwise(d)
+    return m.select("seq", _ts(text.received_at(d)).alias("received_at"))
+
+
 @register("combine_text")
 def q_combine_text(spark, sf_dir):
     m = messages(spark, sf_dir)

@@ -70,3 +70,26 @@ def test_character_references(spark):
              "<p>a &amp;lt; b</p>": "a < b", "plain": "plain"}
     rows = spark.createDataFrame([(t,) for t in cases], "t string")
     assert {r["t"]: r["p"] for r in rows.select("t", text.plain_text("t").alias("p")).collect()} == cases
+
+
+def test_odd_addresses_follow_the_policy(spark):
+    cases = {
+        "Team: a@b.it, c@d.it;": ("a@b.it", ""), '"a b"@x.it': ('"a b"@x.it', ""), "M <m@x.it": ("m@x.it", "M"),
+        "Rossi\\, M <m@x.it>": ("m@x.it", "Rossi M"), 'M (a "b) c <m@x.it>': ("m@x.it", "M c"),
+        '"unclosed <m@x.it>': ("m@x.it", "unclosed"), "<@x.it>": ("", ""), "a b@x.it": ("", ""), "a@b@c.it": ("", ""),
+        "Team:;": ("", ""), "not-an-email": ("not-an-email", ""), '"Neri, M" <m@x.it>, b@y.it': ("m@x.it", "Neri, M"),
+        "m@x.it (Sig. (Q) Neri)": ("m@x.it", "Q"), '"Q \\"x\\" Y" <q@x.it>': ("q@x.it", 'Q "x" Y'), "": ("", ""),
+    }
+    rows = spark.createDataFrame([(h,) for h in cases], "h string")
+    got = {r["h"]: (r["a"], r["n"]) for r in rows.select(
+        "h", text.address_of("h").alias("a"), text.normalize_whitespace(text.display_name_of("h")).alias("n")).collect()}
+    assert got == cases
+
+
+def test_odd_dates(spark):
+    cases = {"Mon Jan  1 09:30:00 2024": "2024-01-01 09:30:00", "Mon, 1 Jan 2024 09.30.00 +0100": "2024-01-01 08:30:00",
+             "1 January 2024 09:30 CEST": "2024-01-01 09:30:00", "1 Sept 2024 09:30:00 +0000": None, "Jan 1, 2024": None}
+    from pyspark.sql import functions as F
+    rows = spark.createDataFrame([(d,) for d in cases], "d string")
+    got = {r["d"]: r["t"] for r in rows.select("d", F.date_format(text.received_at("d"), "yyyy-MM-dd HH:mm:ss").alias("t")).collect()}
+    assert got == cases
