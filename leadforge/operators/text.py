@@ -83,7 +83,7 @@ def display_name_of(header) -> Column:
     quoted = F.regexp_extract(h, rf"^\s*({QUOTED})\s*<[^<>]*>", 1)
     unquoted = F.regexp_replace(F.regexp_replace(quoted, '^"|"$', ""), r"\\(.)", "$1")
     before = strip_ws(F.regexp_replace(F.regexp_extract(first_entry(h), r"^([^<]*)<", 1), '"', ""))
-    comment = strip_ws(F.regexp_extract(h, r"^[^<,(]*\(([^()]*)\)", 1))
+    comment = strip_ws(F.regexp_extract(h, r"^[^<,(]*\(((?:[^()]|\([^()]*\))*)\)", 1))
     return (F.when(quoted != "", unquoted).when(first_entry(h).contains("<"), before)
             .otherwise(F.when(h.contains("("), comment).otherwise("")))
 

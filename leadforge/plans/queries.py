@@ -91,7 +91,7 @@ def odd_headers(spark, sf_dir) -> DataFrame:
     m = messages(spark, sf_dir).select("seq")
     n, form = F.col("seq").cast("string"), F.lit(None).cast("string")
     for k, h in enumerate(ODD_HEADERS):
-        form = F.when(F.col("seq") % len(ODD_HEADERS) == k, F.replace(F.lit(h), F.lit("#"), n)).otherwise(form)
+        form = F.when(F.floor(F.col("seq") / 2) % len(ODD_HEADERS) == k, F.replace(F.lit(h), F.lit("#"), n)).otherwise(form)
     return m.select("seq", form.alias("header"))
 
 
@@ -151,7 +151,7 @@ def q_odd_dates(spark, sf_dir):
     m = messages(spark, sf_dir).select("seq", F.lpad((F.col("seq") % 28 + 1).cast("string"), 2, "0").alias("day"))
     d = F.lit(None).cast("string")
     for k, form in enumerate(ODD_DATES):
-        d = F.when(F.col("seq") % len(ODD_DATES) == k, F.replace(F.lit(form), F.lit("#"), F.col("day"))).otherwise(d)
+        d = F.when(F.floor(F.col("seq") / 2) % len(ODD_DATES) == k, F.replace(F.lit(form), F.lit("#"), F.col("day"))).otherwise(d)
     return m.select("seq", _ts(text.received_at(d)).alias("received_at"))
 
 

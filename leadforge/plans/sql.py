@@ -33,10 +33,10 @@ sql("odd_addresses", O.with_messages() + """
 SELECT seq, replace(a, '#', CAST(seq AS VARCHAR)) AS address, CASE WHEN contains(a, '@') THEN 'd1.example' END AS domain, name,
        contains(a, '@') AS allowed
 FROM (SELECT seq,
-  CASE seq % 12 WHEN 0 THEN 'a#@d1.example' WHEN 1 THEN '"a b#"@d1.example' WHEN 2 THEN 'm#@d1.example' WHEN 3 THEN 'm#@d1.example'
+  CASE (seq // 2) % 12 WHEN 0 THEN 'a#@d1.example' WHEN 1 THEN '"a b#"@d1.example' WHEN 2 THEN 'm#@d1.example' WHEN 3 THEN 'm#@d1.example'
     WHEN 4 THEN 'm#@d1.example' WHEN 5 THEN 'm#@d1.example' WHEN 9 THEN 'q#@D1.example' WHEN 11 THEN 'q#@d1.example' ELSE '' END AS a,
-  CASE seq % 12 WHEN 2 THEN 'Mia' WHEN 3 THEN 'Rossi Mia' WHEN 4 THEN 'Mia Neri' WHEN 5 THEN 'unclosed' WHEN 9 THEN 'Neri, Q'
-    WHEN 11 THEN 'Q' ELSE '' END AS name FROM messages)""")
+  CASE (seq // 2) % 12 WHEN 2 THEN 'Mia' WHEN 3 THEN 'Rossi Mia' WHEN 4 THEN 'Mia Neri' WHEN 5 THEN 'unclosed' WHEN 9 THEN 'Neri, Q'
+    WHEN 11 THEN 'Sig. (Q) Neri' ELSE '' END AS name FROM messages)""")
 
 sql("since_days", O.with_messages() + f"""
 SELECT seq, strftime(received_date, '%Y-%m-%d') AS received_date FROM messages
@@ -48,7 +48,7 @@ sql("plain_text", _PAGES + f"SELECT page_id, {O.plain_text('html')} AS plain_tex
 sql("excerpt", _PAGES + f"SELECT page_id, {O.excerpt('html')} AS excerpt FROM pg")
 sql("received_at", O.with_messages() + f"SELECT seq, {O.received_at_str('date_header')} AS received_at FROM messages")
 sql("odd_dates", O.with_messages() + """
-SELECT seq, replace(CASE seq % 8 WHEN 0 THEN '2024-01-# 09:30:00' WHEN 1 THEN '2024-01-# 08:30:15' WHEN 2 THEN '2024-01-# 09:30:00'
+SELECT seq, replace(CASE (seq // 2) % 8 WHEN 0 THEN '2024-01-# 09:30:00' WHEN 1 THEN '2024-01-# 08:30:15' WHEN 2 THEN '2024-01-# 09:30:00'
     WHEN 3 THEN '2024-01-# 09:30:00' WHEN 5 THEN '2024-09-# 13:30:00' WHEN 7 THEN '2024-01-# 23:59:00' END,
   '#', lpad(CAST(seq % 28 + 1 AS VARCHAR), 2, '0')) AS received_at FROM messages""")
 sql("combine_text", O.with_messages() + f"SELECT seq, {O.combine_text('subject', 'body')} AS combined FROM messages")
