@@ -22,9 +22,11 @@ Items of fewer than ``MIN_WORDS`` words are too short for shingles of both parts
 They are looked up by hash: a text holds one where all its words stand in it in
 a row (score and overlaps are 1).
 
-The index is broadcast in shards of at most ``SHARD_BYTES`` bytes of item text,
-each a collection of its own, so its size is bounded whatever the number of
-items. Texts are read once per shard and never shuffled.
+The index is broadcast in shards of about ``SHARD_BYTES`` bytes of item text, so
+its size is bounded whatever the number of items. Counts, mean length, longest
+item and document frequencies are taken once over all items (``Statistics``), so
+an item has the same passages and scores in whichever shard it stands. Texts are
+read once per shard and never shuffled.
 
 Defined cases: null and empty texts or items hold no passage and are in no
 pair, nor do items without a word; repeated rows and items give a row each; a null id is kept; an empty table gives an empty
@@ -38,6 +40,7 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import bounded_batches, text_of
+from .tables import bounded_batches, materialise, text_of
 from .text import buffers, chunks, mix, shingle_hashes, word_hashes, words
 
 K1, B = 1.2, 0.75
@@ -82,10 +85,28 @@ def question_and_answer(text: str) -> tuple[np.ndarray, np.ndarray]:
     return whole[:cut], whole[cut:]
 
 
+@dataclass
+class Statistics:
+    """Of all items of ``MIN_WORDS`` words or more: number, words, longest; items of each term (at least the shard's)."""
+
+    items: int
+    words: int
+    longest: int
+    frequency: dict[int, int]
+
+    @classmethod
+    def of(cls, tokens: list[list[int]]) -> Statistics:
+        sizes = [len(t) for t in tokens]
+        return cls(len(tokens), sum(sizes), max(sizes, default=0), Counter(t for ts in tokens for t in set(ts)))
+
+
 class Index:
-    """BM25 postings with the maxima of terms and of blocks of postings."""
+    """BM25 postings with the maxima of terms and of blocks of postings.
+
+    ``statistics`` are those of the whole collection that ``items`` are a part of; without them, of ``items``.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, statistics: Statistics | None = None):
         self.threshold = threshold
         known = [(i, t, hashes_of(t)) for i, t in items if t]
         kept = [(i, t) for i, t, h in known if len(h) >= MIN_WORDS]
@@ -102,10 +123,10 @@ class Index:
             if by_run:
                 self.runs.append((size, np.array(sorted(by_run), dtype=np.uint64), [by_run[r] for r in sorted(by_run)]))
         self.parts = [tuple(shingles_of(p) for p in question_and_answer(t)) for _, t in kept]
-        self.longest = max(map(len, tokens), default=0)
-        average = sum(map(len, tokens)) / max(len(tokens), 1)
-        df = Counter(t for ts in tokens for t in set(ts))
-        idf = {t: math.log(1 + (len(tokens) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+        stats = statistics or Statistics.of(tokens)
+        self.longest = stats.longest if tokens else 0
+        average = stats.words / max(stats.items, 1)
+        idf = {t: math.log(1 + (stats.items - n + 0.5) / (n + 0.5)) for t, n in stats.frequency.items()}
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for k, ts in enumerate(tokens):
             norm = K1 * (1 - B + B * len(ts) / average)
@@ -300,22 +321,46 @@ def _flagged(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, words, distinct terms) of each item of ``MIN_WORDS`` words or more."""
+    for batch in batches:
+        for lo, data, offsets in chunks(*buffers(batch.column(1))):
+            w = words(data, offsets)
+            hashes, count = word_hashes(w).view(np.int64), np.diff(w.row_first)
+            rows = np.flatnonzero(count >= MIN_WORDS)
+            terms = [np.unique(hashes[w.row_first[r]:w.row_first[r + 1]]) for r in rows.tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(lo + rows)), pa.array(count[rows], pa.int64()), pa.array(terms, pa.list_(pa.int64()))],
+                names=["shard", "words", "terms"])
+
+
 def indexes(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES, threshold: float = THRESHOLD) -> Iterator[Index]:
-    """The items' index, in shards of about ``shard_bytes`` bytes of text; one shard is on the driver at a time."""
+    """The items' index, in shards of about ``shard_bytes`` bytes of text; one shard is on the driver at a time.
+
+    Statistics are counted by Spark over all items; a shard gets the frequencies of its own terms alone.
+    """
     items = benchmark.select(benchmark["item_id"].cast("bigint").alias("item_id"), text_of(benchmark).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-size // shard_bytes))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+    counted = materialise(items.select("shard", "text").mapInArrow(_item_terms, "shard bigint, words bigint, terms array<bigint>"), "item_terms")
+    whole = counted.agg(F.count(F.lit(1)), *[F.coalesce(f("words"), F.lit(0)) for f in (F.sum, F.max)]).first()
+    places = counted.select("shard", F.explode("terms").alias("term")).groupBy("term", "shard").agg(F.count(F.lit(1)).alias("n"))
+    frequency = materialise(
+        places.groupBy("term").agg(F.sum("n").alias("n"), F.collect_list("shard").alias("shards")), "item_frequency")
     for k in range(shards):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k)
-        yield Index([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").toLocalIterator()], threshold)
+        own = frequency.filter(F.array_contains("shards", F.lit(k).cast("bigint"))).select("term", "n")
+        df = {r["term"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in own.toLocalIterator()}
+        part = items.filter(F.col("shard") == k).select("item_id", "text").orderBy("item_id", "text")
+        yield Index([(r["item_id"], r["text"]) for r in part.toLocalIterator()], threshold, Statistics(*whole, df))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per document and test item it holds; see ``SCHEMA``."""
     bounded_batches(docs.sparkSession)
     narrow = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
     result = None
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, shard_bytes):
         part = narrow.mapInArrow(_matched(index), SCHEMA)
         result = part if result is None else result.unionByName(part)
     return result

@@ -1,5 +1,6 @@
 """Packing, licence scan, decontamination: operators that need no shuffle."""
 
+import math
 import re
 import zlib
 
@@ -167,8 +168,36 @@ def test_shards_find_the_same(spark, docs_of):
     rows, bench = items(spark)
     docs = docs_of([(k, prose(k, 80) + " " + t) for k, t in rows])
     assert sum(1 for _ in decontamination.indexes(bench, shard_bytes=400)) > 3
-    whole = {(k, k) for k, _ in rows}
-    assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench).collect()} == whole
+    one, many = (sorted(map(tuple, decontamination.leaks(docs, bench, shard_bytes=n).collect())) for n in (1 << 24, 400))
+    assert {r[:2] for r in one} == {(k, k) for k, _ in rows}
+    assert one == many
+
+
+def test_shards_score_by_the_statistics_of_all_items(spark):
+    """Every item's own impacts are the same in one shard and in many, and equal BM25 counted here by hand."""
+    vocab = [f"w{i}" for i in range(60)]
+    rng = np.random.default_rng(8)
+    rows = [(k, " ".join(rng.choice(vocab, 8 + k % 20))) for k in range(120)] + [(500, "short one"), (501, None), (7, "w1 " * 40)]
+    bench = spark.createDataFrame(rows, "item_id bigint, text string").repartition(3)
+
+    def impacts(shard_bytes):
+        got = {}
+        for index in decontamination.indexes(bench, shard_bytes):
+            for t, ks, xs in zip(index.terms.tolist(), index.items, index.impacts):
+                got.update({(index.item_id[k], len(index.parts[k][0]), t): x for k, x in zip(ks, xs)})
+        return got
+
+    one, many = impacts(1 << 24), impacts(300)
+    assert one.keys() == many.keys() and all(math.isclose(x, many[k], rel_tol=1e-12) for k, x in one.items())
+    kept = [(i, t.split()) for i, t in rows if t and len(t.split()) >= 8]
+    df = {w: sum(w in t for _, t in kept) for w in vocab}
+    mean = sum(len(t) for _, t in kept) / len(kept)
+    for i, t in kept[:40:7]:
+        score = {w: math.log(1 + (len(kept) - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.2
+                 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w in set(t)}
+        want = sorted(x / sum(score.values()) for x in score.values())
+        got = sorted(x for (item, _, _), x in many.items() if item == i and i != 7)
+        assert i == 7 or np.allclose(got, want, rtol=1e-9)
 
 
 def test_wand_retrieves_all_above_the_threshold():
