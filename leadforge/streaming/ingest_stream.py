@@ -5,14 +5,15 @@ T1  ``start_ingest``: new mail files -> ``foreachBatch`` runs the batch plan
     folder. Every micro-batch writes its outputs under ``batch_id=<n>`` and
     overwrites that folder if the batch is replayed after a failure, then
     records the id in ``commits``; readers join with ``commits``, so ledger,
-    events and contacts stay consistent (exactly once per batch id). Contacts
-    are written as the changed rows only, with a full base every
-    ``compact_every`` batches.
+    events and contacts stay consistent (exactly once per batch id). Ledger keys
+    and contacts are also kept in tiers (``streaming.tiers``): a micro-batch writes
+    its own keys and changed contacts, looks its keys up in a few bucketed runs
+    and names the live runs in its commit.
 T2  ``start_contact_state``: contact state per email. The stream reads
     ``commits``, so it sees committed batches only; a batch is reduced to one row
     per email with partial aggregation (a hot address is one row per task), and
     rows merge by the smallest or largest (sequence, value) pair. The merge gives
-    the same state in any order and when a batch comes twice.
+    the same state in any order and when a batch comes twice. Parts are kept in tiers.
 T3  dedup: the ledger anti-join inside T1 has an unbounded horizon; the
     opt-in ``dedup_within_watermark`` bounds state with a watermark instead.
 T4  ``start_live_totals``: counts per (folder, domain) of each committed batch;
@@ -21,16 +22,19 @@ T4  ``start_live_totals``: counts per (folder, domain) of each committed batch;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import upsert
 from ..operators.routing import ledger_key
-from ..operators.text import sanitize_domain, sanitize_folder
+from ..operators.text import sanitize_domain, sanitize_folder, strip_ws
 from ..plans import ingest
+from .tiers import BUCKETS, FAN, Tiers
 
 EPOCH_SPAN = 1_000_000_000
-COMMIT_SCHEMA = "committed boolean, base_id long, batch_id long"
+COMMIT_SCHEMA = "committed boolean, runs array<string>, batch_id long"
+KEY_SCHEMA = "key string"
 
 
 def write_mail_drop(batch: DataFrame, path: str, files_per_day: int = 8) -> None:
@@ -44,51 +48,89 @@ def write_mail_drop(batch: DataFrame, path: str, files_per_day: int = 8) -> None
     batch.repartition("received_date", part).write.mode("overwrite").partitionBy("received_date").parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+def _found(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The table at ``path``; None if nothing was ever written there. What exists but cannot be read is an error."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def committed(spark: SparkSession, state: str, before: int | None = None) -> DataFrame | None:
-    """(batch_id, base_id) per committed batch; None before the first commit.
+    """(batch_id, runs) per committed batch; None before the first commit.
 
     A commit folder that exists but cannot be read is an error, never an empty state.
     """
-    if not _exists(spark, f"{state}/commits"):
+    c = _found(spark, f"{state}/commits", COMMIT_SCHEMA)
+    if c is None:
         return None
-    c = spark.read.parquet(f"{state}/commits").select(F.col("batch_id").cast("long").alias("batch_id"), "base_id")
-    c = c if before is None else c.filter(F.col("batch_id") < before)
+    c = c.select("batch_id", "runs") if before is None else c.filter(F.col("batch_id") < before).select("batch_id", "runs")
     return None if c.isEmpty() else c
 
 
+def live_runs(spark: SparkSession, state: str, before: int | None = None) -> list[str]:
+    """The runs that the last commit names: fewer than ``fan`` for each level.
+
+    A batch reads the commit of the one before it; only the first batch of a stream looks through all commits.
+    """
+    c = _found(spark, f"{state}/commits", COMMIT_SCHEMA)
+    if c is None:
+        return []
+    last = None if before is None else c.filter(F.col("batch_id") == before - 1).select("batch_id", "runs").first()
+    if last is None:
+        earlier = c if before is None else c.filter(F.col("batch_id") < before)
+        last = earlier.agg(F.max("batch_id").alias("batch_id"), F.max_by(F.struct("runs"), "batch_id").alias("r")).select(
+            "batch_id", "r.runs").first()
+    if last["batch_id"] is not None and last["runs"] is None:
+        raise ValueError(f"commit {last['batch_id']} names no runs: state of an earlier format")
+    return list(last["runs"] or [])
+
+
 def read_state(spark: SparkSession, state: str, name: str, before: int | None = None) -> DataFrame | None:
     """The committed rows of one output (``contacts``: the current contacts); None before the first commit."""
     done = committed(spark, state, before)
     if done is None:
         return None
     if name == "contacts":
-        return _current_contacts(spark, state, done)
+        return contact_tiers(spark, state).read(live_runs(spark, state, before)).select(*upsert.CONTACT_COLUMNS)
     return spark.read.parquet(f"{state}/{name}").join(done.select("batch_id"), "batch_id", "left_semi").drop("batch_id")
 
 
-def _current_contacts(spark: SparkSession, state: str, done: DataFrame) -> DataFrame:
-    """The last committed base and the changed rows written since, the newest row of each email."""
-    base_id = done.agg(F.max_by("base_id", "batch_id").alias("b")).first()["b"]  # one number
-    rows = (spark.read.parquet(f"{state}/contacts").filter(F.col("batch_id") > F.lit(base_id or 0))
-            .join(done.select("batch_id"), "batch_id", "left_semi"))
-    if base_id is not None:
-        rows = rows.unionByName(spark.read.parquet(f"{state}/contacts_base").filter(F.col("batch_id") == base_id))
-    return _newest(rows)
-
-
 def _newest(rows: DataFrame) -> DataFrame:
+    """The newest row of each email, with the batch that wrote it."""
     fields = [c for c in upsert.CONTACT_COLUMNS if c != "email"]
-    return rows.groupBy("email").agg(F.max_by(F.struct(*fields), "batch_id").alias("c")).select(
-        *[F.col("email") if c == "email" else F.col(f"c.{c}").alias(c) for c in upsert.CONTACT_COLUMNS])
+    return rows.groupBy("email").agg(F.max_by(F.struct(*fields), "batch_id").alias("c"), F.max("batch_id").alias("batch_id")).select(
+        *[F.col("email") if c == "email" else F.col(f"c.{c}").alias(c) for c in upsert.CONTACT_COLUMNS], "batch_id")
+
+
+def contact_tiers(spark: SparkSession, state: str, fan: int = FAN, buckets: int = BUCKETS) -> Tiers:
+    fields = upsert.empty_contacts(spark).schema
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+    return Tiers(spark, f"{state}/contacts", f"{schema}, batch_id bigint", "email", lambda rows: _newest(rows), fan, buckets)
+
+
+def key_tiers(spark: SparkSession, state: str, fan: int = FAN, buckets: int = BUCKETS) -> Tiers:
+    """Ledger keys: ``m`` and a Message-ID, or ``u`` and a uid."""
+    return Tiers(spark, f"{state}/keys", KEY_SCHEMA, "key", lambda rows: rows.distinct(), fan, buckets)
+
+
+def _keys(message_id: Column, imap_uid: Column) -> Column:
+    return F.filter(F.array(F.concat(F.lit("m"), message_id), F.concat(F.lit("u"), imap_uid)), lambda k: k.isNotNull())
+
+
+def known_keys(batch: DataFrame, keys: Tiers, runs: list[str]) -> DataFrame:
+    """The ledger rows that can meet ``batch`` (F2), whatever the size of the ledger."""
+    mid = F.nullif(strip_ws("message_id"), F.lit(""))
+    asked = batch.select(F.explode(_keys(mid, F.col("imap_uid"))).alias("key")).distinct()
+    kind, value = F.substring("key", 1, 1), F.expr("substring(key, 2)")
+    return keys.lookup(asked, runs).select(
+        F.when(kind == "m", value).alias("message_id"), F.when(kind == "u", value).alias("imap_uid"))
 
 
 def process_batch(batch: DataFrame, stream_batch: int, state: str, cfg: ingest.RunConfig, epoch: int = 1,
-                  compact_every: int = 50) -> None:
+                  fan: int = FAN, buckets: int = BUCKETS) -> None:
     """T1 body: one micro-batch through the batch plan, outputs under its state batch id.
 
     The state id is ``epoch * 1e9 + stream batch id``: the same micro-batch
@@ -97,33 +139,30 @@ def process_batch(batch: DataFrame, stream_batch: int, state: str, cfg: ingest.R
     """
     spark = batch.sparkSession
     batch_id = epoch * EPOCH_SPAN + int(stream_batch)
-    ledger = read_state(spark, state, "ledger", before=batch_id)
-    contacts = read_state(spark, state, "contacts", before=batch_id)
-    ledger = ledger.select("message_id", "imap_uid") if ledger is not None else ingest.empty_ledger(spark)
-    prior = contacts if contacts is not None else upsert.empty_contacts(spark)
+    runs = live_runs(spark, state, before=batch_id)
+    keys, contacts = key_tiers(spark, state, fan, buckets), contact_tiers(spark, state, fan, buckets)
+    prior = contacts.read(runs).select(*upsert.CONTACT_COLUMNS)  # the run's semi-join reaches every run below the merge
 
     def write(name: str, df: DataFrame) -> DataFrame:
         path = f"{state}/{name}/batch_id={batch_id}"
         df.write.mode("overwrite").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    r = ingest.run(batch, ledger, prior, cfg, cut=lambda df: write("scored", df), changed_only=True)
-    for name, df in (("outcomes", r.outcomes), ("ledger", r.ledger), ("events", r.events), ("new_leads", r.new_leads)):
-        write(name, df)
-    changed = write("contacts", r.contacts)
-    done = committed(spark, state, before=batch_id)
-    base_id = None if done is None else done.agg(F.max_by("base_id", "batch_id").alias("b")).first()["b"]
-    if (int(stream_batch) + 1) % compact_every == 0:
-        whole = changed.withColumn("batch_id", F.lit(1)).unionByName(prior.withColumn("batch_id", F.lit(0)))
-        write("contacts_base", _newest(whole))
-        base_id = batch_id
-    spark.createDataFrame([(True, base_id)], "committed boolean, base_id long").coalesce(1).write.mode(
+    known = known_keys(batch, keys, runs).checkpoint()  # no more rows than the batch has keys; two joins read it
+    r = ingest.run(batch, known, prior, cfg, cut=lambda df: write("scored", df), changed_only=True)
+    write("outcomes", r.outcomes)
+    ledger = write("ledger", r.ledger)
+    write("events", r.events)
+    write("new_leads", r.new_leads)
+    keys.put(ledger.select(F.explode(_keys(F.col("message_id"), F.col("imap_uid"))).alias("key")).distinct(), batch_id, runs)
+    live = contacts.put(r.contacts.withColumn("batch_id", F.lit(batch_id).cast("bigint")), batch_id, runs)
+    spark.createDataFrame([(True, live)], "committed boolean, runs array<string>").coalesce(1).write.mode(
         "overwrite").parquet(f"{state}/commits/batch_id={batch_id}")
 
 
 def start_ingest(spark: SparkSession, drop: str, state: str, checkpoint: str, schema,
                  cfg: ingest.RunConfig, files_per_trigger: int = 5, available_now: bool = True,
-                 interval: str = "5 minutes", epoch: int = 1, compact_every: int = 50):
+                 interval: str = "5 minutes", epoch: int = 1, fan: int = FAN, buckets: int = BUCKETS):
     """Start the ingest stream (``availableNow`` drains what is there; else a timed trigger).
 
     ``epoch`` must be the same whenever this checkpoint is restarted and differ
@@ -131,7 +170,7 @@ def start_ingest(spark: SparkSession, drop: str, state: str, checkpoint: str, sc
     """
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(drop)
     w = src.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda df, bid: process_batch(df, bid, state, cfg, epoch, compact_every))
+        lambda df, bid: process_batch(df, bid, state, cfg, epoch, fan, buckets))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
 
@@ -141,7 +180,7 @@ def start_ingest(spark: SparkSession, drop: str, state: str, checkpoint: str, sc
 # ---------------------------------------------------------------------------
 
 def _follow_commits(spark: SparkSession, state: str, checkpoint: str, on_batch, commits_per_trigger: int):
-    """Call ``on_batch(outcomes)`` with the outcomes (and ``batch_id``) of newly committed batches.
+    """Call ``on_batch(outcomes, newest id)`` with the outcomes (and ``batch_id``) of newly committed batches.
 
     At most ``commits_per_trigger`` ids are read to the driver per trigger; only their folders are listed.
     """
@@ -150,7 +189,7 @@ def _follow_commits(spark: SparkSession, state: str, checkpoint: str, on_batch,
         if ids:
             own = commits.sparkSession
             on_batch(own.read.option("basePath", f"{state}/outcomes").parquet(
-                *[f"{state}/outcomes/batch_id={i}" for i in ids]))
+                *[f"{state}/outcomes/batch_id={i}" for i in ids]), ids[-1])
 
     src = spark.readStream.schema(COMMIT_SCHEMA).option("maxFilesPerTrigger", commits_per_trigger).parquet(
         f"{state}/commits")
@@ -186,16 +225,39 @@ def merge_parts(parts: DataFrame) -> DataFrame:
         F.min("first_seq").alias("first_seq"), *[F.min(c).alias(c) for c in FIRST], *[F.max(c).alias(c) for c in LAST])
 
 
-def start_contact_state(spark: SparkSession, state: str, out: str, checkpoint: str, commits_per_trigger: int = 100):
-    """Keep contact parts under ``out`` for every committed batch."""
-    def on_batch(outcomes: DataFrame) -> None:
-        _write_by_batch(contact_parts(outcomes.filter(F.col("outcome") == "processed"), ("batch_id", "email")), out)
+PART_SCHEMA = ("email string, first_seq bigint, " + ", ".join(f"{c} struct<seq:bigint,value:string>" for c in FIRST)
+               + ", subject struct<seq:bigint,value:string>, received_at struct<seq:bigint,value:timestamp>, "
+               "excerpt struct<seq:bigint,value:string>")
+HEAD_SCHEMA = "runs array<string>, version bigint"
+
+
+def part_tiers(spark: SparkSession, out: str, fan: int = FAN, buckets: int = BUCKETS) -> Tiers:
+    return Tiers(spark, f"{out}/parts", PART_SCHEMA, "email", merge_parts, fan, buckets)
+
+
+def _part_runs(spark: SparkSession, out: str, before: int | None = None) -> list[str]:
+    heads = _found(spark, f"{out}/heads", HEAD_SCHEMA)
+    if heads is None:
+        return []
+    heads = heads if before is None else heads.filter(F.col("version") < before)
+    return list(heads.agg(F.max_by("runs", "version").alias("runs")).first()["runs"] or [])
+
+
+def start_contact_state(spark: SparkSession, state: str, out: str, checkpoint: str, commits_per_trigger: int = 100,
+                        fan: int = FAN, buckets: int = BUCKETS):
+    """Keep contact parts of every committed batch in tiers under ``out``; a new checkpoint needs a new ``out``."""
+    def on_batch(outcomes: DataFrame, newest: int) -> None:
+        own = outcomes.sparkSession
+        parts = contact_parts(outcomes.filter(F.col("outcome") == "processed"))
+        live = part_tiers(own, out, fan, buckets).put(parts, newest, _part_runs(own, out, before=newest))
+        own.createDataFrame([(live,)], "runs array<string>").coalesce(1).write.mode("overwrite").parquet(
+            f"{out}/heads/version={newest}")
     return _follow_commits(spark, state, checkpoint, on_batch, commits_per_trigger)
 
 
 def read_contact_state(spark: SparkSession, out: str) -> DataFrame:
     """The contact state: one row per email."""
-    m = merge_parts(spark.read.parquet(out))
+    m = part_tiers(spark, out).read(_part_runs(spark, out))
     return m.select(
         "email", "first_seq", *[F.col(f"{c}.value").alias(c) for c in FIRST],
         F.col("subject.value").alias("last_message_subject"), F.col("received_at.value").alias("last_message_received_at"),
@@ -204,7 +266,7 @@ def read_contact_state(spark: SparkSession, out: str) -> DataFrame:
 
 def start_live_totals(spark: SparkSession, state: str, out: str, checkpoint: str, commits_per_trigger: int = 100):
     """T4: keep processed and created-lead counts per (folder, domain) for every committed batch."""
-    def on_batch(outcomes: DataFrame) -> None:
+    def on_batch(outcomes: DataFrame, _: int) -> None:
         _write_by_batch(live_totals(outcomes, ("batch_id",)), out)
     return _follow_commits(spark, state, checkpoint, on_batch, commits_per_trigger)
 

@@ -12,6 +12,7 @@ from leadforge.operators import upsert
 from leadforge.session import scratch_path
 from leadforge.sources.tables import messages
 from leadforge.streaming import ingest_stream as S
+from leadforge.streaming import tiers as T
 
 
 def test_stream_equals_batch_and_replay_is_empty(spark):
@@ -49,11 +50,11 @@ def test_failed_batch_is_invisible_and_its_replay_completes_the_state(spark, mon
         S.start_contact_state(spark, state, f"{base}/parts", f"{base}/ck_state").awaitTermination()
         S.start_live_totals(spark, state, f"{base}/totals", f"{base}/ck_totals").awaitTermination()
 
-    S.process_batch(batches[0], 0, state, CFG, compact_every=2)
+    S.process_batch(batches[0], 0, state, CFG, fan=2, buckets=4)
     before = _rows(S.read_state(spark, state, "contacts"))
     calls, newest = [], S._newest
 
-    def failing(rows):  # the second call of this batch writes the base, after all other outputs
+    def failing(rows):  # the second call of this batch merges the runs, after all other outputs
         calls.append(1)
         if len(calls) == 2:
             raise RuntimeError("executor lost")
@@ -61,16 +62,16 @@ def test_failed_batch_is_invisible_and_its_replay_completes_the_state(spark, mon
 
     monkeypatch.setattr(S, "_newest", failing)
     with pytest.raises(RuntimeError):
-        S.process_batch(batches[1], 1, state, CFG, compact_every=2)
+        S.process_batch(batches[1], 1, state, CFG, fan=2, buckets=4)
     monkeypatch.undo()
     follow()
     assert _rows(S.read_state(spark, state, "contacts")) == before
     first = spark.read.parquet(f"{state}/outcomes/batch_id={S.EPOCH_SPAN}")
     assert _rows(S.read_live_totals(spark, f"{base}/totals")) == _rows(S.live_totals(first))
 
-    S.process_batch(batches[1], 1, state, CFG, compact_every=2)
-    S.process_batch(batches[1], 1, state, CFG, compact_every=2)  # a batch that comes twice
-    S.process_batch(batches[2], 2, state, CFG, compact_every=2)  # reads the base of batch 1
+    S.process_batch(batches[1], 1, state, CFG, fan=2, buckets=4)
+    S.process_batch(batches[1], 1, state, CFG, fan=2, buckets=4)  # a batch that comes twice
+    S.process_batch(batches[2], 2, state, CFG, fan=2, buckets=4)  # reads the merged run of batch 1
     follow()
     whole = ingest.run(msgs, ingest.empty_ledger(spark), upsert.empty_contacts(spark), CFG)
     assert _rows(S.read_state(spark, state, "contacts")) == _rows(whole.contacts)
@@ -91,6 +92,57 @@ def test_unreadable_state_stops_the_run(spark):
     assert not os.path.exists(f"{state}/outcomes")
 
 
+def test_runs_stay_few_and_lose_no_batch():
+    """200 batches: fewer than ``fan`` runs a level, every batch in exactly one run, each rewritten once a level."""
+    holds, live, rewrites = {}, [], {}
+    for b in range(200):
+        earlier, (live, merged) = live, T.add_run(live, b, 4)
+        holds[f"0-{b}"] = {b}
+        if merged:
+            holds[live[-1]] = set().union(*[holds[r] for r in merged])
+            assert set(merged) <= {*earlier, f"0-{b}"}
+            for x in holds[live[-1]]:
+                rewrites[x] = rewrites.get(x, 0) + 1
+        assert sorted(x for r in live for x in holds[r]) == list(range(b + 1))
+        assert all(sum(T.level_of(r) == n for r in live) < 4 for n in range(6)) and len(live) <= 3 * 4
+    assert max(rewrites.values()) <= 4
+
+
+def test_ledger_lookup_equals_the_whole_ledger_without_its_exchange(spark):
+    path = scratch_path(spark, "t-keys")
+    keys = S.key_tiers(spark, path, fan=3, buckets=4)
+    held, runs = set(), []
+    for b in range(1, 12):
+        new = [f"m<{(b * 37 + i * 11) % 97}@x>" for i in range(9)] + [f"u{b}"]
+        runs = keys.put(spark.createDataFrame([(k,) for k in {*new}], "key string"), b, runs)
+        held |= {*new}
+    assert max(map(T.level_of, runs)) == 2
+    asked = spark.createDataFrame([(f" <{i}@x> ", f"{i}", i) for i in range(40)] + [(None, "3", 50), (None, None, 51), ("", "99", 52)],
+                                  "message_id string, imap_uid string, seq long")
+    got = {("m" + r["message_id"]) if r["message_id"] else "u" + r["imap_uid"] for r in S.known_keys(asked, keys, runs).collect()}
+    want = {f"m<{i}@x>" for i in range(40)} | {f"u{i}" for i in range(40)} | {"u99"}
+    assert got == held & want
+    for r in runs:  # a catalog that lacks the tables finds them again
+        spark.sql(f"DROP TABLE IF EXISTS {keys._table(r)}")
+    assert {r["key"] for r in keys.read(runs).collect()} == held
+    run = keys.run(max(runs, key=T.level_of))
+    many = spark.range(1000).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("key")).hint("merge")
+    plan = run.join(many, "key", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    state_side = plan[:plan.index("Range")]
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1 and "Bucketed: true" in state_side
+
+
+def test_live_runs_are_those_of_the_commit_before(spark):
+    state = scratch_path(spark, "t-commits")
+    assert S.live_runs(spark, state) == []
+    for b, runs in ((7, ["0-7"]), (8, ["0-7", "0-8"]), (20, None)):
+        spark.createDataFrame([(True, runs)], "committed boolean, runs array<string>").write.parquet(f"{state}/commits/batch_id={b}")
+    assert [S.live_runs(spark, state, before=b) for b in (7, 8, 9, 15)] == [[], ["0-7"], ["0-7", "0-8"], ["0-7", "0-8"]]
+    for before in (21, 30, None):  # a commit without runs is no empty state
+        with pytest.raises(ValueError):
+            S.live_runs(spark, state, before=before)
+
+
 def test_contact_parts_merge_in_any_order(spark):
     rows = spark.createDataFrame(
         [("a", i, None if i == 0 else f"n{i}", "", None, None, None if i == 3 else f"s{i}", None, None if i == 3 else "x")
