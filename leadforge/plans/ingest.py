@@ -1,7 +1,7 @@
 """One ingestion run as a lazy Spark plan: batch -> outcomes, contacts, ledger, events, leads.
 
-Stages, cheapest first (duplicates and refused senders are filtered away before
-the scorer and come back with null scores):
+Stages, cheapest first (duplicates and refused senders pass the scorer with null
+scores, unscored):
 
 1. duplicate flags on the narrow key frame (ledger anti-joins + in-batch
    first occurrence), joined back to the wide batch once by ``seq``;
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -57,19 +57,23 @@ def empty_ledger(spark) -> DataFrame:
     return spark.createDataFrame([], LEDGER_SCHEMA)
 
 
-def score_leads(df: DataFrame, cfg: RunConfig) -> DataFrame:
-    """Add (is_lead, lead_score, confidence) per the runner strategy."""
-    scored = rules.with_rule_score(df, "headers", "body", cfg.lexicon)
+def score_leads(df: DataFrame, cfg: RunConfig, live: Column | None = None) -> DataFrame:
+    """Add (is_lead, lead_score, confidence) per the runner strategy.
+
+    Rows that are not ``live`` get nulls and are not scored; the wide batch is read once for both.
+    """
+    live = F.lit(True) if live is None else live
+    scored = df.withColumn("rule_score", F.when(live, rules.rule_score("headers", "body", cfg.lexicon)))
     use_ml = cfg.strategy in ("ml", "hybrid") and cfg.model is not None
     if use_ml:
         # score a narrow (seq, text) frame; the result is hash-partitioned on seq like the batch
-        narrow = df.select("seq", text.combine_text("subject", "body").alias("_text"))
+        narrow = df.filter(live).select("seq", text.combine_text("subject", "body").alias("_text"))
         ml_scores = nb.nb_score(narrow, cfg.model, "seq", "_text", out="ml_score")
         scored = scored.join(ml_scores, "seq", "left")
     ml = F.col("ml_score") if use_ml else F.lit(None).cast("double")
     r = ens.runner_strategy(ml, "rule_score", cfg.strategy, ml_available=use_ml,
                             ml_threshold=cfg.ml_threshold, rule_threshold=cfg.lexicon.threshold)
-    return scored.withColumn("_lead", r).select(
+    return scored.withColumn("_lead", F.when(live, r)).select(
         "*", F.col("_lead.is_lead").alias("is_lead"), F.col("_lead.score").alias("lead_score"),
         F.col("_lead.confidence").alias("confidence")).drop("_lead")
 
@@ -102,7 +106,7 @@ def run(batch: DataFrame, ledger: DataFrame, prior_contacts: DataFrame, cfg: Run
         F.nullif(F.col("subject"), F.lit("")).alias("subject_h"),
     )
     live = ~F.col("duplicate") & F.col("allowed")
-    scored = score_leads(b.filter(live), cfg).unionByName(b.filter(~live), allowMissingColumns=True)
+    scored = score_leads(b, cfg, live)
     # extraction only for messages classified as leads; the others have no lead flag
     fields = F.when(F.col("is_lead"), extract.parse_contact("body", "headers"))
     p = scored.withColumn("fields", fields)
@@ -129,7 +133,8 @@ def run(batch: DataFrame, ledger: DataFrame, prior_contacts: DataFrame, cfg: Run
         F.col("fields.org").alias("org"),
         F.col("subject_h").alias("subject"),
         F.when(reached, text.received_at("date_header")).alias("received_at"),
-        F.when(F.col("outcome") == "processed", text.excerpt("body")).alias("excerpt"),
+        # its Python step runs for every row: only mail that is kept brings its body there
+        text.excerpt(F.when(F.col("outcome") == "processed", F.col("body"))).alias("excerpt"),
         F.map_filter("headers", lambda name, _: ~name.isin("Message-ID", "Subject")).alias("other_headers"),
         "date_header",
     )

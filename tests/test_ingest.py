@@ -160,3 +160,24 @@ def test_one_mail_that_breaks_the_parser_does_not_stop_the_run(spark, tmp_path):
     batch = mail.load_batch(spark, str(tmp_path), folder="drop").collect()
     assert sorted(b["seq"] for b in batch) == [1, 2, 3, 4, 5, 6] and sum(b["fault"] is not None for b in batch) == 3
     assert mail._parse_one(b"From: a@b\n\nx", True, lambda *a, **k: 1 / 0, None)[-1] == "mail cannot be read: ZeroDivisionError"
+
+
+def test_the_wide_batch_is_read_once_and_only_kept_mail_is_excerpted(spark):
+    from conftest import SF_SMALL
+    from leadforge.operators import upsert
+    from leadforge.plans import ingest
+    from leadforge.sources.tables import messages
+    batch = messages(spark, SF_SMALL).checkpoint()
+    plans = []
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df.checkpoint()
+    out = ingest.run(batch, ingest.empty_ledger(spark), upsert.empty_contacts(spark),
+                     ingest.RunConfig(allowed_domains=["d1.example"]), cut=cut).outcomes
+    assert "Union" not in plans[0]
+    row = out.groupBy("outcome").agg({"excerpt": "count", "lead_score": "count", "seq": "count"}).collect()
+    got = {r["outcome"]: (r["count(excerpt)"], r["count(lead_score)"], r["count(seq)"]) for r in row}
+    assert got["processed"][0] == got["processed"][1] == got["processed"][2] > 0
+    assert got["not_lead"][0] == 0 and got["not_lead"][1] == got["not_lead"][2] > 0
+    assert got["not_allowed"][:2] == (0, 0) and got["not_allowed"][2] > 0
