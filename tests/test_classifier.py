@@ -162,3 +162,20 @@ def test_ordered_running_on_a_large_input(spark):
     wrong = got.join(want, "seq").filter((F.col("position") != F.col("w_position")) | (F.col("cum_v") != F.col("w_cum"))
                                          | (F.col("group_rows") != n) | (F.col("total_v") != 2.0 * n))
     assert got.count() == n and wrong.count() == 0
+
+
+def test_a_model_above_the_broadcast_budget_is_joined_without_a_sort(spark):
+    train = spark.createDataFrame(TRAIN, "label int, text string").withColumn("id", F.monotonically_increasing_id())
+    model = nb.train_nb(train)
+    small = {r["id"]: r["nb_score"] for r in nb.nb_score(train, model, "id", "text").collect()}
+
+    def plan_and_scores(n_bytes):
+        model.term_bytes = n_bytes
+        s = nb.nb_score(train, model, "id", "text")
+        return s._jdf.queryExecution().executedPlan().toString(), {r["id"]: r["nb_score"] for r in s.collect()}
+    middle, scores = plan_and_scores(1 << 28)
+    assert "ShuffledHashJoin" in middle and "SortMergeJoin" not in middle
+    huge, same = plan_and_scores(1 << 50)
+    assert "SortMergeJoin" in huge
+    for i, s in small.items():
+        assert abs(scores[i] - s) < 1e-12 and abs(same[i] - s) < 1e-12
