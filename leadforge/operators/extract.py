@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.columns import let
-from ..functions.patterns import DIGIT, EMAIL, PHONE, WORD_CHARS, WS, WS_CHARS
+from ..functions.patterns import DIGIT, EMAIL, HAS_FEATURE_PHONE, PHONE, WORD_CHARS, WS, WS_CHARS
 from .text import _c, address_of, display_name_of, normalize_whitespace, split_lines, strip_ws
 
 NB = f"(?<![{WORD_CHARS}])"  # word boundary before
@@ -35,6 +35,10 @@ COMPANY_PATTERNS = [
 # Words each phrase cannot match without (lower-cased text must contain one): a cheap
 # substring gate in front of the regex scan, which leaves results unchanged.
 PATTERN_GATES = [["sono"], ["sono"], ["chiamo"], ["lavoro"], ["chiama", "denominata"]]
+# the words each phrase starts with: looked at before the word boundary, they dismiss nearly every place at once
+PATTERN_STARTS = ["sono", "sono", "mi", "lavoro", "azienda|società|societa|company"]
+# every number starts with one of these
+PHONE_FROM_START = rf"(?=[+({DIGIT}]){PHONE}"
 
 LEGAL_FORM = f"{NB}(?:{'|'.join(L.LEGAL_FORMS)}){NA}"
 ORG_LABEL_PREFIX = rf"(?iu)^(?:{'|'.join(L.ORG_LABEL_WORDS)})[:\-{WS_CHARS}]*"
@@ -180,7 +184,7 @@ def phone_candidates(text) -> Column:
                     i.alias("line"), j.alias("pos"), score.alias("score"), raw.alias("raw"),
                     normalize_phone(raw).alias("number"))))
             return F.when(F.size(found) == 0, empty).otherwise(let(F.lower(line), build))
-        return let(F.regexp_extract_all(line, F.lit(PHONE), 0), scored)
+        return let(F.regexp_extract_all(line, F.lit(PHONE_FROM_START), 0), scored)
 
     return F.flatten(F.transform(lines, per_line))
 
@@ -189,7 +193,8 @@ def best_phone(text) -> Column:
     """Highest score, then earliest line/position, among first occurrences of each number.
 
     Falls back to the first valid number anywhere in the text (matches may then
-    span lines) when no line yields a candidate.
+    span lines) when no line yields a candidate. A text without a digit and seven
+    more characters of a number holds none, on its lines or across them.
     """
     def pick(cands):
         valid = F.filter(cands, lambda c: c["number"].isNotNull())
@@ -204,10 +209,10 @@ def best_phone(text) -> Column:
 
     t = F.coalesce(_c(text), F.lit(""))
     fallback = F.try_element_at(
-        F.filter(F.transform(F.regexp_extract_all(t, F.lit(PHONE), 0), normalize_phone), lambda x: x.isNotNull()),
+        F.filter(F.transform(F.regexp_extract_all(t, F.lit(PHONE_FROM_START), 0), normalize_phone), lambda x: x.isNotNull()),
         F.lit(1),
     )
-    return F.coalesce(let(phone_candidates(t), pick), fallback)
+    return F.when(t.rlike(HAS_FEATURE_PHONE), F.coalesce(let(phone_candidates(t), pick), fallback))
 
 
 # ---------------------------------------------------------------------------
@@ -233,18 +238,24 @@ def company_phrase(text) -> Column:
     company wins; the name comes from the first matching phrase (up to the
     winner) whose name survives title removal.
     """
+    def phrase(pat, g_name, g_company):
+        # the match alone gives the groups it gives in the text: a phrase looks at nothing behind its end
+        def taken(m):
+            name = F.regexp_extract(m, pat, g_name) if g_name else F.lit("")
+            return F.when(m != "", F.struct(
+                clean_company(F.regexp_extract(m, pat, g_company)).alias("company"),
+                let(name, lambda n: F.when(F.size(name_parts(n)) > 0, n)).alias("name"))).otherwise(
+                F.struct(F.lit(None).cast("string").alias("company"), F.lit(None).cast("string").alias("name")))
+        return taken
+
     def phrases(r):
         t, low = r["t"], r["low"]
         found = []
-        for (pat, g_name, g_company), gate in zip(COMPANY_PATTERNS, PATTERN_GATES):
-            possible = _contains_any(low, gate)
-            company_raw = F.when(possible, F.regexp_extract(t, pat, g_company)).otherwise(F.lit(""))
-            name_raw = F.when(possible, F.regexp_extract(t, pat, g_name)).otherwise(F.lit("")) if g_name else F.lit("")
-            found.append(F.struct(
-                (company_raw != "").alias("matched"),
-                clean_company(company_raw).alias("company"),
-                F.when((company_raw != "") & (F.size(name_parts(name_raw)) > 0), name_raw).alias("name"),
-            ))
+        for (pat, g_name, g_company), gate, start in zip(COMPANY_PATTERNS, PATTERN_GATES, PATTERN_STARTS):
+            flags, rest = pat.split(")", 1)
+            pat = f"{flags})(?={start}){rest}"
+            match = F.when(_contains_any(low, gate), F.regexp_extract(t, pat, 0)).otherwise(F.lit(""))
+            found.append(let(match, phrase(pat, g_name, g_company)))
         return F.array(*found)
 
     def decide(arr):
@@ -291,8 +302,13 @@ def org_from_line(line) -> Column:
 
 
 def org_from_lines(text) -> Column:
-    lines = split_lines(F.coalesce(_c(text), F.lit("")))
-    return F.try_element_at(F.filter(F.transform(lines, org_from_line), lambda x: x.isNotNull()), F.lit(1))
+    """The first line's company; a text without a hint is not split, lines behind the first company are not read."""
+    def until_found(found, line):
+        return F.when(found.isNotNull(), found).otherwise(org_from_line(line))
+
+    t = F.coalesce(_c(text), F.lit(""))
+    return F.when(_contains_any(F.lower(t), L.ORG_HINTS),
+                  F.aggregate(split_lines(t), F.lit(None).cast("string"), until_found))
 
 
 # ---------------------------------------------------------------------------

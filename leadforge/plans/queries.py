@@ -292,8 +292,8 @@ def q_org_from_line(spark, sf_dir):
 @register("parse_contact")
 def q_parse_contact(spark, sf_dir):
     m = messages(spark, sf_dir)
-    pc = extract.parse_contact("body", headers_map(m))
-    return m.select("seq", *[pc[f].alias(f) for f in ("first_name", "last_name", "email", "phone", "org")])
+    pc = m.select("seq", extract.parse_contact("body", headers_map(m)).alias("c"))
+    return pc.select("seq", *[F.col(f"c.{f}").alias(f) for f in ("first_name", "last_name", "email", "phone", "org")])
 
 
 # ---------------------------------------------------------------------------
