@@ -57,6 +57,14 @@ def contacts_after(contacts: DataFrame, after: tuple | None = None, limit: int =
     return contacts.orderBy("created_at", "id").limit(limit)
 
 
+def contacts_page_after(contacts: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
+    """The page behind that of :func:`contacts_page`, by the key of its last row; nothing is behind an empty page."""
+    last = contacts_page(contacts, limit, offset).agg(F.max(F.struct("created_at", "id")).alias("k")).first()["k"]  # one key
+    if last is None:
+        return contacts.filter(F.lit(False))
+    return contacts_after(contacts, (last["created_at"], last["id"]), limit)
+
+
 def append(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None) -> None:
     w = df.write.mode("append").format(fmt)
     if partition_by:

@@ -181,3 +181,15 @@ def test_the_wide_batch_is_read_once_and_only_kept_mail_is_excerpted(spark):
     assert got["processed"][0] == got["processed"][1] == got["processed"][2] > 0
     assert got["not_lead"][0] == 0 and got["not_lead"][1] == got["not_lead"][2] > 0
     assert got["not_allowed"][:2] == (0, 0) and got["not_allowed"][2] > 0
+
+
+def test_page_behind_an_empty_page_is_empty(spark):
+    from leadforge.sources.sinks import contacts_page_after
+    contacts = spark.sql("SELECT timestamp'2024-01-01' + make_interval(0, 0, 0, id div 2) AS created_at, format_string('%02d', id) AS id FROM range(10)")
+
+    def ids(limit, offset):
+        return [r["id"] for r in contacts_page_after(contacts, limit, offset).orderBy("created_at", "id").collect()]
+    assert ids(3, 2) == ["05", "06", "07"]
+    assert ids(3, 6) == ["09"]
+    assert ids(3, 8) == []
+    assert ids(3, 20) == []
