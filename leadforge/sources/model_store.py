@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.nb import BIGRAM, UNIGRAM, NBModel, table_bytes
 
@@ -56,11 +59,64 @@ def _counts(doc: DataFrame, field: str, kind: str) -> DataFrame:
         F.coalesce("n_neg", F.lit(0)).cast("long").alias("n_neg"))
 
 
+COUNT_MAPS = (("token_counts", UNIGRAM), ("bigram_counts", BIGRAM))
+ENTRY = "kind string, term string, n_pos bigint, n_neg bigint"
+
+
+def plain_entries(text: str | None) -> list[tuple[str, str, tuple]] | None:
+    """``[(kind, label, ((term, count), ..))]`` of a plain document: an object whose count maps hold whole numbers of
+    64 bits. Anything else gives None and is left to ``from_json``, which says what an odd document means."""
+    if text is None:
+        return []
+    if "\\ud" in text or "\\uD" in text:  # halves of a character
+        return None
+    try:
+        doc = json.loads(text, object_pairs_hook=tuple)
+    except (ValueError, RecursionError):
+        return None
+    found = []
+    fields = dict(doc) if type(doc) is tuple else {}
+    if type(doc) is not tuple or len(fields) != len(doc):
+        return None
+    for field, kind in COUNT_MAPS:
+        labels = fields.get(field)
+        if labels is None:
+            continue
+        if type(labels) is not tuple or len(dict(labels)) != len(labels):
+            return None
+        for label, counts in labels:
+            if type(counts) is not tuple or any(type(n) is not int or not -(1 << 63) <= n < 1 << 63 for _, n in counts):
+                return None
+            if label in ("0", "1") and counts:
+                found.append((kind, label, counts))
+    return found
+
+
+def _read_plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(model, value) to a row for each count of a plain document; another one keeps its text."""
+    names = ["model", "kind", "term", "n_pos", "n_neg", "value"]
+    for batch in batches:
+        for at in range(batch.num_rows):
+            model, text = batch.column(0).slice(at, 1), batch.column(1)[at].as_py()
+            found = plain_entries(text)
+            if found is None:
+                null, none = pa.nulls(1, pa.string()), pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays([model, null, null, none, none, pa.array([text])], names=names)
+                continue
+            for kind, label, counts in found:
+                terms, numbers = zip(*counts)
+                n, zero = pa.array(numbers, pa.int64()), pa.array([0] * len(terms), pa.int64())
+                yield pa.RecordBatch.from_arrays([
+                    model.take(pa.array([0] * len(terms))), pa.array([kind] * len(terms)), pa.array(terms, pa.string()),
+                    *((n, zero) if label == "1" else (zero, n)), pa.nulls(len(terms), pa.string())], names=names)
+
+
 def legacy_terms(documents: DataFrame, model_col: str = "model", json_col: str = "value") -> DataFrame:
     """S10 for many models: version-2 JSON documents to ``(model, kind, term, n_pos, n_neg)`` in one job.
 
     A document is parsed in the row that holds it; its terms leave as rows. A document without count maps gives no
-    row, nor does one that is not JSON.
+    row, nor does one that is not JSON. Terms are field names there: Spark's parser keeps every field name it ever
+    met in one table of the process, so plain documents are read by the standard library, only odd ones by ``from_json``.
     """
     def entries(field: str, kind: str, label: str):
         counts = F.map_entries(F.try_element_at(F.col(f"m.{field}"), F.lit(label)))
@@ -68,11 +124,14 @@ def legacy_terms(documents: DataFrame, model_col: str = "model", json_col: str =
         found = F.transform(counts, lambda e: F.struct(
             F.lit(kind).alias("kind"), e["key"].alias("term"), (e["value"] if label == "1" else zero).alias("n_pos"),
             (e["value"] if label == "0" else zero).alias("n_neg")))
-        return F.coalesce(found, F.array().cast("array<struct<kind:string,term:string,n_pos:bigint,n_neg:bigint>>"))
-
-    parsed = documents.select(F.col(model_col).alias("model"), F.from_json(json_col, LEGACY_SCHEMA).alias("m"))
-    rows = F.concat(*[entries(f, k, y) for f, k in (("token_counts", UNIGRAM), ("bigram_counts", BIGRAM)) for y in "10"])
-    return (parsed.select("model", F.explode(rows).alias("r")).select("model", "r.*").groupBy("model", "kind", "term")
+        return F.coalesce(found, F.array().cast(f"array<struct<{ENTRY}>>"))
+
+    given = documents.select(F.col(model_col).alias("model"), F.col(json_col).alias("value"))
+    schema = StructType([given.schema["model"], *StructType.fromDDL(f"{ENTRY}, value string").fields])
+    read = given.mapInArrow(_read_plain, schema).withColumn("m", F.from_json("value", LEGACY_SCHEMA))
+    plain = F.array(F.struct("kind", "term", "n_pos", "n_neg"))
+    rows = F.when(F.col("value").isNull(), plain).otherwise(F.concat(*[entries(f, k, y) for f, k in COUNT_MAPS for y in "10"]))
+    return (read.select("model", F.explode(rows).alias("r")).select("model", "r.*").groupBy("model", "kind", "term")
             .agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg")))
 
 
