@@ -48,9 +48,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
-from .suffix_array import suffix_array
+from .suffix_array import END, joint_suffix_array
 from .tables import bounded_batches, materialise, text_of
-from .text import buffers, chunks, mix
+from .text import buffers, chunks, lanes, mix
 
 LENGTH = 100
 GRAM = 32                       # a power of two
@@ -62,90 +62,89 @@ SYMBOLS = (LEAD + LENGTH) // ZONE
 SHARED = (LENGTH - ZONE + 1) // ZONE  # symbols that lie whole in every string of a zone
 AT_ONCE = 1000
 HOT = 40_000                    # contexts of one anchor that a task takes: some 7 MB
+CHUNK = 1 << 17                 # bytes of text that anchors are sought in at once
 FIRST_ID = -(1 << 63)
-SPACING = 256                   # zero bytes behind the texts of a chunk
 
-_BYTE = np.random.default_rng(41).integers(0, 1 << 63, size=256, dtype=np.uint64)
-_RADIX = [np.uint64(0x9E3779B97F4A7C15)]
-with np.errstate(over="ignore"):
-    for _ in range(8):
-        _RADIX.append(_RADIX[-1] * _RADIX[-1])
+_FOLD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)]
+_HIGH = np.uint64(32)
 
 
 class Hashes:
-    """Polynomial hashes of all spans of 1, 2, 4 .. 64 bytes; of any length from these."""
+    """Hashes of the ``GRAM`` bytes from every place; of longer spans from these. Zeros stand behind the data."""
 
     def __init__(self, data: np.ndarray):
-        self.of = [_BYTE[np.concatenate([data, np.zeros(SPACING, dtype=np.uint8)])]]
-        for k in range(6):
-            h = self.of[-1] * _RADIX[k]
-            h[:-(1 << k)] += self.of[-1][1 << k:]
-            self.of.append(h)
-
-    def span(self, at: np.ndarray, length: int) -> np.ndarray:
-        out, at = np.zeros(len(at), dtype=np.uint64), at.copy()
-        for k in range(6, -1, -1):
-            for _ in range(length >> 6 if k == 6 else length >> k & 1):
-                out = out * _RADIX[k] + self.of[k][at]
-                at += 1 << k
+        padded = np.zeros(len(data) + GRAM + 8, dtype=np.uint8)
+        padded[:len(data)] = data
+        words = mix(lanes(padded)[:len(data) + GRAM - 8])
+        half = words[:-8] * _FOLD[0]
+        half += words[8:]
+        self.gram = half[:-16] * _FOLD[1]
+        self.gram += half[16:]
+
+    def span(self, at: np.ndarray, length: int | np.ndarray, longest: int | None = None) -> np.ndarray:
+        """Of ``length`` bytes, ``GRAM`` or more; lengths that differ need the ``longest`` there may be."""
+        last = at + length - GRAM
+        out = np.zeros(len(at), dtype=np.uint64) + np.asarray(length, dtype=np.uint64)
+        for k in range(-(-(longest or length) // GRAM)):
+            out = mix(out ^ self.gram[np.minimum(at + k * GRAM, last)])
         return out
 
 
-def _sliding(values: np.ndarray, width: int, op, back: bool) -> np.ndarray:
-    """Minimum or maximum over ``width`` places from each one on (or up to each one)."""
-    result, have = values, 1
+def _sliding(values: np.ndarray, width: int, op) -> np.ndarray:
+    """Minimum or maximum over the ``width`` places from each one on that has as many."""
+    have = 1
     while have < width:
         step = min(have, width - have)
-        new = result.copy()
-        if back:
-            new[step:] = op(result[step:], result[:-step])
-        else:
-            new[:-step] = op(result[:-step], result[step:])
-        result, have = new, have + step
-    return result
+        values, have = op(values[:-step], values[step:]), have + step
+    return values
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[Hashes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, place, row, bytes before, bytes from it on, anchor hash); the two lengths are those of the context."""
     h = Hashes(data)
     n = len(data)
-    gram = mix(h.of[5][:n])
     width = LENGTH - GRAM + 1
-    if n < width:
+    if n < LENGTH:
         empty = np.zeros(0, dtype=np.int64)
         return h, empty, empty, empty, empty, empty.view(np.uint64)
-    least = _sliding(gram, width, np.minimum, back=False)
-    end = np.repeat(offsets[1:], np.diff(offsets))
-    least[np.arange(n) + LENGTH > end] = 0        # strings that would leave the text
-    most = _sliding(least, width, np.maximum, back=True)
-    place = np.flatnonzero((most == gram) & (most > 0))
-    row = np.searchsorted(offsets, place, "right") - 1
+    ranked = ((h.gram[:n - GRAM + 1] * _FOLD[2]) >> _HIGH).astype(np.uint32)
+    ranked |= np.uint32(1)                        # 0: none
+    least = np.zeros(n - LENGTH + 1 + 2 * (width - 1), dtype=np.uint32)
+    inner = least[width - 1:len(least) - width + 1]
+    inner[:] = _sliding(ranked, width, np.minimum)
+    over = (offsets[1:, None] - np.arange(1, LENGTH)).ravel()  # strings that would leave the text
+    inner[over[(over >= 0) & (over < len(inner))]] = 0
+    place = np.flatnonzero(_sliding(least, width, np.maximum) == ranked)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(place, offsets)))
     before = np.minimum(REACH, place - offsets[row])
     after = np.minimum(LENGTH, offsets[row + 1] - place)
     keep = before + after >= LENGTH
-    return h, place[keep], row[keep], before[keep], after[keep], gram[place[keep]]
+    return h, place[keep], row[keep], before[keep], after[keep], mix(h.gram[place[keep]])
 
 
 def context_hashes(h: Hashes, place: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(place), dtype=np.uint64)
-    size = before * 1024 + after
-    for kind in np.unique(size):
-        own = np.flatnonzero(size == kind)
-        b, a = divmod(int(kind), 1024)
-        out[own] = mix(h.span(place[own] - b, a + b) + np.uint64(kind))
-    return out
+    return mix(h.span(place - before, before + after, REACH + LENGTH) ^ before.astype(np.uint64))
 
 
 def _names(schema: str) -> list[str]:
     return [c.strip().split()[0] for c in schema.split(", ")]
 
 
+REPEATS = "anchor bigint"
+
+
+def _anchor_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, data, offsets in chunks(*buffers(batch.column(1)), limit=CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array(anchors(data, offsets)[-1].view(np.int64))], names=_names(REPEATS))
+
+
 ANCHORS = "doc_id bigint, anchor bigint, context bigint, place int, before int, after int"
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, data, offsets in chunks(*buffers(batch.column(1)), limit=1 << 18):
+        for lo, data, offsets in chunks(*buffers(batch.column(1)), limit=CHUNK):
             h, place, row, before, after, gram = anchors(data, offsets)
             if len(place):
                 yield pa.RecordBatch.from_arrays([
@@ -160,27 +159,33 @@ CONTEXTS = "doc_id bigint, anchor bigint, place int, before int, after int, hot
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with the places wanted in them to a row for each place with the context's bytes."""
     for batch in batches:
-        out: list[list] = [[] for _ in range(7)]
-        for doc, text, places in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-            raw = text.encode()
-            for p in places:
-                at, b, a = p["place"], p["before"], p["after"]
-                if at + a > len(raw):
-                    continue  # another row with this id
-                for column, value in zip(out, (doc, p["anchor"], at, b, a, p["hot"], raw[at - b:at + a])):
-                    column.append(value)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=_names(CONTEXTS))
-
-
-def padded_contexts(raw: list[bytes], before: np.ndarray) -> np.ndarray:
+        doc, places = np.asarray(batch.column(0)), batch.column(2)
+        first = np.concatenate([[0], np.cumsum(places.value_lengths().to_numpy(zero_copy_only=False))])
+        flat = dict(zip(("anchor", "place", "before", "after", "hot"), places.flatten().flatten()))
+        for lo, data, offsets in chunks(*buffers(batch.column(1))):
+            rows = len(offsets) - 1
+            own = slice(first[lo], first[lo + rows])
+            row = np.repeat(np.arange(rows), np.diff(first[lo:lo + rows + 1]))
+            at, before, after = (np.asarray(flat[k])[own].astype(np.int64) for k in ("place", "before", "after"))
+            here = np.flatnonzero(at + after <= offsets[row + 1] - offsets[row])  # else of another row with this id
+            row, at, before, after = row[here], at[here], before[here], after[here]
+            size = before + after
+            ends = np.concatenate([[0], np.cumsum(size)])
+            raw = data[np.repeat(offsets[row] + at - before - ends[:-1], size) + np.arange(ends[-1])]
+            binary = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(doc[lo + row]), flat["anchor"].slice(first[lo], own.stop - own.start).take(pa.array(here)),
+                *[pa.array(x.astype(np.int32)) for x in (at, before, after)],
+                flat["hot"].slice(first[lo], own.stop - own.start).take(pa.array(here)), binary], names=_names(CONTEXTS))
+
+
+def padded_contexts(raw: pa.Array, before: np.ndarray) -> np.ndarray:
     """rows x (REACH + LENGTH) bytes, each anchor at column ``REACH``; missing bytes are zero."""
     width = REACH + LENGTH
-    size = np.array([len(r) for r in raw], dtype=np.int64)
+    data, offsets = buffers(raw)
     flat = np.zeros(len(raw) * width, dtype=np.uint8)
     start = np.arange(len(raw)) * width + REACH - before
-    joined = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(len(joined))] = joined
+    flat[np.repeat(start - offsets[:-1], np.diff(offsets)) + np.arange(len(data))] = data
     return flat.reshape(len(raw), width)
 
 
@@ -192,20 +197,24 @@ def shared_cores(table: np.ndarray, before: np.ndarray, after: np.ndarray) -> tu
     column = np.arange(SYMBOLS)
     whole = (ZONE * column - LEAD >= -before[:, None]) & (ZONE * (column + 1) - LEAD <= after[:, None])
     _, rank = np.unique(body, return_inverse=True)
-    rank = rank.reshape(body.shape).astype(np.int64) + 1
-    missing = int((~whole).sum())
-    rank += missing
-    rank[~whole] = np.arange(1, missing + 1)     # equal to nothing
-    ends = rank.max(initial=0) + 1 + np.arange(rows)
-    ends[-1] = 0
-    sequence = np.concatenate([rank, ends[:, None]], axis=1).ravel()
-    order = np.array(suffix_array(sequence.tolist()), dtype=np.int64)
-    ahead = np.concatenate([sequence, np.arange(-SHARED, 0)])
+    rank = rank.reshape(body.shape).astype(np.int64)
+    # a core lies in symbols that another context has at the same place too; runs of fewer hold none
+    of_column = rank * SYMBOLS + column
+    repeated = whole & (np.bincount(of_column[whole], minlength=of_column.max(initial=0) + 1)[of_column] > 1)
+    usable = np.zeros((rows, SYMBOLS + 1), dtype=bool)
+    for k in range(ZONES):
+        usable[:, k:k + SHARED] |= repeated[:, k:k + SHARED].all(axis=1, keepdims=True)
+    usable[:, SYMBOLS] = usable.any(axis=1)
+    context, at = np.nonzero(usable)
+    sequence = np.concatenate([rank, np.full((rows, 1), END)], axis=1)[usable]
+    order = np.array(joint_suffix_array(sequence), dtype=np.int64)
+    ahead = np.concatenate([sequence, np.full(SHARED, END)])
     same = np.ones(max(len(order) - 1, 0), dtype=bool)
     for k in range(SHARED):
-        same &= ahead[order[:-1] + k] == ahead[order[1:] + k]
-    interval = np.concatenate([[0], np.cumsum(~same)])
-    context, at = np.divmod(order, SYMBOLS + 1)
+        symbol = ahead[order + k]
+        same &= (symbol[:-1] == symbol[1:]) & (symbol[1:] != END)
+    interval = np.concatenate([np.zeros(min(len(order), 1), dtype=np.int64), np.cumsum(~same)])
+    context, at = context[order], at[order]
     zone = ZONES - 1 - at                         # the strings of zone z hold the symbols from ZONES - 1 - z on
     keep = (zone >= 0) & (zone < ZONES)
     interval, context, zone = interval[keep], context[keep], zone[keep]
@@ -215,11 +224,11 @@ def shared_cores(table: np.ndarray, before: np.ndarray, after: np.ndarray) -> tu
     return key[some], context[some], zone[some]
 
 
-def window_spans(table: np.ndarray, before: np.ndarray, after: np.ndarray, doc: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int]]:
+def window_spans(table: np.ndarray, before: np.ndarray, after: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
     """(doc, start, length) of what goes: windows that another context with a smaller place also has."""
     key, context, zone = shared_cores(table, before, after)
-    if not len(key):
-        return []
+    used, context = np.unique(context, return_inverse=True)
+    table, before, after, doc, place = table[used], before[used], after[used], doc[used], place[used]
     h = Hashes(table.ravel())
     r = np.arange(ZONE)
     lead = (zone[:, None] * ZONE + r).ravel()     # bytes of the window before the anchor
@@ -231,48 +240,57 @@ def window_spans(table: np.ndarray, before: np.ndarray, after: np.ndarray, doc:
     order = np.lexsort((start, doc[context], content, key))
     key, content, context, start = key[order], content[order], context[order], start[order]
     # equal strings share a run of the order: all but the run's first place go
-    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])]))
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), dtype=bool), (key[1:] != key[:-1]) | (content[1:] != content[:-1])]))
     lead_of = np.repeat(first, np.diff(np.append(first, len(key))))
     again = (doc[context] != doc[context[lead_of]]) | (start != start[lead_of])
     d, s = doc[context[again]], start[again]
     return merged(d, s, np.full(len(s), LENGTH))
 
 
-def merged(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> list[tuple[int, int, int]]:
+def merged(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unions of overlapping or touching spans of each document."""
-    out: list[list[int]] = []
-    order = np.lexsort((start, doc))
-    for d, s, n in zip(doc[order].tolist(), start[order].tolist(), length[order].tolist()):
-        if out and out[-1][0] == d and s <= out[-1][1] + out[-1][2]:
-            out[-1][2] = max(out[-1][2], s + n - out[-1][1])
-        else:
-            out.append([d, s, n])
-    return [tuple(x) for x in out]
+    if not len(doc):
+        return doc, start, length
+    ids, doc = np.unique(doc, return_inverse=True)
+    base = doc * (int((start + length).max()) + 1)  # documents stand apart
+    order = np.argsort(base + start, kind="stable")
+    low, reached = (base + start)[order], np.maximum.accumulate((base + start + length)[order])
+    first = np.flatnonzero(np.concatenate([[True], low[1:] > reached[:-1]]))
+    last = np.append(first[1:], len(low)) - 1
+    return ids[doc[order[first]]], start[order[first]], reached[last] - low[first]
 
 
 SPANS = "doc_id bigint, start int, length int"
 
 
-def _spans_of(rows: list[tuple]) -> pa.RecordBatch:
-    d, s, n = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32())], names=_names(SPANS))
+def _spans_of(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32))], names=_names(SPANS))
 
 
 def _by_suffix_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts sorted by anchor to spans; whole anchor groups, ``AT_ONCE`` contexts or more at a time."""
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        doc, _, place, before, after, raw = zip(*rows)
-        doc, place, before, after = (np.array(x, dtype=np.int64) for x in (doc, place, before, after))
-        return _spans_of(window_spans(padded_contexts(list(raw), before), before, after, doc, place))
+    def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts)
+        doc, place, before, after = (rows.column(i).to_numpy().astype(np.int64) for i in (0, 2, 3, 4))
+        return _spans_of(*window_spans(padded_contexts(rows.column(5), before), before, after, doc, place))
 
-    held: list[tuple] = []
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        for row in zip(*[batch.column(i).to_pylist() for i in range(6)]):
-            if len(held) >= AT_ONCE and row[1] != held[-1][1]:
-                yield solve(held)
-                held = []
-            held.append(row)
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < AT_ONCE:
+            continue
+        # up to the last border between anchors
+        anchor = np.asarray(batch.column(1))
+        last = np.asarray(held[-2].column(1))[-1:] if len(held) > 1 else anchor[:1]
+        border = np.flatnonzero(np.concatenate([last, anchor[:-1]]) != anchor)
+        if len(border):
+            cut = int(border[-1])
+            yield solve([*held[:-1], batch.slice(0, cut)])
+            held = [batch.slice(cut)]
     if held:
         yield solve(held)
 
@@ -286,7 +304,7 @@ def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         doc, place, before, after = (np.asarray(batch.column(i)).astype(np.int64) for i in (0, 2, 3, 4))
-        table = padded_contexts(batch.column(6).to_pylist(), before)
+        table = padded_contexts(batch.column(6), before)
         h, base = Hashes(table.ravel()), np.arange(len(table)) * table.shape[1] + REACH
         for zone in range(ZONES):
             low, high = zone * ZONE, min(zone * ZONE + ZONE - 1, REACH)
@@ -328,15 +346,15 @@ def removed_spans(narrow: DataFrame) -> DataFrame:
     """``(doc_id, start, length)`` of what goes, parts of documents overlapping; null ids as ``FIRST_ID``."""
     found = narrow.mapInArrow(_anchors, ANCHORS)
     repeated = materialise(
-        found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high"))
-        .filter("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("several")), "repeated-anchors")
+        narrow.mapInArrow(_anchor_hashes, REPEATS).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"),
+        "repeated-anchors")
     likely = bloom.possible(found, F.col("anchor"), repeated, F.col("anchor"), repeated.count(), max_blocks=1 << 18)
     met = materialise(likely.filter("_possible").drop("_possible").join(repeated, "anchor"), "anchor-places")
 
     # classes of equal contexts
     classes = materialise(
-        met.groupBy("anchor", "context").agg(F.min("doc_id").alias("first_doc"), F.first("several").alias("several")), "context-classes")
-    placed = materialise(met.drop("several").join(classes, ["anchor", "context"]), "class-places")
+        met.groupBy("anchor", "context").agg(F.min("doc_id").alias("first_doc")), "context-classes")
+    placed = materialise(met.join(classes, ["anchor", "context"]), "class-places")
     inside = placed.filter("doc_id = first_doc").withColumn(
         "nth", F.dense_rank().over(Window.partitionBy("anchor", "context", "doc_id").orderBy("place")))
     copies = placed.filter("doc_id > first_doc").select("doc_id", "place", "before", "after").unionByName(
@@ -344,13 +362,12 @@ def removed_spans(narrow: DataFrame) -> DataFrame:
     copies = copies.select("doc_id", (F.col("place") - F.col("before")).alias("start"), (F.col("before") + F.col("after")).alias("length"))
 
     # the first places of anchors with several contexts
-    sizes = materialise(
-        classes.filter("several").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select(
-            "anchor", F.lit(True).alias("hot")), "hot-anchors")
-    firsts = materialise(inside.filter("nth = 1 and several").select("doc_id", "anchor", "place", "before", "after").distinct(), "first-places")
-    wanted = firsts.join(sizes, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    several = materialise(
+        classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", (F.col("n") > HOT).alias("hot")),
+        "several-contexts")
+    firsts = inside.filter("nth = 1").select("doc_id", "anchor", "place", "before", "after").join(several, "anchor").distinct()
     by_doc = materialise(
-        wanted.groupBy(F.col("doc_id").alias("wanted_id")).agg(
+        firsts.groupBy(F.col("doc_id").alias("wanted_id")).agg(
             F.collect_list(F.struct("anchor", "place", "before", "after", "hot")).alias("places")), "wanted-places")
     near = bloom.possible(narrow, F.col("doc_id"), by_doc, F.col("wanted_id"), by_doc.count()).filter("_possible")
     contexts = materialise(
@@ -366,21 +383,26 @@ RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[tuple] = []
-        spans = batch.column(2).to_pylist()
+        spans = batch.column(2)
+        first = np.concatenate([[0], np.cumsum(spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+        start, length = (np.asarray(x).astype(np.int64) for x in spans.flatten().flatten())
         for lo, data, offsets in chunks(*buffers(batch.column(1))):
-            for r in range(len(offsets) - 1):
-                text = data[offsets[r]:offsets[r + 1]]
-                own = spans[lo + r] or []
-                union = merged(*(np.array(x, dtype=np.int64) for x in (
-                    [0] * len(own), [s["start"] for s in own], [s["length"] for s in own])))
-                keep = np.ones(len(text), dtype=bool)
-                for _, s, n in union:
-                    keep[s:s + n] = False
-                out.append((len(text), int((~keep).sum()), len(union), hashlib.sha256(text[keep].tobytes()).hexdigest()))
-        columns = list(zip(*out)) or [()] * 4
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.string())], names=_names(RESULT))
+            rows = len(offsets) - 1
+            own = slice(first[lo], first[lo + rows])
+            row = np.repeat(np.arange(rows), np.diff(first[lo:lo + rows + 1]))
+            low, end = offsets[row] + start[own], offsets[row + 1]
+            depth = np.bincount(np.minimum(low, end), minlength=len(data) + 1) - np.bincount(
+                np.minimum(low + length[own], end), minlength=len(data) + 1)
+            gone = np.cumsum(depth[:-1]) > 0
+            begins = gone.copy()
+            begins[1:] &= ~gone[:-1]
+            filled = offsets[:-1][np.diff(offsets) > 0]
+            begins[filled] = gone[filled]
+            removed, runs = (np.concatenate([[0], np.cumsum(x)])[offsets] for x in (gone, begins))
+            kept, border = data[~gone], (offsets - removed).tolist()
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).slice(lo, rows), *[pa.array(np.diff(x)) for x in (offsets, removed, runs)],
+                pa.array([hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(border, border[1:])], pa.string())], names=_names(RESULT))
 
 
 def dedup_suffixes(docs: DataFrame) -> DataFrame:

@@ -49,6 +49,55 @@ def test_suffix_dedup_is_exact(docs_of, monkeypatch, hot):
         assert tuple(r)[1:] == want[-1 if r["doc_id"] is None else r["doc_id"]], r["doc_id"]
 
 
+def contexts_of(texts):
+    """All contexts of the texts (ids from 0 on) as `_by_suffix_array` takes them: sorted by anchor."""
+    places = pa.Table.from_batches(suffix_dedup._anchors(iter([pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])])))
+    rows = [(r["doc_id"], r["anchor"], r["place"], r["before"], r["after"],
+             texts[r["doc_id"]].encode()[r["place"] - r["before"]:r["place"] + r["after"]]) for r in places.to_pylist()]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*sorted(rows, key=lambda r: (r[1], r[0], r[2]))), [pa.int64()] * 2 + [pa.int32()] * 3 + [pa.binary()])], list("dapbfr"))
+
+
+def sorted_symbols(monkeypatch):
+    seen, sort = [], suffix_dedup.joint_suffix_array
+    monkeypatch.setattr(suffix_dedup, "joint_suffix_array", lambda s: (seen.extend(s), sort(s))[1])
+    return seen
+
+
+def test_suffix_array_gets_only_symbols_that_may_lie_in_a_shared_core(monkeypatch):
+    line = prose(61, 9)[:60]      # shorter than LENGTH: equal anchors, no equal strings
+    texts = [prose(300 + k, 30) + line + prose(400 + k, 30) for k in range(40)]
+    seen = sorted_symbols(monkeypatch)
+    assert sum(b.num_rows for b in suffix_dedup._by_suffix_array(contexts_of(texts).to_batches())) == 0 and not seen
+    texts = [prose(300 + k, 30) + prose(62, 40) + prose(400 + k, 30) for k in range(40)]
+    assert sum(b.num_rows for b in suffix_dedup._by_suffix_array(contexts_of(texts).to_batches())) >= 39 and seen
+
+
+def test_suffix_arrays_do_not_depend_on_batches(monkeypatch):
+    table = contexts_of([(t or "") for _, t in corpus()])
+
+    def gone():
+        spans = [s for b in suffix_dedup._by_suffix_array(iter(table.to_batches(max_chunksize=size))) for s in b.to_pylist()]
+        return {(s["doc_id"], p) for s in spans for p in range(s["start"], s["start"] + s["length"])}
+
+    size = 10_000
+    want = gone()
+    assert want
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", 10)
+    for size in (1, 7, 64):
+        assert gone() == want
+
+
+def test_kept_bytes_of_overlapping_touching_and_null_spans():
+    texts = ["a" * 10 + "b" * 10, "", None, "é" * 8, "z" * 5]
+    spans = [[(0, 4), (2, 4), (6, 2), (15, 5)], [], None, [(0, 16)], None]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
+    batch = pa.record_batch([pa.array([0, 1, 2, 3, None]), pa.array(texts), pa.array(
+        [None if x is None else [{"start": s, "length": n} for s, n in x] for x in spans], kind)], ["doc_id", "text", "spans"])
+    got = [tuple(r.values()) for b in suffix_dedup._kept(iter([batch.slice(0, 2), batch.slice(2)])) for r in b.to_pylist()]
+    digest = [hashlib.sha256(x).hexdigest() for x in (b"aabbbbb", b"", b"", b"", b"zzzzz")]
+    assert got == [(0, 20, 13, 2, digest[0]), (1, 0, 0, 0, digest[1]), (2, 0, 0, 0, digest[2]), (3, 16, 16, 1, digest[3]), (None, 5, 0, 0, digest[4])]
+
+
 def windows_of(b, ends):
     """(start, end) of all shortest runs of chunks that reach MIN_RUN bytes, from each chunk onwards and up to each chunk."""
     chunk = list(zip([0, *ends[:-1]], ends))

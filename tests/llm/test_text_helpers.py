@@ -3,7 +3,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from leadforge.llm.suffix_array import suffix_array
+from leadforge.llm.suffix_array import END, joint_suffix_array, suffix_array
 from leadforge.llm.text import buffers, chunks, shingle_hashes, word_hashes, words
 
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -43,3 +43,14 @@ def test_suffix_array_against_sorting():
         n, k = rng.integers(0, 40), rng.integers(1, 6)
         s = [*rng.integers(1, k + 1, size=n).tolist(), 0]
         assert suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def test_joint_suffix_array_against_sorting():
+    rng = np.random.default_rng(1)
+    for _ in range(400):
+        strings = [rng.integers(0, rng.integers(1, 5), size=rng.integers(0, 12)).tolist() for _ in range(rng.integers(0, 7))]
+        places, at = [], 0
+        for k, string in enumerate(strings):
+            places += [(string[i:], k, at + i) for i in range(len(string))]
+            at += len(string) + 1
+        assert joint_suffix_array([x for string in strings for x in [*string, END]]) == [place for *_, place in sorted(places)]
