@@ -1,10 +1,11 @@
 """Removal of repeated 100-byte strings, with suffix arrays over candidate places.
 
 A byte goes if a ``LENGTH``-byte string that covers it also starts earlier
-(smaller id, or same document and earlier start). Results are exact.
+(smaller id, or same document and earlier start). Results are exact but for equal
+64-bit hashes of different strings.
 
-*Anchors.* A place is an anchor if its ``GRAM``-byte hash is the least of some
-window of neighbouring hashes that one ``LENGTH``-byte string spans. Every such
+*Anchors.* A place is an anchor if the rank of its ``GRAM``-byte hash is the least
+of some window of neighbouring ranks that one ``LENGTH``-byte string spans. Every such
 string holds an anchor at a place that depends on its content alone, so equal
 strings meet at equal anchors, and all of them that hold an anchor lie within
 its *context*: the ``REACH`` bytes before it and the ``LENGTH`` bytes from it.
@@ -15,11 +16,13 @@ but the first place of a class are removed whole, the first one goes on if its
 anchor has other contexts too: there, repeats begin or end.
 
 *Suffix arrays.* The contexts that go on meet by anchor. Aligned at the anchor,
-they are sequences of 16-byte symbols; a task concatenates whole anchor groups up
-to ``AT_ONCE`` contexts and sorts the suffixes by linear grouping
-(:mod:`.suffix_array`). Neighbours in the suffix array that share five symbols or
-more are the contexts with a common core of 80 bytes, and their at most sixteen
-windows around it are compared byte for byte (by hash) and ordered by place.
+they are sequences of 16-byte symbols; a task takes whole anchor groups, ``AT_ONCE``
+contexts or more at a time, and sorts the suffixes by linear grouping
+(:mod:`.suffix_array`). Symbols that no other context has at the same place lie in
+no shared core, nor do runs of fewer than five others; they are left out. Neighbours
+in the suffix array that share five symbols or more are the contexts with a common
+core of 80 bytes, and their at most sixteen windows around it are compared by 64-bit
+hashes and ordered by place.
 
 *Hot anchors.* An anchor with more than ``HOT`` contexts (a line that stands in
 a third of all documents) does not go to one task: its contexts are counted by
@@ -365,7 +368,10 @@ def removed_spans(narrow: DataFrame) -> DataFrame:
     several = materialise(
         classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", (F.col("n") > HOT).alias("hot")),
         "several-contexts")
-    firsts = inside.filter("nth = 1").select("doc_id", "anchor", "place", "before", "after").join(several, "anchor").distinct()
+    # one row each, so that nothing behind the join needs its rows dealt by anchor: it may split a hot one
+    firsts = placed.filter("doc_id = first_doc").withColumn(
+        "nth", F.row_number().over(Window.partitionBy("anchor", "context", "doc_id").orderBy("place"))).filter("nth = 1").select(
+        "doc_id", "anchor", "place", "before", "after").join(several, "anchor")
     by_doc = materialise(
         firsts.groupBy(F.col("doc_id").alias("wanted_id")).agg(
             F.collect_list(F.struct("anchor", "place", "before", "after", "hot")).alias("places")), "wanted-places")
