@@ -289,35 +289,42 @@ def counted_terms(batch: pa.RecordBatch, use_ngrams: bool, den: float, frequent:
     """Rows of (_id, term, _doc, _n, _part) from (_id, term, _tok, _doc): one with ``_part`` for each document, and
     one with the weighted count ``_n`` for each of its distinct terms that is not among the ``frequent`` (terms, odds).
     ``_part`` holds these and ``-den`` for every term."""
-    ids, tokens, own = batch.column("_id"), batch.column("_tok"), batch.column("_doc")
-    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
-    words, owner = tokens.flatten(), np.repeat(np.arange(len(sizes)), sizes)
-    pairs = np.flatnonzero(owner[1:] == owner[:-1]) if use_ngrams else np.array([], dtype=np.int64)
-    bigrams_ = pc.binary_join_element_wise(words.take(pa.array(pairs)), words.take(pa.array(pairs + 1)), " ")
-    coded = pa.concat_arrays([words, bigrams_]).dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    unit = np.ones(len(coded.dictionary))
-    unit[codes[len(words):]] = 0.5
-    key, times = np.unique(np.concatenate([owner, owner[pairs]]) * max(1, len(unit)) + codes, return_counts=True)
-    owner, codes = key // max(1, len(unit)), key % max(1, len(unit))
-    n = times * unit[codes]
-    part = -den * np.bincount(owner, weights=n, minlength=len(sizes))
-    if frequent is not None and len(key):
-        terms, odds = frequent
-        at = pc.fill_null(pc.index_in(coded.dictionary, value_set=terms), -1).to_numpy(zero_copy_only=False)[codes]
+    ids, own = batch.column("_id"), batch.column("_doc")
+    terms, owner, codes, times, unit = distinct_terms(batch.column("_tok"), use_ngrams)
+    some, n = batch.num_rows, times * unit[codes]
+    part = -den * np.bincount(owner, weights=n, minlength=some)
+    if frequent is not None and len(owner):
+        known, odds = frequent
+        at = pc.fill_null(pc.index_in(terms, value_set=known), -1).to_numpy(zero_copy_only=False)[codes]
         there = at >= 0
-        part += np.bincount(owner[there], weights=n[there] * odds[at[there]], minlength=len(sizes))
+        part += np.bincount(owner[there], weights=n[there] * odds[at[there]], minlength=some)
         owner, codes, n = owner[~there], codes[~there], n[~there]
-    some, rest = len(sizes), len(owner)
+    rest = len(owner)
     return pa.RecordBatch.from_arrays([
         pa.concat_arrays([ids, ids.take(pa.array(owner))]),
-        pa.concat_arrays([batch.column("term"), coded.dictionary.take(pa.array(codes))]),
+        pa.concat_arrays([batch.column("term"), terms.take(pa.array(codes))]),
         pa.concat_arrays([own, pa.nulls(rest, own.type)]),
         pa.concat_arrays([pa.nulls(some, pa.float64()), pa.array(n, pa.float64())]),
         pa.concat_arrays([pa.array(part, pa.float64()), pa.nulls(rest, pa.float64())]),
     ], ["_id", "term", "_doc", "_n", "_part"])
 
 
+def distinct_terms(tokens: pa.ListArray, use_ngrams: bool) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, owner, code, times, unit): the distinct words and bigrams of each list of tokens, as the list's place,
+    the term's place in ``terms`` and how often it occurs; ``unit`` is the weight of each of ``terms``, 0.5 for bigrams."""
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    words, owner = tokens.flatten(), np.repeat(np.arange(len(sizes)), sizes)
+    pairs = np.flatnonzero(owner[1:] == owner[:-1]) if use_ngrams else np.array([], dtype=np.int64)
+    joined = pc.binary_join_element_wise(words.take(pa.array(pairs)), words.take(pa.array(pairs + 1)), " ")
+    coded = pa.concat_arrays([words, joined]).dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    unit = np.ones(len(coded.dictionary))
+    unit[codes[len(words):]] = 0.5
+    width = max(1, len(unit))
+    key, times = np.unique(np.concatenate([owner, owner[pairs]]) * width + codes, return_counts=True)
+    return coded.dictionary, key // width, key % width, times, unit
+
+
 def term_odds(terms: DataFrame) -> DataFrame:
     """(term, n, odds) of a model's terms: how often it was seen, and the difference of its classes' logarithms.
     A bigram is told from a word by its space; a term that a text cannot have (a space elsewhere) is left out."""

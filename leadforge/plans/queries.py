@@ -952,9 +952,10 @@ def q_tfidf_weights(spark, sf_dir):
 
 @register("logreg_scores")
 def q_logreg_scores(spark, sf_dir):
+    from ..session import written
     lab = labelled_messages(spark, sf_dir)
     split = ev.stratified_split(lab.select("id", "label"), test_size=TEST_SIZE, seed=SPLIT_SEED)
-    data = _checkpoint(lab.join(split.select("id", "is_train", "is_test"), "id"))
+    data = written(lab.select("id", "label", "text").join(split.select("id", "is_train", "is_test"), "id"), "labelled")
     test = data.filter("is_test")
     model = logreg.fit(data.filter("is_train"), tolerance=LOGREG_TOLERANCE)
     return test.select("id", "label").join(logreg.score(test, model, out="score"), "id").withColumn("score", F.round("score", 3))

@@ -88,11 +88,11 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to a fresh scratch folder and read from there."""
-    path = scratch_path(df.sparkSession, name)
+def written(df: DataFrame, name: str, path: str | None = None, rows_per_file: int = 0) -> DataFrame:
+    """``df`` written to ``path`` or a fresh scratch folder and read from there."""
+    path = path or scratch_path(df.sparkSession, name)
     with shuffles_freed(df.sparkSession):
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -105,17 +105,22 @@ def written_in_buckets(df: DataFrame, column: str, buckets: int, name: str) -> D
     return spark.table(table)
 
 
+@contextmanager
+def scratch_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """The path of a fresh scratch folder, which goes with what was written there at the end of this block."""
+    path = scratch_path(spark, name)
+    try:
+        yield path
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextmanager
 def scratch_table(df: DataFrame, name: str, materialize: bool = True) -> Iterator[DataFrame]:
     """``df`` written for the time of this block, or ``df`` itself without ``materialize``."""
     if not materialize:
         yield df
         return
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    try:
-        with shuffles_freed(spark):
-            df.write.parquet(path)
-        yield spark.read.schema(df.schema).parquet(path)
-    finally:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    with scratch_folder(df.sparkSession, name) as path:
+        yield written(df, name, path)
